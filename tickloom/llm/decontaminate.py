@@ -30,10 +30,22 @@ def benchmark_windows(benchmark: DataFrame, size: int) -> DataFrame:
     return w.groupBy("len", "window").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
 
 
-def _places(starts: Column, n: int, keys: list[int] | None) -> Column:
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
+def _ends(hashes: Column, start: Column, n: int) -> Column:
+    """Hash of a window's first and last word: a cheap test that few windows of other texts pass."""
+    return F.xxhash64(F.get(hashes, start - 1), F.get(hashes, start + (n - 2)))
+
+
+def _places(starts: Column, n: int, ends: list[int], keys: list[int] | None) -> Column:
     """Of the starts, those whose n words hash into keys (all of them without keys), with their length."""
     if keys is not None:
-        starts = F.filter(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(n))).isin(keys))
+        h = F.col("h")
+        starts = F.filter(
+            starts, lambda i: _ends(h, i, n).isin(ends) & F.xxhash64(F.slice(h, i, F.lit(n))).isin(keys)
+        )
     return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len")))
 
 
@@ -46,20 +58,27 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_set:
     compared word for word.
     """
     windows = benchmark_windows(benchmark, size).persist()
-    hashed = windows.select("len", F.xxhash64(F.split(F.lower("window"), " ")).alias("h"))
+    hashed = windows.select("len", _hashes(F.split(F.lower("window"), " ")).alias("h"))
+    ends = F.xxhash64(F.get("h", F.lit(0)), F.get("h", F.col("len") - 1))
+    hashed = hashed.select("len", F.xxhash64("h").alias("h"), ends.alias("ends"))
     lengths = [r[0] for r in hashed.select("len").distinct().orderBy("len").collect()]  # at most `size` values
     small = len(hashed.limit(max_set + 1).collect()) <= max_set
     d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    d = d.withColumn("w", split_words(F.lower("text"))).withColumn("n_words", F.size("w").cast("long"))
+    d = d.withColumn("h", _hashes(split_words(F.lower("text")))).withColumn("n_words", F.size("h").cast("long"))
     at = [
-        F.when(F.col("n_words") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        F.when(F.col("n_words") >= n, F.sequence(F.lit(1), F.size("h") - (n - 1))).otherwise(F.array().cast("array<int>"))
         for n in lengths
     ]
-    keys: dict[int, list[int]] = {}
-    if small:
-        for r in hashed.distinct().collect():
-            keys.setdefault(r["len"], []).append(r["h"])
-    found = [_places(a, n, keys[n] if small else None) for n, a in zip(lengths, at, strict=True)]
+    known_hashes = hashed.collect() if small else []
+    found = [
+        _places(
+            a,
+            n,
+            sorted({r["ends"] for r in known_hashes if r["len"] == n}),
+            sorted({r["h"] for r in known_hashes if r["len"] == n}) if small else None,
+        )
+        for n, a in zip(lengths, at, strict=True)
+    ]
     none = F.array().cast("array<struct<pos:int,len:int>>")
     d = d.withColumn("found", F.concat(none, *found))
     # Only texts with a candidate are split once more, with their exact letters.

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from tickloom.llm.decontaminate import SQL as SQL6
 from tickloom.llm.decontaminate import op6_decontamination
+from tickloom.llm.ngram_join import op1_ngram_join
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op6_decontamination": op6_decontamination,
 }
 
