@@ -5,9 +5,11 @@ from __future__ import annotations
 from tickloom.llm.decontaminate import SQL as SQL6
 from tickloom.llm.decontaminate import op6_decontamination
 from tickloom.llm.ngram_join import op1_ngram_join
+from tickloom.llm.packing import op3_packing
 from tickloom.llm.sharding import op8_sharding
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op8_sharding": op8_sharding,
     "op1_ngram_join": op1_ngram_join,
     "op6_decontamination": op6_decontamination,
