@@ -5,11 +5,13 @@ from __future__ import annotations
 from tickloom.llm.class_lm import op10_lm_scoring
 from tickloom.llm.decontaminate import SQL as SQL6
 from tickloom.llm.decontaminate import op6_decontamination
+from tickloom.llm.language_id import op9_language_id
 from tickloom.llm.ngram_join import op1_ngram_join
 from tickloom.llm.packing import op3_packing
 from tickloom.llm.sharding import op8_sharding
 
 QUERIES = {
+    "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
     "op3_packing": op3_packing,
     "op8_sharding": op8_sharding,
