@@ -8,9 +8,13 @@ from tickloom.llm.decontaminate import op6_decontamination
 from tickloom.llm.language_id import op9_language_id
 from tickloom.llm.ngram_join import op1_ngram_join
 from tickloom.llm.packing import op3_packing
+from tickloom.llm.quality import op4_quality
 from tickloom.llm.sharding import op8_sharding
+from tickloom.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
     "op3_packing": op3_packing,
