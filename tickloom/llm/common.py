@@ -33,6 +33,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
+    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files that only the lineage before needed
     return spark.read.schema(df.schema).parquet(path)
 
 
