@@ -23,6 +23,10 @@ from tickloom.llm.components import connected_components
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
+#: 64-bit words of a folded sketch, and members of a bucket that one block of a comparison holds.
+FOLD, BLOCK = 32, 1024
+
+
 def _mixed(x: np.ndarray, k: int = 0) -> np.ndarray:
     """A 64-bit finaliser: every input bit changes about half of the output bits."""
     x = x + MIX[k]
@@ -120,6 +124,18 @@ def _sketch_batches(words: int, threshold: float):
     return run
 
 
+def folded(hashes: np.ndarray) -> np.ndarray:
+    """A parity sketch of fixed size, to rule out pairs before their sets are compared."""
+    at = (_mixed(hashes, 1) % np.uint64(64 * FOLD)).astype(np.int64)
+    odd = (np.bincount(at, minlength=64 * FOLD) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64)
+
+
+def most_apart(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """The largest symmetric difference of two linked sets whose sizes add up to ``sizes``."""
+    return (sizes * (100 - percent)) // (100 + percent)
+
+
 def _set_batches(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,14 +143,32 @@ def _set_batches(words: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([set_node(s) for s in sets], pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([folded(s).tobytes() for s in sets], pa.binary()),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                names=["node", "set"],
+                names=["node", "size", "fold", "set"],
             )
 
     return run
 
 
+def _folds(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, FOLD)
+
+
+def _near_batches(percent: int):
+    """Of node pairs with both folded sketches, those whose sketches are close enough for a link."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.bitwise_count(_folds(batch.column("fold_u")) ^ _folds(batch.column("fold_v"))).sum(1)
+            sizes = batch.column("size_u").to_numpy() + batch.column("size_v").to_numpy()
+            yield batch.select(["u", "v"]).filter(pa.array(apart <= most_apart(sizes, percent)))
+
+    return run
+
+
 def _verify_batches(percent: int):
     """Of node pairs with both sets, those with 100 * intersection >= percent * union."""
 
@@ -142,7 +176,7 @@ def _verify_batches(percent: int):
         for batch in batches:
             keep = []
             a, b = batch.column("set_u").to_pylist(), batch.column("set_v").to_pylist()
-            for k, (x, y) in enumerate(zip(a, b, strict=True)):
+            for x, y in zip(a, b, strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
@@ -151,11 +185,20 @@ def _verify_batches(percent: int):
     return run
 
 
+def _with_sides(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    for side in ("u", "v"):
+        wanted = nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        pairs = pairs.join(wanted.hint("merge"), side)
+    return pairs
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    both = _with_sides(pairs, sets, ["size", "fold"])
+    return map_batches(both, _near_batches(percent), "u long, v long")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    joined = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u").join(
-        sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v"
-    )
-    return map_batches(joined.select("u", "v", "set_u", "set_v"), _verify_batches(percent), "u long, v long")
+    return map_batches(_with_sides(pairs, sets, ["set"]), _verify_batches(percent), "u long, v long")
 
 
 def _pivot_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,24 +223,70 @@ def _unsettled(buckets: DataFrame, components: DataFrame) -> DataFrame:
     return named.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <> _hi").drop("_lo", "_hi")
 
 
-def _all_pairs(buckets: DataFrame, blocks: int = 16) -> DataFrame:
-    """Pairs of different components within each bucket, dealt over blocks x blocks tasks a bucket."""
-    side = buckets.select("key", "node", "component", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = side.select("key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("block").alias("bu"), every.alias("bv"))
-    right = side.select("key", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("block").alias("bv"), every.alias("bu"))
-    both = left.join(right, ["key", "bu", "bv"]).where("u > v and cu <> cv")
-    return both.select("u", "v").distinct()
+def _compare_batches(percent: int):
+    """Rows sorted by (key, lo, hi) to the pairs of different components whose folded sketches are close enough.
+
+    One group holds the members of two blocks of a bucket, so it is bounded; a group may go over several batches.
+    """
+
+    def compare(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        lo, hi = g["lo"].iloc[0], g["hi"].iloc[0]
+        a, b = g[g["block"] == lo], g[g["block"] == hi]
+        fold = {k: np.frombuffer(b"".join(x["fold"]), np.uint64).reshape(-1, FOLD) for k, x in (("a", a), ("b", b))}
+        for k in range(0, len(a), 64):
+            part = a.iloc[k : k + 64]
+            apart = np.bitwise_count(fold["a"][k : k + 64, None, :] ^ fold["b"][None, :, :]).sum(2)
+            limit = most_apart(part["size"].to_numpy()[:, None] + b["size"].to_numpy()[None, :], percent)
+            near = (apart <= limit) & (part["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :])
+            x, y = np.nonzero(near)
+            yield part["node"].to_numpy()[x], b["node"].to_numpy()[y]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pd.DataFrame] = []
+
+        def out(table: pd.DataFrame) -> pa.RecordBatch:
+            found = [p for _, g in table.groupby(["key", "lo", "hi"], sort=False) for p in compare(g)]
+            u, v = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+        for batch in batches:
+            table = batch.to_pandas()
+            if not len(table):
+                continue
+            names = ["key", "lo", "hi"]
+            last = (table[names] == table[names].iloc[-1]).all(axis=1)
+            if last.all() and held and (held[-1][names].iloc[-1] == table[names].iloc[0]).all():
+                held.append(table)
+                continue
+            yield out(pd.concat([*held, table[~last]]))
+            held = [table[last]]
+        if held:
+            yield out(pd.concat(held))
+
+    return run
+
+
+def _open_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components within each bucket that may be links, without listing all pairs as rows."""
+    w = Window.partitionBy("key")
+    b = buckets.withColumn("blocks", F.ceil(F.count("*").over(w) / BLOCK).cast("long"))
+    b = b.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    b = b.join(sets.select("node", "size", "fold").hint("merge"), "node")
+    b = b.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    b = b.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "size", "fold")
+    b = b.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return map_batches(b, _compare_batches(percent), "u long, v long").distinct()
 
 
-def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, pivot_rounds: int = 3) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: the least doc_id reachable over links, itself included.
 
     Two texts link when 100 * shared shingles >= percent * all shingles of both. Texts without words (null, empty,
     white space) link with nothing. Equal shingle sets are one node, so repeated rows and copies add no pairs.
-    Candidates come from equal sketch segments. In each bucket the members are compared with its most popular member;
-    what the resulting components leave open is compared with further pivots, and after ``pivot_rounds`` of them
-    pair by pair, so no link between components is missed. Rows with equal doc_id count as equal ids.
+    Candidates come from equal sketch segments. In each bucket the members are first compared with its most popular
+    member; where that leaves several components, members of different ones are compared in blocks inside the tasks,
+    which pass on only pairs whose sketches are close, so no link between components is missed. Rows with equal
+    doc_id count as equal ids.
     """
     threshold = percent / 100
     docs = docs.select("doc_id", "text")
@@ -212,27 +301,15 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, pivot_rou
     reps = ids.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = reps.join(weight, "node", "left_semi").select("doc_id").distinct()
     texts = docs.join(wanted, "doc_id", "left_semi")
-    sets = map_batches(texts, _set_batches(words), "node long, set binary").join(weight, "node", "left_semi")
+    sets = map_batches(texts, _set_batches(words), "node long, size long, fold binary, set binary").join(weight, "node", "left_semi")
     sets = stored(sets.dropDuplicates(["node"]), "sets")
-    open_buckets = buckets.join(weight, "node").select("key", "node", "weight")
-    links, done = None, None
-    for turn in range(pivot_rounds + 1):
-        if turn < pivot_rounds:
-            pairs, rest = _pivot_pairs(open_buckets)
-        else:
-            pairs, rest = _all_pairs(open_buckets), None
-        if done is not None:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        found = _links(pairs, sets, percent)
-        links = stored(found if links is None else links.unionByName(found), "found")
+    pairs, rest = _pivot_pairs(buckets.join(weight, "node").select("key", "node", "weight"))
+    links = stored(_links(stored(_near(pairs, sets, percent), "near"), sets, percent), "links")
+    components = stored(connected_components(links), "components")
+    near = stored(_open_pairs(_unsettled(rest, components), sets, percent), "near")
+    if not near.isEmpty():
+        links = stored(links.unionByName(_links(near, sets, percent)), "links")
         components = stored(connected_components(links), "components")
-        if rest is None:
-            break
-        open_buckets = stored(_unsettled(rest, components), "open")
-        if open_buckets.isEmpty():
-            break
     named = ids.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     alone = named.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     linked = named.where("size > 0")
