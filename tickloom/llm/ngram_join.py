@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0
 
 #: 64-bit words of a folded sketch, and members of a bucket that one block of a comparison holds.
 FOLD, BLOCK = 32, 1024
+#: Most ids of candidate texts that are sent to every task of the text scan (16 bytes each).
+SENT_IDS = 1_000_000
 
 
 def _mixed(x: np.ndarray, k: int = 0) -> np.ndarray:
@@ -136,18 +139,21 @@ def most_apart(sizes: np.ndarray, percent: int) -> np.ndarray:
     return (sizes * (100 - percent)) // (100 + percent)
 
 
-def _set_batches(words: int):
+def _node_texts(words: int):
+    """Rows (node, text) to (node, size, fold, text), for texts whose set is the named node."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            rows = zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
+            found = [(node, t, s) for node, t in rows if set_node(s := shingle_set(t, words)) == node]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([set_node(s) for s in sets], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([folded(s).tobytes() for s in sets], pa.binary()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([f[0] for f in found], pa.int64()),
+                    pa.array([len(f[2]) for f in found], pa.int64()),
+                    pa.array([folded(f[2]).tobytes() for f in found], pa.binary()),
+                    pa.array([f[1] for f in found], pa.binary()),
                 ],
-                names=["node", "size", "fold", "set"],
+                names=["node", "size", "fold", "text"],
             )
 
     return run
@@ -169,15 +175,18 @@ def _near_batches(percent: int):
     return run
 
 
-def _verify_batches(percent: int):
-    """Of node pairs with both sets, those with 100 * intersection >= percent * union."""
+def _verify_batches(words: int, percent: int):
+    """Of node pairs with both texts, those with 100 * intersection >= percent * union of their sets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=512)  # a popular node is in many pairs
+        def shingles(text: bytes) -> np.ndarray:
+            return shingle_set(text, words)
+
         for batch in batches:
             keep = []
-            a, b = batch.column("set_u").to_pylist(), batch.column("set_v").to_pylist()
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("text_u").to_pylist(), batch.column("text_v").to_pylist(), strict=True):
+                x, y = shingles(x), shingles(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -192,13 +201,25 @@ def _with_sides(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataF
     return pairs
 
 
-def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    both = _with_sides(pairs, sets, ["size", "fold"])
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    both = _with_sides(pairs, nodes, ["size", "fold"])
     return map_batches(both, _near_batches(percent), "u long, v long")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    return map_batches(_with_sides(pairs, sets, ["set"]), _verify_batches(percent), "u long, v long")
+def _links(pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    return map_batches(_with_sides(pairs, nodes, ["text"]), _verify_batches(words, percent), "u long, v long")
+
+
+def _candidate_texts(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """(node, size, fold, text) of each node of ``reps(node, rep_id)``.
+
+    Few ids are sent to the text scan; more of them are joined by shuffle.
+    """
+    reps = F.broadcast(reps) if reps.limit(SENT_IDS + 1).count() <= SENT_IDS else reps
+    texts = docs.join(reps, F.col("doc_id") == F.col("rep_id")).select("node", "text")
+    nodes = stored(map_batches(texts, _node_texts(words), "node long, size long, fold binary, text binary"), "candidates")
+    repeated = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    return nodes if repeated.isEmpty() else stored(nodes.dropDuplicates(["node"]), "candidates")
 
 
 def _pivot_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -266,12 +287,12 @@ def _compare_batches(percent: int):
     return run
 
 
-def _open_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components within each bucket that may be links, without listing all pairs as rows."""
     w = Window.partitionBy("key")
     b = buckets.withColumn("blocks", F.ceil(F.count("*").over(w) / BLOCK).cast("long"))
     b = b.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    b = b.join(sets.select("node", "size", "fold").hint("merge"), "node")
+    b = b.join(nodes.select("node", "size", "fold").hint("merge"), "node")
     b = b.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     b = b.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "size", "fold")
     b = b.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
@@ -298,17 +319,14 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     ids = map_batches(docs, _node_batches(words), "doc_id long, node long, size long")
     ids = stored(ids, "nodes")
     weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
-    reps = ids.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = reps.join(weight, "node", "left_semi").select("doc_id").distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    sets = map_batches(texts, _set_batches(words), "node long, size long, fold binary, set binary").join(weight, "node", "left_semi")
-    sets = stored(sets.dropDuplicates(["node"]), "sets")
+    reps = ids.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("rep_id"))
+    nodes = _candidate_texts(docs, stored(reps.join(weight, "node", "left_semi"), "reps"), words)
     pairs, rest = _pivot_pairs(buckets.join(weight, "node").select("key", "node", "weight"))
-    links = stored(_links(stored(_near(pairs, sets, percent), "near"), sets, percent), "links")
+    links = stored(_links(stored(_near(pairs, nodes, percent), "near"), nodes, words, percent), "links")
     components = stored(connected_components(links), "components")
-    near = stored(_open_pairs(_unsettled(rest, components), sets, percent), "near")
+    near = stored(_open_pairs(_unsettled(rest, components), nodes, percent), "near")
     if not near.isEmpty():
-        links = stored(links.unionByName(_links(near, sets, percent)), "links")
+        links = stored(links.unionByName(_links(near, nodes, words, percent)), "links")
         components = stored(connected_components(links), "components")
     named = ids.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     alone = named.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
