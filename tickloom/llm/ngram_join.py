@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,8 @@ from tickloom.llm.components import connected_components
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-#: 64-bit words of a folded sketch, and members of a bucket that one block of a comparison holds.
-FOLD, BLOCK = 32, 1024
+#: Least bits of a folded sketch, members of a bucket in one block of a comparison, and words compared at a time.
+LEAST_FOLD, BLOCK, AT_ONCE = 256, 1024, 1 << 21
 #: Most ids of candidate texts that are sent to every task of the text scan (16 bytes each).
 SENT_IDS = 1_000_000
 
@@ -65,29 +66,68 @@ def segment_count(upper_band: int, threshold: float) -> int:
     return int((1 - threshold) / (1 + threshold) * 2 * top + 1e-6) + 1
 
 
-def segments(hashes: np.ndarray, upper_band: int, threshold: float) -> np.ndarray:
-    """The parity sketch for the bands (upper_band - 1, upper_band) as one 64-bit word per segment."""
-    n = segment_count(upper_band, threshold)
+def segment_keys(hashes: np.ndarray, threshold: float) -> np.ndarray:
+    """Bucket keys of one set, for each of its two band pairs."""
+    b = band(len(hashes), threshold)
+    return np.concatenate([pair_keys(hashes, upper, segment_count(upper, threshold)) for upper in (b, b + 1)])
+
+
+def pair_keys(hashes: np.ndarray, upper: int, n: int) -> np.ndarray:
+    """Keys of the ``n`` segments of the sketch for the bands (upper - 1, upper).
+
+    A segment has a bit for each 64-bit hash; the XOR of the hashes of its set bits stands for it. An empty segment
+    says nothing, so its key takes in the segments after it. Around the ring of segments there is a start from which
+    the first l segments of two linked sets differ in fewer than l bits (cycle lemma). From an empty start the key
+    therefore adds the next segment, as it is and without up to as many of its bits as may differ, and goes on while
+    what it holds is still empty. Sets whose keys meet share at least one shingle, or all segments are used up.
+    """
     m = _mixed(hashes, 2)
     where = (m % np.uint64(n)).astype(np.int64)
-    bits = np.uint64(1) << ((m >> np.uint64(32)) & np.uint64(63))
-    out = np.zeros(n, np.uint64)
     order = np.argsort(where, kind="stable")
-    where, bits = where[order], bits[order]
+    where, bits = where[order], _mixed(m, 1)[order]
+    word = np.zeros(n, np.uint64)
     first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-    out[where[first]] = np.bitwise_xor.reduceat(bits, first)
-    return out
-
-
-def segment_keys(hashes: np.ndarray, threshold: float) -> np.ndarray:
-    """Bucket keys of one set: every segment of its two band pairs, hashed with the pair and the position."""
-    keys = []
-    b = band(len(hashes), threshold)
-    for upper in (b, b + 1):
-        s = segments(hashes, upper, threshold)
-        place = np.arange(len(s), dtype=np.uint64) + np.uint64(upper << 40)
-        keys.append(_mixed(_mixed(place) ^ s, 1))
-    return np.concatenate(keys)
+    word[where[first]] = np.bitwise_xor.reduceat(bits, first)
+
+    starts, lengths, held = [np.arange(n)], [np.zeros(n, np.int64)], [word]
+    if n > 1 and len(first) < n:
+        empty = word == 0
+        bare = np.flatnonzero(empty)
+        after = word[(bare + 1) % n]
+        less = empty[(where - 1) % n]  # bits that follow an empty segment, each left out once
+        start, rest = np.r_[bare, (where[less] - 1) % n], np.r_[after, word[where[less]] ^ bits[less]]
+        full = rest != 0
+        starts, lengths, held = [np.flatnonzero(~empty), start[full]], [np.zeros(n - len(bare), np.int64), np.ones(full.sum(), np.int64)], [word[~empty], rest[full]]
+        if not full.all():
+            ends = np.searchsorted(where, np.arange(n + 1)).tolist()
+            used = (np.arange(len(start)) >= len(bare)).astype(int)
+            deep = [(i, *k) for i, u in zip(start[~full].tolist(), used[~full].tolist(), strict=True) for k in _chain(i, u, bits, ends)]
+            deep = np.array(deep, np.uint64).reshape(-1, 3)
+            starts, lengths, held = [*starts, deep[:, 0].astype(np.int64)], [*lengths, deep[:, 1].astype(np.int64)], [*held, deep[:, 2]]
+    place = np.concatenate(starts) + (np.concatenate(lengths) << 32) + (upper << 40)
+    return _mixed(_mixed(place.astype(np.uint64)) ^ np.concatenate(held), 1)
+
+
+def _chain(start: int, used: int, bits: np.ndarray, ends: list[int]) -> Iterator[tuple[int, int]]:
+    """(length, held) of the keys of a start whose next segment is empty or has lost its ``used`` only bit."""
+    n = len(ends) - 1
+    for length in range(2, n):
+        at = (start + length) % n
+        inside = bits[ends[at] : ends[at + 1]].tolist()
+        word = 0
+        for bit in inside:
+            word ^= bit
+        for left_out in range(min(length - used, len(inside) - 1) + 1):
+            for gone in combinations(inside, left_out):
+                held = word
+                for bit in gone:
+                    held ^= bit
+                if held:
+                    yield length, held
+        used += len(inside)
+        if used > length:
+            return
+    yield n, 0
 
 
 def set_node(hashes: np.ndarray) -> int:
@@ -128,39 +168,40 @@ def _sketch_batches(words: int, threshold: float):
 
 
 def folded(hashes: np.ndarray) -> np.ndarray:
-    """A parity sketch of fixed size, to rule out pairs before their sets are compared."""
-    at = (_mixed(hashes, 1) % np.uint64(64 * FOLD)).astype(np.int64)
-    odd = (np.bincount(at, minlength=64 * FOLD) & 1).astype(np.uint8)
+    """A parity sketch to rule out pairs before their sets are compared: the least power of two of bits over the size."""
+    n = max(LEAST_FOLD, 1 << int(len(hashes)).bit_length())
+    at = (_mixed(hashes, 1) % np.uint64(n)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.uint64)
 
 
+def narrowed(folds: np.ndarray, words: int) -> np.ndarray:
+    """Folded sketches, one a row, with their parts laid over each other down to ``words`` 64-bit words."""
+    return np.bitwise_xor.reduce(folds.reshape(len(folds), -1, words), axis=1)
+
+
 def most_apart(sizes: np.ndarray, percent: int) -> np.ndarray:
     """The largest symmetric difference of two linked sets whose sizes add up to ``sizes``."""
     return (sizes * (100 - percent)) // (100 + percent)
 
 
 def _node_texts(words: int):
-    """Rows (node, text) to (node, size, fold, text), for texts whose set is the named node."""
+    """Rows (node, text) to (node, text), for texts whose set is the named node."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
-            found = [(node, t, s) for node, t in rows if set_node(s := shingle_set(t, words)) == node]
+            found = [(node, t) for node, t in rows if set_node(shingle_set(t, words)) == node]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([f[0] for f in found], pa.int64()),
-                    pa.array([len(f[2]) for f in found], pa.int64()),
-                    pa.array([folded(f[2]).tobytes() for f in found], pa.binary()),
-                    pa.array([f[1] for f in found], pa.binary()),
-                ],
-                names=["node", "size", "fold", "text"],
+                [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())],
+                names=["node", "text"],
             )
 
     return run
 
 
-def _folds(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, FOLD)
+def _folds(column: Iterable[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, width // 8)
 
 
 def _near_batches(percent: int):
@@ -168,9 +209,18 @@ def _near_batches(percent: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            apart = np.bitwise_count(_folds(batch.column("fold_u")) ^ _folds(batch.column("fold_v"))).sum(1)
-            sizes = batch.column("size_u").to_numpy() + batch.column("size_v").to_numpy()
-            yield batch.select(["u", "v"]).filter(pa.array(apart <= most_apart(sizes, percent)))
+            table = batch.to_pandas()
+            small, large = table[["size_u", "size_v"]].min(axis=1), table[["size_u", "size_v"]].max(axis=1)
+            table = table[100 * small >= percent * large]
+            kept = []
+            for (x, y), g in table.groupby([table["fold_u"].map(len), table["fold_v"].map(len)]):
+                fold_u, fold_v = (narrowed(_folds(g[c], w), min(x, y) // 8) for c, w in (("fold_u", x), ("fold_v", y)))
+                apart = np.bitwise_count(fold_u ^ fold_v).sum(1, dtype=np.int64)
+                kept.append(g[apart <= most_apart((g["size_u"] + g["size_v"]).to_numpy(), percent)])
+            found = pd.concat(kept) if kept else table
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found["u"].to_numpy(np.int64)), pa.array(found["v"].to_numpy(np.int64))], names=["u", "v"]
+            )
 
     return run
 
@@ -206,20 +256,24 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return map_batches(both, _near_batches(percent), "u long, v long")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    return map_batches(_with_sides(pairs, nodes, ["text"]), _verify_batches(words, percent), "u long, v long")
+def _links(near: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links among the pairs ``near``; only the texts of their nodes are read."""
+    ends = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = _node_table(docs, nodes.join(ends, "node", "left_semi").select("node", "rep_id"), words)
+    return map_batches(_with_sides(near, texts, ["text"]), _verify_batches(words, percent), "u long, v long")
 
 
-def _candidate_texts(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(node, size, fold, text) of each node of ``reps(node, rep_id)``.
+def _node_table(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """(node, text) of each node of ``reps(node, rep_id)``.
 
     Few ids are sent to the text scan; more of them are joined by shuffle.
     """
+    reps = stored(reps, "reps")
     reps = F.broadcast(reps) if reps.limit(SENT_IDS + 1).count() <= SENT_IDS else reps
     texts = docs.join(reps, F.col("doc_id") == F.col("rep_id")).select("node", "text")
-    nodes = stored(map_batches(texts, _node_texts(words), "node long, size long, fold binary, text binary"), "candidates")
-    repeated = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    return nodes if repeated.isEmpty() else stored(nodes.dropDuplicates(["node"]), "candidates")
+    found = stored(map_batches(texts, _node_texts(words), "node long, text binary"), "texts")
+    repeated = found.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    return found if repeated.isEmpty() else stored(found.dropDuplicates(["node"]), "texts")
 
 
 def _pivot_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -252,15 +306,19 @@ def _compare_batches(percent: int):
 
     def compare(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lo, hi = g["lo"].iloc[0], g["hi"].iloc[0]
-        a, b = g[g["block"] == lo], g[g["block"] == hi]
-        fold = {k: np.frombuffer(b"".join(x["fold"]), np.uint64).reshape(-1, FOLD) for k, x in (("a", a), ("b", b))}
-        for k in range(0, len(a), 64):
-            part = a.iloc[k : k + 64]
-            apart = np.bitwise_count(fold["a"][k : k + 64, None, :] ^ fold["b"][None, :, :]).sum(2)
-            limit = most_apart(part["size"].to_numpy()[:, None] + b["size"].to_numpy()[None, :], percent)
-            near = (apart <= limit) & (part["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :])
-            x, y = np.nonzero(near)
-            yield part["node"].to_numpy()[x], b["node"].to_numpy()[y]
+        sides = [[x for _, x in side.groupby(side["fold"].map(len))] for side in (g[g["block"] == lo], g[g["block"] == hi])]
+        for a, b in product(*sides):
+            wide = len(a["fold"].iloc[0]), len(b["fold"].iloc[0])
+            words = min(wide) // 8
+            fold_a, fold_b = (narrowed(_folds(x["fold"], w), words) for x, w in zip((a, b), wide, strict=True))
+            rows = max(1, AT_ONCE // (len(b) * words))
+            for k in range(0, len(a), rows):
+                part = a.iloc[k : k + rows]
+                apart = np.bitwise_count(fold_a[k : k + rows, None, :] ^ fold_b[None, :, :]).sum(2, dtype=np.int64)
+                limit = most_apart(part["size"].to_numpy()[:, None] + b["size"].to_numpy()[None, :], percent)
+                near = (apart <= limit) & (part["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :])
+                x, y = np.nonzero(near)
+                yield part["node"].to_numpy()[x], b["node"].to_numpy()[y]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
@@ -316,19 +374,19 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     shared = keyed.dropDuplicates(["key", "node"])
     w = Window.partitionBy("key")
     buckets = stored(shared.withColumn("n", F.count("*").over(w)).where("n > 1").select("key", "node", "n"), "buckets")
-    ids = map_batches(docs, _node_batches(words), "doc_id long, node long, size long")
+    ids = map_batches(docs, _node_batches(words), "doc_id long, node long, size long, fold binary")
     ids = stored(ids, "nodes")
     weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
-    reps = ids.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("rep_id"))
-    nodes = _candidate_texts(docs, stored(reps.join(weight, "node", "left_semi"), "reps"), words)
+    reps = ids.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.first("size").alias("size"), F.first("fold").alias("fold"))
+    nodes = stored(reps.join(weight, "node", "left_semi"), "candidates")
     pairs, rest = _pivot_pairs(buckets.join(weight, "node").select("key", "node", "weight"))
-    links = stored(_links(stored(_near(pairs, nodes, percent), "near"), nodes, words, percent), "links")
+    links = stored(_links(stored(_near(pairs, nodes, percent), "near"), docs, nodes, words, percent), "links")
     components = stored(connected_components(links), "components")
     near = stored(_open_pairs(_unsettled(rest, components), nodes, percent), "near")
     if not near.isEmpty():
-        links = stored(links.unionByName(_links(near, nodes, words, percent)), "links")
+        links = stored(links.unionByName(_links(near, docs, nodes, words, percent)), "links")
         components = stored(connected_components(links), "components")
-    named = ids.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = ids.drop("fold").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     alone = named.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     linked = named.where("size > 0")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -346,8 +404,9 @@ def _node_batches(words: int):
                     batch.column("doc_id"),
                     pa.array([set_node(s) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([folded(s).tobytes() for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "node", "size"],
+                names=["doc_id", "node", "size", "fold"],
             )
 
     return run
