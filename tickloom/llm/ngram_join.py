@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import combinations, product
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -25,8 +25,8 @@ from tickloom.llm.components import connected_components
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-#: Least bits of a folded sketch, members of a bucket in one block of a comparison, and words compared at a time.
-LEAST_FOLD, BLOCK, AT_ONCE = 256, 1024, 1 << 21
+#: Least bits of a folded sketch, members of a bucket in one block of a comparison, and pairs or words at a time.
+LEAST_FOLD, BLOCK, AT_ONCE = 256, 1024, 1 << 19
 #: Most ids of candidate texts that are sent to every task of the text scan (16 bytes each).
 SENT_IDS = 1_000_000
 
@@ -298,49 +298,90 @@ def _unsettled(buckets: DataFrame, components: DataFrame) -> DataFrame:
     return named.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <> _hi").drop("_lo", "_hi")
 
 
+def _close(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, folds: list[bytes], percent: int) -> np.ndarray:
+    """For rows x and y, pair by pair, whether the folded sketches are close enough for a link."""
+    wide = np.array([len(f) for f in folds])
+    out = np.zeros(len(x), bool)
+    classes = wide[x] * (1 << 32) + wide[y]
+    held = {w: (_folds([f for f in folds if len(f) == w], w), np.cumsum(wide == w) - 1) for w in np.unique(wide).tolist()}
+    for c in np.unique(classes).tolist():
+        of = np.flatnonzero(classes == c)
+        (fold_x, at_x), (fold_y, at_y) = held[c >> 32], held[c & 0xFFFFFFFF]
+        words = min(c >> 32, c & 0xFFFFFFFF) // 8
+        fold_x, fold_y = narrowed(fold_x, words), narrowed(fold_y, words)
+        for k in range(0, len(of), step := max(1, AT_ONCE // words)):
+            i, j = x[of[k : k + step]], y[of[k : k + step]]
+            apart = np.bitwise_count(fold_x[at_x[i]] ^ fold_y[at_y[j]]).sum(1, dtype=np.int64)
+            out[of[k : k + step]] = apart <= most_apart(sizes[i] + sizes[j], percent)
+    return out
+
+
 def _compare_batches(percent: int):
     """Rows sorted by (key, lo, hi) to the pairs of different components whose folded sketches are close enough.
 
     One group holds the members of two blocks of a bucket, so it is bounded; a group may go over several batches.
+    Pairs are made a bounded number at a time, and a pair that several buckets of such a portion have is compared once.
     """
 
-    def compare(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        lo, hi = g["lo"].iloc[0], g["hi"].iloc[0]
-        sides = [[x for _, x in side.groupby(side["fold"].map(len))] for side in (g[g["block"] == lo], g[g["block"] == hi])]
-        for a, b in product(*sides):
-            wide = len(a["fold"].iloc[0]), len(b["fold"].iloc[0])
-            words = min(wide) // 8
-            fold_a, fold_b = (narrowed(_folds(x["fold"], w), words) for x, w in zip((a, b), wide, strict=True))
-            rows = max(1, AT_ONCE // (len(b) * words))
-            for k in range(0, len(a), rows):
-                part = a.iloc[k : k + rows]
-                apart = np.bitwise_count(fold_a[k : k + rows, None, :] ^ fold_b[None, :, :]).sum(2, dtype=np.int64)
-                limit = most_apart(part["size"].to_numpy()[:, None] + b["size"].to_numpy()[None, :], percent)
-                near = (apart <= limit) & (part["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :])
-                x, y = np.nonzero(near)
-                yield part["node"].to_numpy()[x], b["node"].to_numpy()[y]
+    def pairs(lo: np.ndarray, hi: np.ndarray, block: np.ndarray, starts: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row numbers of all pairs of each group, in portions."""
+        held, n = [], 0
+        for begin, end in zip(starts[:-1], starts[1:], strict=True):
+            if lo[begin] == hi[begin]:
+                a = b = np.arange(begin, end)
+            else:
+                rows = np.arange(begin, end)
+                a, b = rows[block[begin:end] == lo[begin]], rows[block[begin:end] == hi[begin]]
+            for k in range(0, len(a), step := max(1, AT_ONCE // max(1, len(b)))):
+                part = a[k : k + step]
+                held.append((np.repeat(part, len(b)), np.tile(b, len(part))))
+                n += len(held[-1][0])
+                if n >= AT_ONCE:
+                    yield tuple(np.concatenate(h) for h in zip(*held, strict=True))
+                    held, n = [], 0
+        if held:
+            yield tuple(np.concatenate(h) for h in zip(*held, strict=True))
+
+    def compare(table: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+        column = {c: table[c].to_numpy() for c in ("key", "lo", "hi", "block", "node", "component", "size")}
+        new = np.zeros(len(table), bool)
+        new[0] = True
+        for c in ("key", "lo", "hi"):
+            new[1:] |= column[c][1:] != column[c][:-1]
+        starts = [*np.flatnonzero(new).tolist(), len(table)]
+        node, size, component = column["node"], column["size"], column["component"]
+        folds = table["fold"].tolist()
+        for x, y in pairs(column["lo"], column["hi"], column["block"], starts):
+            small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+            keep = (component[x] != component[y]) & (100 * small >= percent * large)
+            x, y = x[keep], y[keep]
+            swap = node[x] < node[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            order = np.lexsort((node[y], node[x]))
+            x, y = x[order], y[order]
+            if len(x):
+                once = np.r_[True, (node[x[1:]] != node[x[:-1]]) | (node[y[1:]] != node[y[:-1]])]
+                x, y = x[once], y[once]
+                near = _close(x, y, size, folds, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(node[x[near]]), pa.array(node[y[near]])], names=["u", "v"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
-
-        def out(table: pd.DataFrame) -> pa.RecordBatch:
-            found = [p for _, g in table.groupby(["key", "lo", "hi"], sort=False) for p in compare(g)]
-            u, v = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
-
+        names = ["key", "lo", "hi"]
         for batch in batches:
             table = batch.to_pandas()
             if not len(table):
                 continue
-            names = ["key", "lo", "hi"]
             last = (table[names] == table[names].iloc[-1]).all(axis=1)
             if last.all() and held and (held[-1][names].iloc[-1] == table[names].iloc[0]).all():
                 held.append(table)
                 continue
-            yield out(pd.concat([*held, table[~last]]))
+            whole = pd.concat([*held, table[~last]])
+            if len(whole):
+                yield from compare(whole)
             held = [table[last]]
         if held:
-            yield out(pd.concat(held))
+            yield from compare(pd.concat(held))
 
     return run
 
