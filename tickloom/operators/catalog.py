@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions import names
+
 
 def prefixed_code(number: Column) -> Column:
     """Bare A-share number to a code with its exchange: 5, 6, 9 Shanghai; 0 to 3 Shenzhen; 4, 8 Beijing; else null."""
@@ -66,6 +68,8 @@ class CatalogFilter:
     exclude_exchanges: list[str] = field(default_factory=list)
     include_markets: list[str] = field(default_factory=list)
     exclude_markets: list[str] = field(default_factory=list)
+    include_funds: list[str] = field(default_factory=list)
+    exclude_funds: list[str] = field(default_factory=list)
     include_prefixes: list[str] = field(default_factory=list)
     exclude_prefixes: list[str] = field(default_factory=list)
     include_regex: list[str] = field(default_factory=list)
@@ -103,16 +107,22 @@ def _any(conditions: list[Column]) -> Column:
 def filter_condition(spec: CatalogFilter) -> Column:
     """The filter as one condition, which Spark can push into the scan."""
     yes = F.lit(True)
+    no = F.lit(False)
     symbol = F.upper("symbol")
-    for column, keep, drop in (
-        (symbol, spec.include_symbols, spec.exclude_symbols),
-        (F.upper("exchange"), spec.include_exchanges, spec.exclude_exchanges),
-        (F.upper("market_category"), spec.include_markets, spec.exclude_markets),
+    if spec.include_symbols:
+        yes = yes & F.coalesce(symbol.isin([x.upper() for x in spec.include_symbols]), no)
+    if spec.exclude_symbols:
+        yes = yes & ~F.coalesce(symbol.isin([x.upper() for x in spec.exclude_symbols]), no)
+    for name, code, shown, keep, drop in (
+        ("exchange", names.exchange_code, names.exchange_name, spec.include_exchanges, spec.exclude_exchanges),
+        ("market_category", names.market_code, names.market_name, spec.include_markets, spec.exclude_markets),
+        ("fund_category", names.fund_code, names.fund_name, spec.include_funds, spec.exclude_funds),
     ):
-        if keep:
-            yes = yes & F.coalesce(column.isin([x.upper() for x in keep]), F.lit(False))
-        if drop:
-            yes = yes & ~F.coalesce(column.isin([x.upper() for x in drop]), F.lit(False))
+        for values, wanted in ((keep, True), (drop, False)):
+            if values:
+                asked = [code(F.lit(v)) for v in values]  # folded by the optimizer
+                hit = F.coalesce(code(F.col(name)).isin(*asked), no) | F.coalesce(shown(F.col(name)).isin(*asked), no)
+                yes = yes & (hit if wanted else ~hit)
     if spec.include_prefixes:
         yes = yes & _any([symbol.startswith(p.upper()) for p in spec.include_prefixes])
     if spec.exclude_prefixes:
@@ -143,6 +153,26 @@ def facets(catalog: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
+def facets_shown(catalog: DataFrame) -> DataFrame:
+    """(facet, value, shown, n): the values of exchange, market and fund category with their display names."""
+    f = facets(catalog, ["exchange", "market_category", "fund_category"])
+    v = F.col("value")
+    shown = F.when(F.col("facet") == "exchange", names.exchange_name(v)).when(F.col("facet") == "market_category", names.market_name(v))
+    return f.withColumn("shown", F.coalesce(shown.otherwise(names.fund_name(v)), v))
+
+
+def counts(catalog: DataFrame, by: list[str]) -> DataFrame:
+    """Rows in all, exchange-traded funds, and the others."""
+    etf = F.count_if(F.coalesce("is_etf", F.lit(False)))
+    return catalog.groupBy(*by).agg(F.count("*").alias("total"), etf.alias("etfs"), (F.count("*") - etf).alias("others"))
+
+
+def safe_symbol(symbol: Column) -> Column:
+    """Whether a symbol may be part of a path: at most 128 allowed characters and no two dots in a row."""
+    s = F.trim(symbol)
+    return F.coalesce(s.rlike(r"^[A-Za-z0-9._+=#@$%&^-]{1,128}$") & ~F.contains(s, F.lit("..")), F.lit(False))
+
+
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:
     """(symbol, status): symbols added to and removed from a catalog."""
     o, n = old.select("symbol").distinct(), new.select("symbol").distinct()

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.catalog import safe_symbol
+
 #: Price adjustments a task may name. Fixed values.
 ADJUSTMENTS = ["auto", "none", "back", "forward"]
+REQUEST_ADJUSTMENTS = ["auto", "back", "forward", "none", "backward", "front"]
 DATES = "yyyy-MM-dd"
 
 
@@ -35,3 +38,24 @@ def validate(rows: DataFrame, default_start: str, default_end: str) -> DataFrame
             "asset_type": F.coalesce(_blank("asset_type"), F.lit("stock")),
         }
     ).drop("_s", "_e")
+
+
+def validate_requests(requests: DataFrame, ashare: str = "ashare") -> DataFrame:
+    """Requests (symbol, interval, start, end, adjust, asset_type as text) with the first fault of each, null where there is none.
+
+    Symbols must be safe, intervals a positive number and a unit, dates parse and be in order; adjustments other than auto and none
+    are for A-shares only.
+    """
+    start, end = (F.try_to_timestamp(F.trim(F.col(c)), F.lit(DATES)).cast("date") for c in ("start", "end"))
+    interval, adjust = F.lower(F.trim("interval")), F.coalesce(F.lower(_blank("adjust")), F.lit("auto"))
+    count = F.regexp_extract(interval, r"^(\d+)(d|wk|w|mo|m|h|y|s)$", 1).try_cast("long")
+    no = F.lit(False)
+    fault = (
+        F.when(~safe_symbol(F.col("symbol")), "symbol")
+        .when(~F.coalesce(count > 0, no), "interval")
+        .when(start.isNull() | end.isNull(), "date")
+        .when(start > end, "start_after_end")
+        .when(~adjust.isin(REQUEST_ADJUSTMENTS), "adjust")
+        .when(~adjust.isin("auto", "none") & ~F.coalesce(F.col("asset_type") == ashare, no), "adjust_not_supported")
+    )
+    return requests.withColumn("fault", fault)

@@ -270,3 +270,6 @@ def validate_ledger(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("string").alias("asset_type"),
     )
     return ledger.validate(rows, "2020-01-01", "2021-01-01")
+
+
+from tickloom.plans import catalog_queries, window_queries  # noqa: E402, F401  these add their queries to the same table

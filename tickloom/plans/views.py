@@ -62,3 +62,22 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(s % 3 == 0, True).when(s % 3 == 1, False).alias("is_etf"),
         F.when(s % 4 == 0, True).when(s % 4 == 1, False).alias("is_fund"),
     )
+
+
+def window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as raw rows of hour windows at two intervals, with bad times, bad ranges and infinite volumes set by the event id."""
+    k, v = F.col("event_id"), F.col("value")
+    hour = F.date_trunc("HOUR", "ts").cast(NTZ)
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("symbol"),
+        F.when(k % 5 == 0, "5m").otherwise("1m").alias("interval"),
+        hour.alias("start"),
+        (hour + F.make_dt_interval(F.lit(0), F.lit(1))).alias("end"),
+        k.alias("pos"),
+        F.when(k % 97 == 0, "bad").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("datetime"),
+        v.alias("open"),
+        F.when(k % 89 == 0, v - 5).otherwise(v + 1).alias("high"),
+        (v - 1).alias("low"),
+        F.when(k % 3 != 0, v).alias("close"),
+        F.when(k % 101 == 0, "Infinity").when(k % 7 != 0, "1").alias("volume"),
+    )
