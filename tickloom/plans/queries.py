@@ -272,4 +272,4 @@ def validate_ledger(spark: SparkSession, d: str) -> DataFrame:
     return ledger.validate(rows, "2020-01-01", "2021-01-01")
 
 
-from tickloom.plans import catalog_queries, window_queries  # noqa: E402, F401  these add their queries to the same table
+from tickloom.plans import catalog_queries, listing_queries, window_queries  # noqa: E402, F401  these add their queries to the same table
