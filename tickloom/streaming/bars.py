@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tickloom.functions.timefn import NTZ, session_close
 from tickloom.operators.store import upsert
 
 
@@ -29,6 +30,23 @@ def stream_bars(ticks: DataFrame, minutes: int, delay: str = "1 hour") -> DataFr
     return bars.select("symbol", F.col("window.start").alias("datetime"), "open", "high", "low", "close", "volume")
 
 
+def stream_daily(ticks: DataFrame, delay: str = "1 hour", zone: str = "America/New_York", close_hour: int = 17) -> DataFrame:
+    """Session bars over a tick stream, labelled by their close; the Spark session's time zone must be UTC.
+
+    The watermark is on the label, so a session is emitted when a later session's ticks have moved it past the label.
+    """
+    at = F.struct("ts", "seq")
+    label = session_close(F.col("ts").cast(NTZ), zone, close_hour).cast("timestamp")
+    bars = ticks.withColumn("datetime", label).withWatermark("datetime", delay).groupBy("symbol", "datetime")
+    return bars.agg(
+        F.min_by("price", at).alias("open"),
+        F.max("price").alias("high"),
+        F.min("price").alias("low"),
+        F.max_by("price", at).alias("close"),
+        F.sum("volume").alias("volume"),
+    ).select("symbol", "datetime", "open", "high", "low", "close", "volume")
+
+
 def stream_upsert(landing: DataFrame, path: str, checkpoint: str, key: list[str]) -> StreamingQuery:
     """Merge each batch of new files into the Parquet table at path: versions are written side by side and the newest
     one named in the batch's folder is the table."""
