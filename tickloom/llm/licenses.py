@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import documents
 
-#: Known licence sentences, normalised: lower case, runs of other characters than letters and digits as one blank.
-#: Fixed values.
+#: Known licence sentences of one line, normalised: lower case, runs of other characters than letters and digits as one
+#: blank. The SQL knows these only. Fixed values.
 SENTENCES = {
     "apache2-grant": "licensed under the apache license version 2 0",
     "apache2-grant-the": "licensed under the apache license version 2 0 the license",
@@ -31,7 +31,57 @@ SENTENCES = {
     "bsd-redistribute": "redistribution and use in source and binary forms with or without modification are permitted",
     "reserved": "all rights reserved",
 }
-#: Rules: a licence and the identifiers that make it, in order. Fixed values.
+#: The full sentences of the standard notices and their usual variants, normalised: ``*`` stands for one to twelve words,
+#: ``|`` for a blank line that may be there. Fixed values.
+_FSF = "{} is free software you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation {}"
+_THINGS = ("this program", "this library", "this file", "this software", "*")
+_MIT_GRANT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+    "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+)
+_MIT_NOTICE = "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+_MIT_NOTICE_2 = _MIT_NOTICE.replace("permission notice", "permission notice including the next paragraph")
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+
+
+def _fsf(licence: str, version: str, later: bool = True) -> tuple[str, ...]:
+    tail = f"either version {version} of the license or at your option any later version" if later else f"version {version} of the license"
+    kinds = [_FSF.format(thing, licence, tail) for thing in _THINGS]
+    if not later:
+        kinds += [k.replace(f" {tail}", "").replace(f"gnu {licence}", f"gnu {licence} version {version}") for k in kinds]
+    return tuple(kinds)
+
+
+STANDARD = {
+    "apache2-grant-comply": ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",),
+    "apache2-obtain": tuple(
+        f"you may obtain a copy of the license {at}|{scheme} www apache org licenses license 2 0{end}"
+        for at in ("at", "from") for scheme in ("http", "https") for end in ("", " html", " txt")
+    ),
+    "mit-grant": (_MIT_GRANT, f"{_MIT_GRANT} {_MIT_NOTICE}", f"{_MIT_GRANT} {_MIT_NOTICE_2}"),
+    "gpl2-later": _fsf("general public license", "2"),
+    "gpl3-later": _fsf("general public license", "3"),
+    "gpl2-only": _fsf("general public license", "2", later=False),
+    "gpl3-only": _fsf("general public license", "3", later=False),
+    "lgpl21-later": _fsf("lesser general public license", "2 1"),
+    "lgpl3-later": _fsf("lesser general public license", "3"),
+    "agpl3-later": _fsf("affero general public license", "3"),
+    "gpl-warranty": tuple(
+        f"{thing} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+        for thing in _THINGS
+    ),
+    "cc0": (
+        "to the extent possible under law * has waived all copyright and related or neighboring rights to *",
+        "to the extent possible under law * have waived all copyright and related or neighboring rights to *",
+        "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to * to the public domain worldwide",
+    ),
+    "bsd-redistribute": (_BSD, f"{_BSD} 1", f"{_BSD} {_BSD_SOURCE}"),
+}
+#: Sentence to identifier.
+KNOWN = {s: name for name, s in SENTENCES.items()} | {s: name for name, all_ in STANDARD.items() for s in all_}
+#: Rules: a licence and the identifiers that make it, in order. The SQL knows the first ones only. Fixed values.
 RULES = (
     ("Apache-2.0", ("apache2-grant-the", "apache2-comply", "apache2-obtain")),
     ("GPL-2.0-or-later", ("gpl-redistribute", "gpl-warranty")),
@@ -49,36 +99,64 @@ RULES = (
     ("BSD", ("bsd-redistribute",)),
     ("proprietary", ("reserved",)),
 )
-#: Sentences end at a line's end, or at a full stop, question or exclamation mark before white space.
+STANDARD_RULES = (
+    ("Apache-2.0", ("apache2-grant-comply", "apache2-obtain")),
+    ("Apache-2.0", ("apache2-grant-comply",)),
+    ("BSD", ("reserved", "bsd-redistribute")),
+    ("MIT", ("reserved", "mit-grant")),
+    *[
+        (licence, ids)
+        for name, licence in (
+            ("gpl2-later", "GPL-2.0-or-later"), ("gpl3-later", "GPL-3.0-or-later"), ("gpl2-only", "GPL-2.0-only"), ("gpl3-only", "GPL-3.0-only"),
+            ("lgpl21-later", "LGPL-2.1-or-later"), ("lgpl3-later", "LGPL-3.0-or-later"), ("agpl3-later", "AGPL-3.0-or-later"),
+        )
+        for ids in ((name, "gpl-warranty"), (name,))
+    ],
+)
+#: The SQL's cut: at a line's end, or at a full stop, question or exclamation mark before white space.
 SENTENCE_END = r"[.!?]+[ \t]+|[.!?]*[ \t]*[\r\n]+"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
-def sentences(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
+def _lengths(known: dict[str, str]) -> tuple[int, int]:
+    sizes = [len(s) for s in known.values()]
+    return min(sizes), 2 * max(sizes)
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), OTHER, " "))
+def marked(text: Column) -> Column:
+    """The text normalised, but each line's end as a line feed and each sentence's end as two or more."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\r\n?", "\n")
+    t = F.regexp_replace(t, r"(?<![.!?])[.!?]++(?=[ \t\n]|$)", "\n\n")
+    t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
+    return F.regexp_replace(t, r" ?\n ?", "\n")
 
 
-def _lengths(known: dict[str, str]) -> tuple[int, int]:
-    sizes = [len(s) for s in known.values()]
-    return min(sizes), 2 * max(sizes)
+def _pattern(sentence: str) -> str:
+    """Regular expression of a known sentence in a marked text: its words may be wrapped, by single line feeds."""
+    some = r"[^ \n]++(?:[ \n][^ \n]++){0,11}?"
+    return sentence.replace(" ", r"[ \n]").replace("|", r"(?: |\n+)").replace("*", some)
 
 
-def identifiers(text: Column, known: dict[str, str]) -> Column:
+def identifiers(text: Column, known: dict[str, str] = KNOWN) -> Column:
     """Array of the identifiers of the text's known sentences, in order.
 
-    Sentences shorter than every known one, or more than twice as long as the longest, are not even normalised.
+    A sentence starts at a line's start or after a sentence's end, and ends likewise; it may run over several lines,
+    with comment marks before them. Where several known sentences fit, the longest counts. ``known`` maps sentences
+    to identifiers.
     """
-    near = F.filter(sentences(text), lambda s: F.length(s).between(*_lengths(known)))
-    found = F.filter(F.transform(near, normalised), lambda s: s.isin(list(known.values())))
-    table = F.create_map(*[F.lit(x) for name, sentence in known.items() for x in (sentence, name)])
-    return F.transform(found, lambda s: table[s])
+    order = sorted(known, key=lambda s: (-len(s), s))
+    one = rf"(?:^ ?|\n)({'|'.join(_pattern(s) for s in order)})(?=\n| ?\z)"
+    found = F.transform(F.regexp_extract_all(marked(text), F.lit(one), F.lit(1)), lambda s: F.regexp_replace(s, r"[ \n]+", " "))
+    plain = {s.replace("|", " "): name for s, name in known.items() if "*" not in s}
+    table = F.create_map(*[F.lit(x) for pair in plain.items() for x in pair])
+
+    def name(s: Column) -> Column:
+        return F.coalesce(table[s], *[F.when(s.rlike(f"^{_pattern(k)}$"), F.lit(known[k])) for k in order if "*" in k])
+
+    return F.transform(found, name)
 
 
-def match_rules(ids: Column, rules=RULES) -> Column:
+def match_rules(ids: Column, rules=RULES + STANDARD_RULES) -> Column:
     """Array of (rule, licence) structs of the rules that the identifier sequence holds, longest rules first.
 
     An identifier serves one rule only: what a rule has matched no longer counts for those after it.
@@ -100,7 +178,7 @@ def match_rules(ids: Column, rules=RULES) -> Column:
     return F.aggregate(table, state, step, lambda acc: acc["hits"])
 
 
-def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, known: dict[str, str] = KNOWN, rules=RULES + STANDARD_RULES) -> DataFrame:
     """(doc_id, sentence_ids, hits) for each row; null and empty texts have no sentences. Repeated rows stay apart."""
     d = docs.select("doc_id", identifiers(F.col("text"), known).alias("sentence_ids"))
     none = F.array().cast("array<struct<rule:int,licence:string>>")
