@@ -1,26 +1,38 @@
 """A class-based bigram language model (Brown et al.): exchange clustering and smoothed scores.
 
-Token counts and class transitions are gathered from all training texts by Spark. Clustering works on a bounded number
-of units: the most frequent tokens each by itself, all other tokens by their ending and length. A token's probability
-is that of its class after the class before, times the token's share of its class.
+Token counts and class transitions are gathered from all training texts by Spark. Every token of the training texts gets
+a class by exchange: the most frequent ones first, with the others by their ending, on the driver; then all others each
+by itself, in rounds on Spark in which a task moves its own tokens against the broadcast matrix of class transitions. A
+token's probability is that of its class after the class before, times the token's share of its class.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import documents, id_remainder, map_batches, stored
+from tickloom.llm.common import documents, drop_stored, id_remainder, map_batches, stored
 
-#: Units that are clustered: frequent tokens, and groups of the other tokens by their ending.
+#: Units that the clustering starts from: frequent tokens, and groups of the other tokens by their ending.
 FREQUENT, ENDINGS = 700, 324
+#: Least number of classes; it grows with the cube root of the number of distinct tokens.
 CLASSES = 40
+#: Rounds on Spark at most; they end before that when few tokens move.
+ROUNDS = 4
+#: Token-to-class neighbour pairs that a task counts before it passes the counts on, and pairs meant for one moving task.
+FLUSH_PAIRS, PAIRS_A_TASK = 6_000_000, 1_000_000
+#: Neighbour counts whose gains are looked up, and entries whose gains are worked out at a time.
+SMALL, CHUNK = 8, 20_000
+#: Bytes of text whose tokens are held as objects at a time.
+PIECE = 1 << 20
 #: Tokens whose counts every scoring task holds (a bounded table); counts of the others are joined.
 HELD = 100_000
 #: Distinct tokens that a task counts before it passes the counts on.
@@ -35,7 +47,7 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def ending_group(token: bytes, groups: int) -> int:
-    """Group of a token that is not frequent, by its last three bytes."""
+    """Group of a token by its last three bytes: where clustering starts, and for tokens that training did not see."""
     return zlib.crc32(token[-3:]) % groups
 
 
@@ -58,28 +70,186 @@ def token_counts(train: DataFrame) -> DataFrame:
     return map_batches(train.select("text"), run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(train: DataFrame, frequent: dict[bytes, int], endings: int) -> DataFrame:
-    """(a, b, n): how often unit b follows unit a; a text starts after the end token."""
-    base, end = len(frequent), frequent.get(END, 0)
-    units = base + endings
+def id_bytes(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Binary values that hold the ids of each text: their number, then their bytes by place, compressed."""
+    ids = np.ascontiguousarray(ids, np.int32)
+    codec = pa.Codec("zstd", compression_level=1)
+    out = []
+    for a, b in itertools.pairwise(starts.tolist()):
+        planes = ids[a:b].view(np.uint8).reshape(-1, 4).T.tobytes()
+        out.append((b - a).to_bytes(4, "little") + codec.compress(planes, asbytes=True) if b > a else b"")
+    return pa.array(out, pa.binary())
+
+
+def flat_ids(values: pa.Array) -> np.ndarray:
+    """The ids of all texts of a batch, one after the other."""
+    codec = pa.Codec("zstd")
+    out = [np.empty(0, np.int32)]
+    for v in values.to_pylist():
+        if v:
+            n = int.from_bytes(v[:4], "little")
+            planes = np.frombuffer(codec.decompress(v[4:], 4 * n, asbytes=True), np.uint8)
+            out.append(np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32).ravel())
+    return np.concatenate(out)
+
+
+def transitions(train: DataFrame, label: np.ndarray, k: int, end: int) -> np.ndarray:
+    """k x k matrix: how often a token of label b follows one of label a; a text starts after the end token."""
+    shared = train.sparkSession.sparkContext.broadcast(label)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(units * units, np.int64)
-        memo: dict[bytes, int] = dict(frequent)
+        total = np.zeros(k * k, np.int64)
         for batch in batches:
-            ids: list[int] = []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                for t in tokens(text):
-                    u = memo.get(t)
-                    ids.append(u if u is not None else base + ending_group(t, endings))
-            if ids:
-                x = np.array(ids, np.int64)
-                before = np.r_[np.int64(end), x[:-1]]
-                total += np.bincount(before * units + x, minlength=units * units)
+            x = shared.value[flat_ids(batch.column("ids"))].astype(np.int64)
+            total += np.bincount(np.r_[end, x[:-1]] * k + x, minlength=k * k) if len(x) else 0
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at // units), pa.array(at % units), pa.array(total[at])], names=["a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at // k), pa.array(at % k), pa.array(total[at])], names=["a", "b", "n"])
+
+    found = map_batches(train.select("ids"), run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((k, k))  # at most k squared rows, however large the corpus
+    out[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
+    shared.destroy()
+    return out
+
+
+def xlog(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-12))
 
-    return map_batches(train.select("text"), run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+def likelihood(g: np.ndarray) -> float:
+    return float(xlog(g).sum() - xlog(g.sum(1)).sum() - xlog(g.sum(0)).sum())
+
+
+def best_classes(keys: np.ndarray, n: np.ndarray, cls: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that should move, and their new classes, against the class transitions ``g``.
+
+    ``keys`` are sorted: (token, side, class) as one number, side 0 with the class before the token, 1 with that after.
+    """
+    classes = len(g)
+    around = np.concatenate([g, g.T])
+    logs = xlog(around)
+    small = np.stack([xlog(around + k) - logs for k in range(1, SMALL + 1)])
+    rows, cols = g.sum(1), g.sum(0)
+    margins = {id(x): np.stack([xlog(x + k) - xlog(x) for k in range(4 * SMALL + 1)]) for x in (rows, cols)}
+
+    def margin(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = margins[id(x)][np.minimum(n, 4 * SMALL)]
+        big = np.flatnonzero(n > 4 * SMALL)
+        out[big] = xlog(x + n[big, None]) - xlog(x)
+        return out
+
+    word, at = keys // (2 * classes), keys % (2 * classes)
+    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    ids, targets = [], []
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + CHUNK)))
+        i, j = starts[first], starts[last] if last < len(starts) else len(keys)
+        w, a, m, s = word[starts[first:last]], at[i:j], n[i:j], starts[first:last] - i
+        change = small[np.minimum(m, SMALL) - 1, a]
+        big = np.flatnonzero(m > SMALL)
+        change[big] = xlog(around[a[big]] + m[big, None]) - logs[a[big]]
+        gain = np.add.reduceat(change, s)
+        into = np.add.reduceat(np.where(a < classes, m, 0), s)
+        out = np.add.reduceat(m, s) - into
+        gain -= margin(cols, into)
+        gain -= margin(rows, out)
+        own = cls[w].astype(np.int64)
+        mine = around[a, np.repeat(own, np.diff(np.r_[s, j - i]))]
+        stay = np.add.reduceat(xlog(mine) - xlog(np.maximum(mine - m, 0)), s)
+        stay -= xlog(cols[own]) - xlog(cols[own] - into) + xlog(rows[own]) - xlog(rows[own] - out)
+        gain[:, 0] = -np.inf
+        gain[np.arange(len(w)), own] = stay
+        best = gain.argmax(1)
+        moves = (best != own) & (gain.max(1) > stay + 1e-9)
+        ids.append(w[moves])
+        targets.append(best[moves])
+        first = last
+    return np.concatenate(ids or [np.empty(0, np.int64)]), np.concatenate(targets or [np.empty(0, np.int64)])
+
+
+def moved_tokens(train: DataFrame, cls: np.ndarray, fixed: np.ndarray, end_id: int, g: np.ndarray, n_pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """One exchange round over all tokens that are not fixed: (ids, classes) of those that should move."""
+    classes, parts = len(g), max(8, n_pairs // PAIRS_A_TASK)
+    shared = train.sparkSession.sparkContext.broadcast((cls, fixed, g))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, fixed, _ = shared.value
+
+        def out(keys: list[np.ndarray]) -> pa.RecordBatch:
+            u, n = np.unique(np.concatenate(keys), return_counts=True)
+            part = u // (2 * classes) % parts
+            order = np.argsort(part, kind="stable")
+            u, n = u[order], n[order].astype(np.int32)
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            some = [p for p in range(parts) if cut[p] < cut[p + 1]]
+            pack = lambda x: pa.compress(x.tobytes(), "zstd", asbytes=True)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(some, pa.int32()),
+                    pa.array([int(cut[p + 1] - cut[p]) for p in some], pa.int32()),
+                    pa.array([pack(np.diff(u[cut[p] : cut[p + 1]], prepend=0)) for p in some], pa.binary()),
+                    pa.array([pack(n[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
+                ],
+                names=["part", "size", "steps", "n"],
+            )
+
+        keys, size = [], 0
+        for batch in batches:
+            x = flat_ids(batch.column("ids")).astype(np.int64)
+            if not len(x):
+                continue
+            before, c = np.r_[end_id, x[:-1]], cls[x].astype(np.int64)
+            a, b = ~fixed[x], ~fixed[before]
+            keys += [x[a] * 2 * classes + cls[before[a]], (before[b] * 2 + 1) * classes + c[b]]
+            size += len(keys[-1]) + len(keys[-2])
+            if size > FLUSH_PAIRS:
+                yield out(keys)
+                keys, size = [], 0
+        if size:
+            yield out(keys)
+
+    def move(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, _, g = shared.value
+        keys, ns = [], []
+        for batch in batches:
+            for size, steps, n in zip(*[batch.column(c).to_pylist() for c in ("size", "steps", "n")], strict=True):
+                keys.append(np.cumsum(np.frombuffer(pa.decompress(steps, 8 * size, "zstd"), np.int64)))
+                ns.append(np.frombuffer(pa.decompress(n, 4 * size, "zstd"), np.int32))
+        if keys:
+            k = np.concatenate(keys)
+            order = np.argsort(k, kind="stable")
+            k = k[order]
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            ids, to = best_classes(k[first], np.add.reduceat(np.concatenate(ns)[order].astype(np.int64), first), cls, g)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(to.astype(np.int32))], names=["id", "cls"])
+
+    counted = map_batches(train.select("ids"), count, "part int, size int, steps binary, n binary").repartition(parts, "part")
+    found = map_batches(counted, move, "id int, cls int").toArrow()
+    shared.destroy()
+    return found["id"].to_numpy(), found["cls"].to_numpy()
+
+
+def cluster(train: DataFrame, start: np.ndarray, fixed: np.ndarray, end_id: int, classes: int, n_pairs: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each token, class transitions) after exchange rounds from ``start``; no round lowers the likelihood.
+
+    The tokens of a round move at once. Where that lowers the likelihood, a half and then a quarter of them move.
+    """
+    cls, g = start, transitions(train, start, classes, 0)
+    for _ in range(rounds):
+        ids, to = moved_tokens(train, cls, fixed, end_id, g, n_pairs)
+        better = False
+        for share in (1, 2, 4):
+            some = ids % share == 0
+            tried = cls.copy()
+            tried[ids[some]] = to[some]
+            after = transitions(train, tried, classes, 0) if some.any() else g
+            if better := likelihood(after) > likelihood(g):
+                cls, g = tried, after
+                break
+        if not better or len(ids) < 0.005 * len(cls):
+            break
+    return cls, g
 
 
 def exchange(counts: np.ndarray, classes: int, end: int, rounds: int = 8) -> np.ndarray:
@@ -94,7 +264,6 @@ def exchange(counts: np.ndarray, classes: int, end: int, rounds: int = 8) -> np.
     cls[end] = 0
     for k, u in enumerate(order):
         cls[u] = 1 + k % (classes - 1)
-    xlog = lambda x: x * np.log(np.maximum(x, 1e-12))
     one = np.zeros((n, classes))
     one[np.arange(n), cls] = 1
     to, fro = counts @ one, counts.T @ one  # pairs of a unit with each following and each preceding class
@@ -136,116 +305,217 @@ def exchange(counts: np.ndarray, classes: int, end: int, rounds: int = 8) -> np.
     return cls
 
 
-def _score_batches(held: dict[bytes, tuple[float, int]], classes: list[int], frequent: int, endings: int, step: np.ndarray, base: float):
-    """(doc_id, row, ..., rare, times): sums over each text that need no count of a rare token, and those tokens."""
+CODED = "row long, doc_id long, train boolean, n_tokens long, n_held long, log_count double, ids binary, rare array<binary>, times array<long>, groups binary"
+SEQUENCES = "doc_id long, train boolean, n_tokens long, n_known long, log_count double, ids binary"
+
+
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about PIECE bytes of text, a text at least."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("text").cast(pa.binary())).fill_null(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE, prepend=0))
+        for a, b in itertools.pairwise([0, *cuts[cuts > 0].tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
+def _coded(held, endings: int):
+    """Texts as token ids; a token that is not held is -1 minus its place among the row's ``rare`` tokens, whose ending groups follow."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local: dict[bytes, tuple[float, int]] = dict(held.value)
-        for batch in batches:
-            n_tokens, known, share, chain, rare, times, ends = [], [], [], [], [], [], [0]
+        rank, id_of, log_n = held.value
+        get = rank.get
+        for batch in pieces(batches):
+            flat, starts, rare, times, ends = [], [0], [], [], [0]
             for text in batch.column("text").cast(pa.binary()).to_pylist():
-                log_count, n_known, cls, odd = 0.0, 0, [0], Counter()
-                for t in tokens(text):
-                    hit = local.get(t)
-                    if hit is None:
-                        odd[t] += 1
-                        cls.append(classes[frequent + ending_group(t, endings)])
-                    else:
-                        log_count += hit[0]
-                        cls.append(hit[1])
-                        n_known += 1
-                c = np.array(cls)
-                n_tokens.append(len(c) - 1)
-                known.append(n_known)
-                share.append(log_count)
-                chain.append(float(step[c[:-1], c[1:]].sum()))
-                rare += odd.keys()
-                times += odd.values()
+                ts = tokens(text)
+                r = [get(t, -1) for t in ts]
+                if -1 in r:
+                    odd: dict[bytes, int] = {}
+                    often: Counter = Counter()
+                    for i, k in enumerate(r):
+                        if k < 0:
+                            r[i] = -1 - odd.setdefault(ts[i], len(odd))
+                            often[ts[i]] += 1
+                    rare += odd
+                    times += [often[t] for t in odd]
+                flat += r
+                starts.append(len(flat))
                 ends.append(len(rare))
-            n = np.array(n_tokens, np.int64)
-            at = pa.array(ends, pa.int32())
+            if len(starts) == 1:
+                continue
+            x, s = np.array(flat, np.int64), np.array(starts)
+            ok = x >= 0
+            at = np.maximum(x, 0)
+            logs = np.where(ok, log_n[at], 0.0) if len(log_n) else np.zeros(len(x))
+            ids = np.where(ok, id_of[at], x) if len(id_of) else x
+            e = pa.array(ends, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"),
                     batch.column("doc_id"),
-                    pa.array(n),
-                    pa.array(known, pa.int64()),
-                    pa.array(share, pa.float64()),
-                    pa.array(chain, pa.float64()),
-                    pa.array(-n * base),
-                    pa.ListArray.from_arrays(at, pa.array(rare, pa.binary())),
-                    pa.ListArray.from_arrays(at, pa.array(times, pa.int64())),
+                    batch.column("train"),
+                    pa.array(np.diff(s)),
+                    pa.array(np.add.reduceat(ok.astype(np.int64), s[:-1])),
+                    pa.array(np.add.reduceat(logs, s[:-1])),
+                    id_bytes(ids, s),
+                    pa.ListArray.from_arrays(e, pa.array(rare, pa.binary())),
+                    pa.ListArray.from_arrays(e, pa.array(times, pa.int64())),
+                    id_bytes(np.array([ending_group(t, endings) for t in rare], np.int32), np.array(ends)),
                 ],
-                names=["row", "doc_id", "n_tokens", "n_held", "log_count", "chain", "base", "rare", "times"],
+                names=["row", "doc_id", "train", "n_tokens", "n_held", "log_count", "ids", "rare", "times", "groups"],
+            )
+
+    return run
+
+
+def _filled():
+    """Puts the ids found for rare tokens in their places; an unseen token is -1 minus its ending group."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = lambda name: batch.column(name).value_lengths().fill_null(0).to_numpy()
+            x, lengths = flat_ids(batch.column("ids")), batch.column("n_tokens").to_numpy()
+            table = -1 - flat_ids(batch.column("groups"))
+            first = np.r_[0, np.cumsum(batch.column("n_odd").to_numpy())][:-1]
+            places, ids = batch.column("places").flatten().to_numpy(), batch.column("found").flatten().to_numpy()
+            table[np.repeat(first, size("places")) + places] = ids
+            odd = np.flatnonzero(x < 0)
+            x = x.copy()
+            x[odd] = table[np.repeat(first, lengths)[odd] - 1 - x[odd]]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("doc_id", "train", "n_tokens", "n_known", "log_count")], id_bytes(x, np.r_[0, np.cumsum(lengths)])],
+                names=["doc_id", "train", "n_tokens", "n_known", "log_count", "ids"],
             )
 
     return run
 
 
-SCORED = "row long, doc_id long, n_tokens long, n_held long, log_count double, chain double, base double, rare array<binary>, times array<long>"
+def _chains(shared):
+    """The class chain's log10 probability of each sequence."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, step = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = label[flat_ids(batch.column("ids"))]
+            starts = np.r_[0, np.cumsum(batch.column("n_tokens").to_numpy())][:-1]
+            before = np.r_[0, c[:-1]]
+            before[starts] = 0
+            chain = np.add.reduceat(step[before, c], starts)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in ("doc_id", "n_tokens", "n_known", "log_count")], pa.array(chain)],
+                names=["doc_id", "n_tokens", "n_known", "log_count", "chain"],
+            )
+
+    return run
+
 
+def with_ids(counts: DataFrame) -> DataFrame:
+    """(token, n, id): ids count from 0 without gaps; ``counts`` is stored with m, its monotonic id."""
+    sizes = counts.groupBy(F.shiftright("m", 33).alias("part")).agg(F.count("*").alias("k")).orderBy("part").collect()
+    firsts, at = [], 0
+    for r in sizes:
+        firsts.append((r["part"], at))
+        at += r["k"]
+    first = counts.sparkSession.createDataFrame(firsts, "part long, first long")
+    found = counts.withColumn("part", F.shiftright("m", 33)).join(F.broadcast(first), "part")  # one row a partition
+    return found.select("token", "n", (F.col("first") + F.col("m") % (1 << 33)).cast("int").alias("id"))
 
-def train_and_score(docs: DataFrame, training: Column, classes: int = CLASSES, frequent: int = FREQUENT, endings: int = ENDINGS, held: int = HELD) -> DataFrame:
+
+def sequences(docs: DataFrame, training: Column, counts: DataFrame, held: int, endings: int) -> tuple[DataFrame, list[tuple[bytes, int, int]]]:
+    """(stored texts as token ids, the ``held`` most frequent tokens and the end token as (token, n, id))."""
+    top = counts.orderBy(F.desc("n"), "token").limit(held).toArrow()
+    names = list(zip(top["token"].to_pylist(), top["n"].to_pylist(), top["id"].to_pylist(), strict=True))
+    names += [(bytes(r["token"]), r["n"], r["id"]) for r in counts.where(F.col("token") == F.lit("\n").cast("binary")).collect() if END not in {t for t, _, _ in names}]
+    rank = {t: k for k, (t, _, _) in enumerate(names)}
+    value = rank, np.array([i for _, _, i in names], np.int64), np.log10(np.array([n for _, n, _ in names], float) + 1)
+    shared = docs.sparkSession.sparkContext.broadcast(value)  # at most `held` entries and one
+    rows = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("train")).withColumn("row", F.monotonically_increasing_id())
+    coded = stored(map_batches(rows, _coded(shared, endings), CODED), "coded")
+    rare = coded.select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("place", "x")).select("row", "place", "x.rare", "x.times")
+    found = rare.join(counts.withColumnRenamed("token", "rare"), "rare").groupBy("row").agg(
+        F.sum("times").alias("n_rare"),
+        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("log_rare"),
+        F.collect_list(F.struct("place", "id")).alias("ids_of"),
+    )
+    found = stored(found, "found")  # so that the shuffle files of the join can go before the texts are shuffled
+    full = coded.withColumn("n_odd", F.size("rare")).drop("rare", "times").join(found, "row", "left").select(
+        "doc_id",
+        "train",
+        "n_tokens",
+        (F.col("n_held") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
+        (F.col("log_count") + F.coalesce("log_rare", F.lit(0.0))).alias("log_count"),
+        "ids",
+        "groups",
+        "n_odd",
+        F.coalesce(F.col("ids_of.place"), F.array().cast("array<int>")).alias("places"),
+        F.coalesce(F.col("ids_of.id"), F.array().cast("array<int>")).alias("found"),
+    )
+    out = stored(map_batches(full, _filled(), SEQUENCES), "sequences")
+    drop_stored(coded, found)
+    return out, names
+
+
+def train_and_score(
+    docs: DataFrame, training: Column, classes: int | None = None, frequent: int = FREQUENT, endings: int = ENDINGS, held: int = HELD, rounds: int = ROUNDS
+) -> DataFrame:
     """Base and class-model log10 probabilities of every row's text, learnt from the rows where ``training`` holds.
 
-    Texts are whole; a null text is the end token alone, as the empty one is. Each class gives one place to tokens
-    that training did not see, so unseen tokens have a probability. Without training rows (or in an empty table)
-    every token is unseen. Repeated rows are scored, and counted in training, as often as they occur.
+    Texts are whole; a null text is the end token alone, as the empty one is. Every token that training saw has a class
+    by exchange; one that it did not see has the class that most tokens of its ending group have. Each class gives one
+    place to unseen tokens, so they have a probability. Without training rows (or in an empty table) every token is
+    unseen. Repeated rows are scored, and counted in training, as often as they occur.
     """
-    train = docs.where(training)
-    counts = stored(token_counts(train), "counts")
+    counts = stored(token_counts(docs.where(training)).withColumn("m", F.monotonically_increasing_id()), "counts")
     n_all, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(held).toArrow()
-    names, often = top["token"].to_pylist(), top["n"].to_numpy()
-    leading = [END, *[t for t in names[: frequent + 1] if t != END]][:frequent]
-    unit = {t: k for k, t in enumerate(leading)}
-    units = len(unit) + endings
-    pairs = np.zeros((units, units))
-    found = pair_counts(train, unit, endings).toArrow()  # at most units squared rows, however large the corpus
-    pairs[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
-    cls = exchange(pairs, classes, 0)
-    one = np.eye(classes)[cls]
-    moves = one.T @ pairs @ one
-    smooth = moves.sum(0) + 1  # transitions are smoothed towards the class frequencies
+    classes = classes or max(CLASSES, round(n_distinct ** (1 / 3)))
+    counts = with_ids(counts)
+    texts, names = sequences(docs, training, counts, held, endings)
+    train = texts.where("train")
+
+    def ending(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = [ending_group(bytes(t), endings) for t in batch.column("token").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(group, pa.int16())], names=["id", "ending"])
+
+    group = np.zeros(n_distinct, np.int16)
+    cls, g = np.zeros(0, np.int16), np.zeros((classes, classes))
+    if n_distinct:
+        found = map_batches(counts.select("token", "id"), ending, "id int, ending short").toArrow()  # six bytes a distinct token
+        group[found["id"].to_numpy()] = found["ending"].to_numpy()
+        end_id = next(i for t, _, i in names if t == END)
+        leading = [end_id, *[i for t, _, i in names[: frequent + 1] if t != END]][:frequent]
+        unit = group.astype(np.int32) + len(leading)
+        unit[leading] = np.arange(len(leading))
+        units = len(leading) + endings
+        start = exchange(transitions(train, unit, units, 0), classes, 0)[unit].astype(np.int16)
+        fixed = np.zeros(n_distinct, bool)
+        fixed[leading] = True
+        cls, g = cluster(train, start, fixed, end_id, classes, 2 * n_all, rounds)
+    kinds = np.bincount(group.astype(np.int64) * classes + cls, minlength=endings * classes).reshape(endings, classes)
+    kinds[:, 0] = 0  # the end token's own class
+    usual = max(1, int(kinds.sum(0).argmax()))
+    unseen = np.where(kinds.sum(1) > 0, kinds.argmax(1), usual)
+    smooth = g.sum(0) + 1  # transitions are smoothed towards the class frequencies
     prior = smooth / smooth.sum()
     strength = 20.0
-    step = np.log10((moves + strength * prior) / (moves.sum(1, keepdims=True) + strength))
-    # Tokens and distinct tokens of each class: exact sums over the whole count table.
-    def by_class(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, kinds = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
-        for batch in batches:
-            ts = [bytes(t) for t in batch.column("token").to_pylist()]
-            c = cls[[unit[t] if t in unit else len(unit) + ending_group(t, endings) for t in ts]] if ts else np.empty(0, np.int64)
-            size += np.bincount(c, weights=batch.column("n").to_numpy(), minlength=classes).astype(np.int64)
-            kinds += np.bincount(c, minlength=classes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(size), pa.array(kinds)], names=["c", "size", "kinds"])
-
-    totals = map_batches(counts, by_class, "c long, size long, kinds long").groupBy("c").agg(F.sum("size").alias("size"), F.sum("kinds").alias("kinds"))
-    room = np.ones(classes)
-    for r in totals.collect():
-        room[r["c"]] = r["size"] + r["kinds"] + 1
-    step = step - np.log10(room)[None, :]
-    known = {
-        t: (float(np.log10(n + 1)), int(cls[unit[t] if t in unit else len(unit) + ending_group(t, endings)]))
-        for t, n in zip(names, often, strict=True)
-    }
-    shared = docs.sparkSession.sparkContext.broadcast(known)  # at most `held` entries
-    run = _score_batches(shared, cls.tolist(), len(unit), endings, step, float(np.log10(n_all + n_distinct + 1)))
-    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    scored = stored(map_batches(rows, run, SCORED), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", "x.rare", "x.times")
-    found = rare.join(counts.withColumnRenamed("token", "rare"), "rare")
-    found = found.groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("log_rare"))
-    out = scored.drop("rare", "times").join(found, "row", "left")
-    log_count = F.col("log_count") + F.coalesce("log_rare", F.lit(0.0))
-    return out.select(
+    step = np.log10((g + strength * prior) / (g.sum(1, keepdims=True) + strength))
+    step = step - np.log10(g.sum(0) + np.bincount(cls, minlength=classes) + 1)[None, :]
+    label = np.r_[cls, unseen[::-1]].astype(np.int16)  # -1 minus an ending group counts from the end
+    shared = docs.sparkSession.sparkContext.broadcast((label, step))
+    scored = map_batches(texts.drop("train"), _chains(shared), "doc_id long, n_tokens long, n_known long, log_count double, chain double")
+    score = F.col("chain") + F.col("log_count")
+    return scored.select(
         "doc_id",
         "n_tokens",
-        (F.col("n_held") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + log_count).alias("base_score"),
-        (F.col("chain") + log_count).alias("score"),
-        F.pow(F.lit(10.0), -(F.col("chain") + log_count) / F.col("n_tokens")).alias("perplexity"),
+        (F.col("log_count") - F.col("n_tokens") * F.lit(float(np.log10(n_all + n_distinct + 1)))).alias("base_score"),
+        score.alias("score"),
+        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )
 
 
