@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ TRIED = 32
 FEW_GROUPS = 20_000
 #: Rows that one hash range or one salt of a large group is meant to hold.
 ROWS_A_RANGE = 50_000
+#: Stretches of equal bytes in which the driver sees the first and the last group end, to make the shards even.
+STRETCHES = 1024
 SALTS = 64
 
 
@@ -108,10 +111,54 @@ def smallest_capacity(groups: DataFrame, n_shards: int, tried: int = TRIED, few:
     return high, high_ends
 
 
+def _places(groups: DataFrame, total: int, n_shards: int) -> list[int]:
+    """Group ends to cut at: first and last of each stretch, so both ends of every group longer than a stretch."""
+    stretches = max(STRETCHES, 16 * n_shards)
+    g = groups.select("cum_size", F.expr(f"cast((cum_size - 1) div {-(-total // stretches)} as int)").alias("stretch"))
+    found = g.groupBy("stretch").agg(F.min("cum_size"), F.max("cum_size")).collect()
+    places = {r[1] for r in found} | {r[2] for r in found}
+    if len(found) < n_shards:  # then the groups may be in few stretches
+        nth = F.row_number().over(Window.partitionBy("stretch").orderBy("cum_size"))
+        places |= {r[0] for r in g.withColumn("nth", nth).where(F.col("nth") <= n_shards).select("cum_size").collect()}
+    return sorted(places)
+
+
+def _even(places: list[int], capacity: int, n_shards: int) -> list[int]:
+    """The cuts at ``places`` with the least sum of squared sizes, no shard empty (while there are places) or above the capacity."""
+    at = np.array([0, *places], float)
+    first = np.searchsorted(at, at - capacity)
+    used = min(n_shards, len(places))
+    cost, steps = np.where(at == 0, 0.0, np.inf), []
+    for _ in range(used):
+        new, step = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
+        for i in range(1, len(at)):
+            j = first[i]
+            if j < i:
+                x = cost[j:i] + (at[i] - at[j:i]) ** 2
+                step[i] = j + int(x.argmin())
+                new[i] = x[step[i] - j]
+        cost = new
+        steps.append(step)
+    ends, i = [], len(at) - 1
+    for step in reversed(steps):
+        ends.append(int(at[i]))
+        i = step[i]
+    return ends[::-1] + [places[-1]] * (n_shards - used)
+
+
+def even_ends(groups: DataFrame, capacity: int, ends: list[int], n_shards: int) -> list[int]:
+    """Cuts as even as the groups allow below the capacity; ``ends`` are cuts that keep to it."""
+    total = ends[-1]
+    if not total:
+        return ends
+    return _even(sorted({*_places(groups, total, n_shards), *ends}), capacity, n_shards)
+
+
 def shard_rows(docs: DataFrame, n_shards: int = 8, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for each row, null text as empty; equal texts share a shard.
 
-    The largest shard's bytes are the least that contiguous cuts of the groups in hash order allow. Slots count from
+    The largest shard's bytes are the least that contiguous cuts of the groups in hash order allow, and below that the
+    shards are even, so a large group of copies leaves the other shards no less than their share. Slots count from
     0 in each shard without gaps. Rows of a large group are ranked by salt, so that it needs no task of its own. With
     fewer groups than shards some shards stay empty; an empty table gives an empty result. Equal rows get slots of
     their own.
@@ -131,7 +178,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, rows_a_range: int = ROWS_A_RA
     groups = groups.withColumn("h", F.xxhash64("key"))
     n_ranges = max(16, parts.count() // rows_a_range)
     groups = stored(_running(groups, n_ranges), "groups")
-    _, ends = smallest_capacity(groups, n_shards)
+    ends = even_ends(groups, *smallest_capacity(groups, n_shards), n_shards)
     shard = F.lit(0)
     for e in ends[:-1]:
         shard = shard + F.when(F.col("cum_size") > e, 1).otherwise(0)
