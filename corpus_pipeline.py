@@ -37,7 +37,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The learnt stages and the packing have no SQL; tests hold the pipeline against a brute-force version.
+#: The learnt stages and the packing have no SQL; a test holds the whole run against rows planted for each stage.
 ORACLE_SQL = None
 
 
