@@ -16,9 +16,13 @@ ARROW_BATCH_BYTES = 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one;
+    on a cluster that is an error, as executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -70,19 +74,20 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_batches(
     df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """mapInArrow with batches bounded in bytes as well as rows."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    """mapInArrow with batches bounded in bytes as well as rows; a smaller bound that the session has stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    at_most = conf.get(key)
+    if not at_most.isdigit() or int(at_most) > ARROW_BATCH_BYTES:
+        conf.set(key, str(ARROW_BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
-def sampled_labels(labels: DataFrame, target: str, per_class: int) -> DataFrame:
-    """A bounded training sample: for each value of ``target`` the ``per_class`` rows whose ids hash lowest.
-
-    The bound makes the sample's size independent of the corpus, and the hash order makes it the same on every run.
-    """
-    parts = []
-    for value in (0, 1):
-        rows = labels.where(F.col(target) == value).orderBy(F.xxhash64("doc_id"), "doc_id")
-        parts.append(rows.limit(per_class))
-    return parts[0].unionByName(parts[1])
+def unused_names(columns: Iterable[str], wanted: Iterable[str]) -> list[str]:
+    """The wanted names, with underscores added until no column has them (in any case of its letters)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

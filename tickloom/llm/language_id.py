@@ -12,18 +12,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tickloom.llm.common import documents, id_remainder, map_batches, stored
+from tickloom.llm.common import documents, id_remainder, map_batches, stored, unused_names
 
 #: Hashed character n-grams of 1 to 3 characters.
 BUCKETS, LONGEST = 1 << 14, 3
-#: Training rows of one language at most; the sample does not grow with the corpus.
-ROWS_A_LANGUAGE = 1500
-#: Languages that are learnt at most.
-MAX_LANGUAGES = 500
+#: Training rows of one language, and of all languages, at most; every language keeps some, and the sample does not grow
+#: with the corpus.
+ROWS_A_LANGUAGE, ROWS_IN_ALL, LEAST_A_LANGUAGE = 1500, 20_000, 10
 UNKNOWN = "und"
 
 
@@ -126,14 +125,20 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(tried[int(np.argmin(loss))])
 
 
-def _sample(train: DataFrame, langs: list[str], rows: int) -> DataFrame:
-    """(doc_id, lang) of each language's rows with the lowest id hashes, and a number that orders them."""
-    narrow = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    parts = [narrow.where(F.col("lang") == v).orderBy("h", "doc_id").limit(rows) for v in langs]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.dropDuplicates(["doc_id"])
+def _sample(train: DataFrame, counts: dict[str, int], rows: int) -> DataFrame:
+    """(doc_id, lang, h) of each language's rows with the lowest id hashes h.
+
+    Only rows whose hash is low enough for their language's size are shuffled, about three times as many as are kept,
+    so a language with most of the rows weighs no more than others. Rows of one doc_id count once, with the language
+    first in the alphabet.
+    """
+    shares = [(lang, min(2**63 - 1, (2**63 - 1) * (3 * rows + 100) // n)) for lang, n in counts.items()]
+    shares = train.sparkSession.createDataFrame(shares, "lang string, below long")  # one row a language
+    narrow = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(shares), "lang")
+    narrow = narrow.where(F.shiftrightunsigned("h", 1) <= F.col("below"))
+    narrow = narrow.groupBy("doc_id").agg(F.min(F.struct("lang", "h")).alias("x")).select("doc_id", "x.*")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return narrow.withColumn("nth", nth).where(F.col("nth") <= rows).drop("nth")
 
 
 def fit(docs: DataFrame, training: Column, rows: int = ROWS_A_LANGUAGE, epochs: int = 2):
@@ -142,10 +147,12 @@ def fit(docs: DataFrame, training: Column, rows: int = ROWS_A_LANGUAGE, epochs:
     None if no such row has a language and a letter.
     """
     labelled = docs.where(training).where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    langs = sorted(r[0] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang").collect())
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    langs = sorted(counts)
     if not langs:
         return None
-    chosen = stored(_sample(labelled, langs, rows), "sample").withColumnRenamed("lang", "lang_y")
+    rows = min(rows, max(LEAST_A_LANGUAGE, ROWS_IN_ALL // len(langs)))
+    chosen = stored(_sample(labelled, counts, rows), "sample").withColumnRenamed("lang", "lang_y")
     n_docs, df = document_frequencies(docs.where(training))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,22 +173,29 @@ def fit(docs: DataFrame, training: Column, rows: int = ROWS_A_LANGUAGE, epochs:
     got = map_batches(sample, run, "h long, lang string, at binary, n binary").where("at is not null").orderBy("h", "lang").toArrow()
     idf = np.log((1 + n_docs) / (1 + df)) + 0.1
     number = {v: k for k, v in enumerate(langs)}
-    examples = []
-    for lang, at, n in zip(got["lang"].to_pylist(), got["at"].to_pylist(), got["n"].to_pylist(), strict=True):
-        at, n = np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(n, np.uint32)
-        x = (1 + np.log(n)) * idf[at]
-        examples.append((at, x / max(1e-12, np.sqrt((x * x).sum())), number[lang]))
-    if not examples:
+    size = len(got)
+    if not size:
         return None
+    y = np.array([number[v] for v in got["lang"].to_pylist()])
+    ends = np.cumsum([0, *(len(a) // 2 for a in got["at"].to_pylist())])
+    at_all = np.frombuffer(b"".join(got["at"].to_pylist()), np.uint16)
+    n_all = np.frombuffer(b"".join(got["n"].to_pylist()), np.uint32)
+    del got
+
+    def example(k: int) -> tuple[np.ndarray, np.ndarray]:
+        at, n = at_all[ends[k] : ends[k + 1]].astype(np.int64), n_all[ends[k] : ends[k + 1]]
+        x = (1 + np.log(n)) * idf[at]
+        return at, x / max(1e-12, np.sqrt((x * x).sum()))
+
     model = Ftrl(len(langs), BUCKETS)
     for e in range(epochs):
-        for k in np.random.default_rng(e).permutation(len(examples)):
-            if k % 5 or len(examples) < 20:
-                model.learn(*examples[k])
+        for k in np.random.default_rng(e).permutation(size):
+            if k % 5 or size < 20:
+                model.learn(*example(k), y[k])
     w = model.weights(slice(None))
-    back = [x for k, x in enumerate(examples) if k % 5 == 0]
-    scores = np.array([w[:, at] @ x for at, x, _ in back])
-    return langs, w / temperature(scores, np.array([y for *_, y in back])), idf
+    back = np.arange(0, size, 5)
+    scores = np.array([w[:, at] @ x for at, x in map(example, back)])
+    return langs, w / temperature(scores, y[back]), idf
 
 
 def identify(docs: DataFrame, training: Column, rows: int = ROWS_A_LANGUAGE) -> DataFrame:
@@ -190,8 +204,14 @@ def identify(docs: DataFrame, training: Column, rows: int = ROWS_A_LANGUAGE) ->
     Null texts and texts without a letter are ``und`` with score 1; so is every text, with score 0, when nothing could
     be learnt. Ties go to the language first in the alphabet. Texts are whole; repeated rows get equal answers.
     """
-    model = fit(docs, training, rows)
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    others = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
+    return predicted(others, docs, training, rows, ["lang_pred", "score"])
+
+
+def predicted(docs: DataFrame, learnt_from: DataFrame, training: Column, rows: int, own: list[str]) -> DataFrame:
+    """docs with the language and its score in the two columns named ``own``, which docs must not have."""
+    model = fit(learnt_from, training, rows)
+    fields = docs.schema.fields
     names = [f.name for f in fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,15 +228,20 @@ def identify(docs: DataFrame, training: Column, rows: int = ROWS_A_LANGUAGE) ->
                 k = int(np.argmax(p))
                 langs.append(model[0][k])
                 scores.append(float(p[k]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, *own])
 
-    schema = StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return map_batches(docs.select(*names), run, schema)
+    schema = StructType([*fields, StructField(own[0], StringType()), StructField(own[1], DoubleType())])
+    return map_batches(docs, run, schema)
 
 
-def identified(docs: DataFrame, training: Column, least: float = 0.5) -> DataFrame:
-    """Documents whose language is recognised with a score of at least ``least``, with their own columns."""
-    return identify(docs, training).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+def identified(docs: DataFrame, training: Column, least: float = 0.5, rows: int = ROWS_A_LANGUAGE) -> DataFrame:
+    """Documents whose language is recognised with a score of at least ``least``, with their own columns as they are.
+
+    Null texts, texts without a letter, and all texts when no row has a language to learn from, are not recognised.
+    """
+    lang, score = unused_names(docs.columns, ["lang_pred", "score"])
+    found = predicted(docs, docs, training, rows, [lang, score])
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

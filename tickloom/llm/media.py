@@ -2,8 +2,8 @@
 
 An archive is a plain ZIP file whose members are stored as they are, so a member is one byte range. Reading plans byte
 ranges over the archives of a directory from their sizes alone; a task finds the members that begin in its range from
-the archive's own index, reads each by its offset, tries a failed one again without touching the others, and streams
-them on in small Arrow batches.
+the archive's own index, reads each by its offset from one open file, tries a failed one again without touching the
+others, and streams them on in small Arrow batches.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tickloom.llm.common import documents, map_batches, shared_path
@@ -33,6 +33,8 @@ PNG = b"\x89PNG\r\n\x1a\n"
 LOCAL, CENTRAL, TRAILER = struct.Struct("<4s5H3I2H"), struct.Struct("<4s6H3I5H2I"), struct.Struct("<4s4H2IH")
 #: Fixed marks of the ZIP format.
 LOCAL_MARK, CENTRAL_MARK, TRAILER_MARK = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06"
+#: How the names of manifests begin.
+MANIFEST = "_manifest-"
 
 
 def padded(text: bytes | None) -> bytes:
@@ -80,8 +82,25 @@ def feature(payload: bytes) -> str:
     return f"{bits}-{x.mean():.3f}"
 
 
+#: Hadoop's names of stores that Arrow knows by another one. Fixed values.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if ":" in uri else (pafs.LocalFileSystem(), uri)
+    """The file system of a Hadoop path and the path in it; schemes that Arrow has no client for are left to fsspec."""
+    if ":" not in uri:
+        return pafs.LocalFileSystem(), uri
+    scheme, rest = uri.split(":", 1)
+    scheme = SCHEMES.get(scheme, scheme)
+    try:
+        return pafs.FileSystem.from_uri(f"{scheme}:{rest}")
+    except pa.ArrowInvalid:
+        try:
+            import fsspec
+        except ImportError:
+            raise ValueError(f"no client for {uri}: Arrow does not know {scheme}:, and fsspec is not installed") from None
+        system, path = fsspec.core.url_to_fs(uri)
+        return pafs.PyFileSystem(pafs.FSSpecHandler(system)), path
 
 
 class Archive:
@@ -133,9 +152,10 @@ class MediaWriter(DataSourceWriter):
         return Written(files)
 
     def commit(self, messages) -> None:
+        """Each job has a manifest of its own, so that an append keeps what was there."""
         system, folder = _open_fs(self.path)
         system.create_dir(folder, recursive=True)
-        with system.open_output_stream(f"{folder}/_manifest.json") as out:
+        with system.open_output_stream(f"{folder}/{MANIFEST}{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(sorted(f for m in messages if m for f in m.files)).encode())
 
     def abort(self, messages) -> None:
@@ -158,9 +178,12 @@ class MediaReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         system, folder = _open_fs(self.path)
-        with system.open_input_stream(f"{folder}/_manifest.json") as f:
-            names = json.loads(f.read())
-        infos = system.get_file_info([f"{folder}/{n}" for n in names])
+        names = []
+        for info in system.get_file_info(pafs.FileSelector(folder)):
+            if info.base_name.startswith(MANIFEST):
+                with system.open_input_stream(info.path) as f:
+                    names += json.loads(f.read())
+        infos = system.get_file_info([f"{folder}/{n}" for n in sorted(names)])
         ranges = [ByteRange(i.path, s, min(s + self.range_bytes, i.size)) for i in infos for s in range(0, i.size, self.range_bytes)]
         return ranges or [ByteRange("", 0, 0)]
 
@@ -169,8 +192,9 @@ class MediaReader(DataSourceReader):
             return
         system, _ = _open_fs(self.path)
         ids, media, held = [], [], 0
-        for name, offset, size, crc in members(system, partition.file, partition.start, partition.end):
-            body = read_member(system, partition.file, offset, size, crc)
+        file = OpenFile(system, partition.file)
+        for name, offset, size, crc in members(file, partition.start, partition.end):
+            body = read_member(file, offset, size, crc)
             ids.append(None if name == "null" else int(name))
             media.append(body)
             held += len(body)
@@ -185,14 +209,38 @@ class MediaReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
 
-def members(system: pafs.FileSystem, path: str, start: int, end: int) -> Iterator[tuple[str, int, int, int]]:
+class OpenFile:
+    """A file that is opened once, and anew only after a failure."""
+
+    def __init__(self, system: pafs.FileSystem, path: str):
+        self.system, self.path, self.file = system, path, None
+
+    def read(self, size: int, offset: int) -> bytes:
+        if self.file is None:
+            self.file = self.system.open_input_file(self.path)
+        return self.file.read_at(size, offset)
+
+    def size(self) -> int:
+        if self.file is None:
+            self.file = self.system.open_input_file(self.path)
+        return self.file.size()
+
+    def drop(self) -> None:
+        if self.file is not None:
+            try:
+                self.file.close()
+            except OSError:
+                pass  # it has failed already
+        self.file = None
+
+
+def members(file: OpenFile, start: int, end: int) -> Iterator[tuple[str, int, int, int]]:
     """(name, offset of the body, size, crc) of the members whose header begins in [start, end), from the index."""
-    with system.open_input_file(path) as f:
-        size = f.size()
-        tail = TRAILER.unpack(f.read_at(TRAILER.size, size - TRAILER.size))
-        if tail[0] != TRAILER_MARK:
-            raise ValueError(f"{path} has no index")
-        index = f.read_at(tail[5], tail[6])
+    size = file.size()
+    tail = TRAILER.unpack(file.read(TRAILER.size, size - TRAILER.size))
+    if tail[0] != TRAILER_MARK:
+        raise ValueError(f"{file.path} has no index")
+    index = file.read(tail[5], tail[6])
     at = 0
     while at < len(index):
         c = CENTRAL.unpack_from(index, at)
@@ -202,17 +250,17 @@ def members(system: pafs.FileSystem, path: str, start: int, end: int) -> Iterato
             yield name, c[16] + LOCAL.size + c[10], c[8], c[7]
 
 
-def read_member(system: pafs.FileSystem, path: str, offset: int, size: int, crc: int, tries: int = TRIES) -> bytes:
-    """One member's bytes, checked; a failed or damaged read is repeated for this member alone."""
+def read_member(file: OpenFile, offset: int, size: int, crc: int, tries: int = TRIES) -> bytes:
+    """One member's bytes, checked; a failed or damaged read is repeated for this member alone, from the file opened anew."""
     for k in range(tries):
         try:
-            with system.open_input_file(path) as f:
-                body = bytes(f.read_at(size, offset))
+            body = bytes(file.read(size, offset))
             if len(body) == size and zlib.crc32(body) == crc:
                 return body
-            failure: Exception = ValueError(f"{path}: member at {offset} is damaged")
+            failure: Exception = ValueError(f"{file.path}: member at {offset} is damaged")
         except OSError as e:
             failure = e
+        file.drop()
         time.sleep(0.05 * 4**k if k + 1 < tries else 0)
     raise failure
 
@@ -237,8 +285,14 @@ class MediaArchive(DataSource):
         return MediaWriter(self.options["path"], int(self.options.get("archive_bytes", ARCHIVE_BYTES)))
 
 
+def registered(spark: SparkSession) -> None:
+    """Make the format known to the session, and the session the calling thread's active one, where Spark looks formats up."""
+    spark.createDataFrame([], "x int")
+    spark.dataSource.register(MediaArchive)
+
+
 def store_media(docs: DataFrame, path: str) -> None:
-    """Encode every row's text (null as empty) and write the images as archives under ``path``."""
+    """Encode every row's text (null as empty) and append the images to the archives under ``path``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,13 +300,16 @@ def store_media(docs: DataFrame, path: str) -> None:
             media = [encode_png(padded(t), len(t or b"")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    docs.sparkSession.dataSource.register(MediaArchive)
+    registered(docs.sparkSession)
     out = map_batches(docs.select("doc_id", "text"), run, "doc_id long, media binary")
     out.write.format("media_archive").mode("append").save(path)
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """(doc_id, payload length, digests, feature) of rows (doc_id, media), from the stored bytes alone."""
+    """(doc_id, payload length, digests, feature) of rows (doc_id, media), from the stored bytes alone.
+
+    A null id stays null, and repeated rows stay apart. Media that is null or damaged fails the task. An empty table gives an empty result.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -273,10 +330,12 @@ def media_table(docs: DataFrame, path: str) -> DataFrame:
     """Store the texts of docs as media under ``path``, and return what reading them back gives.
 
     One row for each row of docs, repeated ones too; equal texts give equal values. An empty table makes a directory
-    without archives and an empty result. Other columns of docs are ignored.
+    without archives and an empty result. Null texts are stored as empty ones, very long texts whole. Other columns of
+    docs are ignored. What was under ``path`` before is read back as well.
     """
     store_media(docs, path)
     spark = docs.sparkSession
+    registered(spark)
     return media_features(spark.read.format("media_archive").load(path))
 
 

@@ -143,30 +143,39 @@ def set_node(hashes: np.ndarray) -> int:
 SEEN = 1_000_000
 
 
-def _sketch_batches(words: int, threshold: float):
-    """(node, keys) of each set that the task meets for the first time."""
+def _described(words: int, threshold: float):
+    """(doc_id, place, node, size, fold, keys) of each row; keys only with a set that the task meets for the first time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, keys = [], []
+            nodes, sizes, folds, keys = [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 s = shingle_set(text, words)
-                if len(s) and (node := set_node(s)) not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    keys.append(segment_keys(s, threshold).view(np.int64))
+                nodes.append(node := set_node(s))
+                sizes.append(len(s))
+                folds.append(folded(s).tobytes())
+                new = len(s) > 0 and node not in seen
+                seen.add(node)
+                keys.append(segment_keys(s, threshold).view(np.int64) if new else np.empty(0, np.int64))
             if len(seen) > SEEN:
                 seen.clear()
             offsets = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["node", "keys"]
-            )
+                [
+                    batch.column("doc_id"), batch.column("place"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(folds, pa.binary()),
+                    pa.ListArray.from_arrays(offsets, flat),
+                ],
+                names=["doc_id", "place", "node", "size", "fold", "keys"],
+            )
 
     return run
 
 
+DESCRIBED = "doc_id long, place long, node long, size long, fold binary, keys array<long>"
+
+
 def folded(hashes: np.ndarray) -> np.ndarray:
     """A parity sketch to rule out pairs before their sets are compared: the least power of two of bits over the size."""
     n = max(LEAST_FOLD, 1 << int(len(hashes)).bit_length())
@@ -259,18 +268,18 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _links(near: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """The links among the pairs ``near``; only the texts of their nodes are read."""
     ends = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = _node_table(docs, nodes.join(ends, "node", "left_semi").select("node", "rep_id"), words)
+    texts = _node_table(docs, nodes.join(ends, "node", "left_semi").select("node", "rep_place"), words)
     return map_batches(_with_sides(near, texts, ["text"]), _verify_batches(words, percent), "u long, v long")
 
 
 def _node_table(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(node, text) of each node of ``reps(node, rep_id)``.
+    """(node, text) of each node of ``reps(node, rep_place)``.
 
-    Few ids are sent to the text scan; more of them are joined by shuffle.
+    Few places are sent to the text scan; more of them are joined by shuffle.
     """
     reps = stored(reps, "reps")
     reps = F.broadcast(reps) if reps.limit(SENT_IDS + 1).count() <= SENT_IDS else reps
-    texts = docs.join(reps, F.col("doc_id") == F.col("rep_id")).select("node", "text")
+    texts = docs.join(reps, F.col("place") == F.col("rep_place")).select("node", "text")
     found = stored(map_batches(texts, _node_texts(words), "node long, text binary"), "texts")
     repeated = found.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
     return found if repeated.isEmpty() else stored(found.dropDuplicates(["node"]), "texts")
@@ -282,8 +291,8 @@ def _pivot_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     A member is popular when many others share its segments; in a group of edited copies that is the text the copies
     come from, to which all of them are close even where two copies are not close to each other.
     """
-    w = Window.partitionBy("key")
-    b = buckets.withColumn("pivot", F.max(F.struct("weight", "node")).over(w)["node"])
+    top = stored(buckets.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot")), "pivots")
+    b = buckets.join(top, "key")
     rest = b.where(F.col("node") != F.col("pivot"))
     pairs = rest.select(F.greatest("pivot", "node").alias("u"), F.least("pivot", "node").alias("v")).distinct()
     return pairs, rest.drop("pivot")
@@ -293,9 +302,8 @@ def _unsettled(buckets: DataFrame, components: DataFrame) -> DataFrame:
     """Members of buckets in which not all are known to be in one component yet."""
     named = buckets.drop("component").join(components, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
-    w = Window.partitionBy("key")
-    lo, hi = F.min("component").over(w), F.max("component").over(w)
-    return named.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <> _hi").drop("_lo", "_hi")
+    spans = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
+    return named.join(stored(spans.where("lo <> hi").select("key", "members"), "spans"), "key")
 
 
 def _close(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, folds: list[bytes], percent: int) -> np.ndarray:
@@ -388,8 +396,7 @@ def _compare_batches(percent: int):
 
 def _open_pairs(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components within each bucket that may be links, without listing all pairs as rows."""
-    w = Window.partitionBy("key")
-    b = buckets.withColumn("blocks", F.ceil(F.count("*").over(w) / BLOCK).cast("long"))
+    b = buckets.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("long"))
     b = b.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     b = b.join(nodes.select("node", "size", "fold").hint("merge"), "node")
     b = b.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -406,21 +413,24 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     Candidates come from equal sketch segments. In each bucket the members are first compared with its most popular
     member; where that leaves several components, members of different ones are compared in blocks inside the tasks,
     which pass on only pairs whose sketches are close, so no link between components is missed. Rows with equal
-    doc_id count as equal ids.
+    doc_id count as equal ids; rows with a null id link like others, and a group of such rows alone has a null id.
+    Other columns of docs are ignored. Very long texts are compared whole.
     """
     threshold = percent / 100
-    docs = docs.select("doc_id", "text")
-    sketch = map_batches(docs, _sketch_batches(words, threshold), "node long, keys array<long>")
-    keyed = sketch.select("node", F.explode("keys").alias("key")).repartition("key")
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("place"))  # finds a node's text again
+    described = stored(map_batches(docs, _described(words, threshold), DESCRIBED), "described")
+    keyed = described.select("node", F.explode("keys").alias("key")).repartition("key")
     shared = keyed.dropDuplicates(["key", "node"])
     w = Window.partitionBy("key")
     buckets = stored(shared.withColumn("n", F.count("*").over(w)).where("n > 1").select("key", "node", "n"), "buckets")
-    ids = map_batches(docs, _node_batches(words), "doc_id long, node long, size long, fold binary")
-    ids = stored(ids, "nodes")
-    weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
-    reps = ids.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.first("size").alias("size"), F.first("fold").alias("fold"))
+    ids = stored(described.drop("keys"), "nodes")
+    drop_stored(described)
+    weight = stored(buckets.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place"))["place"]
+    reps = ids.where("size > 0").groupBy("node").agg(first.alias("rep_place"), F.first("size").alias("size"), F.first("fold").alias("fold"))
     nodes = stored(reps.join(weight, "node", "left_semi"), "candidates")
-    pairs, rest = _pivot_pairs(buckets.join(weight, "node").select("key", "node", "weight"))
+    pairs, rest = _pivot_pairs(stored(buckets.join(weight, "node").select("key", "node", "weight"), "weighed"))
+    drop_stored(buckets)
     links = stored(_links(stored(_near(pairs, nodes, percent), "near"), docs, nodes, words, percent), "links")
     components = stored(connected_components(links), "components")
     near = stored(_open_pairs(_unsettled(rest, components), nodes, percent), "near")
@@ -430,34 +440,23 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     named = ids.drop("fold").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     alone = named.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     linked = named.where("size > 0")
-    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # A table of its own on either side of the join, so that Spark can split a large component.
+    least = stored(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     linked = linked.join(least, "component").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    drop_stored(buckets)
+    drop_stored(nodes)
     return linked.unionByName(alone)
 
 
-def _node_batches(words: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([set_node(s) for s in sets], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([folded(s).tobytes() for s in sets], pa.binary()),
-                ],
-                names=["doc_id", "node", "size", "fold"],
-            )
-
-    return run
+def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80, sent: int = SENT_IDS) -> DataFrame:
+    """The documents whose id is their group's least, with all columns as they are.
 
-
-def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose id is their group's least, with all columns; of rows with that id, every one stays."""
-    groups = similar_groups(docs, words, percent).where("doc_id = component_id or doc_id is null")
-    keep = groups.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
+    Of rows with that id every one stays, and so do rows with a null id, which cannot be told apart, and texts without
+    words. Ids that go are sent to the scan while they are few, and joined by shuffle beyond that.
+    """
+    gone = similar_groups(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+    gone = stored(gone.distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= sent else gone
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

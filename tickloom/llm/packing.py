@@ -1,15 +1,15 @@
 """Packing documents into fixed-length sequences by a grouping genetic algorithm on islands.
 
-Only the pieces shorter than a sequence need packing. They are dealt by hash into problems of bounded size; each
-problem is solved by several islands, which exchange their best packing between rounds. A crossover takes the
-well-filled bins of one parent whole into another, drops the bins that would then hold an item twice, and best-fits
-the items this displaces. Bins that stay badly filled are opened again and packed across problems.
+Only the pieces shorter than a sequence need packing. They are dealt by hash into problems of bounded size; each problem
+is solved by several islands, which start from random best-fit packings and exchange their best one between rounds. A
+crossover takes the well-filled bins of one parent whole into another, opens the bins that would then hold an item
+twice, and best-fits the items this displaces; a mutation opens badly filled bins. An island stops at a lower bound that
+no packing can beat. Bins that stay badly filled are opened again and packed across problems.
 """
 
 from __future__ import annotations
 
-import base64
-import re
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,36 +26,29 @@ from tickloom.llm.common import documents, map_batches, stored
 SEQUENCE = 2048
 #: Pieces in one problem, islands a problem, rounds between which they exchange packings.
 PROBLEM, ISLANDS, ROUNDS = 6000, 2, 2
-POPULATION, GENERATIONS = 3, 3
+#: Packings that an island holds, generations of a round at most, and generations without a better packing after which it ends.
+POPULATION, GENERATIONS, PATIENCE = 8, 150, 40
+#: Share of its bins that a mutation opens: as many of the worst filled as of any.
+OPENED = 0.02
 #: A bin filled to this share or more is final after the first level.
 WELL_FILLED = 0.995
-
-#: Texts of these characters only are cut alike by both tokenizer libraries; others take the slower one.
-LATIN = re.compile("[\t\n\r -~¡-ɏ]*")
+#: Another level is begun while the last one made at least this share of its pieces final.
+LEAST_FINAL = 0.02
+#: Levels that sequence numbers leave room for; as each level but the last ends some pieces, far fewer are made.
+LEVELS = 1024
 
 
 @lru_cache(maxsize=4)
-def _tokenizers(json_path: str, ranks_path: str | None, pattern: str | None):
+def _tokenizer(json_path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(json_path)
-    exact.encode_special_tokens = True
-    fast = None
-    if ranks_path:
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return exact, fast
+    return Tokenizer.from_file(json_path)
 
 
-def token_ids(text: str, json_path: str, ranks_path: str | None = None, pattern: str | None = None) -> list[int]:
-    """The text's ids without special tokens. With ranks of the same vocabulary, Latin texts are encoded by them."""
-    exact, fast = _tokenizers(json_path, ranks_path, pattern)
-    if fast is not None and LATIN.fullmatch(text):
-        return fast.encode_ordinary(text)
-    return exact.encode(text, add_special_tokens=False).ids
+def token_ids(text: str, json_path: str) -> list[int]:
+    """The text's ids without special tokens."""
+    return _tokenizer(json_path).encode(text, add_special_tokens=False).ids
 
 
 def cut(length: int, size: int) -> list[tuple[int, int]]:
@@ -65,18 +58,20 @@ def cut(length: int, size: int) -> list[tuple[int, int]]:
     return [(s, first if s == 0 and first else size) for s in starts]
 
 
-def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, pattern: str | None, size: int = SEQUENCE) -> DataFrame:
+def pieces(docs: DataFrame, json_path: str, size: int = SEQUENCE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each row; a document's ids are its tokens and then id 0."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
+            seen: dict[str, list[tuple]] = {}  # copies within a batch are encoded once
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = token_ids(text or "", json_path, ranks_path, pattern)
-                ids.append(0)
-                raw = np.array(ids, dtype="<u4").tobytes()
-                for k, (start, n) in enumerate(cut(len(ids), size)):
-                    out.append((doc_id, k, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)])))
+                cuts = seen.get(text or "")
+                if cuts is None:
+                    raw = np.array([*token_ids(text or "", json_path), 0], dtype="<u4").tobytes()
+                    cuts = [(k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(raw) // 4, size))]
+                    seen[text or ""] = cuts
+                out += [(doc_id, *c) for c in cuts]
             columns = list(zip(*out, strict=True)) or [()] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -85,110 +80,153 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, pattern: str
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-class Bins:
-    """A packing: lists of item numbers, with the bins of each free space at hand for best fit."""
+def least_bins(sizes: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing can go below: items over half a bin share none with each other, and what is left
+    of their bins must take the items of at least each size, as far as it can."""
+    s = np.sort(sizes)
+    before = np.r_[0, np.cumsum(s)]
+    half = int(np.searchsorted(s, capacity // 2, side="right"))
+    least = -(-int(before[-1]) // capacity)
+    for a in np.unique(np.r_[0, s[:half]]).tolist():
+        top, low = int(np.searchsorted(s, capacity - a, side="right")), int(np.searchsorted(s, a, side="left"))
+        top = max(top, half)
+        room = (top - half) * capacity - int(before[top] - before[half])
+        rest = int(before[half] - before[low]) if half > low else 0
+        least = max(least, len(s) - half + max(0, -(-(rest - room) // capacity)))
+    return least
 
-    def __init__(self, sizes: list[int], capacity: int):
-        self.sizes, self.capacity = sizes, capacity
-        self.bins: list[list[int]] = []
-        self.by_free: dict[int, list[int]] = {}
-        self.mask = 0  # bit f is set when a bin with f free places exists
 
-    def add(self, items: list[int]) -> None:
-        self.bins.append(items)
-        self._free(len(self.bins) - 1, self.capacity - sum(self.sizes[i] for i in items))
+def place(bins: np.ndarray, fills: list[int], items: list[int], sizes: list[int], capacity: int) -> int:
+    """Best-fits the items, in their order, into the fullest bin that has room or a new one; returns the number of bins.
 
-    def _free(self, bin_: int, free: int) -> None:
-        self.by_free.setdefault(free, []).append(bin_)
-        self.mask |= 1 << free
-
-    def fit(self, item: int) -> None:
-        """Put the item into the fullest bin that has room, or into a new one."""
-        size = self.sizes[item]
-        room = self.mask >> size
-        if not room:
-            self.add([item])
-            return
-        free = size + (room & -room).bit_length() - 1
-        bin_ = self.by_free[free].pop()
-        if not self.by_free[free]:
-            self.mask &= ~(1 << free)
-        self.bins[bin_].append(item)
-        self._free(bin_, free - size)
+    ``bins`` (the bin of each item) and ``fills`` (of each bin) are changed.
+    """
+    by_free: dict[int, list[int]] = {}
+    mask = 0  # bit f is set when a bin with f free places exists
+    for b, fill in enumerate(fills):
+        if fill < capacity:
+            by_free.setdefault(capacity - fill, []).append(b)
+    for free in by_free:
+        mask |= 1 << free
+    to = []
+    for item in items:
+        size = sizes[item]
+        room = mask >> size
+        if room:
+            free = size + (room & -room).bit_length() - 1
+            held = by_free[free]
+            b = held.pop()
+            if not held:
+                mask &= ~(1 << free)
+            fills[b] += size
+        else:
+            b, free = len(fills), capacity
+            fills.append(size)
+        to.append(b)
+        free -= size
+        by_free.setdefault(free, []).append(b)
+        mask |= 1 << free
+    bins[items] = to
+    return len(fills)
 
 
-def best_fit(sizes: list[int], order: Iterable[int], capacity: int) -> list[list[int]]:
-    b = Bins(sizes, capacity)
-    for i in order:
-        b.fit(i)
-    return b.bins
+def best_fit(sizes: list[int], order: list[int], capacity: int) -> np.ndarray:
+    """The bin of each item when they are best-fitted in this order."""
+    bins = np.empty(len(sizes), np.int64)
+    place(bins, [], order, sizes, capacity)
+    return bins
 
 
-def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> float:
+def fitness(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> float:
     """Mean squared fill: prefers few bins, and among as many bins the one with fuller ones."""
-    return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
-
-
-def crossover(keep: list[list[int]], give: list[list[int]], sizes: list[int], capacity: int, share: float) -> list[list[int]]:
-    """A child of keep that holds the best-filled ``share`` of give's bins whole."""
-    fills = sorted(give, key=lambda b: sum(sizes[i] for i in b), reverse=True)
-    taken = fills[: max(1, int(len(fills) * share))]
-    moved = {i for b in taken for i in b}
-    child = Bins(sizes, capacity)
-    displaced = []
-    for b in keep:
-        if moved.isdisjoint(b):
-            child.add(list(b))
-        else:
-            displaced += [i for i in b if i not in moved]
-    for b in taken:
-        child.add(list(b))
-    for i in sorted(displaced, key=sizes.__getitem__, reverse=True):
-        child.fit(i)
-    return child.bins
+    return float(((np.bincount(bins, weights=sizes) / capacity) ** 2).mean())
+
 
+def _refit(bins: np.ndarray, loose: np.ndarray, sizes: np.ndarray, listed: list[int], capacity: int, rank: np.ndarray) -> np.ndarray:
+    """Takes the loose items out and best-fits them anew, the largest ``rank`` first; emptied bins go."""
+    kept = np.flatnonzero(~loose)
+    out = np.empty(len(bins), np.int64)
+    _, out[kept] = np.unique(bins[kept], return_inverse=True)
+    fills = np.bincount(out[kept], weights=sizes[kept]).astype(np.int64).tolist()
+    items = np.flatnonzero(loose)
+    place(out, fills, items[np.argsort(-rank[items], kind="stable")].tolist(), listed, capacity)
+    return out
 
-def evolve(sizes: list[int], elites: list[list[list[int]]], capacity: int, seed: int, generations: int, population: int):
-    """The best packing after some generations that start from the elites and from perturbed best-fit packings."""
+
+def crossover(keep: np.ndarray, give: np.ndarray, sizes: np.ndarray, capacity: int, share: float, listed: list[int] | None = None) -> np.ndarray:
+    """A child of keep that holds the best-filled ``share`` of give's bins whole.
+
+    Bins of keep that hold an item of those are opened: what is in both parents' bins leaves them, and the rest is
+    best-fitted, the largest first.
+    """
+    fills = np.bincount(give, weights=sizes)
+    best = np.argsort(-fills, kind="stable")[: max(1, int(len(fills) * share))]
+    chosen = np.zeros(len(fills), bool)
+    chosen[best] = True
+    moved = chosen[give]
+    opened = np.zeros(int(keep.max()) + 1, bool)
+    opened[keep[moved]] = True
+    child = np.where(moved, give + len(opened), keep)
+    return _refit(child, opened[keep] & ~moved, sizes, listed or sizes.tolist(), capacity, sizes)
+
+
+def mutation(bins: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator, listed: list[int] | None = None) -> np.ndarray:
+    """Opens the worst-filled bins and as many others, and best-fits their items in an order that is random in part."""
+    fills = np.bincount(bins, weights=sizes)
+    n = max(1, int(len(fills) * OPENED))
+    opened = np.zeros(len(fills), bool)
+    opened[np.argsort(fills, kind="stable")[:n]] = True
+    opened[rng.choice(len(fills), n, replace=False)] = True
+    return _refit(bins, opened[bins], sizes, listed or sizes.tolist(), capacity, sizes * (1 + 0.3 * rng.random(len(sizes))))
+
+
+def evolve(
+    sizes: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION,
+    patience: int = PATIENCE,
+) -> tuple[np.ndarray, int]:
+    """(the best packing, crossovers made) of generations that start from the elites and from random best-fit packings.
+
+    A child replaces the worst packing if it is better. The search ends at the lower bound on bins, or when the best
+    packing has not become better for ``patience`` generations.
+    """
     rng = np.random.default_rng(seed)
-    s = np.array(sizes, float)
+    listed = sizes.tolist()
+    bound = least_bins(sizes, capacity)
     pool = list(elites)
-    bound = -(-sum(sizes) // capacity)
     while len(pool) < population:
-        noise = 1 + (0.15 * len(pool)) * rng.random(len(s))
-        pool.append(best_fit(sizes, np.argsort(-s * noise, kind="stable").tolist(), capacity))
-    scored = sorted(((fitness(p, sizes, capacity), k, p) for k, p in enumerate(pool)), reverse=True)
-    for g in range(generations):
-        if len(scored[0][2]) <= bound:
-            break
+        noise = 1 + (0.15 * (1 + len(pool))) * rng.random(len(sizes))
+        pool.append(best_fit(listed, np.argsort(-sizes * noise, kind="stable").tolist(), capacity))
+    scored = sorted(((fitness(p, sizes, capacity), -k, p) for k, p in enumerate(pool)), key=lambda x: x[:2], reverse=True)
+    waited = made = 0
+    while made < generations and waited < patience and int(scored[0][2].max()) + 1 > bound:
         a, b = rng.choice(len(scored), 2, replace=False)
-        child = crossover(scored[a][2], scored[b][2], sizes, capacity, rng.uniform(0.2, 0.7))
-        scored[-1] = (fitness(child, sizes, capacity), -1 - g, child)
-        scored.sort(key=lambda x: x[:2], reverse=True)
-    return scored[0][2]
-
-
-def _island(capacity: int, generations: int, population: int):
+        child = crossover(scored[a][2], scored[b][2], sizes, capacity, rng.uniform(0.1, 0.6), listed)
+        if rng.random() < 0.5:
+            child = mutation(child, sizes, capacity, rng, listed)
+        made += 1
+        found, best = fitness(child, sizes, capacity), scored[0][0]
+        if found > scored[-1][0]:
+            scored[-1] = (found, -population - made, child)
+            scored.sort(key=lambda x: x[:2], reverse=True)
+        waited = 0 if scored[0][0] > best else waited + 1
+    return scored[0][2], made
+
+
+def _island(capacity: int):
     """applyInPandas body: rows (problem, island, key, length, bin_a, bin_b) of one island to its best packing in bin_a."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable").reset_index(drop=True)
-        sizes = pdf["length"].tolist()
-        elites = []
-        for c in ("bin_a", "bin_b"):
-            if (pdf[c] >= 0).all():
-                elites.append([g.tolist() for g in pdf.groupby(c, sort=True).indices.values()])
+        sizes = pdf["length"].to_numpy()
+        elites = [pdf[c].to_numpy() for c in ("bin_a", "bin_b") if (pdf[c] >= 0).all()]
         seed = int(pdf["problem"].iloc[0] * 7919 + pdf["island"].iloc[0] + 31 * len(elites)) & 0x7FFFFFFF
-        best = evolve(sizes, elites, capacity, seed, generations, population)
-        bins = np.empty(len(sizes), np.int64)
+        bins, _ = evolve(sizes, elites, capacity, seed)
+        order = np.argsort(bins, kind="stable")
+        before = np.cumsum(sizes[order]) - sizes[order]
+        fill = np.bincount(bins, weights=sizes).astype(np.int64)
         offset = np.empty(len(sizes), np.int64)
-        for k, items in enumerate(best):
-            at = 0
-            for i in items:
-                bins[i], offset[i] = k, at
-                at += sizes[i]
-        fill = np.bincount(bins, weights=sizes)[bins] if len(sizes) else np.empty(0)
-        return pdf.assign(bin_a=bins, offset=offset, fill=fill.astype(np.int64), n_bins=len(best))[
+        offset[order] = before - (np.cumsum(fill) - fill)[bins[order]]
+        return pdf.assign(bin_a=bins, offset=offset, fill=fill[bins], n_bins=len(fill))[
             ["problem", "island", "key", "length", "bin_a", "offset", "fill", "n_bins"]
         ]
 
@@ -198,17 +236,19 @@ def _island(capacity: int, generations: int, population: int):
 ISLAND_ROWS = "problem long, island int, key long, length long, bin_a long, offset long, fill long, n_bins long"
 
 
-def pack_level(items: DataFrame, n_problems: int, capacity: int = SEQUENCE, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
+def pack_level(
+    items: DataFrame, n_problems: int, capacity: int = SEQUENCE, islands: int = ISLANDS, rounds: int = ROUNDS, level: int = 0
+) -> DataFrame:
     """(problem, key, length, bin, offset, fill): the best island's packing of each problem of ``items(key, length)``."""
     start = items.select(
-        F.pmod(F.xxhash64("key"), F.lit(n_problems)).alias("problem"),
+        F.pmod(F.xxhash64("key", F.lit(level)), F.lit(n_problems)).alias("problem"),
         F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
         "key",
         "length",
         F.lit(-1).cast("long").alias("bin_a"),
         F.lit(-1).cast("long").alias("bin_b"),
     )
-    run = _island(capacity, GENERATIONS, POPULATION)
+    run = _island(capacity)
     state = stored(start.groupBy("problem", "island").applyInPandas(run, ISLAND_ROWS), "islands")
     for _ in range(rounds - 1):
         own = state.select("problem", "island", "key", "length", "bin_a")
@@ -222,53 +262,51 @@ def pack_level(items: DataFrame, n_problems: int, capacity: int = SEQUENCE, isla
 def pack(items: DataFrame, capacity: int = SEQUENCE, problem: int = PROBLEM) -> DataFrame:
     """(key, sequence_id, offset) for items(key, length) of at most ``capacity`` each; keys are distinct.
 
-    Well-filled bins of the first level are final; the rest is packed again, over ever fewer problems, until one
-    problem holds it.
+    Well-filled bins of a level are final; the pieces of the others are dealt anew into fewer problems and packed again,
+    until one problem holds them or a level makes hardly any bin final, which another one would not do either.
     """
     count = items.count()
     done: DataFrame | None = None
     level = 0
     while True:
         n_problems = max(1, -(-count // problem))
-        packed = pack_level(items, n_problems, capacity)
-        last = n_problems == 1 or level >= 4
-        packed = packed.withColumn("final", F.lit(True) if last else F.col("fill") >= WELL_FILLED * capacity)
-        number = (F.col("problem") * F.lit(1 << 20) + F.col("bin")) * 16 + (level + 1)
+        packed = stored(pack_level(items, n_problems, capacity, level=level), "packed")
+        full = F.col("fill") >= WELL_FILLED * capacity
+        smaller = packed.where(~full).count() if n_problems > 1 else 0
+        last = n_problems == 1 or smaller > (1 - LEAST_FINAL) * count
+        packed = packed.withColumn("final", F.lit(True) if last else full)
+        number = (F.col("problem") * F.lit(1 << 20) + F.col("bin")) * LEVELS + (level + 1)
         final = packed.where("final").select("key", number.alias("sequence_id"), "offset")
         done = final if done is None else done.unionByName(final)
         if last:
             return done
-        items = stored(packed.where("not final").select("key", "length"), "open")
-        smaller = items.count()
         if smaller == 0:
             return done
-        if smaller > 0.5 * count:  # little was well filled, and another level would find the same
-            level = 4
+        items = packed.where("not final").select("key", "length")
         count, level = smaller, level + 1
 
 
-def pack_documents(
-    docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern: str | None = None, size: int = SEQUENCE
-) -> DataFrame:
+def pack_documents(docs: DataFrame, json_path: str, size: int = SEQUENCE) -> DataFrame:
     """Each row's pieces with the sequence and the offset where they lie; offsets in a sequence leave no gaps.
 
-    Null and empty texts are the single id 0. Repeated rows are packed as often as they occur. An empty table gives
-    an empty result.
+    Null and empty texts are the single id 0; very long ones are cut into whole sequences and one shorter first piece.
+    Repeated rows are packed as often as they occur. Among equal lengths any order may come out. Other columns of docs
+    are ignored. An empty table gives an empty result.
     """
-    p = pieces(docs, json_path, ranks_path, pattern, size).withColumn("key", F.monotonically_increasing_id())
+    p = pieces(docs, json_path, size).withColumn("key", F.monotonically_increasing_id())
     p = stored(p, "pieces")
-    whole = p.where(F.col("length") == size).select("*", (F.col("key") * 16).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = p.where(F.col("length") == size).select("*", (F.col("key") * LEVELS).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     short = p.where(F.col("length") < size)
     packed = short.join(pack(short.select("key", "length"), size), "key")
     return whole.unionByName(packed).drop("key")
 
 
-def tokenizer_files() -> tuple[str, str, str]:
-    """Paths of the public 50k byte-level vocabulary in both formats, and its splitting pattern."""
+def tokenizer_file() -> str:
+    """Path of the public 50k byte-level vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir), *tokenizer_files())
+    return pack_documents(documents(spark, sf_dir), tokenizer_file())

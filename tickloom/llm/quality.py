@@ -96,13 +96,16 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, positives: int = P
     return mean, scale, nn_pu(z, p, class_prior(z, p))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, training: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED
+) -> DataFrame:
     """(doc_id, score) for each row of docs: the probability that its text is good.
 
     Null, empty and blank texts have no style and get the score of an all-zero description like any other text. When
-    nothing can be learnt (no positives, an empty table) every score is 0.5. Repeated rows get equal scores.
+    nothing can be learnt (no positives, an empty table) every score is 0.5. Repeated rows get equal scores. The model
+    is fitted on at most ``positives`` trusted and ``unlabelled`` plain texts; every text is scored whole.
     """
-    model = fit(docs, labels, training)
+    model = fit(docs, labels, training, positives, unlabelled)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,11 +20,10 @@ from tickloom.llm.common import documents, stored
 TRIED = 32
 #: Groups that the last, exact step may bring to the driver.
 FEW_GROUPS = 20_000
-#: Rows that one hash range or one salt of a large group is meant to hold.
-ROWS_A_RANGE = 50_000
+#: Rows that one hash range, or one salt of a group with all rows, is meant to hold; the least number of salts.
+ROWS_A_RANGE, SALTS = 50_000, 64
 #: Stretches of equal bytes in which the driver sees the first and the last group end, to make the shards even.
 STRETCHES = 1024
-SALTS = 64
 
 
 def text_bytes(text: Column) -> Column:
@@ -169,9 +168,11 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, rows_a_range: int = ROWS_A_RA
         text_bytes(F.col("text")).alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.md5(text).alias("key"),
-        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).alias("salt"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("u"),
     )
     rows = stored(rows, "rows")
+    n_salts = max(SALTS, rows.count() // rows_a_range)
+    rows = rows.withColumn("salt", F.pmod("u", F.lit(n_salts))).drop("u")
     parts = rows.groupBy("key", "salt").agg(F.sum("size").alias("s"), F.count("*").alias("r"))
     parts = stored(parts, "parts")
     groups = parts.groupBy("key").agg(F.sum("s").alias("g_size"), F.sum("r").alias("g_rows"))

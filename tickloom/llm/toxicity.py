@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from tickloom.llm.common import documents, labels, map_batches, stored
+from tickloom.llm.common import documents, drop_stored, labels, map_batches, stored, unused_names
 from tickloom.llm.style import NAMES, style
 
 #: Rows of each class of each category that the chain is trained on at most; independent of the corpus.
@@ -24,6 +24,8 @@ ROWS_A_CLASS = 4000
 #: Word features of each category, and the least number of training texts that hold one.
 WORD_FEATURES, LEAST_TEXTS = 300, 5
 FOLDS = 3
+#: Training rows whose products are summed at a time, so that the driver holds one single-precision matrix and little else.
+BLOCK = 2048
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -36,7 +38,10 @@ def word_features(text: str | None) -> set[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[str], per_class: int) -> DataFrame:
-    """(h, text, y) of a bounded sample that holds both classes of every category."""
+    """(h, text, y) of a bounded sample that holds both classes of every category.
+
+    Label rows of one doc_id that disagree count as one row with the larger label of each category.
+    """
     narrow = labels.select("doc_id", F.xxhash64("doc_id").alias("h"), F.array(*[F.col(c).cast("int") for c in categories]).alias("y"))
     parts = [
         narrow.where(F.col("y")[k] == v).orderBy("h", "doc_id").limit(per_class) for k in range(len(categories)) for v in (0, 1)
@@ -44,8 +49,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[str],
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
-    chosen = chosen.where(~F.exists("y", lambda v: v.isNull())).dropDuplicates(["doc_id"])
-    ids = chosen.withColumnRenamed("doc_id", "label_id")
+    chosen = chosen.where(~F.exists("y", lambda v: v.isNull()))
+    largest = F.array(*[F.max(F.col("y")[k]) for k in range(len(categories))])
+    ids = chosen.groupBy(F.col("doc_id").alias("label_id"), "h").agg(largest.alias("y"))
     return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("h", "text", "y")
 
 
@@ -94,6 +100,7 @@ def select_words(rows: DataFrame, n_categories: int, best: int, least: int) -> l
         g = g + term(F.lit(pos) - a, absent * share) + term(F.lit(n - pos) - b, absent * rest)
         top = found.where(F.col("word") != "").orderBy(F.desc(g), "word").limit(best)
         chosen |= {r["word"] for r in top.select("word").collect()}
+    drop_stored(found)
     return sorted(chosen)
 
 
@@ -108,16 +115,20 @@ def describe(texts: list[bytes | None], words: dict[str, int]) -> np.ndarray:
     return x
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Weights (the last one is the intercept) of ridge logistic regression by Newton steps."""
-    z = np.c_[x, np.ones(len(x))].astype(float)
-    w = np.zeros(z.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, l2: float = 1.0, rounds: int = 12) -> np.ndarray:
+    """Weights (the last one is the intercept) of ridge logistic regression on some rows of x, by Newton steps."""
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.full(len(w), l2)
     ridge[-1] = 1e-6
     for _ in range(rounds):
-        p = probability(x, w)
-        g = z.T @ (p - y) + ridge * w
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-9)
+        g, h = ridge * w, np.diag(ridge + 1e-9)
+        for k in range(0, len(rows), BLOCK):
+            part = rows[k : k + BLOCK]
+            z = np.ones((len(part), len(w)), np.float32)
+            z[:, :-1] = x[part]
+            p = probability(z[:, :-1], w)
+            g += z.T @ (p - y[part])
+            h += (z * (p * (1 - p)).astype(np.float32)[:, None]).T @ z
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-4:
@@ -130,15 +141,17 @@ def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def fit_chain(x: np.ndarray, y: np.ndarray, folds: int = FOLDS) -> list[np.ndarray]:
-    """One weight vector for each column of y, in order; later ones have the earlier probabilities as features."""
-    models, fold = [], np.arange(len(x)) % folds
+    """One weight vector for each column of y, in order; later ones have the earlier probabilities as features.
+
+    The last columns of x, one fewer than categories, are room for those probabilities; they are filled here.
+    """
+    models, fold, width = [], np.arange(len(x)) % folds, x.shape[1] - y.shape[1] + 1
     for k in range(y.shape[1]):
-        out = np.zeros(len(x))
-        for f in range(folds):
-            learn = fold != f
-            out[~learn] = probability(x[~learn], logistic(x[learn], y[learn, k])) if learn.any() else 0.5
-        models.append(logistic(x, y[:, k]))
-        x = np.c_[x, out]
+        seen = x[:, : width + k]
+        for f in range(folds) if k + 1 < y.shape[1] else ():
+            learn, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            x[rest, width + k] = probability(seen[rest], logistic(seen, y[:, k], learn)) if len(learn) else 0.5
+        models.append(logistic(seen, y[:, k], np.arange(len(x))))
     return models
 
 
@@ -151,7 +164,7 @@ def run_chain(x: np.ndarray, models: list[np.ndarray]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], per_class: int = ROWS_A_CLASS):
-    """(words, models, scale) learnt from a bounded labelled sample; None without labelled texts."""
+    """(words, models) learnt from a bounded labelled sample; None without labelled texts."""
     rows = training_rows(docs, labels, categories, per_class)
     names = select_words(rows, len(categories), WORD_FEATURES, LEAST_TEXTS)
     words = {w: k for k, w in enumerate(names)}
@@ -166,20 +179,36 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], per_class
     got = map_batches(rows, run, "h long, x binary, y array<int>").orderBy("h").toArrow()
     if not len(got):
         return None
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
-    y = np.array(got["y"].to_pylist(), float).reshape(len(x), len(categories))
+    y = np.array(got["y"].to_pylist(), float).reshape(len(got), len(categories))
+    x = np.zeros((len(got), width + len(categories) - 1), np.float32)
+    at = 0
+    for chunk in got["x"].chunks:
+        x[at : at + len(chunk), :width] = np.frombuffer(b"".join(chunk.to_pylist()), np.float16).reshape(-1, width)
+        at += len(chunk)
+    del got, chunk
     return words, fit_chain(x, y)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("low_quality", "toxic"), threshold: float = 0.5) -> DataFrame:
+def toxicity(
+    docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("low_quality", "toxic"), threshold: float = 0.5, per_class: int = ROWS_A_CLASS
+) -> DataFrame:
     """docs with p_<category> for each category, and ``is_toxic`` from the last one (columns of these names are replaced).
 
     Null, empty and wordless texts are judged by their (empty) features like all others. Without labelled texts every
-    probability is 0 and nothing is toxic. Texts are whole, repeated rows get equal answers.
+    probability is 0 and nothing is toxic. Texts are whole, repeated rows get equal answers; a probability equal to the
+    threshold is toxic. Labels without a document, and those with a null category, teach nothing.
     """
-    model = fit(docs, labels, categories)
-    own = [f"p_{c}" for c in categories]
-    fields = [f for f in docs.schema.fields if f.name not in (*own, "is_toxic")]
+    own = [*[f"p_{c}" for c in categories], "is_toxic"]
+    others = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own])
+    return judged(others, docs, labels, categories, threshold, per_class, own)
+
+
+def judged(
+    docs: DataFrame, learnt_from: DataFrame, labels: DataFrame, categories: Sequence[str], threshold: float, per_class: int, own: Sequence[str]
+) -> DataFrame:
+    """docs with the categories' probabilities and the verdict in columns named ``own``, which docs must not have."""
+    model = fit(learnt_from, labels, categories, per_class)
+    fields = docs.schema.fields
     names = [f.name for f in fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +218,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("l
             if model is not None and texts:
                 p = run_chain(describe(texts, model[0]), model[1])
             columns = [*[batch.column(n) for n in names], *[pa.array(p[:, k]) for k in range(len(categories))]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(p[:, -1] >= threshold)], names=[*names, *own, "is_toxic"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(p[:, -1] >= threshold)], names=[*names, *own])
 
-    schema = StructType([*fields, *[StructField(n, DoubleType()) for n in own], StructField("is_toxic", BooleanType())])
-    return map_batches(docs.select(*names), run, schema)
+    schema = StructType([*fields, *[StructField(n, DoubleType()) for n in own[:-1]], StructField(own[-1], BooleanType())])
+    return map_batches(docs, run, schema)
 
 
 def chain_labels(labels: DataFrame) -> DataFrame:
@@ -200,9 +229,15 @@ def chain_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
 
 
-def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that are not toxic, with their own columns."""
-    return toxicity(docs, chain_labels(labels)).where(~F.col("is_toxic")).select(*docs.columns)
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = ROWS_A_CLASS) -> DataFrame:
+    """Documents that are not toxic, with their own columns as they are, whatever their names.
+
+    Null and empty texts are judged like all others. Without labelled texts every document stays; an empty table stays
+    empty.
+    """
+    own = unused_names(docs.columns, ["p_low_quality", "p_toxic", "is_toxic"])
+    found = judged(docs, docs, chain_labels(labels), ("low_quality", "toxic"), threshold, per_class, own)
+    return found.where(~F.col(own[-1])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
