@@ -10,23 +10,31 @@ from tickloom.llm.common import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the classifier chain does not call toxic. Null and empty texts are judged by their empty features and
+    stay unless such texts are toxic; without labels all stay."""
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps texts whose language is recognised with a probability of a half or more, learnt from all rows with a
+    language. Null and empty texts and texts without a letter go; so do all when no row has a language."""
     return language_id.identified(docs, F.lit(True))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group linked by five-word shingles of similarity 0.8 or more. Rows
+    with a null id, and texts without words, all stay; so do repeated rows of the least id."""
     return ngram_join.one_of_each_group(docs, words=5, percent=80)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps texts that hold no benchmark window of ten words (or a whole shorter item). Null and empty texts stay."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, *packing.tokenizer_files())
+    """Packs all that is left into sequences of 2048 tokens; null and empty texts are one token, copies are packed each."""
+    return packing.pack_documents(docs, packing.tokenizer_file())
 
 
 STAGES = [
