@@ -1,19 +1,21 @@
 """A class-based bigram language model (Brown et al.): exchange clustering and smoothed scores.
 
-Token counts and class transitions are gathered from all training texts by Spark. Every token of the training texts gets
-a class by exchange: the most frequent ones first, with the others by their ending, on the driver; then all others each
-by itself, in rounds on Spark in which a task moves its own tokens against the broadcast matrix of class transitions. A
-token's probability is that of its class after the class before, times the token's share of its class.
+Tokens are known by a 64-bit hash. Counts and class transitions are gathered from all training texts by Spark. The most
+frequent tokens get their classes by exchange: a first clustering of a bounded number of units on the driver, then rounds
+on Spark in which a task moves its own tokens against the broadcast matrix of class transitions. Every other token of the
+training texts then gets the class that its own neighbours make likeliest. A token's probability is that of its class
+after the class before, times the token's share of its class.
 """
 
 from __future__ import annotations
 
 import itertools
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -25,18 +27,17 @@ from tickloom.llm.common import documents, drop_stored, id_remainder, map_batche
 FREQUENT, ENDINGS = 700, 324
 #: Least number of classes; it grows with the cube root of the number of distinct tokens.
 CLASSES = 40
-#: Rounds on Spark at most; they end before that when few tokens move.
-ROUNDS = 4
+#: Rounds of exchange on Spark at most; they end before that when few tokens move.
+ROUNDS = 2
+#: Tokens that move in every round, and whose hashes, counts and classes every task holds (18 bytes each, a fixed bound).
+#: All others are classed once, by their own neighbours, and joined.
+HELD = 1_000_000
 #: Token-to-class neighbour pairs that a task counts before it passes the counts on, and pairs meant for one moving task.
-FLUSH_PAIRS, PAIRS_A_TASK = 6_000_000, 1_000_000
+FLUSH_PAIRS, PAIRS_A_TASK = 4_000_000, 1_000_000
 #: Neighbour counts whose gains are looked up, and entries whose gains are worked out at a time.
-SMALL, CHUNK = 8, 20_000
-#: Bytes of text whose tokens are held as objects at a time.
-PIECE = 1 << 20
-#: Tokens whose counts every scoring task holds (a bounded table); counts of the others are joined.
-HELD = 100_000
-#: Distinct tokens that a task counts before it passes the counts on.
-FLUSH = 400_000
+SMALL, CHUNK = 8, 10_000
+#: Bytes of text whose tokens are held as objects at a time, and tokens that a task counts before it passes the counts on.
+PIECE, FLUSH = 1 << 20, 2_000_000
 #: The end token; no word contains a line feed.
 END = b"\n"
 
@@ -46,32 +47,74 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text.lower().split() if text else ()), END]
 
 
-def ending_group(token: bytes, groups: int) -> int:
-    """Group of a token by its last three bytes: where clustering starts, and for tokens that training did not see."""
-    return zlib.crc32(token[-3:]) % groups
+def token_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each token; among a billion tokens the expected number of equal pairs is 0.03."""
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False) if words else np.empty(0, np.uint64)
 
 
-def token_counts(train: DataFrame) -> DataFrame:
-    """(token, n) over all training texts; each task counts before the shuffle."""
+END_HASH = token_hashes([END])[0]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
 
-        count: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                count.update(tokens(text))
-                if len(count) > FLUSH:
-                    yield out(count)
-                    count = Counter()
-        yield out(count)
+def ending_groups(words: list[bytes], groups: int) -> np.ndarray:
+    """Group of each token by its last three bytes: where clustering starts, and for tokens that training did not see."""
+    return np.array([zlib.crc32(w[-3:]) % groups for w in words], np.int64)
 
-    return map_batches(train.select("text"), run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about PIECE bytes of text, a text at least."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("text").cast(pa.binary())).fill_null(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE, prepend=0))
+        for a, b in itertools.pairwise([0, *cuts[cuts > 0].tolist(), batch.num_rows]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def flat_tokens(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+    """All tokens of a batch's texts one after the other, and where each text starts, with the end."""
+    flat: list[bytes] = []
+    starts = [0]
+    for text in batch.column("text").cast(pa.binary()).to_pylist():
+        flat += tokens(text)
+        starts.append(len(flat))
+    return flat, np.array(starts)
 
-def id_bytes(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """Binary values that hold the ids of each text: their number, then their bytes by place, compressed."""
+
+def token_counts(train: DataFrame, endings: int) -> DataFrame:
+    """(h, n, ending) over all training texts: hash, count and ending group; each task counts before the shuffle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            h, n, e = (np.concatenate(x) for x in zip(*held, strict=True))
+            u, first, at = np.unique(h, return_index=True, return_inverse=True)
+            return u, np.bincount(at, weights=n, minlength=len(u)).astype(np.int64), e[first]
+
+        def out(h: np.ndarray, n: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(e.astype(np.int16))], names=["h", "n", "ending"])
+
+        for batch in pieces(batches):
+            flat, _ = flat_tokens(batch)
+            u, first, n = np.unique(token_hashes(flat), return_index=True, return_counts=True)
+            held.append((u, n, ending_groups([flat[k] for k in first.tolist()], endings)))
+            size += len(u)
+            if size > FLUSH:
+                whole = merged()
+                held, size = [whole], len(whole[0])
+                if size > FLUSH // 2:  # counting has shrunk it little
+                    yield out(*whole)
+                    held, size = [], 0
+        if held:
+            yield out(*merged())
+
+    found = map_batches(train.select("text"), run, "h long, n long, ending short")
+    return found.groupBy("h").agg(F.sum("n").alias("n"), F.first("ending").alias("ending"))
+
+
+def packed(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Binary values that hold the numbers of each text: how many, then their bytes by place, compressed."""
     ids = np.ascontiguousarray(ids, np.int32)
     codec = pa.Codec("zstd", compression_level=1)
     out = []
@@ -81,8 +124,8 @@ def id_bytes(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def flat_ids(values: pa.Array) -> np.ndarray:
-    """The ids of all texts of a batch, one after the other."""
+def unpacked(values: pa.Array) -> np.ndarray:
+    """The numbers of all texts of a batch, one after the other."""
     codec = pa.Codec("zstd")
     out = [np.empty(0, np.int32)]
     for v in values.to_pylist():
@@ -93,19 +136,67 @@ def flat_ids(values: pa.Array) -> np.ndarray:
     return np.concatenate(out)
 
 
-def transitions(train: DataFrame, label: np.ndarray, k: int, end: int) -> np.ndarray:
-    """k x k matrix: how often a token of label b follows one of label a; a text starts after the end token."""
+CODED = "row long, doc_id long, train boolean, n_tokens long, n_held long, log_held double, ids binary, rare array<long>"
+
+
+def coded(docs: DataFrame, training: Column, held, endings: int) -> DataFrame:
+    """Texts as numbers: a held token's rank, or -1 minus the ending group of another; ``rare`` has the others' hashes in order.
+
+    ``held`` is a broadcast (sorted hashes, their ranks, counts by rank).
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank, n = held.value
+        logs = np.log10(n + 1.0)
+        for batch in pieces(batches):
+            flat, starts = flat_tokens(batch)
+            u, first, at = np.unique(token_hashes(flat), return_index=True, return_inverse=True)
+            where = np.minimum(np.searchsorted(known, u), max(0, len(known) - 1))
+            ok = known[where] == u if len(known) else np.zeros(len(u), bool)
+            ids = np.where(ok, rank[where], 0) if len(known) else np.zeros(len(u), np.int64)
+            odd = np.flatnonzero(~ok)
+            ids[odd] = -1 - ending_groups([flat[k] for k in first[odd].tolist()], endings)
+            log_n = np.where(ok, logs[np.maximum(ids, 0)], 0.0) if len(logs) else np.zeros(len(u))
+            x, is_held = ids[at], ok[at]
+            n_held = np.add.reduceat(is_held.astype(np.int64), starts[:-1])
+            size = np.diff(starts)
+            ends = np.r_[0, np.cumsum(size - n_held)].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("row"),
+                    batch.column("doc_id"),
+                    batch.column("train"),
+                    pa.array(size),
+                    pa.array(n_held),
+                    pa.array(np.add.reduceat(log_n[at], starts[:-1])),
+                    packed(x, starts),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(u[at[~is_held]].view(np.int64))),
+                ],
+                names=["row", "doc_id", "train", "n_tokens", "n_held", "log_held", "ids", "rare"],
+            )
+
+    rows = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("train")).withColumn("row", F.monotonically_increasing_id())
+    return map_batches(rows, run, CODED)
+
+
+def transitions(train: DataFrame, label: np.ndarray | None, k: int, column: str = "ids") -> np.ndarray:
+    """k x k matrix: how often a token of label b follows one of label a; a text starts after the end token's label 0.
+
+    Without ``label`` the numbers in the column are labels themselves. Negative numbers count from the end of ``label``.
+    """
     shared = train.sparkSession.sparkContext.broadcast(label)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k, np.int64)
         for batch in batches:
-            x = shared.value[flat_ids(batch.column("ids"))].astype(np.int64)
-            total += np.bincount(np.r_[end, x[:-1]] * k + x, minlength=k * k) if len(x) else 0
+            x = unpacked(batch.column(column))
+            if len(x):
+                x = (x if shared.value is None else shared.value[x]).astype(np.int64)
+                total += np.bincount(np.r_[0, x[:-1]] * k + x, minlength=k * k)  # every text ends with the end token
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at // k), pa.array(at % k), pa.array(total[at])], names=["a", "b", "n"])
 
-    found = map_batches(train.select("ids"), run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    found = map_batches(train.select(column), run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((k, k))  # at most k squared rows, however large the corpus
     out[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
     shared.destroy()
@@ -120,130 +211,151 @@ def likelihood(g: np.ndarray) -> float:
     return float(xlog(g).sum() - xlog(g.sum(1)).sum() - xlog(g.sum(0)).sum())
 
 
-def best_classes(keys: np.ndarray, n: np.ndarray, cls: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that should move, and their new classes, against the class transitions ``g``.
+def best_classes(word: np.ndarray, at: np.ndarray, n: np.ndarray, own: np.ndarray | None, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, classes): of tokens with a class ``own`` those that should move, of tokens without one all of them.
 
-    ``keys`` are sorted: (token, side, class) as one number, side 0 with the class before the token, 1 with that after.
+    Rows are sorted by ``word``. ``at`` is the class before the token, or the number of classes plus the class after it,
+    and n how often it was there. ``own`` has the present class of each distinct word in order.
     """
     classes = len(g)
     around = np.concatenate([g, g.T])
     logs = xlog(around)
-    small = np.stack([xlog(around + k) - logs for k in range(1, SMALL + 1)])
+    small = np.stack([xlog(around + k) - logs for k in range(1, SMALL + 1)]).astype(np.float32)
     rows, cols = g.sum(1), g.sum(0)
-    margins = {id(x): np.stack([xlog(x + k) - xlog(x) for k in range(4 * SMALL + 1)]) for x in (rows, cols)}
 
     def margin(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        out = margins[id(x)][np.minimum(n, 4 * SMALL)]
-        big = np.flatnonzero(n > 4 * SMALL)
-        out[big] = xlog(x + n[big, None]) - xlog(x)
-        return out
+        some, back = np.unique(n, return_inverse=True)
+        return (xlog(x + some[:, None]) - xlog(x))[back]
 
-    word, at = keys // (2 * classes), keys % (2 * classes)
     starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
     ids, targets = [], []
-    first = 0
-    while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(starts, starts[first] + CHUNK)))
-        i, j = starts[first], starts[last] if last < len(starts) else len(keys)
-        w, a, m, s = word[starts[first:last]], at[i:j], n[i:j], starts[first:last] - i
+    for first in range(0, len(starts), CHUNK):
+        last = min(first + CHUNK, len(starts))
+        i, j = starts[first], starts[last] if last < len(starts) else len(word)
+        a, m, s = at[i:j], n[i:j], starts[first:last] - i
         change = small[np.minimum(m, SMALL) - 1, a]
         big = np.flatnonzero(m > SMALL)
         change[big] = xlog(around[a[big]] + m[big, None]) - logs[a[big]]
-        gain = np.add.reduceat(change, s)
+        gain = np.add.reduceat(change, s).astype(float)
         into = np.add.reduceat(np.where(a < classes, m, 0), s)
         out = np.add.reduceat(m, s) - into
-        gain -= margin(cols, into)
-        gain -= margin(rows, out)
-        own = cls[w].astype(np.int64)
-        mine = around[a, np.repeat(own, np.diff(np.r_[s, j - i]))]
-        stay = np.add.reduceat(xlog(mine) - xlog(np.maximum(mine - m, 0)), s)
-        stay -= xlog(cols[own]) - xlog(cols[own] - into) + xlog(rows[own]) - xlog(rows[own] - out)
-        gain[:, 0] = -np.inf
-        gain[np.arange(len(w)), own] = stay
+        gain -= margin(cols, into) + margin(rows, out)
+        gain[:, 0] = -np.inf  # the end token's own class
+        w = word[starts[first:last]]
+        if own is None:
+            ids.append(w)
+            targets.append(gain.argmax(1))
+            continue
+        mine = own[first:last].astype(np.int64)
+        with_own = around[a, np.repeat(mine, np.diff(np.r_[s, j - i]))]
+        stay = np.add.reduceat(xlog(with_own) - xlog(np.maximum(with_own - m, 0)), s)
+        stay -= xlog(cols[mine]) - xlog(cols[mine] - into) + xlog(rows[mine]) - xlog(rows[mine] - out)
+        gain[np.arange(len(w)), mine] = stay
         best = gain.argmax(1)
-        moves = (best != own) & (gain.max(1) > stay + 1e-9)
+        moves = (best != mine) & (gain.max(1) > stay + 1e-9)
         ids.append(w[moves])
         targets.append(best[moves])
-        first = last
-    return np.concatenate(ids or [np.empty(0, np.int64)]), np.concatenate(targets or [np.empty(0, np.int64)])
+    none = np.empty(0, np.int64)
+    return np.concatenate(ids or [none]), np.concatenate(targets or [none])
+
 
+def _summed(word: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows sorted by (word, at), equal ones made one."""
+    order = np.lexsort((at, word))
+    word, at, n = word[order], at[order], n[order]
+    first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (at[1:] != at[:-1])])
+    return word[first], at[first], np.add.reduceat(n, first)
 
-def moved_tokens(train: DataFrame, cls: np.ndarray, fixed: np.ndarray, end_id: int, g: np.ndarray, n_pairs: int) -> tuple[np.ndarray, np.ndarray]:
-    """One exchange round over all tokens that are not fixed: (ids, classes) of those that should move."""
-    classes, parts = len(g), max(8, n_pairs // PAIRS_A_TASK)
-    shared = train.sparkSession.sparkContext.broadcast((cls, fixed, g))
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, fixed, _ = shared.value
+def _neighbours(train: DataFrame, label, classes: int, parts: int, rare: bool) -> DataFrame:
+    """(part, size, word, at, n) with packed neighbour counts of the held tokens or of the ``rare`` ones, dealt by word.
 
-        def out(keys: list[np.ndarray]) -> pa.RecordBatch:
-            u, n = np.unique(np.concatenate(keys), return_counts=True)
-            part = u // (2 * classes) % parts
+    ``label`` is a broadcast of the class of each rank, then of the ending groups from the end.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[np.ndarray] = []
+        ats: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            word, at = np.concatenate(words), np.concatenate(ats)
+            word, at, n = _summed(word, at, np.ones(len(word), np.int64)) if len(word) else (word, at, word)
+            part = (word % np.int64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            u, n = u[order], n[order].astype(np.int32)
             cut = np.searchsorted(part[order], np.arange(parts + 1))
             some = [p for p in range(parts) if cut[p] < cut[p + 1]]
-            pack = lambda x: pa.compress(x.tobytes(), "zstd", asbytes=True)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(some, pa.int32()),
-                    pa.array([int(cut[p + 1] - cut[p]) for p in some], pa.int32()),
-                    pa.array([pack(np.diff(u[cut[p] : cut[p + 1]], prepend=0)) for p in some], pa.binary()),
-                    pa.array([pack(n[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
-                ],
-                names=["part", "size", "steps", "n"],
-            )
 
-        keys, size = [], 0
+            def column(x: np.ndarray, kind) -> pa.Array:
+                x = x[order].astype(kind)
+                return pa.array([pa.compress(x[cut[p] : cut[p + 1]].tobytes(), "zstd", asbytes=True) for p in some], pa.binary())
+
+            sizes = pa.array([int(cut[p + 1] - cut[p]) for p in some], pa.int32())
+            columns = [pa.array(some, pa.int32()), sizes, column(word, np.int64), column(at, np.int32), column(n, np.int32)]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "size", "word", "at", "n"])
+
         for batch in batches:
-            x = flat_ids(batch.column("ids")).astype(np.int64)
+            x = unpacked(batch.column("ids"))
             if not len(x):
                 continue
-            before, c = np.r_[end_id, x[:-1]], cls[x].astype(np.int64)
-            a, b = ~fixed[x], ~fixed[before]
-            keys += [x[a] * 2 * classes + cls[before[a]], (before[b] * 2 + 1) * classes + c[b]]
-            size += len(keys[-1]) + len(keys[-2])
+            c = label.value[x].astype(np.int64)
+            before, after = np.r_[0, c[:-1]], np.r_[c[1:], 0]
+            mine = np.flatnonzero(x < 0 if rare else x >= 0)
+            last = np.flatnonzero(c[mine] != 0)  # the end token keeps its class, and what follows it is another text
+            mine = mine[last]
+            word = batch.column("rare").flatten().to_numpy() if rare else x[mine].astype(np.int64)
+            words += [word, word]
+            ats += [before[mine], classes + after[mine]]
+            size += 2 * len(mine)
             if size > FLUSH_PAIRS:
-                yield out(keys)
-                keys, size = [], 0
+                yield out()
+                words, ats, size = [], [], 0
         if size:
-            yield out(keys)
+            yield out()
+
+    columns = ["ids", "rare"] if rare else ["ids"]
+    return map_batches(train.select(*columns), run, "part int, size int, word binary, at binary, n binary").repartition(parts, "part")
 
-    def move(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, _, g = shared.value
-        keys, ns = [], []
+
+def _moved(counted: DataFrame, label, g: np.ndarray, rare: bool) -> DataFrame:
+    """(word, cls) of the tokens that should move, or of all rare tokens."""
+    shared = counted.sparkSession.sparkContext.broadcast(g)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for size, steps, n in zip(*[batch.column(c).to_pylist() for c in ("size", "steps", "n")], strict=True):
-                keys.append(np.cumsum(np.frombuffer(pa.decompress(steps, 8 * size, "zstd"), np.int64)))
-                ns.append(np.frombuffer(pa.decompress(n, 4 * size, "zstd"), np.int32))
-        if keys:
-            k = np.concatenate(keys)
-            order = np.argsort(k, kind="stable")
-            k = k[order]
-            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            ids, to = best_classes(k[first], np.add.reduceat(np.concatenate(ns)[order].astype(np.int64), first), cls, g)
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(to.astype(np.int32))], names=["id", "cls"])
-
-    counted = map_batches(train.select("ids"), count, "part int, size int, steps binary, n binary").repartition(parts, "part")
-    found = map_batches(counted, move, "id int, cls int").toArrow()
-    shared.destroy()
-    return found["id"].to_numpy(), found["cls"].to_numpy()
+            for size, *columns in zip(*[batch.column(c).to_pylist() for c in ("size", "word", "at", "n")], strict=True):
+                kinds = (np.int64, np.int32, np.int32)
+                got.append(tuple(np.frombuffer(pa.decompress(x, size * np.dtype(k).itemsize, "zstd"), k).astype(np.int64) for x, k in zip(columns, kinds, strict=True)))
+        if got:
+            word, at, n = _summed(*(np.concatenate(x) for x in zip(*got, strict=True)))
+            own = None if rare else label.value[word[np.r_[True, word[1:] != word[:-1]]]]
+            ids, to = best_classes(word, at, n, own, shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(to.astype(np.int32))], names=["word", "cls"])
+
+    return map_batches(counted, run, "word long, cls int")
 
 
-def cluster(train: DataFrame, start: np.ndarray, fixed: np.ndarray, end_id: int, classes: int, n_pairs: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each token, class transitions) after exchange rounds from ``start``; no round lowers the likelihood.
+def cluster(train: DataFrame, start: np.ndarray, tail: np.ndarray, classes: int, n_pairs: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each held token, class transitions) after exchange rounds from ``start``; no round lowers the likelihood.
 
     The tokens of a round move at once. Where that lowers the likelihood, a half and then a quarter of them move.
+    ``tail`` has the classes of the ending groups, from the last to the first.
     """
-    cls, g = start, transitions(train, start, classes, 0)
+    context = train.sparkSession.sparkContext
+    parts = max(8, n_pairs // PAIRS_A_TASK)
+    cls, g = start, transitions(train, np.r_[start, tail], classes)
     for _ in range(rounds):
-        ids, to = moved_tokens(train, cls, fixed, end_id, g, n_pairs)
+        label = context.broadcast(np.r_[cls, tail])
+        found = _moved(_neighbours(train, label, classes, parts, rare=False), label, g, rare=False).toArrow()  # at most the held tokens
+        label.destroy()
+        ids, to = found["word"].to_numpy(), found["cls"].to_numpy()
         better = False
         for share in (1, 2, 4):
             some = ids % share == 0
             tried = cls.copy()
             tried[ids[some]] = to[some]
-            after = transitions(train, tried, classes, 0) if some.any() else g
+            after = transitions(train, np.r_[tried, tail], classes) if some.any() else g
             if better := likelihood(after) > likelihood(g):
                 cls, g = tried, after
                 break
@@ -252,7 +364,7 @@ def cluster(train: DataFrame, start: np.ndarray, fixed: np.ndarray, end_id: int,
     return cls, g
 
 
-def exchange(counts: np.ndarray, classes: int, end: int, rounds: int = 8) -> np.ndarray:
+def exchange(counts: np.ndarray, classes: int, end: int, rounds: int = 6) -> np.ndarray:
     """Class of each unit: moves units to the class that most raises the class bigram likelihood, until few move.
 
     ``counts`` is the units x units matrix of pairs. The end unit keeps class 0 to itself.
@@ -280,7 +392,9 @@ def exchange(counts: np.ndarray, classes: int, end: int, rounds: int = 8) -> np.
             g[:, c] -= into
             g[c, c] -= own
             rows, cols = g.sum(1), g.sum(0)
-            gain = (xlog(g + out) - xlog(g)).sum(1) + (xlog(g + into[:, None]) - xlog(g)).sum(0)
+            after, before = np.flatnonzero(out), np.flatnonzero(into)  # other entries do not change
+            gain = (xlog(g[:, after] + out[after]) - xlog(g[:, after])).sum(1)
+            gain += (xlog(g[before] + into[before, None]) - xlog(g[before])).sum(0)
             diag = np.diagonal(g)
             gain += xlog(diag + out + into + own) - xlog(diag + out) - xlog(diag + into) + xlog(diag)
             wo, wi = out.sum() + own, into.sum() + own
@@ -305,215 +419,160 @@ def exchange(counts: np.ndarray, classes: int, end: int, rounds: int = 8) -> np.
     return cls
 
 
-CODED = "row long, doc_id long, train boolean, n_tokens long, n_held long, log_count double, ids binary, rare array<binary>, times array<long>, groups binary"
-SEQUENCES = "doc_id long, train boolean, n_tokens long, n_known long, log_count double, ids binary"
+CLASSED = "doc_id long, train boolean, n_tokens long, n_known long, log_count double, classes binary"
 
 
-def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices of about PIECE bytes of text, a text at least."""
-    for batch in batches:
-        sizes = pc.binary_length(batch.column("text").cast(pa.binary())).fill_null(0).to_numpy()
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE, prepend=0))
-        for a, b in itertools.pairwise([0, *cuts[cuts > 0].tolist(), batch.num_rows]):
-            yield batch.slice(a, b - a)
-
-
-def _coded(held, endings: int):
-    """Texts as token ids; a token that is not held is -1 minus its place among the row's ``rare`` tokens, whose ending groups follow."""
+def _classed(label, unseen):
+    """Rows of ``coded`` with the counts and classes found for rare tokens, to their classes and log counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, id_of, log_n = held.value
-        get = rank.get
-        for batch in pieces(batches):
-            flat, starts, rare, times, ends = [], [0], [], [], [0]
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                ts = tokens(text)
-                r = [get(t, -1) for t in ts]
-                if -1 in r:
-                    odd: dict[bytes, int] = {}
-                    often: Counter = Counter()
-                    for i, k in enumerate(r):
-                        if k < 0:
-                            r[i] = -1 - odd.setdefault(ts[i], len(odd))
-                            often[ts[i]] += 1
-                    rare += odd
-                    times += [often[t] for t in odd]
-                flat += r
-                starts.append(len(flat))
-                ends.append(len(rare))
-            if len(starts) == 1:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x, s = np.array(flat, np.int64), np.array(starts)
-            ok = x >= 0
-            at = np.maximum(x, 0)
-            logs = np.where(ok, log_n[at], 0.0) if len(log_n) else np.zeros(len(x))
-            ids = np.where(ok, id_of[at], x) if len(id_of) else x
-            e = pa.array(ends, pa.int32())
+            x = unpacked(batch.column("ids"))
+            sizes = batch.column("n_tokens").to_numpy()
+            c = label.value[x].astype(np.int32)
+            odd = np.flatnonzero(x < 0)
+            n_odd = sizes - batch.column("n_held").to_numpy()
+            first = np.r_[0, np.cumsum(n_odd)]
+            places, lengths = batch.column("places"), batch.column("places").value_lengths().fill_null(0).to_numpy()
+            at = places.flatten().to_numpy() + np.repeat(first[:-1], lengths)  # which of the batch's rare tokens
+            cls, n = batch.column("found").flatten().to_numpy(), batch.column("times").flatten().to_numpy()
+            c[odd] = unseen.value[-1 - x[odd]]
+            c[odd[at]] = cls
+            logs = np.zeros(len(odd))
+            logs[at] = np.log10(n + 1.0)
+            total = np.r_[0, np.cumsum(logs)]
+            starts = np.r_[0, np.cumsum(sizes)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("row"),
                     batch.column("doc_id"),
                     batch.column("train"),
-                    pa.array(np.diff(s)),
-                    pa.array(np.add.reduceat(ok.astype(np.int64), s[:-1])),
-                    pa.array(np.add.reduceat(logs, s[:-1])),
-                    id_bytes(ids, s),
-                    pa.ListArray.from_arrays(e, pa.array(rare, pa.binary())),
-                    pa.ListArray.from_arrays(e, pa.array(times, pa.int64())),
-                    id_bytes(np.array([ending_group(t, endings) for t in rare], np.int32), np.array(ends)),
+                    batch.column("n_tokens"),
+                    pa.array(batch.column("n_held").to_numpy() + lengths),
+                    pa.array(batch.column("log_held").to_numpy() + total[first[1:]] - total[first[:-1]]),
+                    packed(c, starts),
                 ],
-                names=["row", "doc_id", "train", "n_tokens", "n_held", "log_count", "ids", "rare", "times", "groups"],
+                names=["doc_id", "train", "n_tokens", "n_known", "log_count", "classes"],
             )
 
     return run
 
 
-def _filled():
-    """Puts the ids found for rare tokens in their places; an unseen token is -1 minus its ending group."""
+def _chains(step):
+    """The class chain's log10 probability of each text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            size = lambda name: batch.column(name).value_lengths().fill_null(0).to_numpy()
-            x, lengths = flat_ids(batch.column("ids")), batch.column("n_tokens").to_numpy()
-            table = -1 - flat_ids(batch.column("groups"))
-            first = np.r_[0, np.cumsum(batch.column("n_odd").to_numpy())][:-1]
-            places, ids = batch.column("places").flatten().to_numpy(), batch.column("found").flatten().to_numpy()
-            table[np.repeat(first, size("places")) + places] = ids
-            odd = np.flatnonzero(x < 0)
-            x = x.copy()
-            x[odd] = table[np.repeat(first, lengths)[odd] - 1 - x[odd]]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("doc_id", "train", "n_tokens", "n_known", "log_count")], id_bytes(x, np.r_[0, np.cumsum(lengths)])],
-                names=["doc_id", "train", "n_tokens", "n_known", "log_count", "ids"],
-            )
-
-    return run
-
-
-def _chains(shared):
-    """The class chain's log10 probability of each sequence."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label, step = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = label[flat_ids(batch.column("ids"))]
+            c = unpacked(batch.column("classes"))
             starts = np.r_[0, np.cumsum(batch.column("n_tokens").to_numpy())][:-1]
             before = np.r_[0, c[:-1]]
             before[starts] = 0
-            chain = np.add.reduceat(step[before, c], starts)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in ("doc_id", "n_tokens", "n_known", "log_count")], pa.array(chain)],
-                names=["doc_id", "n_tokens", "n_known", "log_count", "chain"],
-            )
+            chain = np.add.reduceat(step.value[before, c], starts)
+            columns = ("doc_id", "n_tokens", "n_known", "log_count")
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in columns], pa.array(chain)], names=[*columns, "chain"])
 
     return run
 
 
-def with_ids(counts: DataFrame) -> DataFrame:
-    """(token, n, id): ids count from 0 without gaps; ``counts`` is stored with m, its monotonic id."""
-    sizes = counts.groupBy(F.shiftright("m", 33).alias("part")).agg(F.count("*").alias("k")).orderBy("part").collect()
-    firsts, at = [], 0
-    for r in sizes:
-        firsts.append((r["part"], at))
-        at += r["k"]
-    first = counts.sparkSession.createDataFrame(firsts, "part long, first long")
-    found = counts.withColumn("part", F.shiftright("m", 33)).join(F.broadcast(first), "part")  # one row a partition
-    return found.select("token", "n", (F.col("first") + F.col("m") % (1 << 33)).cast("int").alias("id"))
-
-
-def sequences(docs: DataFrame, training: Column, counts: DataFrame, held: int, endings: int) -> tuple[DataFrame, list[tuple[bytes, int, int]]]:
-    """(stored texts as token ids, the ``held`` most frequent tokens and the end token as (token, n, id))."""
-    top = counts.orderBy(F.desc("n"), "token").limit(held).toArrow()
-    names = list(zip(top["token"].to_pylist(), top["n"].to_pylist(), top["id"].to_pylist(), strict=True))
-    names += [(bytes(r["token"]), r["n"], r["id"]) for r in counts.where(F.col("token") == F.lit("\n").cast("binary")).collect() if END not in {t for t, _, _ in names}]
-    rank = {t: k for k, (t, _, _) in enumerate(names)}
-    value = rank, np.array([i for _, _, i in names], np.int64), np.log10(np.array([n for _, n, _ in names], float) + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(value)  # at most `held` entries and one
-    rows = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("train")).withColumn("row", F.monotonically_increasing_id())
-    coded = stored(map_batches(rows, _coded(shared, endings), CODED), "coded")
-    rare = coded.select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("place", "x")).select("row", "place", "x.rare", "x.times")
-    found = rare.join(counts.withColumnRenamed("token", "rare"), "rare").groupBy("row").agg(
-        F.sum("times").alias("n_rare"),
-        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("log_rare"),
-        F.collect_list(F.struct("place", "id")).alias("ids_of"),
-    )
-    found = stored(found, "found")  # so that the shuffle files of the join can go before the texts are shuffled
-    full = coded.withColumn("n_odd", F.size("rare")).drop("rare", "times").join(found, "row", "left").select(
-        "doc_id",
-        "train",
-        "n_tokens",
-        (F.col("n_held") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        (F.col("log_count") + F.coalesce("log_rare", F.lit(0.0))).alias("log_count"),
-        "ids",
-        "groups",
-        "n_odd",
-        F.coalesce(F.col("ids_of.place"), F.array().cast("array<int>")).alias("places"),
-        F.coalesce(F.col("ids_of.id"), F.array().cast("array<int>")).alias("found"),
-    )
-    out = stored(map_batches(full, _filled(), SEQUENCES), "sequences")
-    drop_stored(coded, found)
-    return out, names
+class Model(NamedTuple):
+    """What training leaves: texts as classes, tokens' classes (h, n, ending, cls), transitions, and class totals."""
 
+    texts: DataFrame
+    words: DataFrame
+    transitions: np.ndarray
+    members: np.ndarray
+    unseen: np.ndarray
+    n_tokens: int
+    n_distinct: int
 
-def train_and_score(
+    def steps(self, strength: float = 20.0) -> np.ndarray:
+        """log10 of a class's probability after another, less that of its number of places: the counts of its tokens plus
+        one each, and one place for tokens that training did not see. Transitions are smoothed towards class frequencies."""
+        g = self.transitions
+        smooth = g.sum(0) + 1
+        step = np.log10((g + strength * smooth / smooth.sum()) / (g.sum(1, keepdims=True) + strength))
+        return step - np.log10(g.sum(0) + self.members + 1)
+
+
+def train_model(
     docs: DataFrame, training: Column, classes: int | None = None, frequent: int = FREQUENT, endings: int = ENDINGS, held: int = HELD, rounds: int = ROUNDS
-) -> DataFrame:
-    """Base and class-model log10 probabilities of every row's text, learnt from the rows where ``training`` holds.
+) -> Model:
+    """Counts, clusters and classes the tokens of the rows where ``training`` holds, and writes all texts as classes.
 
-    Texts are whole; a null text is the end token alone, as the empty one is. Every token that training saw has a class
-    by exchange; one that it did not see has the class that most tokens of its ending group have. Each class gives one
-    place to unseen tokens, so they have a probability. Without training rows (or in an empty table) every token is
-    unseen. Repeated rows are scored, and counted in training, as often as they occur.
+    Every token that training saw has a class of its own neighbours' making; one that it did not see has the class that
+    most distinct held tokens of its ending group have.
     """
-    counts = stored(token_counts(docs.where(training)).withColumn("m", F.monotonically_increasing_id()), "counts")
+    spark = docs.sparkSession
+    context = spark.sparkContext
+    counts = stored(token_counts(docs.where(training), endings), "counts")
     n_all, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     classes = classes or max(CLASSES, round(n_distinct ** (1 / 3)))
-    counts = with_ids(counts)
-    texts, names = sequences(docs, training, counts, held, endings)
+    is_end = F.col("h") == F.lit(int(END_HASH.view(np.int64)))
+    top = counts.orderBy(F.desc(is_end), F.desc("n"), "h").limit(held).toArrow()  # a fixed bound
+    h, n, ending = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy(), top["ending"].to_numpy().astype(np.int64)
+    del top
+    order = np.argsort(h)
+    known = context.broadcast((h[order], order.astype(np.int32), n))
+    texts = stored(coded(docs, training, known, endings), "coded")
     train = texts.where("train")
+    cls, g, usual = np.zeros(len(h), np.int16), np.zeros((classes, classes)), np.ones(endings, np.int16)
+    if n_distinct:
+        leading = min(frequent, len(h))  # rank 0 is the end token
+        unit = np.r_[np.arange(leading), leading + ending[leading:], leading + np.arange(endings)[::-1]].astype(np.int16)
+        units = exchange(transitions(train, unit, leading + endings), classes, 0).astype(np.int16)
+        start, tail = units[unit[: len(h)]], units[leading:][::-1]
+        cls, g = cluster(train, start, tail, classes, 2 * n_all, rounds)
+        kinds = np.bincount(ending * classes + cls, minlength=endings * classes).reshape(endings, classes)
+        kinds[:, 0] = 0  # the end token's own class
+        usual = np.where(kinds.sum(1) > 0, kinds.argmax(1), max(1, int(kinds.sum(0).argmax()))).astype(np.int16)
+    label = context.broadcast(np.r_[cls, units[leading:][::-1]] if n_distinct else usual[::-1])
+    unseen = context.broadcast(usual)
+    parts = max(8, 2 * int(n_all - n.sum()) // PAIRS_A_TASK)
+    rare = _moved(_neighbours(train, label, classes, parts, rare=True), label, g, rare=True).withColumnRenamed("word", "h")
+    rare = stored(counts.join(rare, "h").select("h", "n", "ending", "cls"), "rare") if n_distinct > len(h) else counts.limit(0).withColumn("cls", F.lit(0))
+    places = texts.select("row", F.posexplode("rare").alias("place", "h")).join(rare, "h")
+    places = places.groupBy("row").agg(F.collect_list(F.struct("place", "cls", "n")).alias("x"))
+    none = F.array().cast("array<int>")
+    full = texts.drop("rare").join(places, "row", "left").select(
+        *["doc_id", "train", "n_tokens", "n_held", "log_held", "ids"],
+        F.coalesce("x.place", none).alias("places"),
+        F.coalesce("x.cls", none).alias("found"),
+        F.coalesce("x.n", F.array().cast("array<long>")).alias("times"),
+    )
+    out = stored(map_batches(full, _classed(label, unseen), CLASSED), "classed")
+    drop_stored(texts)
+    g = transitions(out.where("train"), None, classes, "classes")
+    members = np.bincount(cls, minlength=classes)
+    for r in rare.groupBy("cls").agg(F.count("*").alias("k")).collect():  # one row a class
+        members[r["cls"]] += r["k"]
+    ranks = spark.createDataFrame(pa.table({"h": h.view(np.int64), "n": n, "ending": ending.astype(np.int16), "cls": cls.astype(np.int32)}))
+    words = ranks.unionByName(rare)
+    return Model(out, words, g, members, usual, n_all, n_distinct)
 
-    def ending(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            group = [ending_group(bytes(t), endings) for t in batch.column("token").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(group, pa.int16())], names=["id", "ending"])
 
-    group = np.zeros(n_distinct, np.int16)
-    cls, g = np.zeros(0, np.int16), np.zeros((classes, classes))
-    if n_distinct:
-        found = map_batches(counts.select("token", "id"), ending, "id int, ending short").toArrow()  # six bytes a distinct token
-        group[found["id"].to_numpy()] = found["ending"].to_numpy()
-        end_id = next(i for t, _, i in names if t == END)
-        leading = [end_id, *[i for t, _, i in names[: frequent + 1] if t != END]][:frequent]
-        unit = group.astype(np.int32) + len(leading)
-        unit[leading] = np.arange(len(leading))
-        units = len(leading) + endings
-        start = exchange(transitions(train, unit, units, 0), classes, 0)[unit].astype(np.int16)
-        fixed = np.zeros(n_distinct, bool)
-        fixed[leading] = True
-        cls, g = cluster(train, start, fixed, end_id, classes, 2 * n_all, rounds)
-    kinds = np.bincount(group.astype(np.int64) * classes + cls, minlength=endings * classes).reshape(endings, classes)
-    kinds[:, 0] = 0  # the end token's own class
-    usual = max(1, int(kinds.sum(0).argmax()))
-    unseen = np.where(kinds.sum(1) > 0, kinds.argmax(1), usual)
-    smooth = g.sum(0) + 1  # transitions are smoothed towards the class frequencies
-    prior = smooth / smooth.sum()
-    strength = 20.0
-    step = np.log10((g + strength * prior) / (g.sum(1, keepdims=True) + strength))
-    step = step - np.log10(g.sum(0) + np.bincount(cls, minlength=classes) + 1)[None, :]
-    label = np.r_[cls, unseen[::-1]].astype(np.int16)  # -1 minus an ending group counts from the end
-    shared = docs.sparkSession.sparkContext.broadcast((label, step))
-    scored = map_batches(texts.drop("train"), _chains(shared), "doc_id long, n_tokens long, n_known long, log_count double, chain double")
+def train_and_score(
+    docs: DataFrame, training: Column, classes: int | None = None, frequent: int = FREQUENT, endings: int = ENDINGS, held: int = HELD, rounds: int = ROUNDS
+) -> DataFrame:
+    """Base and class-model log10 probabilities of every row's text, learnt from the rows where ``training`` holds.
+
+    Texts are whole; a null text is the end token alone, as the empty one is. Each class gives one place to unseen tokens,
+    so they have a probability. Without training rows (or in an empty table) every token is unseen. Repeated rows are
+    scored, and counted in training, as often as they occur. Other columns of docs are ignored. Of tokens with equal
+    counts those with lower hashes are held, of classes with equal gain the first is taken.
+    """
+    model = train_model(docs, training, classes, frequent, endings, held, rounds)
+    step = docs.sparkSession.sparkContext.broadcast(model.steps())
+    scored = map_batches(model.texts.drop("train"), _chains(step), "doc_id long, n_tokens long, n_known long, log_count double, chain double")
     score = F.col("chain") + F.col("log_count")
     return scored.select(
         "doc_id",
         "n_tokens",
         "n_known",
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("log_count") - F.col("n_tokens") * F.lit(float(np.log10(n_all + n_distinct + 1)))).alias("base_score"),
+        F.lit(model.n_tokens).cast("long").alias("train_tokens"),
+        (F.col("log_count") - F.col("n_tokens") * F.lit(float(np.log10(model.n_tokens + model.n_distinct + 1)))).alias("base_score"),
         score.alias("score"),
         F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )
