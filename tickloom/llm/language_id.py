@@ -163,23 +163,27 @@ def fit(docs: DataFrame, training: Column, rows: int = ROWS_A_LANGUAGE, epochs:
                 [
                     batch.column("h"),
                     batch.column("lang_y"),
-                    pa.array([None if a is None else a.astype(np.uint16).tobytes() for a in at], pa.binary()),
-                    pa.array([None if a is None else c[a].astype(np.uint32).tobytes() for a, c in zip(at, counts, strict=True)], pa.binary()),
+                    pa.array([None if a is None else pa.compress(a.astype(np.uint16).tobytes(), "zstd", asbytes=True) for a in at], pa.binary()),
+                    pa.array([None if a is None else pa.compress(c[a].astype(np.uint32).tobytes(), "zstd", asbytes=True) for a, c in zip(at, counts, strict=True)], pa.binary()),
+                    pa.array([0 if a is None else len(a) for a in at], pa.int32()),
                 ],
-                names=["h", "lang", "at", "n"],
+                names=["h", "lang", "at", "n", "k"],
             )
 
     sample = labelled.join(F.broadcast(chosen), "doc_id").where("lang = lang_y").select("h", "lang_y", "text")
-    got = map_batches(sample, run, "h long, lang string, at binary, n binary").where("at is not null").orderBy("h", "lang").toArrow()
+    got = map_batches(sample, run, "h long, lang string, at binary, n binary, k int").where("at is not null").orderBy("h", "lang").toArrow()
     idf = np.log((1 + n_docs) / (1 + df)) + 0.1
     number = {v: k for k, v in enumerate(langs)}
     size = len(got)
     if not size:
         return None
     y = np.array([number[v] for v in got["lang"].to_pylist()])
-    ends = np.cumsum([0, *(len(a) // 2 for a in got["at"].to_pylist())])
-    at_all = np.frombuffer(b"".join(got["at"].to_pylist()), np.uint16)
-    n_all = np.frombuffer(b"".join(got["n"].to_pylist()), np.uint32)
+    held = got["k"].to_pylist()
+    ends = np.cumsum([0, *held])
+    at_all, n_all = np.empty(ends[-1], np.uint16), np.empty(ends[-1], np.uint32)
+    for out, name in ((at_all, "at"), (n_all, "n")):
+        for i, k, raw in zip(ends.tolist(), held, got[name].to_pylist(), strict=False):
+            out[i : i + k] = np.frombuffer(pa.decompress(raw, k * out.itemsize, "zstd"), out.dtype)
     del got
 
     def example(k: int) -> tuple[np.ndarray, np.ndarray]:

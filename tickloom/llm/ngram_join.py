@@ -434,9 +434,9 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     links = stored(_links(stored(_near(pairs, nodes, percent), "near"), docs, nodes, words, percent), "links")
     components = stored(connected_components(links), "components")
     near = stored(_open_pairs(_unsettled(rest, components), nodes, percent), "near")
-    if not near.isEmpty():
-        links = stored(links.unionByName(_links(near, docs, nodes, words, percent)), "links")
-        components = stored(connected_components(links), "components")
+    more = None if near.isEmpty() else stored(_links(near, docs, nodes, words, percent), "links")
+    if more is not None and not more.isEmpty():
+        components = stored(connected_components(components.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
     named = ids.drop("fold").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     alone = named.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     linked = named.where("size > 0")

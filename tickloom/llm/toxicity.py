@@ -173,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], per_class
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = describe(batch.column("text").cast(pa.binary()).to_pylist(), words)
-            raw = [r.astype(np.float16).tobytes() for r in x]
+            bits = np.packbits(x[:, : len(words)] > 0, axis=1)
+            raw = [b.tobytes() + r.astype(np.float32).tobytes() for b, r in zip(bits, x[:, len(words) :], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(raw, pa.binary()), batch.column("y")], names=["h", "x", "y"])
 
     got = map_batches(rows, run, "h long, x binary, y array<int>").orderBy("h").toArrow()
@@ -181,11 +182,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], per_class
         return None
     y = np.array(got["y"].to_pylist(), float).reshape(len(got), len(categories))
     x = np.zeros((len(got), width + len(categories) - 1), np.float32)
-    at = 0
-    for chunk in got["x"].chunks:
-        x[at : at + len(chunk), :width] = np.frombuffer(b"".join(chunk.to_pylist()), np.float16).reshape(-1, width)
-        at += len(chunk)
-    del got, chunk
+    raw = np.frombuffer(b"".join(got["x"].to_pylist()), np.uint8).reshape(len(got), -1)
+    held = -(-len(words) // 8)
+    x[:, : len(words)] = np.unpackbits(raw[:, :held], axis=1, count=len(words))
+    x[:, len(words) : width] = np.ascontiguousarray(raw[:, held:]).view(np.float32)
+    del got, raw
     return words, fit_chain(x, y)
 
 
