@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one Arrow batch may hold, so that long documents do not pile up in a worker.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -79,7 +79,12 @@ def map_batches(
     at_most = conf.get(key)
     if not at_most.isdigit() or int(at_most) > ARROW_BATCH_BYTES:
         conf.set(key, str(ARROW_BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()  # Spark keeps the worker for the next task
+
+    return df.mapInArrow(run, schema)
 
 
 def unused_names(columns: Iterable[str], wanted: Iterable[str]) -> list[str]:

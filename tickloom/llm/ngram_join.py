@@ -26,7 +26,7 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0
 
 
 #: Least bits of a folded sketch, members of a bucket in one block of a comparison, and pairs or words at a time.
-LEAST_FOLD, BLOCK, AT_ONCE = 256, 1024, 1 << 19
+LEAST_FOLD, BLOCK, AT_ONCE = 256, 1024, 1 << 18
 #: Most ids of candidate texts that are sent to every task of the text scan (16 bytes each).
 SENT_IDS = 1_000_000
 

@@ -10,6 +10,7 @@ no packing can beat. Bins that stay badly filled are opened again and packed acr
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -27,7 +28,7 @@ SEQUENCE = 2048
 #: Pieces in one problem, islands a problem, rounds between which they exchange packings.
 PROBLEM, ISLANDS, ROUNDS = 6000, 2, 2
 #: Packings that an island holds, generations of a round at most, and generations without a better packing after which it ends.
-POPULATION, GENERATIONS, PATIENCE = 8, 150, 40
+POPULATION, GENERATIONS, PATIENCE = 6, 60, 20
 #: Share of its bins that a mutation opens: as many of the worst filled as of any.
 OPENED = 0.02
 #: A bin filled to this share or more is final after the first level.
@@ -36,6 +37,10 @@ WELL_FILLED = 0.995
 LEAST_FINAL = 0.02
 #: Levels that sequence numbers leave room for; as each level but the last ends some pieces, far fewer are made.
 LEVELS = 1024
+#: A blank between two words; texts with other ones; words that a task remembers the ids of, and characters of a part that is not remembered.
+BETWEEN_WORDS = re.compile(r"(?<=\S)(?= \S)")
+IRREGULAR = re.compile(r"\s | \s|^\s|\s$")  # a blank that is not between two words, or white space at an end
+REMEMBERED, LONG_PART = 100_000, 64
 
 
 @lru_cache(maxsize=4)
@@ -51,6 +56,59 @@ def token_ids(text: str, json_path: str) -> list[int]:
     return _tokenizer(json_path).encode(text, add_special_tokens=False).ids
 
 
+class Encoder:
+    """The ids of texts as little-endian 32-bit numbers, with words that came before remembered.
+
+    The vocabulary's splitting pattern starts a new word at a single blank between two characters that are no white
+    space, and merges stay inside a word; so the ids of a text are those of its parts between such blanks. New parts are
+    encoded together, each after its blank, and told apart by where their tokens end.
+    """
+
+    def __init__(self, json_path: str):
+        self.tokenizer = _tokenizer(json_path)
+        self.young: dict[str, bytes] = {}  # two generations, so that frequent words outlast the rare ones
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, text: str) -> bytes:
+        if IRREGULAR.search(text):
+            first, *inner = BETWEEN_WORDS.split(text)
+            tail = inner.pop() if inner else ""
+            inner = [p[1:] for p in inner]
+        else:
+            first, *inner = text.split(" ")
+            tail = ""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young = self.young
+        new = []
+        for p in set(inner):
+            if p not in young:
+                if p in self.old:
+                    young[p] = self.old[p]
+                else:
+                    new.append(p)
+        for k in range(0, len(new), 10_000):
+            self._learn(new[k : k + 10_000])
+        out = b"".join([self._ids(first), *map(young.__getitem__, inner), self._ids(tail)])
+        for p in new:
+            if len(p) > LONG_PART:
+                del young[p]
+        return out
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if text else b""
+
+    def _learn(self, parts: list[str]) -> None:
+        found = self.tokenizer.encode(" " + " ".join(parts), add_special_tokens=False)
+        raw = np.array(found.ids, dtype="<u4").tobytes()
+        ends = np.cumsum([1 + len(p) for p in parts])
+        cuts = np.searchsorted([e for _, e in found.offsets], ends, side="right").tolist()
+        at = 0
+        for p, cut_ in zip(parts, cuts, strict=True):
+            self.young[p] = raw[4 * at : 4 * cut_]
+            at = cut_
+
+
 def cut(length: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole sequences, and before them what is left over."""
     first = length % size
@@ -62,13 +120,14 @@ def pieces(docs: DataFrame, json_path: str, size: int = SEQUENCE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each row; a document's ids are its tokens and then id 0."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder(json_path)
         for batch in batches:
             out: list[tuple] = []
             seen: dict[str, list[tuple]] = {}  # copies within a batch are encoded once
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 cuts = seen.get(text or "")
                 if cuts is None:
-                    raw = np.array([*token_ids(text or "", json_path), 0], dtype="<u4").tobytes()
+                    raw = encode(text or "") + bytes(4)
                     cuts = [(k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(raw) // 4, size))]
                     seen[text or ""] = cuts
                 out += [(doc_id, *c) for c in cuts]
