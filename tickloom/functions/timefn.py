@@ -95,5 +95,22 @@ def chunks(df: DataFrame, start: str, end: str, days: int) -> DataFrame:
     return out.withColumn("chunk_end", F.least(F.col(end), F.col("chunk_start") + seconds(days * 86400)))
 
 
+def shift_hours(t: Column, hours: float) -> Column:
+    """t moved by a number of hours that may have a fraction."""
+    return t + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(hours) * 3600))
+
+
+def last_days(days: int, now: Column, end: Column | None = None) -> tuple[Column, Column]:
+    """(start, end) of the last ``days`` before ``now``; a given end is used up to now."""
+    stop = now if end is None else F.least(end, now)
+    return now - F.make_dt_interval(F.lit(days)), stop
+
+
+def checked_interval_seconds(code: Column) -> Column:
+    """Like ``interval_seconds``, but a code that is none is an error."""
+    found = interval_seconds(code)
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("unknown interval: "), F.coalesce(code, F.lit("null")))).cast("long"))
+
+
 def window_tag(start: Column, end: Column) -> Column:
     return F.concat_ws("_", F.date_format(start, "yyyyMMdd"), F.date_format(end, "yyyyMMdd"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field, fields
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import names
@@ -89,12 +89,13 @@ class CatalogFilter:
 
 
 def _valid(patterns: list[str]) -> list[str]:
-    """Patterns that compile; others are ignored."""
+    """Patterns that compile in the engine that runs them, Java's; others are ignored."""
+    pattern = SparkSession.active()._jvm.java.util.regex.Pattern
     out = []
     for p in patterns:
         try:
-            re.compile(p)
-        except re.error:
+            pattern.compile("(?i)" + p)
+        except IllegalArgumentException:
             continue
         out.append("(?i)" + p)
     return out
@@ -146,6 +147,24 @@ def catalog_filter(catalog: DataFrame, spec: CatalogFilter) -> DataFrame:
     return catalog.where(filter_condition(spec))
 
 
+def first_rows(catalog: DataFrame, limit: int | None, order: str) -> tuple[DataFrame, DataFrame]:
+    """(the first ``limit`` rows in the order of a column, the number of all rows as one row); below 0 counts as 0."""
+    total = catalog.agg(F.count("*").alias("total"))
+    return (catalog if limit is None else catalog.orderBy(order).limit(max(0, limit))), total
+
+
+def group_members(groups: DataFrame) -> DataFrame:
+    """(symbol, categories) of instrument groups (category, symbols): each symbol once, with its categories in order."""
+    pairs = groups.select("category", F.explode("symbols").alias("symbol"))
+    return pairs.groupBy("symbol").agg(F.sort_array(F.collect_set("category")).alias("categories"))
+
+
+def group_counts(groups: DataFrame) -> DataFrame:
+    """(category, symbols): distinct symbols of each category, and of all under the category null."""
+    pairs = groups.select("category", F.explode("symbols").alias("symbol"))
+    return pairs.rollup("category").agg(F.count_distinct("symbol").alias("symbols"))
+
+
 def facets(catalog: DataFrame, columns: list[str]) -> DataFrame:
     """(facet, value, n): the distinct non-null values of each column, with their rows."""
     pairs = F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns])

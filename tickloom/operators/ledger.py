@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.catalog import safe_symbol
 
-#: Price adjustments a task may name. Fixed values.
-ADJUSTMENTS = ["auto", "none", "back", "forward"]
-REQUEST_ADJUSTMENTS = ["auto", "back", "forward", "none", "backward", "front"]
+#: Price adjustments a task or request may name. Fixed values.
+ADJUSTMENTS = ["auto", "back", "forward", "none", "front", "backward"]
+#: Number of a ledger's first row: the header is row 1.
+FIRST_ROW = 2
 DATES = "yyyy-MM-dd"
 
 
@@ -17,11 +18,12 @@ def _blank(c: str) -> Column:
     return F.nullif(F.trim(F.col(c)), F.lit(""))
 
 
-def validate(rows: DataFrame, default_start: str, default_end: str) -> DataFrame:
+def validate(rows: DataFrame, default_start: str, default_end: str, strict: bool = False, seq: str | None = None) -> DataFrame:
     """Ledger rows with typed start and end, defaults for what is missing, and the warning each row earned.
 
     A bad date, or a start after the end, puts the default range in place; without symbol or interval, or with an
-    unknown adjustment, the row is invalid.
+    unknown adjustment, the row is invalid. With ``seq``, the column of a row's place in its file from 0, rows get their
+    number as ``row``. ``strict`` makes any bad row an error that names its place.
     """
     start, end = F.try_to_timestamp(F.col("start"), F.lit(DATES)).cast("date"), F.try_to_timestamp(F.col("end"), F.lit(DATES)).cast("date")
     adjust = F.coalesce(F.lower(_blank("adjust")), F.lit("auto"))
@@ -29,6 +31,11 @@ def validate(rows: DataFrame, default_start: str, default_end: str) -> DataFrame
     bad = F.col("_s").isNull() | F.col("_e").isNull()
     turned = ~bad & (F.col("_s") > F.col("_e"))
     valid = _blank("symbol").isNotNull() & _blank("interval").isNotNull() & F.col("adjust").isin(ADJUSTMENTS)
+    if seq:
+        out = out.withColumn("row", F.col(seq) + FIRST_ROW)
+    if strict:
+        place = F.concat(F.lit("bad ledger row "), F.col("row").cast("string")) if seq else F.lit("bad ledger row")
+        valid = F.when(valid & ~bad & ~turned, True).otherwise(F.raise_error(place).cast("boolean"))
     return out.withColumns(
         {
             "valid": valid,
@@ -55,7 +62,7 @@ def validate_requests(requests: DataFrame, ashare: str = "ashare") -> DataFrame:
         .when(~F.coalesce(count > 0, no), "interval")
         .when(start.isNull() | end.isNull(), "date")
         .when(start > end, "start_after_end")
-        .when(~adjust.isin(REQUEST_ADJUSTMENTS), "adjust")
+        .when(~adjust.isin(ADJUSTMENTS), "adjust")
         .when(~adjust.isin("auto", "none") & ~F.coalesce(F.col("asset_type") == ashare, no), "adjust_not_supported")
     )
     return requests.withColumn("fault", fault)

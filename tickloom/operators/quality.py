@@ -51,6 +51,34 @@ def series_issues(profiles: DataFrame, key: list[str], interval: Column) -> Data
     return profiles.select(*key, F.explode(fired).alias("r")).select(*key, "r.rule_id", "r.severity", "r.n")
 
 
+def schema_issues(found: DataFrame, key: list[str]) -> DataFrame:
+    """(key, rule_id, severity, n) of series by their columns: ``found`` has the key and ``columns``, an array of names,
+    which is null where the file could not be read. A missing time or close is an error, other missing columns are warnings."""
+    errors = ("datetime", "close")
+    rules = [_rule("parquet.read_failed", "ERROR", F.col("columns").isNull(), F.lit(1))]
+    for c in ("datetime", "close", "open", "high", "low", "volume"):
+        rules.append(_rule(f"schema.missing_{c}", "ERROR" if c in errors else "WARN", ~F.array_contains("columns", c), F.lit(1)))
+    fired = F.filter(F.array(*rules), lambda r: r.isNotNull())
+    return found.select(*key, F.explode(fired).alias("r")).select(*key, "r.rule_id", "r.severity", "r.n")
+
+
+def gaps_between(bars: DataFrame, bounds: DataFrame, minutes: int) -> DataFrame:
+    """(symbol, gap_start, gap_end, slots) of the grid of ``bounds(symbol, start, end)`` straight from the bars: one sort of
+    their slots, no grid. Slots outside the bounds do not count; a symbol without bars is one gap."""
+    step = minutes * 60
+    slot = timefn.minute_floor(F.col("datetime"), minutes)
+    have = bars.where(F.col("datetime").isNotNull()).select("symbol", slot.alias("slot")).distinct().join(bounds, "symbol")
+    have = have.where((F.col("slot") >= F.col("start")) & (F.col("slot") < F.col("end"))).select("symbol", "slot")
+    before = bounds.where(F.col("start") < F.col("end")).select("symbol", (F.col("start") - timefn.seconds(step)).alias("slot"), "end")
+    rows = have.withColumn("end", F.lit(None).cast(timefn.NTZ)).unionByName(before)
+    w = Window.partitionBy("symbol").orderBy("slot")
+    after = F.coalesce(F.lead("slot").over(w), F.max("end").over(Window.partitionBy("symbol")))
+    rows = rows.withColumn("after", after).select("symbol", (F.col("slot") + timefn.seconds(step)).alias("gap_start"), "after")
+    n = F.ceil((F.unix_seconds(F.col("after").cast("timestamp")) - F.unix_seconds(F.col("gap_start").cast("timestamp"))) / step).cast("long")
+    rows = rows.withColumn("slots", n).where("slots > 0")
+    return rows.select("symbol", "gap_start", (F.col("gap_start") + timefn.seconds((F.col("slots") - 1) * step)).alias("gap_end"), "slots")
+
+
 def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("severity", "rule_id").agg(F.count("*").alias("series"), F.sum("n").alias("n"))
 

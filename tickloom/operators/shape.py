@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import finite, tick_volume
 from tickloom.functions.timefn import NTZ
+from tickloom.operators.store import keep_first, keep_last
 
 BASE = ["datetime", "open", "high", "low", "close", "volume"]
 #: Column names that feeds use. Fixed values.
 TIME_NAMES = ["time", "datetime", "ts", "timestamp", "time_utc"]
 PRICE_NAMES = ["price", "last", "mid", "close"]
-ASK_NAMES, BID_NAMES = ["ask", "askprice", "ask_price"], ["bid", "bidprice", "bid_price"]
-ASK_VOLUMES, BID_VOLUMES = ["ask_volume", "ask-vol", "ask_vol", "ask-volume"], ["bid_volume", "bid-vol", "bid_vol", "bid-volume"]
-VOLUME_NAMES = ["volume", "vol", "size"]
+ASK_NAMES, BID_NAMES = ["ask", "ask_price"], ["bid", "bid_price"]
+ASK_VOLUMES, BID_VOLUMES = ["ask_volume", "ask-vol", "askvol", "ask_volume_", "ask_qty"], ["bid_volume", "bid-vol", "bidvol", "bid_qty"]
+VOLUME_NAMES = ["volume", "ask-volume", "bid-volume"]
 
 
 def unique_names(names: list[str]) -> list[str]:
@@ -72,8 +73,11 @@ def require_ohlcv(df: DataFrame) -> DataFrame:
     return df.select(*BASE)
 
 
-def conform(df: DataFrame, key: list[str]) -> DataFrame:
-    """Key and bar columns, numbers as DOUBLE; open, high, low and volume may lack and are null then, datetime and close may not."""
+def conform(df: DataFrame, key: list[str], seq: str | None = None) -> DataFrame:
+    """Key and bar columns, numbers as DOUBLE; open, high, low and volume may lack and are null then, datetime and close may not.
+
+    With ``seq``, the column that tells the order of rows, of rows with equal key and time the last one stays.
+    """
     lack = [c for c in ("datetime", "close") if c not in df.columns]
     if lack:
         raise ValueError("missing columns: " + ", ".join(lack))
@@ -81,11 +85,17 @@ def conform(df: DataFrame, key: list[str]) -> DataFrame:
     columns = [(F.col(c).try_cast("double") if c in df.columns else none).alias(c) for c in BASE[1:]]
     if "adjusted_close" in df.columns:
         columns.append(F.col("adjusted_close").try_cast("double").alias("adjusted_close"))
-    return ensure_datetime(df).select(*key, "datetime", *columns)
+    out = ensure_datetime(df)
+    out = keep_last(out, [*key, "datetime"], [seq]) if seq else out
+    return out.select(*key, "datetime", *columns)
 
 
 def epoch_time(df: DataFrame, name: str, unit: str = "auto", limit: float = 1e11) -> DataFrame:
-    """A column of epoch numbers as TIMESTAMP_NTZ: seconds, milliseconds, or by the largest number of the whole column."""
+    """A time column as TIMESTAMP_NTZ: text is parsed (bad times null), times stay, and epoch numbers count as seconds or
+    milliseconds, by ``unit`` or by the largest number of the whole column."""
+    kind = dict(df.dtypes)[name]
+    if kind == "string" or kind.startswith(("timestamp", "date")):
+        return ensure_datetime(df, name)
     x = F.col(name).try_cast("double")
 
     def time(ms: Column) -> Column:
@@ -97,11 +107,18 @@ def epoch_time(df: DataFrame, name: str, unit: str = "auto", limit: float = 1e11
     return df.join(F.broadcast(largest), how="cross").withColumn(name, time(F.col("_ms"))).drop("_ms")
 
 
-def normalize_ticks(raw: DataFrame, key: list[str]) -> DataFrame:
+def in_window(rows: DataFrame, start, end, name: str = "datetime") -> DataFrame:
+    """Rows with start <= time < end; start and end are values or columns."""
+    ends = [x if isinstance(x, Column) else F.lit(x).cast(NTZ) for x in (start, end)]
+    return rows.where((F.col(name) >= ends[0]) & (F.col(name) < ends[1]))
+
+
+def normalize_ticks(raw: DataFrame, key: list[str], start=None, end=None, seq: str | None = None) -> DataFrame:
     """(key, datetime, price, volume) of a feed under its own names, rows without time or price left out.
 
     The price is a price column of the feed, else the middle of ask and bid, else the side it has; without any, an error.
-    Volumes of the sides are summed where there is no volume column.
+    Volumes of the sides are summed where there is no volume column. Times may be text or epoch numbers. With a window only
+    its rows stay, and with ``seq``, the column that tells the order of rows, the first row of each key and time.
     """
     have = {c.strip().lower(): c for c in raw.columns}
 
@@ -119,8 +136,11 @@ def normalize_ticks(raw: DataFrame, key: list[str]) -> DataFrame:
     volume = pick(VOLUME_NAMES)
     sides = [v for v in (pick(ASK_VOLUMES), pick(BID_VOLUMES)) if v is not None]
     total = finite(volume) if volume is not None else tick_volume(*sides) if sides else F.lit(None).cast("double")
-    out = raw.select(*key, time.alias("datetime"), finite(price).alias("price"), total.alias("volume"))
-    return ensure_datetime(out).where("datetime is not null and price is not null")
+    order = [F.col(seq).alias("_seq")] if seq else []
+    out = raw.select(*key, time.alias("datetime"), finite(price).alias("price"), total.alias("volume"), *order)
+    out = epoch_time(out, "datetime").where("datetime is not null and price is not null")
+    out = out if start is None else in_window(out, start, end)
+    return keep_first(out, [*key, "datetime"], ["_seq"]).drop("_seq") if seq else out
 
 
 def with_provenance(bars: DataFrame, **tags: str) -> DataFrame:

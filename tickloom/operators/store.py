@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import timefn
 
 
-def keep_last(df: DataFrame, key: list[str], order: list) -> DataFrame:
-    """Of the rows with equal key, the last by ``order``, whole."""
-    w = Window.partitionBy(*key).orderBy(*[F.desc(c) if isinstance(c, str) else c for c in order])
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def _pick(df: DataFrame, key: list[str], row: Column) -> DataFrame:
+    out = df.groupBy(*key).agg(row.alias("_row"))
+    return out.select(*[(F.col(c) if c in key else F.col(f"_row.{c}")).alias(c) for c in df.columns])
+
+
+def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Of the rows with equal key, the last by ``order``, whole; copies combine before the shuffle."""
+    rest = [c for c in df.columns if c not in key]
+    return _pick(df, key, F.max_by(F.struct(*rest), F.struct(*order)))
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    rest = [c for c in df.columns if c not in key]
+    return _pick(df, key, F.min_by(F.struct(*rest), F.struct(*order)))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
@@ -49,11 +54,42 @@ def coverage_plan(requests: DataFrame, stored: DataFrame, key: list[str], step_s
 
 
 def range_cache_lookup(requests: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
-    """Per request the tightest cached range (key, range_start, range_end) that contains it; none gives no row."""
-    c = requests.join(ranges, key).where((F.col("range_start") <= F.col("start")) & (F.col("range_end") >= F.col("end")))
+    """Per request the tightest cached range (key, range_start, range_end) that contains it; none gives no row.
+
+    A request meets only the ranges that cover the month it starts in, so a key with many ranges is not searched whole.
+    """
+    month = F.date_trunc("MONTH", "start").cast(timefn.NTZ)
+    first, last = (F.date_trunc("MONTH", c).cast(timefn.NTZ) for c in ("range_start", "range_end"))
+    months = F.sequence(first, last, F.expr("INTERVAL 1 MONTH"))
+    covered = ranges.where("range_start <= range_end").withColumn("_month", F.explode(months))
+    c = requests.withColumn("_month", month).join(covered, [*key, "_month"])
+    c = c.where((F.col("range_start") <= F.col("start")) & (F.col("range_end") >= F.col("end")))
     length = F.col("range_end") - F.col("range_start")
-    w = Window.partitionBy(*key, "start", "end").orderBy(length, "range_start")
-    return c.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*key, "start", "end", "range_start", "range_end")
+    tightest = F.min(F.struct(length.alias("length"), F.col("range_start").alias("range_start"), F.col("range_end").alias("range_end")))
+    out = c.groupBy(*key, "start", "end").agg(tightest.alias("r"))
+    return out.select(*key, "start", "end", "r.range_start", "r.range_end")
+
+
+def trimmed(bars: DataFrame, hits: DataFrame, key: list[str]) -> DataFrame:
+    """The cached bars (key, range_start, range_end, datetime, ...) of the ranges found, cut to each request's start and end."""
+    rows = bars.join(hits, [*key, "range_start", "range_end"])
+    return rows.where((F.col("datetime") >= F.col("start")) & (F.col("datetime") <= F.col("end")))
+
+
+def latest_range(ranges: DataFrame, key: list[str]) -> DataFrame:
+    """Per key the stored range (start, end) that ends last; of several the one that starts first."""
+    best = F.max_by(F.struct("start", "end"), F.struct(F.col("end"), -F.unix_micros(F.col("start").cast("timestamp"))))
+    return ranges.groupBy(*key).agg(best.alias("r")).select(*key, "r.start", "r.end")
+
+
+def infer_window(files: DataFrame, by: list[str]) -> DataFrame:
+    """Earliest start and latest end over the matching files; without files no row."""
+    return files.groupBy(*by).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+def concat_chunks(chunks: DataFrame, key: list[str], number: str = "chunk") -> DataFrame:
+    """Chunks of one fetch as one series: for equal keys the row of the later chunk stays."""
+    return keep_last(chunks, key, [number]).drop(number)
 
 
 def plan_stats(plan: DataFrame) -> DataFrame:

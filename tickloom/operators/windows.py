@@ -130,6 +130,8 @@ def status_summary(checked: DataFrame, by: list[str]) -> DataFrame:
     """Windows in all, by status, and the share of failing ones."""
     s = F.col("status")
     n = [F.count_if(s == x).alias(x) for x in ("pass", "warn", "fail")]
+    window = F.struct("symbol", "start", "end")
+    n += [F.count_distinct(F.when(s == x, window)).alias(f"{x}_windows") for x in ("fail", "warn")]
     out = checked.groupBy(*by).agg(F.count("*").alias("total"), *n)
     return out.withColumn("failure_rate", F.round(F.col("fail") / F.col("total"), 6))
 
@@ -179,18 +181,57 @@ def assess_windows(windows: DataFrame, counts: DataFrame, alignment: bool = True
     return j.select(*KEY, reason.alias("reason"))
 
 
+def _inside(windows: DataFrame, rows: DataFrame, time: str = "datetime") -> DataFrame:
+    """Every window (symbol, start, end) with the rows whose time it holds, by the days it covers; at least one row each."""
+    key = ["symbol", "start", "end"]
+    day = F.date_trunc("DAY", time).cast(timefn.NTZ)
+    first, last = (F.date_trunc("DAY", c).cast(timefn.NTZ) for c in (F.col("start"), F.col("end") - timefn.seconds(1)))
+    w = windows.select(*key).distinct()
+    days = F.when(F.col("start") < F.col("end"), F.sequence(first, last, F.expr("INTERVAL 1 DAY"))).otherwise(F.array(first))
+    hit = w.withColumn("_day", F.explode(days)).join(rows.withColumn("_day", day), ["symbol", "_day"])
+    hit = hit.where((F.col(time) >= F.col("start")) & (F.col(time) < F.col("end"))).drop("_day")
+    return w.join(hit, key, "left")
+
+
+def post_check(repaired: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key, reason) of the repaired windows that are still not fine, by the light check of their rows as they are now."""
+    m = window_metrics(rows.join(repaired.select(*KEY).distinct(), KEY, "left_semi"), repaired)
+    counts = m.where("n_rows > 0").select(*KEY, "n_rows", "unaligned")
+    return assess_windows(repaired, counts).where(F.col("reason").isNotNull())
+
+
+def integrity_issues(rows: DataFrame, windows: DataFrame, step: str = "pos") -> DataFrame:
+    """(key, issues): for each window all faults of its rows as one list, with those of its first and last time."""
+    checked = check_windows(rows, windows)
+    t = F.try_to_timestamp(F.col("datetime").cast("string")).cast(timefn.NTZ)
+    ends = rows.select(*KEY, step, t.alias("t")).groupBy(*KEY).agg(F.min_by("t", step).alias("first_dt"), F.max_by("t", step).alias("last_dt"))
+    seconds = timefn.interval_seconds(F.col("interval"))
+    gridded = F.col("interval").isin(GRIDDED)
+    j = checked.join(ends, KEY, "left")
+    more = _messages(
+        (gridded & (F.col("first_dt") != F.col("start")), F.lit("first_timestamp_unexpected")),
+        (gridded & (F.col("last_dt") != F.col("end") - timefn.seconds(seconds)), F.lit("last_timestamp_unexpected")),
+    )
+    return j.select(*KEY, F.concat("fails", "warns", more).alias("issues"))
+
+
+def empty_window_issue(days: int = 7) -> Column:
+    """The issue of a window without rows that is ``days`` long or longer; null otherwise."""
+    long = _epoch(F.col("end")) - _epoch(F.col("start")) >= days * 86400
+    return F.when((F.col("n_rows") == 0) & long, F.lit("empty_window"))
+
+
 def rebuild_daily(minutes: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Daily session bars from stored minutes of windows (symbol, start, end) that hold all their minutes; and each window's status."""
     key = ["symbol", "start", "end"]
-    inside = (F.col("w.symbol") == F.col("m.symbol")) & (F.col("m.datetime") >= F.col("w.start")) & (F.col("m.datetime") < F.col("w.end"))
-    rows = windows.select(*key).distinct().alias("w").join(minutes.alias("m"), inside, "left")
-    rows = rows.select("w.symbol", "w.start", "w.end", "m.datetime", *[f"m.{c}" for c in OHLCV])
+    rows = _inside(windows, minutes.select("symbol", "datetime", *OHLCV))
     have = rows.groupBy(*key).agg(F.count("datetime").alias("n_rows"))
     want = expected_rows(F.lit("1m"), F.col("start"), F.col("end"))
     state = F.when(F.col("n_rows") == 0, "missing_1m").when(F.col("n_rows") != want, "incomplete_1m").otherwise("rebuilt")
     status = have.select(*key, state.alias("status"))
     good = rows.join(status.where("status = 'rebuilt'"), key, "left_semi")
-    return bar_ops.bars_daily(good.select("symbol", "datetime", *OHLCV), drop_empty=True), status
+    daily = bar_ops.bars_daily(good.select("symbol", "datetime", *OHLCV), drop_empty=True)
+    return daily.where(timefn.is_session_close(F.col("datetime"))), status  # only bars that pass the check of daily bars
 
 
 def strict_gate(bars: DataFrame, checked: DataFrame, created_at: Column) -> tuple[DataFrame, DataFrame]:
@@ -215,9 +256,7 @@ def hour_coverage(ticks: DataFrame, windows: DataFrame) -> DataFrame:
     """Per window (symbol, start, end), hours in it, hours with ticks, and hours without."""
     hour = timefn.hour_floor(F.col("datetime"))
     have = ticks.select("symbol", hour.alias("hour")).where("hour is not null").distinct()
-    inside = (F.col("w.symbol") == F.col("h.symbol")) & (F.col("hour") >= F.col("start")) & (F.col("hour") < F.col("end"))
-    j = windows.alias("w").join(have.alias("h"), inside, "left")
-    out = j.groupBy(F.col("w.symbol").alias("symbol"), "start", "end").agg(F.count("hour").alias("present"))
+    out = _inside(windows, have, "hour").groupBy("symbol", "start", "end").agg(F.count("hour").alias("present"))
     hours = F.ceil((_epoch(F.col("end")) - _epoch(F.col("start"))) / 3600).cast("long")
     return out.select("symbol", "start", "end", hours.alias("hours"), "present", (hours - F.col("present")).alias("missing"))
 

@@ -65,12 +65,12 @@ def catalog_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_LISTED}, a AS (SELECT * FROM listed WHERE k % 4 = 0), b AS (SELECT * FROM listed WHERE k % 6 = 0)
+    f"""WITH {SQL_LISTED}, a AS (SELECT * FROM listed WHERE k % 2 = 0), b AS (SELECT * FROM listed WHERE k % 2 = 1 OR k % 3 = 0)
 SELECT symbol, name FROM a UNION ALL SELECT symbol, name FROM b WHERE is_etf AND symbol NOT IN (SELECT symbol FROM a)"""
 )
 def supplement_catalog(spark: SparkSession, d: str) -> DataFrame:
     rows = listed(spark, d)
-    return feeds.supplement(rows.where("k % 4 = 0"), rows.where("k % 6 = 0")).select("symbol", "name")
+    return feeds.supplement(rows.where("k % 2 = 0"), rows.where("k % 2 = 1 or k % 3 = 0")).select("symbol", "name")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import timefn
@@ -52,7 +52,8 @@ def check_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {SQL_CHECKED} SELECT symbol, interval, count(*) AS total, count_if(status = 'pass')::BIGINT AS pass, count_if(status = 'warn')::BIGINT AS warn,
-  count_if(status = 'fail')::BIGINT AS fail, round(count_if(status = 'fail') / count(*), 6) AS failure_rate FROM k GROUP BY 1, 2"""
+  count_if(status = 'fail')::BIGINT AS fail, count(DISTINCT CASE WHEN status = 'fail' THEN s END) AS fail_windows, count(DISTINCT CASE WHEN status = 'warn' THEN s END) AS warn_windows,
+  round(count_if(status = 'fail') / count(*), 6) AS failure_rate FROM k GROUP BY 1, 2"""
 )
 def status_summary(spark: SparkSession, d: str) -> DataFrame:
     return windows.status_summary(checked(spark, d), ["symbol", "interval"])
@@ -96,12 +97,22 @@ def rejected_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_CHECKED} SELECT r.symbol, r.interval, count(*) AS n, sum(o) AS total FROM r JOIN k USING (symbol, interval, s) WHERE status <> 'fail' GROUP BY 1, 2"""
+    """WITH d AS (SELECT *, date_trunc('day', ts) AS s FROM events), k AS (SELECT event_type, s, count_if(event_id % 89 = 0) AS bad FROM d GROUP BY 1, 2)
+SELECT event_type AS symbol, count(*) AS n, sum(value) AS total FROM d JOIN k USING (event_type, s) WHERE bad = 0 GROUP BY 1"""
 )
 def accepted_bars(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.window_rows(spark, d)
-    good = windows.strict_gate(rows, checked(spark, d), F.lit("2024-01-01"))[0]
-    return good.groupBy("symbol", "interval").agg(F.count("*").alias("n"), F.sum("open").alias("total"))
+    start = F.date_trunc("DAY", "ts").cast(timefn.NTZ)
+    v = F.col("value")
+    rows = views.table(spark, d, "events").select(
+        F.col("event_type").alias("symbol"), F.lit("1h").alias("interval"), start.alias("start"), (start + timefn.seconds(86400)).alias("end"),
+        F.row_number().over(Window.partitionBy("event_type", start).orderBy("ts", "event_id")).alias("pos"),
+        (F.col("ts").cast(timefn.NTZ) + F.make_dt_interval(secs=F.lit(0.0))).alias("datetime"), v.alias("open"),
+        F.when(F.col("event_id") % 89 == 0, v - 5).otherwise(v + 1).alias("high"), (v - 1).alias("low"), v.alias("close"), F.lit(1.0).alias("volume"),
+    )
+    bad = windows.check_windows(rows, rows.select(*windows.KEY))
+    bad = bad.withColumn("status", F.when(F.exists("fails", lambda x: x.startswith("ohlc")), "fail").otherwise("pass"))
+    good = windows.strict_gate(rows, bad, F.lit("2024-01-01"))[0]
+    return good.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("open").alias("total"))
 
 
 @query(
@@ -113,12 +124,12 @@ def hour_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_DAYS}, o AS (SELECT symbol, date_trunc('day', datetime) AS s, count(DISTINCT seq % 2) AS n FROM ticks WHERE seq % 3 <> 0 GROUP BY 1, 2)
+    f"""WITH {SQL_DAYS}, o AS (SELECT symbol, date_trunc('day', datetime) AS s, count(DISTINCT seq % 2) AS n FROM ticks WHERE day(datetime) % 3 <> 0 OR seq % 2 = 0 GROUP BY 1, 2)
 SELECT symbol, s AS start, s + INTERVAL 1 DAY AS "end" FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.symbol = w.symbol AND o.s = w.s AND n = 2)"""
 )
 def open_windows(spark: SparkSession, d: str) -> DataFrame:
     start = F.date_trunc("DAY", "datetime").cast(timefn.NTZ)
-    have = views.ticks(spark, d).where("seq % 3 <> 0").select("symbol", F.when(F.col("seq") % 2 == 0, "1m").otherwise("1d").alias("interval"), start.alias("start"))
+    have = views.ticks(spark, d).where("day(datetime) % 3 <> 0 or seq % 2 = 0").select("symbol", F.when(F.col("seq") % 2 == 0, "1m").otherwise("1d").alias("interval"), start.alias("start"))
     return windows.open_windows(days(spark, d), have.withColumn("end", F.col("start") + timefn.seconds(86400)), ["1m", "1d"])
 
 

@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
+import lzma
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from tickloom.functions import timefn
 from tickloom.functions.numeric import half_even_long
+from tickloom.operators.store import keep_last, upsert
 
 WINDOW_NAME = r"^(.+)_([0-9]+[a-z]+)_([0-9]{8})_([0-9]{8})\.csv$"
+BARS = ["open", "high", "low", "close", "volume"]
 BAR_SCHEMA = "datetime string, open double, high double, low double, close double, volume double"
-#: Interval codes of the MT4 format. Fixed values.
-MT4 = {"1m": "M1", "5m": "M5", "15m": "M15", "30m": "M30", "1h": "H1", "1d": "D1"}
-
-
-def scan_bars(spark: SparkSession, root: str, interval: str | None = None) -> DataFrame:
-    """Parquet bars below root/asset_type/symbol/interval_start_end.parquet, with these keys from the path."""
+STORED_BARS = "datetime timestamp_ntz, open double, high double, low double, close double, volume double"
+#: Records of a binary tick file: milliseconds after the hour, ask, bid, ask volume, bid volume. Fixed values.
+TICK = np.dtype([("ms", ">i4"), ("ask", ">i4"), ("bid", ">i4"), ("ask_volume", ">f4"), ("bid_volume", ">f4")])
+TICK_NAME = r"^(.+)_(\d{4}-\d{2}-\d{2})_(\d{2})$"
+#: Buckets that symbols of one asset type and interval are stored in.
+BUCKETS = 64
+PLACE = ["asset_type", "interval", "bucket"]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def scan_bars(spark: SparkSession, root: str, interval: str | None = None, asset_type: str = "*", symbol: str = "*") -> DataFrame:
+    """Parquet bars below root/asset_type/symbol/interval_start_end.parquet, with these keys from the path.
+
+    Only the folders and files of the asked asset type, symbol and interval are listed. A missing root, or one without
+    such files, gives no rows.
+    """
+    folder = f"{root}/{asset_type}/{symbol}"
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{interval or '*'}_*.parquet")
+    if not exists(spark, root) or not pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern):
+        return spark.createDataFrame([], f"{STORED_BARS}, asset_type string, symbol string, interval string")
     reader = spark.read.option("recursiveFileLookup", True)
     if interval:
         reader = reader.option("pathGlobFilter", f"{interval}_*.parquet")
     parts = F.split(F.col("_metadata.file_path"), "/")
     name = F.element_at(parts, -1)
-    return reader.parquet(root).select(
+    return reader.parquet(folder).select(
         "*",
         F.element_at(parts, -3).alias("asset_type"),
         F.element_at(parts, -2).alias("symbol"),
@@ -28,6 +55,35 @@ def scan_bars(spark: SparkSession, root: str, interval: str | None = None) -> Da
     )
 
 
+def scan_tick_binary(spark: SparkSession, root: str, point: float) -> DataFrame:
+    """(symbol, datetime, price, volume, seq) of LZMA tick files named SYMBOL_YYYY-MM-DD_HH, one hour each.
+
+    The price is the middle of ask and bid in units of ``point``; the volume the sum of both sides in millionths, null where
+    both are 0. Ticks outside the file's hour are left out; files that are empty or cannot be read give no rows.
+    """
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for symbol, hour, content in batch.itertuples(index=False):
+                try:
+                    raw = lzma.decompress(content)
+                    t = np.frombuffer(raw[: len(raw) // TICK.itemsize * TICK.itemsize], TICK)
+                except lzma.LZMAError:
+                    continue
+                ask, bid = (np.round(t[c].astype(float) * 1e6) for c in ("ask_volume", "bid_volume"))
+                out = pd.DataFrame({"symbol": symbol, "hour": hour, "ms": t["ms"].astype(np.int64), "price": (t["ask"].astype(float) + t["bid"]) / 2 / point})
+                yield out.assign(volume=np.where((ask == 0) & (bid == 0), np.nan, ask + bid), seq=np.arange(len(t)))
+
+    name = F.element_at(F.split("path", "/"), -1)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = found.where(name.rlike(TICK_NAME) & (F.col("length") > 0))
+    hour = F.try_to_timestamp(F.concat_ws(" ", F.regexp_extract(name, TICK_NAME, 2), F.regexp_extract(name, TICK_NAME, 3)), F.lit("yyyy-MM-dd HH")).cast("timestamp_ntz")
+    rows = found.select(F.regexp_extract(name, TICK_NAME, 1).alias("symbol"), hour.alias("hour"), "content").where("hour is not null")
+    ticks = rows.mapInPandas(decode, "symbol string, hour timestamp_ntz, ms long, price double, volume double, seq long").where("ms >= 0 and ms < 3600000")
+    at = F.col("hour") + timefn.seconds(F.col("ms") / 1000)
+    return ticks.select("symbol", at.alias("datetime"), "price", F.when(~F.isnan("volume"), F.col("volume")).alias("volume"), "seq")
+
+
 def scan_window_csv(spark: SparkSession, root: str) -> DataFrame:
     """CSV bars of files named SYMBOL_INTERVAL_START_END.csv; other files are ignored."""
     df = spark.read.schema(BAR_SCHEMA).option("header", True).option("recursiveFileLookup", True).csv(root)
@@ -52,11 +108,40 @@ def range_from_name(name: Column) -> Column:
     return F.when(F.size(p) == 3, F.struct(F.get(p, F.lit(0)).alias("interval"), day(1).alias("start"), day(2).alias("end")))
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
-    """Zstd parquet by asset type and interval, sorted by symbol and time; touched partitions are replaced."""
-    out = bars.repartition("asset_type", "interval", F.col("symbol")).sortWithinPartitions("symbol", "datetime")
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The bars that ``write_bars`` has stored; asset types and intervals are text, whatever they look like."""
+    held = spark.read.option("recursiveFileLookup", True).parquet(path).schema
+    fields = [*[f for f in held.fields if f.name not in PLACE], *[StructField(c, StringType()) for c in PLACE[:2]], StructField(PLACE[2], IntegerType())]
+    return spark.read.schema(StructType(fields)).parquet(path)
+
+
+def write_bars(bars: DataFrame, path: str, seq: str | None = None, buckets: int = BUCKETS) -> None:
+    """Merge bars into zstd parquet by asset type, interval and bucket of symbols, sorted by symbol and time.
+
+    Only the buckets of the given symbols are read and written anew; in them, a bar of the same symbol and time is
+    replaced, and all others stay. Of several given bars with equal keys the one with the highest ``seq`` is written.
+    """
+    spark = bars.sparkSession
+    place, key = PLACE, ["asset_type", "interval", "symbol", "datetime"]
+    new = bars.withColumn("bucket", F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int"))
+    new = new.withColumn("_seq", F.col(seq) if seq else F.lit(0))
+    if exists(spark, path):
+        touched = new.select(*place).distinct()
+        old = read_store(spark, path).join(touched, place, "left_semi")
+        new = upsert(old.withColumn("_seq", F.lit(None).cast(new.schema["_seq"].dataType)), new, key, "_seq")
+    else:
+        new = keep_last(new, key, ["_seq"])
+    out = new.drop("_seq").repartition(*place).sortWithinPartitions(*place, "symbol", "datetime")
     writer = out.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("asset_type", "interval").parquet(path)
+    writer.partitionBy(*place).parquet(path)
+
+
+def write_windows(bars: DataFrame, path: str) -> None:
+    """Window CSVs in folders by symbol, interval and window (its first and last day), times as yyyy-MM-dd HH:mm:ss, in time order."""
+    tag = timefn.window_tag(F.col("start"), F.col("end"))
+    out = bars.select("symbol", "interval", tag.alias("window"), F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("datetime"), *BARS)
+    out = out.repartition("symbol", "interval", "window").sortWithinPartitions("symbol", "interval", "window", "datetime")
+    out.write.mode("overwrite").option("header", True).partitionBy("symbol", "interval", "window").csv(path)
 
 
 def page_symbols(pages: DataFrame, pattern: str, longest: int = 20) -> DataFrame:
@@ -66,13 +151,23 @@ def page_symbols(pages: DataFrame, pattern: str, longest: int = 20) -> DataFrame
     return found.where(F.length("symbol").between(1, longest)).distinct()
 
 
+def _price(name: str) -> Column:
+    value = F.col(name).try_cast("double")
+    bad = F.col(name).isNotNull() & value.isNull()
+    return F.when(bad, F.raise_error(F.concat(F.lit(f"{name} is no number: "), F.col(name).cast("string"))).cast("double")).otherwise(value).alias(name)
+
+
 def mt4_rows(bars: DataFrame) -> DataFrame:
-    """Rows of the MT4 export: date, time, prices, and volume rounded half to even (null as 0)."""
+    """Rows of the MT4 export: date, time, prices, and volume rounded half to even (null as 0).
+
+    A row without a time, or with a price that is no number, is an error; a null price stays null.
+    """
+    at = F.when(F.col("datetime").isNull(), F.raise_error(F.lit("a bar without a time")).cast("timestamp_ntz")).otherwise(F.col("datetime"))
     return bars.select(
         "symbol",
-        F.date_format("datetime", "yyyy.MM.dd").alias("date"),
-        F.date_format("datetime", "HH:mm").alias("time"),
-        "open", "high", "low", "close",
+        F.date_format(at, "yyyy.MM.dd").alias("date"),
+        F.date_format(at, "HH:mm").alias("time"),
+        *[_price(c) for c in ("open", "high", "low", "close")],
         half_even_long(F.col("volume")).alias("volume"),
     )
 

@@ -129,6 +129,31 @@ def ledger_rows(failures: DataFrame, created_at: Column | None = None) -> DataFr
     return failures.select(*[F.coalesce(value(c).cast("string"), F.lit("")).alias(c) for c in LEDGER])
 
 
+ISSUES = ["path", "symbol", "interval", "rule_id", "severity", "message", "n", "created_at"]
+
+
+def issue_rows(issues: DataFrame, created_at: Column | None = None) -> DataFrame:
+    """Issues in the fixed order of columns, as text; what an issue lacks is empty, the message tells the rule and its number."""
+    made = {
+        "message": F.concat_ws("=", "rule_id", F.col("n").cast("string")),
+        "created_at": F.current_timestamp() if created_at is None else created_at,
+    }
+
+    def value(c: str) -> Column:
+        return F.col(c) if c in issues.columns else made.get(c, F.lit(""))
+
+    return issues.select(*[F.coalesce(value(c).cast("string"), F.lit("")).alias(c) for c in ISSUES])
+
+
+def write_issues(issues: DataFrame, path: str, form: str = "json", created_at: Column | None = None) -> None:
+    """The issues as JSON lines, or as CSV with a header."""
+    rows = issue_rows(issues, created_at)
+    if form == "json":
+        rows.write.mode("overwrite").json(path)
+    else:
+        write_csv(rows, path)
+
+
 def bridge_csv(spark: SparkSession, root: str, store: DataFrame | None = None, source: str = "csv") -> DataFrame:
     """Bars of a tree of window CSVs with their source, merged over the bars of ``store`` if that is given."""
     rows = files.scan_window_csv(spark, root).where("datetime is not null")

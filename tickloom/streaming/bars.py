@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.functions.timefn import NTZ, session_close
-from tickloom.operators.store import upsert
+from tickloom.sources.files import write_bars
 
 
 def stream_dedup(ticks: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -47,13 +47,13 @@ def stream_daily(ticks: DataFrame, delay: str = "1 hour", zone: str = "America/N
     ).select("symbol", "datetime", "open", "high", "low", "close", "volume")
 
 
-def stream_upsert(landing: DataFrame, path: str, checkpoint: str, key: list[str]) -> StreamingQuery:
-    """Merge each batch of new files into the Parquet table at path: versions are written side by side and the newest
-    one named in the batch's folder is the table."""
+def stream_upsert(landing: DataFrame, path: str, checkpoint: str, seq: str | None = "seq") -> StreamingQuery:
+    """Merge each batch of new bars into the bar table at path; only the buckets that a batch touches are written anew.
+
+    A batch that is run again after a failure gives the same table.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v{number - 1}") if number else batch.limit(0)
-        upsert(old, batch, key).write.mode("overwrite").parquet(f"{path}/v{number}")
+        write_bars(batch, path, seq)
 
     return landing.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
