@@ -27,6 +27,8 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0
 
 #: Least bits of a folded sketch, members of a bucket in one block of a comparison, and pairs or words at a time.
 LEAST_FOLD, BLOCK, AT_ONCE = 256, 1024, 1 << 18
+#: How much wider the sketches of open buckets are, where all members meet, and the bits up to which they are.
+WIDER, MOST_FOLD = 32, 1 << 16
 #: Most ids of candidate texts that are sent to every task of the text scan (16 bytes each).
 SENT_IDS = 1_000_000
 
@@ -176,9 +178,11 @@ def _described(words: int, threshold: float):
 DESCRIBED = "doc_id long, place long, node long, size long, fold binary, keys array<long>"
 
 
-def folded(hashes: np.ndarray) -> np.ndarray:
-    """A parity sketch to rule out pairs before their sets are compared: the least power of two of bits over the size."""
+def folded(hashes: np.ndarray, wider: int = 1) -> np.ndarray:
+    """A parity sketch to rule out pairs before their sets are compared: the least power of two of bits over the size, or
+    ``wider`` times as many, but not above MOST_FOLD for that."""
     n = max(LEAST_FOLD, 1 << int(len(hashes)).bit_length())
+    n = max(n, min(n * wider, MOST_FOLD))
     at = (_mixed(hashes, 1) % np.uint64(n)).astype(np.int64)
     odd = (np.bincount(at, minlength=n) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.uint64)
@@ -209,6 +213,17 @@ def _node_texts(words: int):
     return run
 
 
+def _wide_folds(words: int):
+    """Rows (node, text) to (node, fold) with the wider sketch of the text's set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folds = [folded(shingle_set(t, words), WIDER).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(folds, pa.binary())], names=["node", "fold"])
+
+    return run
+
+
 def _folds(column: Iterable[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint64).reshape(-1, width // 8)
 
@@ -433,7 +448,11 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     drop_stored(buckets)
     links = stored(_links(stored(_near(pairs, nodes, percent), "near"), docs, nodes, words, percent), "links")
     components = stored(connected_components(links), "components")
-    near = stored(_open_pairs(_unsettled(rest, components), nodes, percent), "near")
+    open_ = stored(_unsettled(rest, components), "open")
+    inside = nodes.join(open_.select("node").distinct(), "node", "left_semi")
+    texts = _node_table(docs, inside.select("node", "rep_place"), words)
+    wide = stored(map_batches(texts, _wide_folds(words), "node long, fold binary"), "wide")
+    near = stored(_open_pairs(open_, inside.drop("fold").join(wide, "node"), percent), "near")
     more = None if near.isEmpty() else stored(_links(near, docs, nodes, words, percent), "links")
     if more is not None and not more.isEmpty():
         components = stored(connected_components(components.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
