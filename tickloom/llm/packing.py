@@ -37,10 +37,11 @@ WELL_FILLED = 0.995
 LEAST_FINAL = 0.02
 #: Levels that sequence numbers leave room for; as each level but the last ends some pieces, far fewer are made.
 LEVELS = 1024
-#: A blank between two words; texts with other ones; words that a task remembers the ids of, and characters of a part that is not remembered.
+#: A blank between two words; a word with what follows it; words that a worker remembers the ids of (twice, at most), and characters of a
+#: part that is not remembered.
 BETWEEN_WORDS = re.compile(r"(?<=\S)(?= \S)")
-IRREGULAR = re.compile(r"\s | \s|^\s|\s$")  # a blank that is not between two words, or white space at an end
-REMEMBERED, LONG_PART = 100_000, 64
+WORD_AND_REST = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([\n!-@\[-`{-~].*)", re.DOTALL)
+REMEMBERED, LONG_PART = 300_000, 64
 
 
 @lru_cache(maxsize=4)
@@ -60,53 +61,89 @@ class Encoder:
     """The ids of texts as little-endian 32-bit numbers, with words that came before remembered.
 
     The vocabulary's splitting pattern starts a new word at a single blank between two characters that are no white
-    space, and merges stay inside a word; so the ids of a text are those of its parts between such blanks. New parts are
-    encoded together, each after its blank, and told apart by where their tokens end.
+    space, and after letters that no letter follows; merges stay inside a word. So the ids of a text are those of its
+    parts between such blanks, and those of a part are its word's and then the rest's. New words are encoded together,
+    each after its blank, and told apart by the tokens that begin with a blank: without a blank of their own each has one.
     """
 
     def __init__(self, json_path: str):
         self.tokenizer = _tokenizer(json_path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the vocabulary's letter for a blank
         self.young: dict[str, bytes] = {}  # two generations, so that frequent words outlast the rare ones
         self.old: dict[str, bytes] = {}
+        self.rests: dict[str, bytes] = {}  # what follows words, encoded without a blank
 
     def __call__(self, text: str) -> bytes:
-        if IRREGULAR.search(text):
-            first, *inner = BETWEEN_WORDS.split(text)
-            tail = inner.pop() if inner else ""
-            inner = [p[1:] for p in inner]
-        else:
-            first, *inner = text.split(" ")
-            tail = ""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
+        if len(self.rests) > REMEMBERED:
+            self.rests = {}
         young = self.young
-        new = []
-        for p in set(inner):
-            if p not in young:
-                if p in self.old:
-                    young[p] = self.old[p]
-                else:
-                    new.append(p)
-        for k in range(0, len(new), 10_000):
-            self._learn(new[k : k + 10_000])
-        out = b"".join([self._ids(first), *map(young.__getitem__, inner), self._ids(tail)])
-        for p in new:
+        first, *inner = text.split(" ")
+        tail = ""
+        missing = set(inner).difference(young)
+        if any(not p or p[0].isspace() or p[-1].isspace() for p in missing) or not first or first[-1].isspace():
+            first, *inner = BETWEEN_WORDS.split(text)  # some blank is not between two words
+            tail = inner.pop() if inner else ""
+            inner = [p[1:] for p in inner]
+            missing = set(inner).difference(young)
+        new, long, joined = set(), [], []
+        for p in missing:
+            if p in self.old:
+                young[p] = self.old[p]
+                continue
             if len(p) > LONG_PART:
-                del young[p]
+                long.append(p)
+            if " " in p:
+                young[p] = self._ids(" " + p)
+            elif found := WORD_AND_REST.fullmatch(p):
+                word, rest = found.groups()
+                joined.append((p, word, rest))
+                if word not in young:
+                    if word in self.old:
+                        young[word] = self.old[word]
+                    else:
+                        new.add(word)
+            else:
+                new.add(p)
+        self._learn(list(new))
+        for p, word, rest in joined:
+            ids = self.rests.get(rest)
+            if ids is None:
+                ids = self._ids(rest)
+                if len(rest) <= LONG_PART:
+                    self.rests[rest] = ids
+            young[p] = young[word] + ids
+        out = b"".join([self._ids(first), *map(young.__getitem__, inner), self._ids(tail)])
+        for p in long:
+            del young[p]
+        for word in new:
+            if len(word) > LONG_PART:
+                young.pop(word, None)
         return out
 
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if text else b""
+        return self._encode(text).tobytes() if text else b""
+
+    def _learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), 10_000):
+            some = words[k : k + 10_000]
+            found = self._encode(" " + " ".join(some))
+            raw = found.tobytes()
+            cuts = [*(4 * np.flatnonzero(self.begins[found])).tolist(), len(raw)]
+            for word, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
+                self.young[word] = raw[a:b]
+
 
-    def _learn(self, parts: list[str]) -> None:
-        found = self.tokenizer.encode(" " + " ".join(parts), add_special_tokens=False)
-        raw = np.array(found.ids, dtype="<u4").tobytes()
-        ends = np.cumsum([1 + len(p) for p in parts])
-        cuts = np.searchsorted([e for _, e in found.offsets], ends, side="right").tolist()
-        at = 0
-        for p, cut_ in zip(parts, cuts, strict=True):
-            self.young[p] = raw[4 * at : 4 * cut_]
-            at = cut_
+@lru_cache(maxsize=1)
+def _encoder(json_path: str) -> Encoder:
+    """One for all tasks of a Python worker, so that a task finds the words of the ones before."""
+    return Encoder(json_path)
 
 
 def cut(length: int, size: int) -> list[tuple[int, int]]:
@@ -120,7 +157,7 @@ def pieces(docs: DataFrame, json_path: str, size: int = SEQUENCE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each row; a document's ids are its tokens and then id 0."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(json_path)
+        encode = _encoder(json_path)
         for batch in batches:
             out: list[tuple] = []
             seen: dict[str, list[tuple]] = {}  # copies within a batch are encoded once
