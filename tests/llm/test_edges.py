@@ -230,10 +230,12 @@ def test_levels_pack_each_piece_once_without_gaps(spark):
     assert len(size) <= 1.06 * sum(length.values()) / 2048
 
 
-def test_ids_by_parts_equal_ids_of_whole_texts():
+@pytest.mark.parametrize("remembered", [packing.REMEMBERED, 20])
+def test_ids_by_parts_equal_ids_of_whole_texts(remembered, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", remembered)  # few: words are forgotten and learnt again
     path = packing.tokenizer_file()
     encode = packing.Encoder(path)
-    some = [" ", "  ", "\n", "\t", "\u00a0", "\x1c", "\x85", "\u3000", "\u200b", "'s", "'ll", "<|endoftext|>", "a", "B7", "ß", "日本", "é", "🙂", "...", "\u0301", "x" * 90, "12", "-", "٣"]
+    some = [" ", "  ", "\n", "\t", "\u00a0", "\x1c", "\x85", "\u3000", "\u200b", "'s", "'ll", "<|endoftext|>", "a", "B7", "ß", "日本", "é", "🙂", "...", "\u0301", "x" * 90, "12", "-", "٣", "word.", "Wört,\nZwei", "x=1", "½", "Ⅷ", "Ġ"]
     for k in range(3000):
         t = "".join(rng.choice(some + [" ", " ", " "]) for _ in range(rng.randint(0, 25)))
         assert np.frombuffer(encode(t), "<u4").tolist() == packing.token_ids(t, path), repr(t)
