@@ -235,7 +235,10 @@ def test_ids_by_parts_equal_ids_of_whole_texts(remembered, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", remembered)  # few: words are forgotten and learnt again
     path = packing.tokenizer_file()
     encode = packing.Encoder(path)
-    some = [" ", "  ", "\n", "\t", "\u00a0", "\x1c", "\x85", "\u3000", "\u200b", "'s", "'ll", "<|endoftext|>", "a", "B7", "ß", "日本", "é", "🙂", "...", "\u0301", "x" * 90, "12", "-", "٣", "word.", "Wört,\nZwei", "x=1", "½", "Ⅷ", "Ġ"]
-    for k in range(3000):
-        t = "".join(rng.choice(some + [" ", " ", " "]) for _ in range(rng.randint(0, 25)))
-        assert np.frombuffer(encode(t), "<u4").tolist() == packing.token_ids(t, path), repr(t)
+    some = [" ", "  ", "\n", "\t", "\u00a0", "\x1c", "\x85", "\u3000", "\u200b", "'s", "'ll", "<|endoftext|>", "a", "B7", "ß", "日本", "é", "🙂", "...", "\u0301", "x" * 90, "12", "-", "٣", "word.", "Wört,\nZwei", "don't.", "été7", "a1b2.", "x=1", "½", "Ⅷ", "Ġ"]
+    texts = ["".join(rng.choice(some + [" ", " ", " "]) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    for n in (1, 40, 500):  # texts of a batch
+        for k in range(0, len(texts), n):
+            batch = texts[k : k + n]
+            for t, ids in zip(batch, encode(batch), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == packing.token_ids(t, path), repr(t)

@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +38,12 @@ WELL_FILLED = 0.995
 LEAST_FINAL = 0.02
 #: Levels that sequence numbers leave room for; as each level but the last ends some pieces, far fewer are made.
 LEVELS = 1024
-#: A blank between two words; a word with what follows it; words that a worker remembers the ids of (twice, at most), and characters of a
-#: part that is not remembered.
+#: A blank between two words, letters that may end a word, and what is cut off after those.
 BETWEEN_WORDS = re.compile(r"(?<=\S)(?= \S)")
-WORD_AND_REST = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([\n!-@\[-`{-~].*)", re.DOTALL)
-REMEMBERED, LONG_PART = 300_000, 64
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàâçèéêëîïôùûüöäßñáíóú")
+MARKS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
+#: Words that a worker remembers the ids of (twice, at most), and characters of one that is not remembered.
+REMEMBERED, LONG_WORD = 300_000, 64
 
 
 @lru_cache(maxsize=4)
@@ -61,9 +63,9 @@ class Encoder:
     """The ids of texts as little-endian 32-bit numbers, with words that came before remembered.
 
     The vocabulary's splitting pattern starts a new word at a single blank between two characters that are no white
-    space, and after letters that no letter follows; merges stay inside a word. So the ids of a text are those of its
-    parts between such blanks, and those of a part are its word's and then the rest's. New words are encoded together,
-    each after its blank, and told apart by the tokens that begin with a blank: without a blank of their own each has one.
+    space, and after a letter that no letter follows; merges stay inside a word. So the ids of a text are those of its
+    parts between such blanks, and those of a part that ends in marks are its stem's and then the marks'. New stems are
+    encoded together, each after its blank, and told apart by the tokens that begin with a blank: each has one.
     """
 
     def __init__(self, json_path: str):
@@ -71,58 +73,82 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the vocabulary's letter for a blank
+        endings = {t.content[-1:] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.marks = "".join(c for c in MARKS if c not in endings)  # so no special token is cut
         self.young: dict[str, bytes] = {}  # two generations, so that frequent words outlast the rare ones
         self.old: dict[str, bytes] = {}
-        self.rests: dict[str, bytes] = {}  # what follows words, encoded without a blank
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, in order. All are split at once, and each distinct word is looked up once."""
+        self._forget()
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        words = split.flatten().dictionary_encode()
+        codes, ends = words.indices.to_numpy(), split.offsets.to_numpy()
+        follows = np.ones(len(codes), bool)  # a blank
+        follows[ends[:-1]] = False
+        inner = np.zeros(len(words.dictionary), bool)
+        inner[codes[follows]] = True
+        kept = np.flatnonzero(inner)
+        stems, marks = self._cut(words.dictionary.take(pa.array(kept)))
+        missing = {s for s in stems if s not in self.young}
+        strange = {s for s in missing if not s or s[0].isspace() or s[-1].isspace()}  # not all blanks are between two words
+        long = self._know(missing - strange)
+        of_marks = self._each(set(marks))
+        ids: list[bytes | None] = [None] * len(inner)
+        odd = np.zeros(len(inner), bool)
+        for k, stem, mark in zip(kept.tolist(), stems, marks, strict=True):
+            if stem in strange:
+                odd[k] = True
+            else:
+                ids[k] = self.young[stem] + of_marks[mark] if mark else self.young[stem]
+        before = np.r_[0, np.cumsum(odd[codes] & follows)]
+        firsts = [t.partition(" ")[0] for t in texts]
+        plain = [n == 0 and f != "" and not f[-1].isspace() for n, f in zip((before[ends[1:]] - before[ends[:-1]]).tolist(), firsts, strict=True)]
+        begun = self._each({f for f, p in zip(firsts, plain, strict=True) if p})
+        for text, p, first, a, b in zip(texts, plain, firsts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield begun[first] + b"".join(map(ids.__getitem__, codes[a + 1 : b].tolist())) if p else self._by_parts(text)
+        for word in long:
+            self.young.pop(word, None)
+
+    def _by_parts(self, text: str) -> bytes:
+        """The ids of a text in which some blank is not between two words."""
+        self._forget()
+        first, *inner = BETWEEN_WORDS.split(text)
+        tail = inner.pop() if inner else ""
+        inner = [p[1:] for p in inner]
+        long = self._know(set(inner).difference(self.young))
+        out = b"".join([self._ids(first), *map(self.young.__getitem__, inner), self._ids(tail)])
+        for p in long:
+            self.young.pop(p, None)
+        return out
+
+    def _forget(self) -> None:
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        if len(self.rests) > REMEMBERED:
-            self.rests = {}
-        young = self.young
-        first, *inner = text.split(" ")
-        tail = ""
-        missing = set(inner).difference(young)
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in missing) or not first or first[-1].isspace():
-            first, *inner = BETWEEN_WORDS.split(text)  # some blank is not between two words
-            tail = inner.pop() if inner else ""
-            inner = [p[1:] for p in inner]
-            missing = set(inner).difference(young)
-        new, long, joined = set(), [], []
-        for p in missing:
-            if p in self.old:
-                young[p] = self.old[p]
+
+    def _cut(self, words: pa.Array) -> tuple[list[str], list[str]]:
+        """The stem of each word and the marks after it, if the stem ends in a letter; else the word and nothing."""
+        stems, marks = words.to_numpy(zero_copy_only=False).tolist(), [""] * len(words)
+        for k, stem in enumerate(pc.ascii_rtrim(words, self.marks).to_numpy(zero_copy_only=False).tolist()):
+            if len(stem) < len(stems[k]) and stem and stem[-1] in LETTERS:
+                stems[k], marks[k] = stem, stems[k][len(stem) :]
+        return stems, marks
+
+    def _know(self, parts: Iterable[str]) -> list[str]:
+        """Puts the parts, which are not among the young, there; returns those too long to stay."""
+        new, long = [], []
+        for p in parts:
+            if (ids := self.old.get(p)) is not None:
+                self.young[p] = ids
                 continue
-            if len(p) > LONG_PART:
+            if len(p) > LONG_WORD:
                 long.append(p)
             if " " in p:
-                young[p] = self._ids(" " + p)
-            elif found := WORD_AND_REST.fullmatch(p):
-                word, rest = found.groups()
-                joined.append((p, word, rest))
-                if word not in young:
-                    if word in self.old:
-                        young[word] = self.old[word]
-                    else:
-                        new.add(word)
+                self.young[p] = self._ids(" " + p)
             else:
-                new.add(p)
-        self._learn(list(new))
-        for p, word, rest in joined:
-            ids = self.rests.get(rest)
-            if ids is None:
-                ids = self._ids(rest)
-                if len(rest) <= LONG_PART:
-                    self.rests[rest] = ids
-            young[p] = young[word] + ids
-        out = b"".join([self._ids(first), *map(young.__getitem__, inner), self._ids(tail)])
-        for p in long:
-            del young[p]
-        for word in new:
-            if len(word) > LONG_PART:
-                young.pop(word, None)
-        return out
+                new.append(p)
+        self._learn(new)
+        return long
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -130,6 +156,12 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return self._encode(text).tobytes() if text else b""
 
+    def _each(self, texts: set[str]) -> dict[str, bytes]:
+        """The ids of texts that are encoded as they are."""
+        some = list(texts)
+        found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False) if some else []
+        return {t: np.array(e.ids, dtype="<u4").tobytes() for t, e in zip(some, found, strict=True)}
+
     def _learn(self, words: list[str]) -> None:
         for k in range(0, len(words), 10_000):
             some = words[k : k + 10_000]
@@ -160,14 +192,14 @@ def pieces(docs: DataFrame, json_path: str, size: int = SEQUENCE) -> DataFrame:
         encode = _encoder(json_path)
         for batch in batches:
             out: list[tuple] = []
-            seen: dict[str, list[tuple]] = {}  # copies within a batch are encoded once
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                cuts = seen.get(text or "")
-                if cuts is None:
-                    raw = encode(text or "") + bytes(4)
-                    cuts = [(k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(raw) // 4, size))]
-                    seen[text or ""] = cuts
-                out += [(doc_id, *c) for c in cuts]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            distinct = list(dict.fromkeys(texts))  # copies within a batch are encoded once
+            cuts = {}
+            for text, ids in zip(distinct, encode(distinct), strict=True):
+                raw = ids + bytes(4)
+                cuts[text] = [(k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(raw) // 4, size))]
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                out += [(doc_id, *c) for c in cuts[text]]
             columns = list(zip(*out, strict=True)) or [()] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
