@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tickloom.llm.alignment import op11_alignment
 from tickloom.llm.bpe import op13_bpe
 from tickloom.llm.class_lm import op10_lm_scoring
 from tickloom.llm.decontaminate import SQL as SQL6
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_alignment": op11_alignment,
     "op12_search": op12_search,
     "op13_bpe": op13_bpe,
 }
