@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import ascii_lower, stored
+from tickloom.llm.common import ascii_lower, stored, unused_names
 
 #: What separates words: ASCII that is neither digit nor letter.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -147,9 +147,10 @@ def clean_documents(
     """
     digests = docs.select(text_digest(F.col("text")).alias("doc_id"), "text")
     hits = window_hits(digests, benchmark, size, block_windows).where(F.size("hits") > 0)
-    bad = stored(hits.select(F.col("doc_id").alias("bad_digest")).distinct(), "contaminated")
+    (name,) = unused_names(docs.columns, ["bad_digest"])
+    bad = stored(hits.select(F.col("doc_id").alias(name)).distinct(), "contaminated")
     bad = F.broadcast(bad) if bad.count() <= sent else bad
-    return docs.join(bad, text_digest(docs["text"]) == F.col("bad_digest"), "left_anti")
+    return docs.join(bad, text_digest(docs["text"]) == F.col(name), "left_anti")
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

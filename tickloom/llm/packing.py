@@ -1,10 +1,11 @@
 """Packing documents into fixed-length sequences by a grouping genetic algorithm on islands.
 
 Only the pieces shorter than a sequence need packing. They are dealt by hash into problems of bounded size; each problem
-is solved by several islands, which start from random best-fit packings and exchange their best one between rounds. A
-crossover takes the well-filled bins of one parent whole into another, opens the bins that would then hold an item
-twice, and best-fits the items this displaces; a mutation opens badly filled bins. An island stops at a lower bound that
-no packing can beat. Bins that stay badly filled are opened again and packed across problems.
+is solved by several islands, which start from the best-fit decreasing packing and from random best-fit packings, and
+exchange their best one between rounds. A crossover takes the well-filled bins of one parent whole into another, opens
+the bins that would then hold an item twice, and best-fits the items this displaces; a mutation opens badly filled bins.
+An island stops at a lower bound that no packing can beat. Bins that stay badly filled are opened again and packed
+across problems.
 """
 
 from __future__ import annotations
@@ -312,7 +313,8 @@ def evolve(
     sizes: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION,
     patience: int = PATIENCE,
 ) -> tuple[np.ndarray, int]:
-    """(the best packing, crossovers made) of generations that start from the elites and from random best-fit packings.
+    """(the best packing, crossovers made) of generations that start from the elites, or without any from best-fit
+    decreasing, and from random best-fit packings. So no result has more bins than best-fit decreasing.
 
     A child replaces the worst packing if it is better. The search ends at the lower bound on bins, or when the best
     packing has not become better for ``patience`` generations.
@@ -320,7 +322,7 @@ def evolve(
     rng = np.random.default_rng(seed)
     listed = sizes.tolist()
     bound = least_bins(sizes, capacity)
-    pool = list(elites)
+    pool = list(elites) or [best_fit(listed, np.argsort(-sizes, kind="stable").tolist(), capacity)]
     while len(pool) < population:
         noise = 1 + (0.15 * (1 + len(pool))) * rng.random(len(sizes))
         pool.append(best_fit(listed, np.argsort(-sizes * noise, kind="stable").tolist(), capacity))
