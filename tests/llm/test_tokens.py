@@ -183,8 +183,9 @@ def test_encoding_equals_the_library(odd):
     for r in got:
         ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
+    assert sorted(map(str, bpe.round_trip(odd, path).collect())) == sorted(map(str, got))
     none = odd.limit(0)
-    assert bpe.decode(bpe.encode(none, path), path).isEmpty()
+    assert bpe.decode(bpe.encode(none, path), path).isEmpty() and bpe.round_trip(none, path).isEmpty()
 
 
 def test_scanned_and_heaped_merges_agree(monkeypatch):
@@ -192,9 +193,9 @@ def test_scanned_and_heaped_merges_agree(monkeypatch):
     rng = random.Random(1)
     words = ["".join(rng.choice("aehinorst") for _ in range(rng.randrange(1, 90))) for _ in range(500)]
     parts = [[tokenizer.inner[c] for c in w[:-1]] + [tokenizer.last[w[-1]]] for w in words]
-    scanned = [bpe.merge(list(p), tokenizer.pairs) for p in parts]
+    scanned = [bpe.merge(list(p), tokenizer.merges) for p in parts]
     monkeypatch.setattr(bpe, "SCANNED", 0)
-    assert [bpe.merge(list(p), tokenizer.pairs) for p in parts] == scanned
+    assert [bpe.merge(list(p), tokenizer.merges) for p in parts] == scanned
     # Forgetting words, and texts met again, changes nothing.
     monkeypatch.setattr(bpe, "REMEMBERED", 20)
     fresh = bpe.WordTokenizer(bpe.tokenizer_file())

@@ -31,53 +31,66 @@ LONG = 64
 SCANNED = 128
 #: A rank that no pair has.
 NONE = 1 << 60
-#: Words of visible ASCII signs, which stand for themselves among the letters that stand for bytes.
-PLAIN = re.compile(rb"[!-~]*")
+#: Bits of an id in the number of a pair.
+SHIFT = 20
+#: Words of visible ASCII and of the Latin letters and signs up to U+017F: composed already, and old enough that every
+#: version of Unicode takes them alike.
+PLAIN = re.compile(r"[!-~\xa1-\u017f]*")
 
 
-def merge(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """``ids`` after all merges; ``pairs`` gives the rank and the merged id of a pair. Of equal ranks the first goes first.
+class Merges:
+    """The rank of each pair of ids, under one number for both, and the id that each rank makes."""
+
+    def __init__(self, pairs: list[tuple[int, int, int]]):
+        """pairs: (left, right, merged) in the order of their ranks."""
+        self.rank = {a << SHIFT | b: k for k, (a, b, _) in enumerate(pairs)}
+        self.made = [m for _, _, m in pairs]
+
+
+def merge(ids: list[int], merges: Merges) -> list[int]:
+    """``ids`` after all merges; of equal ranks the first goes first.
 
     ``ranks[i]`` is that of the pair (i, i + 1), so that deleting part i + 1 deletes one rank and changes two.
     """
     if len(ids) > SCANNED:
-        return _merge_long(ids, pairs)
-    found = [pairs.get(p, (NONE, 0)) for p in zip(ids, ids[1:], strict=False)]
-    ranks, merged = [r for r, _ in found], [m for _, m in found]
+        return _merge_long(ids, merges)
+    get, made = merges.rank.get, merges.made
+    ranks = [get(a << SHIFT | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
     while ranks:
         least = min(ranks)
         if least == NONE:
             break
         i = ranks.index(least)
-        ids[i] = merged[i]
-        del ids[i + 1], ranks[i], merged[i]
+        ids[i] = new = made[least]
+        del ids[i + 1], ranks[i]
         if i < len(ranks):
-            ranks[i], merged[i] = pairs.get((ids[i], ids[i + 1]), (NONE, 0))
+            ranks[i] = get(new << SHIFT | ids[i + 1], NONE)
         if i:
-            ranks[i - 1], merged[i - 1] = pairs.get((ids[i - 1], ids[i]), (NONE, 0))
+            ranks[i - 1] = get(ids[i - 1] << SHIFT | new, NONE)
     return ids
 
 
-def _merge_long(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def _merge_long(ids: list[int], merges: Merges) -> list[int]:
     """The same with parts linked to their neighbours and pairs in a heap by rank and place; stale pairs are skipped."""
-    n = len(ids)
+    rank, made, n = merges.rank, merges.made, len(ids)
     after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-    heap = [(pairs[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in pairs]
+    pairs = [a << SHIFT | b for a, b in zip(ids, ids[1:], strict=False)]
+    heap = [(rank[p], i) for i, p in enumerate(pairs) if p in rank]
     heapq.heapify(heap)
     gone = bytearray(n)
     while heap:
-        _, i, pair = heapq.heappop(heap)
+        least, i = heapq.heappop(heap)
         j = after[i]
-        if gone[i] or j < 0 or (ids[i], ids[j]) != pair:
+        if gone[i] or j < 0 or rank.get(ids[i] << SHIFT | ids[j]) != least:
             continue
-        ids[i] = pairs[pair][1]
+        ids[i] = made[least]
         gone[j] = 1
         after[i] = after[j]
         if after[j] >= 0:
             before[after[j]] = i
         for a, b in ((before[i], i), (i, after[i])):
-            if a >= 0 and b >= 0 and (new := (ids[a], ids[b])) in pairs:
-                heapq.heappush(heap, (pairs[new][0], a, new))
+            if a >= 0 and b >= 0 and (new := ids[a] << SHIFT | ids[b]) in rank:
+                heapq.heappush(heap, (rank[new], a))
     return [x for x, dead in zip(ids, gone, strict=True) if not dead]
 
 
@@ -106,7 +119,10 @@ class WordTokenizer:
         self.inner = {t: i for t, i in vocab.items() if len(t) == 1}
         self.last = {t[:1]: i for t, i in vocab.items() if len(t) == 1 + len(suffix) and t.endswith(suffix)}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in file["model"]["merges"]]
-        self.pairs = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merges = Merges([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        hidden = [b for b in range(256) if b not in visible]
+        self.letters = {b: chr(256 + k) for k, b in enumerate(hidden)}
         added = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.tokens = dict(zip(vocab.values(), vocab, strict=True)) | {i: t for t, i in added.items()}
         self.added = {t.encode(): np.array([i], "<i4").tobytes() for t, i in added.items()}
@@ -119,17 +135,18 @@ class WordTokenizer:
         ids = self.pieces.get(piece)
         if ids is None:
             symbols = [self.inner[c] for c in piece[:-1]] + [self.last[piece[-1]]]
-            ids = np.array(merge(symbols, self.pairs), "<i4").tobytes()
+            ids = np.array(merge(symbols, self.merges), "<i4").tobytes()
             if len(piece) <= LONG:
                 self.pieces[piece] = ids
         return ids
 
     def _plain_word(self, word: bytes) -> bytes:
         """The ids of a word without added tokens."""
-        if PLAIN.fullmatch(word):
-            text = word.decode()
-            return b"".join(map(self._piece, self.pattern.findall(text.lower() if self.lower else text)))
-        return b"".join([self._piece(p) for p, _ in self.split(self.normalise(word.decode()))])
+        text = word.decode()
+        if not PLAIN.fullmatch(text):
+            return b"".join([self._piece(p) for p, _ in self.split(self.normalise(text))])
+        pieces = self.pattern.findall(text.lower() if self.lower else text)
+        return b"".join([self._piece(p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)) for p in pieces])
 
     def _word(self, word: bytes) -> bytes:
         if self.cuts is None or b"<" not in word and not self.cuts.search(word):
@@ -166,10 +183,18 @@ def _tokenizer(json_path: str) -> WordTokenizer:
     return WordTokenizer(json_path)
 
 
+IDS, DECODED = StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())
+
+
 def _with(df: DataFrame, *fields: StructField) -> StructType:
     return StructType([df.schema["doc_id"], *fields])
 
 
+def _ids(raw: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0] + [len(r) // 4 for r in raw]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+
+
 def encode(docs: DataFrame, json_path: str) -> DataFrame:
     """(doc_id, ids) of each row: the ids of its whole text.
 
@@ -182,12 +207,9 @@ def encode(docs: DataFrame, json_path: str) -> DataFrame:
         tokenizer = _tokenizer(json_path)
         for batch in batches:
             raw = [tokenizer.encode(t or "") for t in batch.column("text").to_pylist()]
-            ends = np.cumsum([0] + [len(r) // 4 for r in raw]).astype(np.int32)
-            ids = pa.array(np.frombuffer(b"".join(raw), "<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), ids)], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _ids(raw)], names=["doc_id", "ids"])
 
-    schema = _with(docs, StructField("ids", ArrayType(IntegerType())))
-    return map_batches(docs.select("doc_id", "text"), run, schema)
+    return map_batches(docs.select("doc_id", "text"), run, _with(docs, IDS))
 
 
 def decode(encoded: DataFrame, json_path: str) -> DataFrame:
@@ -202,8 +224,20 @@ def decode(encoded: DataFrame, json_path: str) -> DataFrame:
             texts = [tokenizer.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    schema = _with(encoded, encoded.schema["ids"], StructField("decoded", StringType()))
-    return map_batches(encoded.select("doc_id", "ids"), run, schema)
+    return map_batches(encoded.select("doc_id", "ids"), run, _with(encoded, encoded.schema["ids"], DECODED))
+
+
+def round_trip(docs: DataFrame, json_path: str) -> DataFrame:
+    """(doc_id, ids, decoded) of each row, as ``decode(encode(docs))`` gives them, in one pass through Python."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(json_path)
+        for batch in batches:
+            raw = [tokenizer.encode(t or "") for t in batch.column("text").to_pylist()]
+            texts = [tokenizer.decode(np.frombuffer(r, "<i4").tolist()) for r in raw]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _ids(raw), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+
+    return map_batches(docs.select("doc_id", "text"), run, _with(docs, IDS, DECODED))
 
 
 def tokenizer_file() -> str:
@@ -214,8 +248,7 @@ def tokenizer_file() -> str:
 
 
 def op13_bpe(spark, sf_dir: str) -> DataFrame:
-    path = tokenizer_file()
-    return decode(encode(documents(spark, sf_dir), path), path).select(
+    return round_trip(documents(spark, sf_dir), tokenizer_file()).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
