@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import documents, map_batches, stored
 
 #: Words that a worker remembers before it forgets them all, and bytes of their links and groups.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 128 << 20
+REMEMBERED, REMEMBERED_BYTES = 250_000, 96 << 20
 #: Bytes of text in one segment of the index, and documents at most: a place in a bitmap is a 13-bit cell and a bit.
 SEGMENT_BYTES, SEGMENT_DOCS = 16 << 20, 1 << 16
 #: Characters of text, and documents at most, that are aligned at once.
@@ -275,12 +275,15 @@ def pair_counts(indexed: DataFrame) -> DataFrame:
 
 
 def _score(table: pa.Table) -> pa.Table:
-    """applyInArrow body: a segment's documents with what their postings bring back."""
-    of_doc = pc.is_null(table.column("plane"))
-    docs, posts = table.filter(of_doc), table.filter(pc.invert(of_doc))
+    """applyInArrow body: a segment's documents with what their postings bring back. The segment's rows are its documents
+    (with a slot), its bitmaps (with cells) and the counts of its pairs."""
+    docs, posts, scores = (table.filter(pc.is_valid(table.column(c))) for c in ("slot", "cells", "links"))
     row, slot = slots_of(posts.column("cells"))
     times = np.left_shift(1, np.maximum(posts.column("plane").to_numpy().astype(np.int64) - 1, 0))
-    links, best = posts.column("links").to_numpy(), posts.column("best").to_numpy().astype(np.int64)
+    pair = scores.column("pair").to_numpy()
+    order = np.argsort(pair)
+    at = order[np.searchsorted(pair, posts.column("pair").to_numpy(), sorter=order)]
+    links, best = scores.column("links").to_numpy()[at], scores.column("best").to_numpy()[at].astype(np.int64)
     sums = np.zeros((2, SEGMENT_DOCS), np.int64)
     np.add.at(sums[0], slot, (times * best)[row])
     np.add.at(sums[1], slot, (times * links)[row])
@@ -304,11 +307,14 @@ def aligned(docs: DataFrame, json_path: str, model_path: str, segment_bytes: int
     # One row a B id: never more than its vocabulary has.
     best = F.broadcast(counts.groupBy("b").agg(F.max("links").alias("most")))
     scores = counts.join(best, "b").select("pair", "links", (F.col("links") == F.col("most")).alias("best"))
-    posts = indexed.where("pair is not null").select("pair", "segment", "plane", "cells").join(scores, "pair").drop("pair")
-    rows = indexed.where("pair is null").drop("pair", "plane", "ones", "cells")
+    # Each pair's counts go to the segments that hold it, as numbers; the bitmaps go to their segment alone. Of the
+    # planes only the first is asked, which every pair has. The join is by merging at every size.
+    held = indexed.where("plane = 0").select("pair", "segment")
+    sent = held.join(scores.hint("merge"), "pair")
+    rows = indexed.drop("ones").unionByName(sent, allowMissingColumns=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
     result = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return rows.unionByName(posts, allowMissingColumns=True).groupBy("segment").applyInArrow(_score, result)
+    return rows.groupBy("segment").applyInArrow(_score, result)
 
 
 def groups(docs: DataFrame, json_path: str, model_path: str) -> DataFrame:
