@@ -171,7 +171,7 @@ def test_ledger_strictness_and_row_numbers(spark):
     schema = "seq long, symbol string, interval string, start string, end string, adjust string, asset_type string"
     rows = spark.createDataFrame([(0, "A", "1d", "2024-01-01", "2024-01-02", "front", None), (1, "A", "1d", "not-a-date", "2024-01-02", "", None)], schema)
     got = ledger.validate(rows, "2020-01-01", "2021-01-01", seq="seq").orderBy("seq").collect()
-    assert [(r.row, r.valid, r.warning) for r in got] == [(2, True, None), (3, True, "bad_date")]
+    assert [(r.row, r.valid, r.warnings) for r in got] == [(2, True, []), (3, True, ["bad_start"])]
     with pytest.raises(Exception, match="bad ledger row 3"):
         ledger.validate(rows, "2020-01-01", "2021-01-01", strict=True, seq="seq").collect()
 

@@ -15,16 +15,15 @@ EXCHANGE_NAMES = {
     "SSE": "上交所", "SZSE": "深交所", "BSE": "北交所", "NASDAQ": "NASDAQ", "NYSE": "NYSE", "N": "NYSE", "A": "AMEX", "P": "NYSE Arca",
     "Z": "BATS", "V": "IEX", "M": "NYSE MKT",
 }
-SECTORS = [
-    "Energy", "Materials", "Industrials", "Consumer Discretionary", "Consumer Staples", "Health Care", "Financials",
-    "Information Technology", "Communication Services", "Utilities", "Real Estate",
-]
 MARKET_CODES = {
     "主板": "MAIN", "科创板": "STAR", "创业板": "CHINEXT", "北交所": "BSE", "b股": "B", "b股市场": "B", "纳斯达克全球精选": "Q", "全球精选": "Q",
     "纳斯达克全球市场": "G", "全球市场": "G", "纳斯达克资本市场": "S", "资本市场": "S", "consumer cyclical": "Consumer Discretionary",
     "consumer defensive": "Consumer Staples", "healthcare": "Health Care", "financial services": "Financials",
-    "technology": "Information Technology",
-} | {s.lower(): s for s in SECTORS}
+    "technology": "Information Technology", "energy": "Energy", "materials": "Materials", "industrials": "Industrials",
+    "consumer discretionary": "Consumer Discretionary", "consumer staples": "Consumer Staples", "health care": "Health Care",
+    "financials": "Financials", "information technology": "Information Technology", "communication services": "Communication Services",
+    "utilities": "Utilities", "real estate": "Real Estate",
+}
 MARKET_NAMES = {
     "MAIN": "主板", "STAR": "科创板", "CHINEXT": "创业板", "BSE": "北交所", "B": "B股", "Q": "纳斯达克全球精选", "G": "纳斯达克全球市场",
     "S": "纳斯达克资本市场",

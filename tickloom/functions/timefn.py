@@ -15,6 +15,11 @@ def seconds(n: Column | int) -> Column:
     return F.make_dt_interval(zero, zero, zero, F.lit(n) if isinstance(n, int) else n)
 
 
+def a_moment() -> Column:
+    """The least difference of two times."""
+    return F.expr("INTERVAL 1 MICROSECOND")
+
+
 def minute_floor(t: Column, minutes: int = 1) -> Column:
     """Start of the slot of ``minutes`` (a divisor of 60) that holds t."""
     start = F.date_trunc("MINUTE", t).cast(NTZ)
@@ -46,7 +51,8 @@ def is_session_close(t: Column, zone: str = "America/New_York", close_hour: int
 
 
 def interval_seconds(code: Column) -> Column:
-    """Length of an interval code such as 5m, 1wk or d; null for codes that are none."""
+    """Length of an interval code such as 5m, 1wk, " 1H" or d; null for codes that are none."""
+    code = F.lower(F.trim(code))
     n = F.regexp_extract(code, r"^(\d*)(wk|mo|[wydhms])$", 1)
     unit = F.regexp_extract(code, r"^(\d*)(wk|mo|[wydhms])$", 2)
     size = F.lit(None).cast("long")
@@ -58,6 +64,7 @@ def interval_seconds(code: Column) -> Column:
 def gap_threshold_seconds(code: Column) -> Column:
     """Largest gap between bars of an interval that is not suspicious; null where none is set."""
     day = 86400
+    code = F.lower(F.trim(code))
     return (
         F.when(code.endswith("d"), 10 * day)
         .when(code.endswith("m") | code.endswith("h"), 6 * 3600)
@@ -69,14 +76,14 @@ def gap_threshold_seconds(code: Column) -> Column:
 
 def grid(bounds: DataFrame, start: str, end: str, step_seconds: int, name: str = "datetime") -> DataFrame:
     """One row per slot of [start, end) for each row of bounds, made on the executors."""
-    last = F.col(end) - seconds(1)
+    last = F.col(end) - a_moment()
     slots = F.when(F.col(start) < F.col(end), F.sequence(F.col(start), last, seconds(step_seconds)))
     return bounds.withColumn(name, F.explode(slots))
 
 
 def year_windows(df: DataFrame, start: str, end: str) -> DataFrame:
     """Splits [start, end) at each first of January; rows with start >= end give none."""
-    years = F.when(F.col(start) < F.col(end), F.sequence(F.year(start), F.year(F.col(end) - F.expr("INTERVAL 1 MICROSECOND"))))
+    years = F.when(F.col(start) < F.col(end), F.sequence(F.year(start), F.year(F.col(end) - a_moment())))
     out = df.withColumn("_y", F.explode(years))
 
     def first(y: Column) -> Column:
@@ -112,5 +119,10 @@ def checked_interval_seconds(code: Column) -> Column:
     return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("unknown interval: "), F.coalesce(code, F.lit("null")))).cast("long"))
 
 
+def path_date(t: Column, zone: str = "Asia/Shanghai") -> Column:
+    """The day of a UTC time in file names, yyyyMMdd by the clock of ``zone``."""
+    return F.date_format(to_zone(t, "UTC", zone), "yyyyMMdd")
+
+
 def window_tag(start: Column, end: Column) -> Column:
     return F.concat_ws("_", F.date_format(start, "yyyyMMdd"), F.date_format(end, "yyyyMMdd"))

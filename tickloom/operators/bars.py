@@ -85,3 +85,25 @@ def reconcile(expected: DataFrame, given: DataFrame, tolerance: float = 1e-9) ->
     out = both.groupBy(F.col("a.symbol").alias("symbol")).agg(F.count("*").alias("overlap"), *differ)
     total = sum((F.col(f"{c}_mismatch") for c in OHLCV[1:]), F.col("open_mismatch"))
     return out.withColumn("ok", total == 0)
+
+
+def reconcile_ticks(ticks: DataFrame, minutes: int, given_volume: str = "volume", tolerance: float = 1e-9) -> DataFrame:
+    """Like ``reconcile`` of bars rolled up from one-minute bars with bars straight from the ticks, from one scan.
+
+    Ticks are brought to minutes once, with what both sides need; each slot then gets both bars from its minutes, and
+    nothing is joined. ``given_volume`` names the volumes of the direct side.
+    """
+    at = F.struct("datetime", "seq")
+    rows = ticks.where(F.col("datetime").isNotNull() & F.col("price").isNotNull())
+    own = _tick_aggregates()
+    m = rows.groupBy("symbol", timefn.minute_floor(F.col("datetime")).alias("minute")).agg(
+        *own, F.sum(given_volume).alias("given"), F.min(at).alias("first"), F.max(at).alias("last")
+    )
+    direct = {"open": F.min_by("open", "first"), "high": F.max("high"), "low": F.min("low"), "close": F.max_by("close", "last"), "volume": F.sum("given")}
+    rolled = _bar_aggregates()
+    both = m.withColumnRenamed("minute", "datetime").groupBy("symbol", timefn.minute_floor(F.col("datetime"), minutes).alias("slot")).agg(
+        F.struct(*rolled).alias("a"), *[v.alias(f"b_{c}") for c, v in direct.items()]
+    )
+    differ = [F.count_if(~close_to(F.col(f"a.{c}"), F.col(f"b_{c}"), tolerance)).alias(f"{c}_mismatch") for c in OHLCV]
+    out = both.groupBy("symbol").agg(F.count("*").alias("overlap"), *differ)
+    return out.withColumn("ok", sum((F.col(f"{c}_mismatch") for c in OHLCV[1:]), F.col("open_mismatch")) == 0)

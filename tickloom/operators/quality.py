@@ -10,26 +10,80 @@ from tickloom.functions import timefn
 PRICES = ["open", "high", "low", "close"]
 
 
-def profile(bars: DataFrame, key: list[str]) -> DataFrame:
-    """Per series: rows, time range, distinct times, duplicates, largest gap in seconds, bad closes, ranges and signs."""
-    w = Window.partitionBy(*key).orderBy("datetime")
-    gap = F.unix_micros(F.col("datetime").cast("timestamp")) - F.unix_micros(F.lag("datetime").over(w).cast("timestamp"))
-    b = bars.withColumn("_gap", F.floor(gap / 1_000_000))
+def _micros(t: Column) -> Column:
+    return F.unix_micros(t.cast("timestamp"))
+
+
+def _stitched(edges: DataFrame, key: list[str], order: str, *aggregates: Column) -> DataFrame:
+    """Per key the aggregates over its buckets, and ``_edges``: what each bucket begins and ends with, in their order.
+
+    There are few buckets, so one row holds them all; the rows of a series never meet in one task.
+    """
+    names = [c for c in edges.columns if c.startswith("_") and c != order]
+    listed = F.array_sort(F.collect_list(F.struct(order, *names))).alias("_edges")
+    return edges.groupBy(*key).agg(listed, *aggregates)
+
+
+def _neighbours(edges: str) -> Column:
+    """Pairs (a, b) of neighbouring entries of an array."""
+    return F.transform(F.sequence(F.lit(2), F.size(edges)), lambda i: F.struct(F.element_at(edges, i - 1).alias("a"), F.element_at(edges, i).alias("b")))
+
+
+def profile(bars: DataFrame, key: list[str], bucket: str = "MONTH") -> DataFrame:
+    """Per series: rows, time range, distinct times, duplicates, largest gap in seconds, bad closes, ranges and signs.
+
+    Series are sorted within buckets of time, and the buckets' first and last times are stitched together, so a series
+    with a large share of the rows is as many sorts as it has buckets. Rows without a time are one bucket.
+    """
     bad = (F.col("high") < F.col("low")) | (F.col("close") < F.col("low")) | (F.col("close") > F.col("high"))
     negative = F.lit(False)
     for c in [*PRICES, "volume"]:
         negative = negative | F.coalesce(F.col(c) < 0, F.lit(False))
-    distinct = F.count_distinct("datetime") + F.max(F.col("datetime").isNull().cast("int"))
-    return b.groupBy(*key).agg(
+    flags = {"_null": F.col("close").isNull(), "_bad": F.coalesce(bad, F.lit(False)), "_negative": negative}
+    rows = bars.select(*key, "datetime", F.date_trunc(bucket, "datetime").alias("_bucket"), *[v.alias(c) for c, v in flags.items()])
+    before = F.lag("datetime").over(Window.partitionBy(*key, "_bucket").orderBy("datetime"))
+    rows = rows.withColumns({"_gap": _micros(F.col("datetime")) - _micros(before), "_new": ~F.col("datetime").eqNullSafe(before)})
+    parts = rows.groupBy(*key, "_bucket").agg(
         F.count("*").alias("n_rows"),
-        F.min("datetime").alias("min_dt"),
-        F.max("datetime").alias("max_dt"),
-        (F.count("*") - distinct).alias("duplicates"),
-        F.max("_gap").alias("max_gap_s"),
-        F.count_if(F.col("close").isNull()).alias("null_close"),
-        F.count_if(F.coalesce(bad, F.lit(False))).alias("bad_range"),
-        F.count_if(negative).alias("negatives"),
+        F.min("datetime").alias("_first"),
+        F.max("datetime").alias("_last"),
+        F.max("_gap").alias("gap"),
+        F.when(F.col("_bucket").isNull(), 1).otherwise(F.count_if("_new")).alias("distinct"),
+        *[F.count_if(c).alias(c[1:]) for c in flags],
+    )
+    sums = [F.sum(c).alias(c) for c in ("n_rows", "distinct", "null", "bad", "negative")]
+    s = _stitched(parts, key, "_bucket", F.max("gap").alias("gap"), *sums)
+    s = s.withColumn("_edges", F.filter("_edges", lambda e: e["_first"].isNotNull()))
+    between = F.array_max(F.transform(_neighbours("_edges"), lambda p: _micros(p["b"]["_first"]) - _micros(p["a"]["_last"])))
+    gap = F.greatest("gap", F.when(F.size("_edges") > 1, between))
+    return s.select(
+        *key,
+        "n_rows",
+        F.try_element_at("_edges", F.lit(1))["_first"].alias("min_dt"),
+        F.try_element_at("_edges", F.lit(-1))["_last"].alias("max_dt"),
+        (F.col("n_rows") - F.col("distinct")).alias("duplicates"),
+        F.floor(gap / 1_000_000).alias("max_gap_s"),
+        F.col("null").alias("null_close"),
+        F.col("bad").alias("bad_range"),
+        F.col("negative").alias("negatives"),
+    )
+
+
+def monotonic(bars: DataFrame, key: list[str], order: str = "pos", bucket: Column | None = None) -> DataFrame:
+    """Per series whether times never fall in the order of ``order``; nulls are left out, equal times allowed.
+
+    ``bucket`` deals a series into runs of its order, by default 65,536 numbers each; for the rows of a file in their own
+    order, its blocks. Each run is sorted by itself and the runs' ends are compared.
+    """
+    b = bars.where(F.col("datetime").isNotNull()).withColumn("_bucket", F.floor(F.col(order) / 65_536) if bucket is None else bucket)
+    before = F.lag("datetime").over(Window.partitionBy(*key, "_bucket").orderBy(order))
+    b = b.withColumn("_back", F.coalesce(F.col("datetime") < before, F.lit(False)))
+    parts = b.groupBy(*key, "_bucket").agg(
+        F.bool_or("_back").alias("back"), F.min_by("datetime", order).alias("_first"), F.max_by("datetime", order).alias("_last")
     )
+    s = _stitched(parts, key, "_bucket", F.bool_or("back").alias("back"))
+    falls = F.when(F.size("_edges") > 1, F.exists(_neighbours("_edges"), lambda p: p["b"]["_first"] < p["a"]["_last"])).otherwise(False)
+    return s.select(*key, (~(F.col("back") | falls)).alias("monotonic"))
 
 
 def _rule(name: str, severity: str, fired: Column, count: Column) -> Column:
@@ -62,18 +116,26 @@ def schema_issues(found: DataFrame, key: list[str]) -> DataFrame:
     return found.select(*key, F.explode(fired).alias("r")).select(*key, "r.rule_id", "r.severity", "r.n")
 
 
-def gaps_between(bars: DataFrame, bounds: DataFrame, minutes: int) -> DataFrame:
-    """(symbol, gap_start, gap_end, slots) of the grid of ``bounds(symbol, start, end)`` straight from the bars: one sort of
-    their slots, no grid. Slots outside the bounds do not count; a symbol without bars is one gap."""
+def gaps_between(bars: DataFrame, bounds: DataFrame, minutes: int, bucket: str = "DAY") -> DataFrame:
+    """(symbol, gap_start, gap_end, slots) of the grid of ``bounds(symbol, start, end)`` straight from the bars, without a
+    grid: slots are sorted within buckets of time, and the buckets' ends stitched. Slots outside the bounds do not count; a
+    symbol without bars is one gap."""
     step = minutes * 60
     slot = timefn.minute_floor(F.col("datetime"), minutes)
     have = bars.where(F.col("datetime").isNotNull()).select("symbol", slot.alias("slot")).distinct().join(bounds, "symbol")
-    have = have.where((F.col("slot") >= F.col("start")) & (F.col("slot") < F.col("end"))).select("symbol", "slot")
-    before = bounds.where(F.col("start") < F.col("end")).select("symbol", (F.col("start") - timefn.seconds(step)).alias("slot"), "end")
-    rows = have.withColumn("end", F.lit(None).cast(timefn.NTZ)).unionByName(before)
-    w = Window.partitionBy("symbol").orderBy("slot")
-    after = F.coalesce(F.lead("slot").over(w), F.max("end").over(Window.partitionBy("symbol")))
-    rows = rows.withColumn("after", after).select("symbol", (F.col("slot") + timefn.seconds(step)).alias("gap_start"), "after")
+    have = have.where((F.col("slot") >= F.col("start")) & (F.col("slot") < F.col("end"))).select("symbol", "slot", F.date_trunc(bucket, "slot").alias("_bucket"))
+    inner = have.withColumn("after", F.lead("slot").over(Window.partitionBy("symbol", "_bucket").orderBy("slot"))).where("after is not null")
+    edges = have.groupBy("symbol", "_bucket").agg(F.min("slot").alias("_first"), F.max("slot").alias("_last"))
+    # The bounds are the ends of two empty buckets more, one before and one after the others.
+    real = bounds.where(F.col("start") < F.col("end"))
+    none = F.lit(None).cast(timefn.NTZ)
+    before = real.select("symbol", none.alias("_bucket"), none.alias("_first"), (F.col("start") - timefn.seconds(step)).alias("_last"))
+    after = real.select("symbol", F.lit("9999-12-31").cast("timestamp").alias("_bucket"), F.col("end").alias("_first"), none.alias("_last"))
+    edges = edges.withColumn("_bucket", F.col("_bucket").cast("timestamp"))
+    s = _stitched(edges.unionByName(before.withColumn("_bucket", F.lit("0001-01-01").cast("timestamp"))).unionByName(after), ["symbol"], "_bucket")
+    outer = s.where(F.size("_edges") > 1).select("symbol", F.explode(_neighbours("_edges")).alias("p")).select("symbol", F.col("p.a._last").alias("slot"), F.col("p.b._first").alias("after"))
+    rows = inner.select("symbol", "slot", "after").unionByName(outer)
+    rows = rows.select("symbol", (F.col("slot") + timefn.seconds(step)).alias("gap_start"), "after")
     n = F.ceil((F.unix_seconds(F.col("after").cast("timestamp")) - F.unix_seconds(F.col("gap_start").cast("timestamp"))) / step).cast("long")
     rows = rows.withColumn("slots", n).where("slots > 0")
     return rows.select("symbol", "gap_start", (F.col("gap_start") + timefn.seconds((F.col("slots") - 1) * step)).alias("gap_end"), "slots")

@@ -14,8 +14,9 @@ BASE = ["datetime", "open", "high", "low", "close", "volume"]
 TIME_NAMES = ["time", "datetime", "ts", "timestamp", "time_utc"]
 PRICE_NAMES = ["price", "last", "mid", "close"]
 ASK_NAMES, BID_NAMES = ["ask", "ask_price"], ["bid", "bid_price"]
-ASK_VOLUMES, BID_VOLUMES = ["ask_volume", "ask-vol", "askvol", "ask_volume_", "ask_qty"], ["bid_volume", "bid-vol", "bidvol", "bid_qty"]
-VOLUME_NAMES = ["volume", "ask-volume", "bid-volume"]
+ASK_VOLUMES = ["ask_volume", "ask-volume", "ask-vol", "askvol", "ask_volume_", "ask_qty"]
+BID_VOLUMES = ["bid_volume", "bid-volume", "bid-vol", "bidvol", "bid_qty"]
+VOLUME_NAMES = ["volume"]
 
 
 def unique_names(names: list[str]) -> list[str]:

@@ -36,6 +36,11 @@ def coverage(bars: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def coverage_from_footers(found: DataFrame, key: list[str]) -> DataFrame:
+    """``coverage`` of a tree of series files from their footers alone; no page of data is read."""
+    return found.groupBy(*key).agg(F.min("first").alias("stored_start"), F.max("last").alias("stored_max"), F.sum("n_rows").alias("stored_rows"))
+
+
 def coverage_plan(requests: DataFrame, stored: DataFrame, key: list[str], step_seconds: int) -> DataFrame:
     """Per request (key, start, end): what to fetch, given the stored range.
 
@@ -53,16 +58,45 @@ def coverage_plan(requests: DataFrame, stored: DataFrame, key: list[str], step_s
     )
 
 
-def range_cache_lookup(requests: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
+def canonical_segments(first: Column, last: Column, levels: int) -> Column:
+    """The fewest segments of a binary tree over whole numbers that cover [first, last]: an array of (level, node), at most
+    two a level. Node n of level k holds the numbers from n * 2**k on, 2**k of them."""
+    start = F.struct(first.alias("a"), last.alias("b"), F.array().cast("array<struct<level:int,node:bigint>>").alias("found"))
+    one = F.lit(1).cast("long")
+
+    def step(acc: Column, level: Column) -> Column:
+        a, b = acc["a"], acc["b"]
+        left = (a <= b) & ((a % 2 == 1) | (level == levels))
+        right = (a <= b) & (b % 2 == 0) & ~(left & (a == b))
+        node = [F.when(taken, F.struct(level.alias("level"), n.alias("node"))) for taken, n in ((left, a), (right, b))]
+        up = [F.shiftright(F.when(left, a + one).otherwise(a), 1), F.shiftright(F.when(right, b - one).otherwise(b), 1)]
+        # A range that is used up stays so: its first number is after its last.
+        done = a > b
+        return F.struct(
+            F.when(done, one).otherwise(up[0]).alias("a"), F.when(done, one - 1).otherwise(F.when(up[0] > up[1], up[0] - 1).otherwise(up[1])).alias("b"),
+            F.concat(acc["found"], F.array_compact(F.array(*node))).alias("found"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda acc: acc["found"])
+
+
+def range_cache_lookup(requests: DataFrame, ranges: DataFrame, key: list[str], cell: int = 3600) -> DataFrame:
     """Per request the tightest cached range (key, range_start, range_end) that contains it; none gives no row.
 
-    A request meets only the ranges that cover the month it starts in, so a key with many ranges is not searched whole.
+    An interval index: each range is cut into segments of a binary tree over cells of ``cell`` seconds, at most two a
+    level, and a request is looked up by the ancestors of its first cell. So it meets the ranges that hold its start and
+    no others, each once, however many ranges its key has.
     """
-    month = F.date_trunc("MONTH", "start").cast(timefn.NTZ)
-    first, last = (F.date_trunc("MONTH", c).cast(timefn.NTZ) for c in ("range_start", "range_end"))
-    months = F.sequence(first, last, F.expr("INTERVAL 1 MONTH"))
-    covered = ranges.where("range_start <= range_end").withColumn("_month", F.explode(months))
-    c = requests.withColumn("_month", month).join(covered, [*key, "_month"])
+    held = ranges.where("range_start <= range_end")
+    number = {c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / cell) for c in ("range_start", "range_end", "start")}
+    longest = held.agg(F.max(number["range_end"] - number["range_start"])).first()[0]
+    levels = max(1, int(longest or 0).bit_length())
+    lowest = F.lit(-(1 << 40)).cast("long")  # cells are counted from long before any time, so that none is negative
+    segments = canonical_segments(number["range_start"] - lowest, number["range_end"] - lowest, levels)
+    index = held.select(*key, "range_start", "range_end", F.explode(segments).alias("s")).select(*key, "range_start", "range_end", "s.level", "s.node")
+    asked = requests.select(*key, "start", "end", (number["start"] - lowest).alias("_cell"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    asked = asked.withColumn("node", F.expr("shiftright(_cell, level)"))
+    c = asked.join(index, [*key, "level", "node"])
     c = c.where((F.col("range_start") <= F.col("start")) & (F.col("range_end") >= F.col("end")))
     length = F.col("range_end") - F.col("range_start")
     tightest = F.min(F.struct(length.alias("length"), F.col("range_start").alias("range_start"), F.col("range_end").alias("range_end")))

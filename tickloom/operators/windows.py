@@ -126,14 +126,42 @@ def report_json(checked: DataFrame) -> DataFrame:
     return checked.select(F.to_json(F.struct(*checked.columns)).alias("value"))
 
 
-def status_summary(checked: DataFrame, by: list[str]) -> DataFrame:
-    """Windows in all, by status, and the share of failing ones."""
+def _status_counts() -> list[Column]:
     s = F.col("status")
     n = [F.count_if(s == x).alias(x) for x in ("pass", "warn", "fail")]
     window = F.struct("symbol", "start", "end")
-    n += [F.count_distinct(F.when(s == x, window)).alias(f"{x}_windows") for x in ("fail", "warn")]
-    out = checked.groupBy(*by).agg(F.count("*").alias("total"), *n)
-    return out.withColumn("failure_rate", F.round(F.col("fail") / F.col("total"), 6))
+    return n + [F.count_distinct(F.when(s == x, window)).alias(f"{x}_windows") for x in ("fail", "warn")]
+
+
+def _failure_rate(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("failure_rate", F.when(F.col("total") > 0, F.round(F.col("fail") / F.col("total"), 6)).otherwise(0.0))
+
+
+def status_summary(checked: DataFrame, by: list[str]) -> DataFrame:
+    """Windows in all, by status, and the share of failing ones."""
+    return _failure_rate(checked.groupBy(*by).agg(F.count("*").alias("total"), *_status_counts()))
+
+
+def status_report(checked: DataFrame) -> DataFrame:
+    """``status_summary`` by symbol and interval, by each of them, and of all, from one aggregation: ``level`` says which,
+    and a column that a row sums over is null."""
+    c = checked.select(F.col("symbol").alias("_symbol"), F.col("interval").alias("_interval"), "symbol", "start", "end", "status")
+    keys = [F.col("_symbol"), F.col("_interval")]
+    sets = [keys, keys[:1], keys[1:], []]
+    level = F.element_at(F.array(*[F.lit(x) for x in ("symbol_interval", "symbol", "interval", "all")]), F.grouping_id("_symbol", "_interval").cast("int") + 1)
+    out = c.groupingSets(sets, *keys).agg(level.alias("level"), F.count("*").alias("total"), *_status_counts())
+    return _failure_rate(out.withColumnsRenamed({"_symbol": "symbol", "_interval": "interval"}))
+
+
+def write_report(checked: DataFrame, path: str, meta: dict[str, str], alignment: bool = False) -> None:
+    """The whole check below path: ``summary`` is one JSON document with meta and summary; ``results`` and ``repairs`` hold
+    one JSON document a window, ``rows`` the flat rows as CSV. Results are never gathered into one document."""
+    total = status_summary(checked, [])
+    document = F.struct(F.struct(*[F.lit(v).alias(k) for k, v in meta.items()]).alias("meta"), F.struct(*total.columns).alias("summary"))
+    total.select(F.to_json(document).alias("value")).write.mode("overwrite").text(f"{path}/summary")
+    checked.write.mode("overwrite").json(f"{path}/results")
+    repair_groups(checked, alignment).write.mode("overwrite").json(f"{path}/repairs")
+    report_rows(checked).write.mode("overwrite").option("header", True).csv(f"{path}/rows")
 
 
 def repair_needed(alignment: bool = False) -> Column:
@@ -185,7 +213,7 @@ def _inside(windows: DataFrame, rows: DataFrame, time: str = "datetime") -> Data
     """Every window (symbol, start, end) with the rows whose time it holds, by the days it covers; at least one row each."""
     key = ["symbol", "start", "end"]
     day = F.date_trunc("DAY", time).cast(timefn.NTZ)
-    first, last = (F.date_trunc("DAY", c).cast(timefn.NTZ) for c in (F.col("start"), F.col("end") - timefn.seconds(1)))
+    first, last = (F.date_trunc("DAY", c).cast(timefn.NTZ) for c in (F.col("start"), F.col("end") - timefn.a_moment()))
     w = windows.select(*key).distinct()
     days = F.when(F.col("start") < F.col("end"), F.sequence(first, last, F.expr("INTERVAL 1 DAY"))).otherwise(F.array(first))
     hit = w.withColumn("_day", F.explode(days)).join(rows.withColumn("_day", day), ["symbol", "_day"])
@@ -222,21 +250,45 @@ def empty_window_issue(days: int = 7) -> Column:
 
 
 def rebuild_daily(minutes: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Daily session bars from stored minutes of windows (symbol, start, end) that hold all their minutes; and each window's status."""
+    """Daily session bars from stored minutes of windows (symbol, start, end) that hold all their minutes; and each window's status.
+
+    A window without minutes is ``missing_1m``, one that lacks some ``incomplete_1m``; one without a bar that has a price is
+    ``rebuild_empty``, and one with bars off the session close ``alignment_invalid:n``. None of these gives a bar.
+    """
     key = ["symbol", "start", "end"]
     rows = _inside(windows, minutes.select("symbol", "datetime", *OHLCV))
-    have = rows.groupBy(*key).agg(F.count("datetime").alias("n_rows"))
     want = expected_rows(F.lit("1m"), F.col("start"), F.col("end"))
-    state = F.when(F.col("n_rows") == 0, "missing_1m").when(F.col("n_rows") != want, "incomplete_1m").otherwise("rebuilt")
-    status = have.select(*key, state.alias("status"))
-    good = rows.join(status.where("status = 'rebuilt'"), key, "left_semi")
-    daily = bar_ops.bars_daily(good.select("symbol", "datetime", *OHLCV), drop_empty=True)
-    return daily.where(timefn.is_session_close(F.col("datetime"))), status  # only bars that pass the check of daily bars
+    have = rows.groupBy(*key).agg(F.count("datetime").alias("n_rows"))
+    own = rows.select(F.struct(*key).alias("symbol"), "datetime", *OHLCV)  # sessions are cut at the ends of their window
+    daily = bar_ops.bars_daily(own, drop_empty=True)
+    bars = daily.select(*[F.col(f"symbol.{c}").alias(c) for c in key], "datetime", *OHLCV)
+    found = bars.groupBy(*key).agg(F.count("*").alias("_bars"), F.count_if(~timefn.is_session_close(F.col("datetime"))).alias("_off"))
+    state = F.when(F.col("n_rows") == 0, "missing_1m").when(F.col("n_rows") != want, "incomplete_1m").when(F.col("_bars").isNull(), "rebuild_empty")
+    state = state.when(F.col("_off") > 0, _count("alignment_invalid", F.col("_off"))).otherwise("rebuilt")
+    status = have.join(found, key, "left").select(*key, state.alias("status"))
+    return bars.join(status.where("status = 'rebuilt'"), key, "left_semi").select("symbol", "datetime", *OHLCV), status
+
+
+def reconcile_issues(reconciled: DataFrame, windows: DataFrame) -> DataFrame:
+    """(key, issue) for every window of a symbol whose bars do not agree with the ticks, one issue a column."""
+    kinds = F.array(*[F.when(F.col(f"{c}_mismatch") > 0, _count(f"{c}_mismatch", F.col(f"{c}_mismatch"))) for c in OHLCV])
+    bad = reconciled.where("not ok").select("symbol", F.explode(F.array_compact(kinds)).alias("issue"))
+    return windows.select(*KEY).distinct().join(bad, "symbol").select(*KEY, "issue")
 
 
-def strict_gate(bars: DataFrame, checked: DataFrame, created_at: Column) -> tuple[DataFrame, DataFrame]:
-    """Bars of windows without faults, and ledger rows for the others; nothing of a rejected window is written."""
-    bad = checked.where(F.col("status") == "fail")
+def strict_gate(bars: DataFrame, checked: DataFrame, created_at: Column, issues: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Bars of windows without faults, and ledger rows for the others; nothing of a rejected window is written.
+
+    Faults are those of a failing check, an empty window of a week or longer, and what ``issues(key, issue)`` adds, such
+    as those of ``reconcile_issues``. A reason names each fault once, eight of them at most, and how many more there are.
+    """
+    none = F.array().cast("array<string>")
+    fails = F.concat(F.when(F.col("status") == "fail", F.col("fails")).otherwise(none), F.array_compact(F.array(empty_window_issue())))
+    bad = checked.select(*KEY, fails.alias("fails"))
+    if issues is not None:
+        more = issues.groupBy(*KEY).agg(F.sort_array(F.collect_set("issue")).alias("_more"))
+        bad = bad.join(more, KEY, "full_outer").select(*KEY, F.concat(F.coalesce("fails", none), F.coalesce("_more", none)).alias("fails"))
+    bad = bad.where(F.size("fails") > 0)
     accepted = bars.join(bad.select(*KEY), KEY, "left_anti")
     text = [F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("start", "end")]
     preview = F.concat_ws("|", F.slice(F.array_distinct("fails"), 1, 8))
@@ -245,9 +297,12 @@ def strict_gate(bars: DataFrame, checked: DataFrame, created_at: Column) -> tupl
     return accepted, bad.select("symbol", "interval", *text, reason.alias("reason"), created_at.alias("created_at"))
 
 
-def open_windows(windows: DataFrame, outputs: DataFrame, intervals: list[str]) -> DataFrame:
-    """Windows (symbol, start, end) of which not every interval is in ``outputs(symbol, interval, start, end)`` yet."""
+def open_windows(windows: DataFrame, outputs: DataFrame, intervals: list[str], resume: DataFrame | None = None) -> DataFrame:
+    """Windows (symbol, start, end) of which not every interval is in ``outputs(symbol, interval, start, end)`` yet; with a
+    resume list (symbol, start, end), only those on it."""
     key = ["symbol", "start", "end"]
+    if resume is not None:
+        windows = windows.join(resume.select(*key).distinct(), key, "left_semi")
     done = outputs.where(F.col("interval").isin(intervals)).groupBy(*key).agg(F.collect_set("interval").alias("have"))
     return windows.join(done.where(F.size("have") == len(set(intervals))), key, "left_anti")
 
@@ -276,13 +331,6 @@ def ends_expected(bars: DataFrame, bounds: DataFrame, step_seconds: int, order:
     return j.select("symbol", *ok)
 
 
-def monotonic(bars: DataFrame, key: list[str], order: str = "pos") -> DataFrame:
-    """Per series whether times never fall in file order; nulls are left out, equal times allowed."""
-    w = Window.partitionBy(*key).orderBy(order)
-    b = bars.where(F.col("datetime").isNotNull()).withColumn("_back", F.col("datetime") < F.lag("datetime").over(w))
-    return b.groupBy(*key).agg((F.count_if(F.coalesce("_back", F.lit(False))) == 0).alias("monotonic"))
-
-
 def tasks(windows: DataFrame, intervals: list[str]) -> DataFrame:
     """One row for each window and interval."""
     return windows.withColumn("interval", F.explode(F.array(*[F.lit(i) for i in intervals])))

@@ -92,8 +92,8 @@ SELECT symbol, count(*) AS overlap, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}
 )
 def reconcile_bars(spark: SparkSession, d: str) -> DataFrame:
     t = views.ticks(spark, d)
-    given = t.withColumn("volume", F.col("volume") + F.when(F.col("seq") % 50 == 0, 1).otherwise(0))  # some volumes are off
-    return bars.reconcile(bars.rollup(bars.bars_from_ticks(t), 5), bars.bars_from_ticks(given, 5))
+    given = t.withColumn("given", F.col("volume") + F.when(F.col("seq") % 50 == 0, 1).otherwise(0))  # some volumes are off
+    return bars.reconcile_ticks(given, 5, "given")
 
 
 @query(
@@ -252,25 +252,31 @@ def year_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT o_orderkey AS k, o_orderpriority AS symbol, '1d' AS interval, CASE WHEN o_orderkey % 5 = 0 THEN 'not-a-date' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS s,
-  CASE WHEN o_orderkey % 7 = 0 THEN '1990-01-01' ELSE '2002-01-01' END AS e, CASE o_orderkey % 4 WHEN 0 THEN 'AUTO' WHEN 1 THEN '' WHEN 2 THEN 'Front' ELSE 'bad' END AS a FROM orders),
-t AS (SELECT *, try_strptime(s, '%Y-%m-%d')::DATE AS sd, try_strptime(e, '%Y-%m-%d')::DATE AS ed, coalesce(nullif(lower(a), ''), 'auto') AS adj FROM l)
-SELECT k AS seq, symbol, interval, adj AS adjust, 'stock' AS asset_type, adj IN ('auto', 'none', 'back', 'forward', 'front', 'backward') AS valid,
-  CASE WHEN sd IS NULL THEN 'bad_date' WHEN sd > ed THEN 'start_after_end' END AS warning,
-  CASE WHEN sd IS NULL OR sd > ed THEN DATE '2020-01-01' ELSE sd END AS "start", CASE WHEN sd IS NULL OR sd > ed THEN DATE '2021-01-01' ELSE ed END AS "end" FROM t"""
+    """WITH l AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE o_orderpriority END AS symbol,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'not-a-date' WHEN o_orderkey % 6 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS s,
+  CASE WHEN o_orderkey % 7 = 0 THEN '1990-01-01' WHEN o_orderkey % 9 = 0 THEN 'soon' WHEN o_orderkey % 8 = 0 THEN '' ELSE '2002-01-01T06:30:00' END AS e,
+  CASE o_orderkey % 4 WHEN 0 THEN 'AUTO' WHEN 1 THEN '' WHEN 2 THEN 'Front' ELSE 'bad' END AS a FROM orders),
+t AS (SELECT *, try_cast(s AS TIMESTAMP) AS sd, try_cast(nullif(e, '') AS TIMESTAMP) AS ed, coalesce(nullif(lower(a), ''), 'auto') AS adj,
+  trim(symbol) <> '' AND adj <> 'bad' AS valid FROM l),
+f AS (SELECT *, coalesce(sd, TIMESTAMP '2020-01-01') AS fs, coalesce(ed, TIMESTAMP '2021-01-01') AS fe FROM t)
+SELECT k AS seq, nullif(trim(symbol), '') AS symbol, '1d' AS interval, adj AS adjust, 'stock' AS asset_type, valid,
+  concat_ws('|', CASE WHEN NOT valid THEN 'invalid_record' END, CASE WHEN valid AND s IS NOT NULL AND sd IS NULL THEN 'bad_start' END,
+    CASE WHEN valid AND e <> '' AND ed IS NULL THEN 'bad_end' END, CASE WHEN valid AND fs > fe THEN 'start_after_end' END) AS warnings,
+  CASE WHEN valid THEN CASE WHEN fs > fe THEN TIMESTAMP '2020-01-01' ELSE fs END END AS "start",
+  CASE WHEN valid THEN CASE WHEN fs > fe THEN TIMESTAMP '2021-01-01' ELSE fe END END AS "end" FROM f"""
 )
 def validate_ledger(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     rows = views.table(spark, d, "orders").select(
         k.alias("seq"),
-        F.col("o_orderpriority").alias("symbol"),
+        F.when(k % 11 == 0, " ").otherwise(F.col("o_orderpriority")).alias("symbol"),
         F.lit("1d").alias("interval"),
-        F.when(k % 5 == 0, "not-a-date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("start"),
-        F.when(k % 7 == 0, "1990-01-01").otherwise("2002-01-01").alias("end"),
+        F.when(k % 5 == 0, "not-a-date").when(k % 6 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("start"),
+        F.when(k % 7 == 0, "1990-01-01").when(k % 9 == 0, "soon").when(k % 8 == 0, "").otherwise("2002-01-01T06:30:00").alias("end"),
         F.when(k % 4 == 0, "AUTO").when(k % 4 == 1, "").when(k % 4 == 2, "Front").otherwise("bad").alias("adjust"),
         F.lit(None).cast("string").alias("asset_type"),
     )
-    return ledger.validate(rows, "2020-01-01", "2021-01-01")
+    return ledger.validate(rows, "2020-01-01", "2021-01-01").withColumn("warnings", F.array_join("warnings", "|"))
 
 
-from tickloom.plans import catalog_queries, listing_queries, store_queries, window_queries  # noqa: E402, F401  these add their queries to the same table
+from tickloom.plans import catalog_queries, listing_queries, store_queries, stream_queries, tree_queries, window_queries  # noqa: E402, F401  these add their queries to the same table

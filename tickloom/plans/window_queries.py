@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import timefn
-from tickloom.operators import ledger, windows
+from tickloom.operators import ledger, quality, windows
 from tickloom.plans import views
 from tickloom.plans.queries import SQL_TICKS, query
 
@@ -97,7 +97,7 @@ def rejected_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT *, date_trunc('day', ts) AS s FROM events), k AS (SELECT event_type, s, count_if(event_id % 89 = 0) AS bad FROM d GROUP BY 1, 2)
+    """WITH d AS (SELECT *, date_trunc('day', ts) AS s FROM events), k AS (SELECT event_type, s, count_if(event_id % 89 = 0) + count(*) - count(DISTINCT ts) AS bad FROM d GROUP BY 1, 2)
 SELECT event_type AS symbol, count(*) AS n, sum(value) AS total FROM d JOIN k USING (event_type, s) WHERE bad = 0 GROUP BY 1"""
 )
 def accepted_bars(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +110,6 @@ def accepted_bars(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("event_id") % 89 == 0, v - 5).otherwise(v + 1).alias("high"), (v - 1).alias("low"), v.alias("close"), F.lit(1.0).alias("volume"),
     )
     bad = windows.check_windows(rows, rows.select(*windows.KEY))
-    bad = bad.withColumn("status", F.when(F.exists("fails", lambda x: x.startswith("ohlc")), "fail").otherwise("pass"))
     good = windows.strict_gate(rows, bad, F.lit("2024-01-01"))[0]
     return good.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("open").alias("total"))
 
@@ -145,7 +144,7 @@ def rejected_slots(spark: SparkSession, d: str) -> DataFrame:
 SELECT symbol, count_if(back) = 0 AS monotonic FROM x GROUP BY 1"""
 )
 def monotonic_series(spark: SparkSession, d: str) -> DataFrame:
-    return windows.monotonic(views.ticks(spark, d), ["symbol"], "seq")
+    return quality.monotonic(views.ticks(spark, d), ["symbol"], "seq")
 
 
 @query(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import lzma
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +24,12 @@ STORED_BARS = "datetime timestamp_ntz, open double, high double, low double, clo
 #: Records of a binary tick file: milliseconds after the hour, ask, bid, ask volume, bid volume. Fixed values.
 TICK = np.dtype([("ms", ">i4"), ("ask", ">i4"), ("bid", ">i4"), ("ask_volume", ">f4"), ("bid_volume", ">f4")])
 TICK_NAME = r"^(.+)_(\d{4}-\d{2}-\d{2})_(\d{2})$"
-#: Buckets that symbols of one asset type and interval are stored in.
+#: Buckets that symbols of one asset type, interval and period are stored in, unless the store says otherwise.
 BUCKETS = 64
-PLACE = ["asset_type", "interval", "bucket"]
+PLACE = ["asset_type", "interval", "period", "bucket"]
+PERIODS = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd"}
+#: The folder in which a store says how it is laid out, and touched folders that are sent to every task at most.
+ABOUT, FEW_PLACES = "_about", 10_000
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -84,17 +89,28 @@ def scan_tick_binary(spark: SparkSession, root: str, point: float) -> DataFrame:
     return ticks.select("symbol", at.alias("datetime"), "price", F.when(~F.isnan("volume"), F.col("volume")).alias("volume"), "seq")
 
 
-def scan_window_csv(spark: SparkSession, root: str) -> DataFrame:
-    """CSV bars of files named SYMBOL_INTERVAL_START_END.csv; other files are ignored."""
-    df = spark.read.schema(BAR_SCHEMA).option("header", True).option("recursiveFileLookup", True).csv(root)
+def literal(text: str) -> str:
+    """A text as a glob that matches it alone."""
+    return "".join("\\" + c if c in "*?[]{}\\," else c for c in text)
+
+
+def scan_window_csv(spark: SparkSession, root: str, symbol: str | None = None, interval: str | None = None) -> DataFrame:
+    """CSV bars of files named SYMBOL_INTERVAL_START_END.csv; other files are ignored, and not opened when a symbol or an
+    interval is asked for. ``row`` orders the rows of a file as they stand in it, also where it is read in several splits."""
+    # A name filter has no escapes, so a sign that is special to it stands for any; the names are compared below.
+    pattern = "_".join(re.sub(r"[*?\[\]{}\\,]", "?", x) if x else "*" for x in (symbol, interval)) + "_*_*.csv"
+    df = spark.read.schema(BAR_SCHEMA).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(root)
     name = F.col("_metadata.file_name")
     df = df.where(name.rlike(WINDOW_NAME))
     part = [F.regexp_extract(name, WINDOW_NAME, k) for k in (1, 2, 3, 4)]
+    for want, have in ((symbol, part[0]), (interval, part[1])):
+        if want:
+            df = df.where(have == want)
     return df.select(
         F.try_to_timestamp("datetime").cast("timestamp_ntz").alias("datetime"),
         "open", "high", "low", "close", "volume",
         part[0].alias("symbol"), part[1].alias("interval"), part[2].alias("window_start"), part[3].alias("window_end"),
-        name.alias("file"),
+        name.alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("row"),
     )
 
 
@@ -108,32 +124,65 @@ def range_from_name(name: Column) -> Column:
     return F.when(F.size(p) == 3, F.struct(F.get(p, F.lit(0)).alias("interval"), day(1).alias("start"), day(2).alias("end")))
 
 
+def _about(spark: SparkSession, path: str) -> dict | None:
+    """What a store says about itself: its number of buckets, its period and its columns. None where there is no store."""
+    if not exists(spark, path):
+        return None
+    if not exists(spark, f"{path}/{ABOUT}"):
+        raise ValueError(f"{path} is no bar store: it has no {ABOUT}")
+    return json.loads(spark.read.text(f"{path}/{ABOUT}").first()[0])
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The bars that ``write_bars`` has stored; asset types and intervals are text, whatever they look like."""
-    held = spark.read.option("recursiveFileLookup", True).parquet(path).schema
-    fields = [*[f for f in held.fields if f.name not in PLACE], *[StructField(c, StringType()) for c in PLACE[:2]], StructField(PLACE[2], IntegerType())]
-    return spark.read.schema(StructType(fields)).parquet(path)
+    """The bars that ``write_bars`` has stored; asset types and intervals are text, whatever they look like.
+
+    The store knows its columns, so no data file is opened to learn them. Filters on asset_type, interval, period or
+    bucket leave folders out.
+    """
+    about = _about(spark, path)
+    held = StructType.fromJson(about["schema"]) if about else StructType()
+    types = [StringType(), StringType(), StringType(), IntegerType()]
+    return spark.read.schema(StructType([*held.fields, *(StructField(c, t) for c, t in zip(PLACE, types, strict=True))])).parquet(path)
+
+
+def period_of(t: Column, period: str) -> Column:
+    """The stretch of time that a bar is stored under: its year, year and month, or day; ``none`` without a time."""
+    return F.coalesce(F.date_format(t, PERIODS[period]), F.lit("none"))
 
 
-def write_bars(bars: DataFrame, path: str, seq: str | None = None, buckets: int = BUCKETS) -> None:
-    """Merge bars into zstd parquet by asset type, interval and bucket of symbols, sorted by symbol and time.
+def write_bars(bars: DataFrame, path: str, seq: str | None = None, buckets: int | None = None, period: str | None = None) -> None:
+    """Merge bars into zstd parquet by asset type, interval, period and bucket of symbols, sorted by symbol and time.
 
-    Only the buckets of the given symbols are read and written anew; in them, a bar of the same symbol and time is
-    replaced, and all others stay. Of several given bars with equal keys the one with the highest ``seq`` is written.
+    Only the folders that the given bars fall into are read and written anew; in them, a bar of the same symbol and time
+    is replaced, and all others stay. Of several given bars with equal keys the one with the highest ``seq`` is written.
+    The first write settles the number of buckets and the period (year, month or day), later ones must not ask for
+    others. Small folders share a task and large ones are split over several, each with a file of its own.
     """
     spark = bars.sparkSession
-    place, key = PLACE, ["asset_type", "interval", "symbol", "datetime"]
-    new = bars.withColumn("bucket", F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int"))
+    about = _about(spark, path)
+    asked = {"buckets": buckets, "period": period}
+    if about and any(v not in (None, about[k]) for k, v in asked.items()):
+        raise ValueError(f"the store has {about['buckets']} buckets by {about['period']}, not {asked}")
+    form = about or {"buckets": buckets or BUCKETS, "period": period or "year"}
+    key = ["asset_type", "interval", "symbol", "datetime"]
+    new = bars.withColumns({"period": period_of(F.col("datetime"), form["period"]), "bucket": F.pmod(F.xxhash64("symbol"), F.lit(form["buckets"])).cast("int")})
     new = new.withColumn("_seq", F.col(seq) if seq else F.lit(0))
-    if exists(spark, path):
-        touched = new.select(*place).distinct()
-        old = read_store(spark, path).join(touched, place, "left_semi")
+    if about:
+        touched = new.select(*PLACE).distinct()
+        old = read_store(spark, path)
+        for c in PLACE:  # folders are left out by each column's values, of which a store has few
+            old = old.where(F.col(c).isin([r[0] for r in touched.select(c).distinct().collect()]))
+        old = old.join(F.broadcast(touched) if touched.count() <= FEW_PLACES else touched, PLACE, "left_semi")
         new = upsert(old.withColumn("_seq", F.lit(None).cast(new.schema["_seq"].dataType)), new, key, "_seq")
     else:
         new = keep_last(new, key, ["_seq"])
-    out = new.drop("_seq").repartition(*place).sortWithinPartitions(*place, "symbol", "datetime")
+    out = new.drop("_seq").hint("rebalance", *PLACE).sortWithinPartitions(*PLACE, "symbol", "datetime")
+    schema = StructType([f for f in out.schema.fields if f.name not in PLACE])
+    if not about or StructType.fromJson(about["schema"]) != schema:  # before the data, so that a write that fails can be run again
+        text = json.dumps(form | {"schema": json.loads(schema.json())})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{ABOUT}")
     writer = out.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*place).parquet(path)
+    writer.partitionBy(*PLACE).parquet(path)
 
 
 def write_windows(bars: DataFrame, path: str) -> None:
