@@ -15,6 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,17 +95,28 @@ class Pair:
         # Where the word's own blank is not the one that was put there, that one is the first token by itself.
         return [[self.blank] if w == " " else ids if w[0] == " " else ids[1:] for w, ids in zip(words, found, strict=True)]
 
+    def _fit(self, table: list[bytes], found: list[list[int]], sizes: np.ndarray) -> bool:
+        """Whether each word's tokens end where the word does."""
+        length = self.len_a if table is self.bytes_a else self.len_b
+        ends = np.r_[0, np.cumsum(length[np.array(list(chain.from_iterable(found)), np.int64)])]
+        return np.array_equal(ends[np.cumsum([len(ids) for ids in found])], np.cumsum(sizes))
+
     def learn(self, words: list[str]) -> None:
         """Aligns new words and remembers them."""
         raw = [w.encode() for w in words]
         found_a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
         found_b = self._encode_b(words)
-        joined_a, joined_b = (
-            [b"".join(map(table.__getitem__, ids)) for ids in found] for table, found in ((self.bytes_a, found_a), (self.bytes_b, found_b))
-        )
-        good = np.array([a == r == b for a, r, b in zip(joined_a, raw, joined_b, strict=True)], bool)
+        flat_a, flat_b = (list(chain.from_iterable(found)) for found in (found_a, found_b))
+        good, whole = np.ones(len(words), bool), b"".join(raw)
+        sides = ((self.bytes_a, flat_a, found_a), (self.bytes_b, flat_b, found_b))
+        # If all bytes together are right, some word's may still have come from its neighbour; then each is compared.
+        sizes = np.array([len(r) for r in raw], np.int64)
+        if not all(b"".join(map(table.__getitem__, flat)) == whole and self._fit(table, found, sizes) for table, flat, found in sides):
+            for table, _, found in sides:
+                good &= [b"".join(map(table.__getitem__, ids)) == r for ids, r in zip(found, raw, strict=True)]
+            flat_a, flat_b = ([i for k in np.flatnonzero(good).tolist() for i in found[k]] for found in (found_a, found_b))
         kept = np.flatnonzero(good).tolist()
-        ids_a, ids_b = (np.array([i for k in kept for i in found[k]], np.int64) for found in (found_a, found_b))
+        ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
         end_a, end_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
         ends = np.union1d(end_a, end_b)
         at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
@@ -140,9 +152,9 @@ class Pair:
         new = list({w for own in words for w in own}.difference(self.number))
         for k in range(0, len(new), 20_000):
             self.learn(new[k : k + 20_000])
-        get = self.number.__getitem__
+        numbers = [list(map(self.number.__getitem__, own)) for own in words]
         size = np.array([len(own) for own in words], np.int64)
-        number = np.fromiter((get(w) for own in words for w in own), np.int64, int(size.sum()))
+        number = np.array(list(chain.from_iterable(numbers)), np.int64)
         text = np.repeat(np.arange(len(texts)), size)
         lossy = np.zeros(len(texts), bool)
         lossy[text[self.lossy[number]]] = True
@@ -151,7 +163,7 @@ class Pair:
         for column in range(3):
             np.add.at(counts[:, column], text, self.counts[number, column])
         counts[:, 3] = counts[:, 0] + counts[:, 1] - counts[:, 2]  # every end but the shared ones ends one more link
-        groups = [b"" if bad else b"".join([self.groups[get(w)] for w in own])[:-1] for own, bad in zip(words, lossy.tolist(), strict=True)]
+        groups = [b"" if bad else b"".join(map(self.groups.__getitem__, own))[:-1] for own, bad in zip(numbers, lossy.tolist(), strict=True)]
         links = self.first[number + 1] - self.first[number]
         return counts, groups, np.repeat(text, links), self.links[_ragged(self.first[number], links)]
 
