@@ -50,7 +50,7 @@ def scan_bars(spark: SparkSession, root: str, interval: str | None = None, asset
     reader = spark.read.option("recursiveFileLookup", True)
     if interval:
         reader = reader.option("pathGlobFilter", f"{interval}_*.parquet")
-    parts = F.split(F.col("_metadata.file_path"), "/")
+    parts = F.split(plain("_metadata.file_path"), "/")
     name = F.element_at(parts, -1)
     return reader.parquet(folder).select(
         "*",
@@ -89,6 +89,11 @@ def scan_tick_binary(spark: SparkSession, root: str, point: float) -> DataFrame:
     return ticks.select("symbol", at.alias("datetime"), "price", F.when(~F.isnan("volume"), F.col("volume")).alias("volume"), "seq")
 
 
+def plain(metadata: str) -> Column:
+    """A path or name from a file's metadata as it was given: there, signs such as ^ and blanks are escaped."""
+    return F.url_decode(F.replace(F.col(metadata), F.lit("+"), F.lit("%2B")))
+
+
 def literal(text: str) -> str:
     """A text as a glob that matches it alone."""
     return "".join("\\" + c if c in "*?[]{}\\," else c for c in text)
@@ -100,7 +105,7 @@ def scan_window_csv(spark: SparkSession, root: str, symbol: str | None = None, i
     # A name filter has no escapes, so a sign that is special to it stands for any; the names are compared below.
     pattern = "_".join(re.sub(r"[*?\[\]{}\\,]", "?", x) if x else "*" for x in (symbol, interval)) + "_*_*.csv"
     df = spark.read.schema(BAR_SCHEMA).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(root)
-    name = F.col("_metadata.file_name")
+    name = plain("_metadata.file_name")
     df = df.where(name.rlike(WINDOW_NAME))
     part = [F.regexp_extract(name, WINDOW_NAME, k) for k in (1, 2, 3, 4)]
     for want, have in ((symbol, part[0]), (interval, part[1])):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.timefn import hour_floor
-from tickloom.sources.files import BARS, STORED_BARS, TICK, WINDOW_NAME, literal
+from tickloom.sources.files import BARS, STORED_BARS, TICK, WINDOW_NAME, literal, plain
 
 #: Schemes of Hadoop's file systems that Arrow knows by another name.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfs"}
@@ -126,7 +126,7 @@ def footers(spark: SparkSession, root: str, asset_type: str | None = None, symbo
 def rows_in_order(spark: SparkSession, root: str) -> DataFrame:
     """(path, row, datetime) of the Parquet files below root: each row with its place in its file."""
     rows = spark.read.schema("datetime timestamp_ntz").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"), "datetime")
+    return rows.select(plain("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"), "datetime")
 
 
 def scan_files(spark: SparkSession, found: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def scan_files(spark: SparkSession, found: DataFrame) -> DataFrame:
         schema = ", ".join(f"{c} {'bigint' if t == LONGS else t}" for c, t in types)
         rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(*map(literal, paths))
         values = [F.col("datetime").cast("timestamp_ntz"), *[F.col(c).cast("double") for c in BARS]]
-        path = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+        path = F.regexp_replace(plain("_metadata.file_path"), "^file:/+", "file:/")
         out = out.unionByName(rows.select(path.alias("path"), *values))
     return out
 
