@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,16 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
+def flat_name(name: str) -> str:
+    """The first part that is not blank of a two-level header, which files hold as ('Close', 'AAPL'); other names as they are."""
+    levels = re.fullmatch(r"\('([^']*)', '([^']*)'\)", name.strip())
+    return next((x for x in levels.groups() if x.strip()), "") if levels else name
+
+
 def normalize_columns(df: DataFrame) -> DataFrame:
-    """Names trimmed, in lower case, with underscores; index or date becomes datetime and adj_close adjusted_close where these lack."""
-    names = unique_names([c.strip().lower().replace(" ", "_") for c in df.columns])
+    """Names trimmed, in lower case, with underscores; index or date becomes datetime and adj_close adjusted_close where these
+    lack. Of two-level headers the first level counts."""
+    names = unique_names([flat_name(c).strip().lower().replace(" ", "_") for c in df.columns])
     if "datetime" not in names:
         for alias in ("index", "date"):
             if alias in names:

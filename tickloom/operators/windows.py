@@ -121,11 +121,6 @@ def report_rows(checked: DataFrame) -> DataFrame:
     return checked.withColumns({c: F.concat_ws("|", c) for c in ("fails", "warns")})
 
 
-def report_json(checked: DataFrame) -> DataFrame:
-    """The check as one JSON document a window."""
-    return checked.select(F.to_json(F.struct(*checked.columns)).alias("value"))
-
-
 def _status_counts() -> list[Column]:
     s = F.col("status")
     n = [F.count_if(s == x).alias(x) for x in ("pass", "warn", "fail")]

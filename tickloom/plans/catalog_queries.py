@@ -85,12 +85,12 @@ def union_listings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT l_orderkey AS request, l_linenumber % 3 AS priority, l_linenumber AS line FROM lineitem WHERE l_linenumber % 3 > 0 OR l_orderkey % 2 = 0)
+    """WITH f AS (SELECT l_orderkey AS request, l_linenumber % 3 AS priority, l_linenumber AS line FROM lineitem)
 SELECT * FROM f QUALIFY priority = min(priority) OVER (PARTITION BY request)"""
 )
 def first_available_feed(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("l_linenumber")
-    rows = views.table(spark, d, "lineitem").where((n % 3 > 0) | (F.col("l_orderkey") % 2 == 0))
+    rows = views.table(spark, d, "lineitem")
     return feeds.first_available(rows.select(F.col("l_orderkey").alias("request"), (n % 3).alias("priority"), n.alias("line")), ["request"])
 
 
@@ -100,3 +100,22 @@ def first_available_feed(spark: SparkSession, d: str) -> DataFrame:
 def route_requests(spark: SparkSession, d: str) -> DataFrame:
     rows = views.table(spark, d, "customer").select(F.col("c_custkey").alias("request"), F.col("c_mktsegment").alias("asset_type"))
     return feeds.route(rows, {"building": "ticks"}, "charts", ["building", "machinery", "furniture"], strict=False).select("request", "feed")
+
+
+SQL_FACET_CODES = """c AS (SELECT CASE p_size % 5 WHEN 0 THEN 'SSE' WHEN 1 THEN 'N' WHEN 2 THEN 'Z' WHEN 3 THEN 'ELSE' END AS exchange,
+  CASE p_partkey % 4 WHEN 0 THEN 'MAIN' WHEN 1 THEN 'Q' WHEN 2 THEN p_brand END AS market_category, CASE p_partkey % 3 WHEN 0 THEN 'BOND' WHEN 1 THEN 'ETF' END AS fund_category FROM part)"""
+
+
+@query(
+    f"""WITH {SQL_FACET_CODES}, v AS (SELECT 'exchange' AS facet, exchange AS value FROM c UNION ALL SELECT 'market_category', market_category FROM c UNION ALL SELECT 'fund_category', fund_category FROM c)
+SELECT facet, value, CASE facet || ':' || value WHEN 'exchange:SSE' THEN '上交所' WHEN 'exchange:N' THEN 'NYSE' WHEN 'exchange:Z' THEN 'BATS' WHEN 'market_category:MAIN' THEN '主板'
+  WHEN 'market_category:Q' THEN '纳斯达克全球精选' WHEN 'fund_category:BOND' THEN '债券基金' ELSE value END AS shown, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY facet, value"""
+)
+def facets_shown(spark: SparkSession, d: str) -> DataFrame:
+    s, k = F.col("p_size"), F.col("p_partkey")
+    c = views.table(spark, d, "part").select(
+        F.when(s % 5 == 0, "SSE").when(s % 5 == 1, "N").when(s % 5 == 2, "Z").when(s % 5 == 3, "ELSE").alias("exchange"),
+        F.when(k % 4 == 0, "MAIN").when(k % 4 == 1, "Q").when(k % 4 == 2, F.col("p_brand")).alias("market_category"),
+        F.when(k % 3 == 0, "BOND").when(k % 3 == 1, "ETF").alias("fund_category"),
+    )
+    return catalog.facets_shown(c)

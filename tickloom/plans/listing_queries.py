@@ -13,32 +13,34 @@ from tickloom.sources import listings
 
 @query(
     """SELECT o_custkey AS request, o_orderdate + INTERVAL 8 HOUR AS datetime, o_totalprice AS open, o_totalprice + 1 AS high, o_totalprice - 1 AS low,
-  o_totalprice AS close, CAST(o_orderkey AS DOUBLE) AS volume, CAST(NULL AS DOUBLE) AS adjusted_close FROM orders WHERE o_orderkey % 5 <> 0"""
+  o_totalprice AS close, CAST(o_orderkey AS DOUBLE) AS volume, CASE WHEN o_custkey % 2 = 0 THEN o_totalprice / 2 END AS adjusted_close FROM orders WHERE o_orderkey % 5 <> 0"""
 )
 def chart_bars(spark: SparkSession, d: str) -> DataFrame:
-    """orders folded into one chart payload a customer, and read back as bars."""
+    """orders folded into chart payloads of a customer, at most a thousand orders each, and read back as bars."""
     p, k = F.col("o_totalprice"), F.col("o_orderkey")
     at = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
-    rows = views.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("request"))
+    rows = views.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("request"), F.floor(k / 1000).alias("page"))
     rows = rows.agg(F.collect_list(F.struct(at.alias("t"), p.alias("p"), F.when(k % 5 != 0, p).alias("c"), k.cast("double").alias("v"))).alias("r"))
     quote = F.struct(
         F.col("r.p").alias("open"), F.transform("r.p", lambda x: x + 1).alias("high"), F.transform("r.p", lambda x: x - 1).alias("low"),
         F.col("r.c").alias("close"), F.col("r.v").alias("volume"),
     )
-    result = F.struct(F.col("r.t").alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))
+    halves = F.array(F.struct(F.transform("r.p", lambda x: x / 2).alias("adjclose")))
+    adjusted = F.when(F.col("request") % 2 == 0, halves).alias("adjclose")
+    result = F.struct(F.col("r.t").alias("timestamp"), F.struct(F.array(quote).alias("quote"), adjusted).alias("indicators"))
     payload = F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart")), {"ignoreNullFields": "false"})
     return listings.chart_bars(rows.select("request", payload.alias("json")), "json", ["request"])
 
 
 @query("""SELECT 'P' || p_partkey AS symbol, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS name, p_brand AS exchange FROM part WHERE p_partkey % 7 <> 0""")
 def screener_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """part folded into one screener payload a brand, and read back."""
+    """part folded into screener payloads of a brand, at most two hundred parts each, and read back."""
     k = F.col("p_partkey")
     quote = F.struct(
         F.when(k % 7 != 0, F.concat(F.lit("P"), k)).otherwise(" ").alias("symbol"), F.when(k % 2 == 0, F.col("p_name")).otherwise(" ").alias("shortName"),
         F.col("p_type").alias("longName"), F.col("p_brand").alias("exchange"),
     )
-    rows = views.table(spark, d, "part").groupBy("p_brand").agg(F.collect_list(quote).alias("quotes"))
+    rows = views.table(spark, d, "part").groupBy("p_brand", F.floor(k / 200)).agg(F.collect_list(quote).alias("quotes"))
     result = F.struct(F.array(F.struct("quotes")).alias("result"))
     return listings.screener_catalog(rows.select(F.to_json(F.struct(result.alias("finance"))).alias("json")), "json")
 

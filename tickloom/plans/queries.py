@@ -199,12 +199,13 @@ def catalog_facets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_CATALOG}, o AS (SELECT symbol FROM catalog WHERE length(name) % 5 <> 0), n AS (SELECT symbol FROM catalog WHERE length(name) % 7 <> 0)
+    f"""WITH {SQL_CATALOG}, o AS (SELECT symbol FROM catalog WHERE length(name) % 5 <> 0 OR length(name) % 7 = 0), n AS (SELECT symbol FROM catalog WHERE length(name) % 7 <> 0)
 SELECT symbol, 'added' AS status FROM n ANTI JOIN o USING (symbol) UNION ALL SELECT symbol, 'removed' FROM o ANTI JOIN n USING (symbol)"""
 )
 def symbols_compare(spark: SparkSession, d: str) -> DataFrame:
     c = views.catalog(spark, d)
-    return catalog.compare(c.where(F.length("name") % 5 != 0), c.where(F.length("name") % 7 != 0))
+    n = F.length("name")
+    return catalog.compare(c.where((n % 5 != 0) | (n % 7 == 0)), c.where(n % 7 != 0))
 
 
 @query(

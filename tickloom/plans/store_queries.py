@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import names, timefn
 from tickloom.operators import catalog, quality, shape, store, windows
 from tickloom.plans import views
-from tickloom.plans.queries import SQL_1M, SQL_BOUNDS, SQL_CATALOG, SQL_DIRTY, SQL_PROFILE, SQL_TICKS, query
+from tickloom.plans.queries import ORACLE_SQL, QUERIES, SQL_1M, SQL_BOUNDS, SQL_CATALOG, SQL_DIRTY, SQL_PROFILE, SQL_TICKS, query
 from tickloom.sources import files, listings
 
 NTZ = timefn.NTZ
@@ -339,10 +339,23 @@ def mt4_batch(spark: SparkSession, d: str) -> DataFrame:
     return listings.mt4_batch(rows)
 
 
-@query(f"WITH {SQL_TICKS}, {SQL_1M} SELECT symbol, count(*) AS n, arg_min(close, datetime) AS first_close, arg_max(close, datetime) AS last_close, min(datetime) AS first_time FROM m GROUP BY 1")
+@query(f"WITH {SQL_TICKS}, {SQL_1M} SELECT symbol, strftime(datetime, '%Y-%m-%d') AS period, count(*) AS n, arg_min(close, datetime) AS first_close, arg_max(close, datetime) AS last_close, min(datetime) AS first_time FROM m GROUP BY 1, 2")
 def column_arrays(spark: SparkSession, d: str) -> DataFrame:
     from tickloom.operators import bars
 
-    a = files.column_arrays(bars.bars_from_ticks(views.ticks(spark, d)), ["symbol"])
+    a = files.column_arrays(bars.bars_from_ticks(views.ticks(spark, d)), ["symbol"], "day")
     ends = [F.element_at("close", 1).alias("first_close"), F.element_at("close", -1).alias("last_close"), F.element_at("datetime", 1).alias("first_time")]
-    return a.select("symbol", F.size("close").cast("long").alias("n"), *ends)
+    return a.select("symbol", "period", F.size("close").cast("long").alias("n"), *ends)
+
+
+@query(f"SELECT status, count(*) AS n FROM ({ORACLE_SQL['coverage_plan']}) GROUP BY status")
+def plan_stats(spark: SparkSession, d: str) -> DataFrame:
+    return store.plan_stats(QUERIES["coverage_plan"](spark, d))
+
+
+@query(f"WITH {SQL_TICKS}, {SQL_1M} SELECT symbol, datetime, close, 'events' AS source, 'none' AS adjust FROM m")
+def provenance(spark: SparkSession, d: str) -> DataFrame:
+    from tickloom.operators import bars
+
+    tagged = shape.with_provenance(bars.bars_from_ticks(views.ticks(spark, d)), source="events", adjust="none")
+    return tagged.select("symbol", "datetime", "close", *[F.col("provenance")[c].alias(c) for c in ("source", "adjust")])

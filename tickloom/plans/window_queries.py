@@ -9,6 +9,8 @@ from tickloom.functions import timefn
 from tickloom.operators import ledger, quality, windows
 from tickloom.plans import views
 from tickloom.plans.queries import SQL_TICKS, query
+from tickloom.sources import listings
+from tickloom.sources.shared import scratch
 
 SQL_ROWS = """r AS (SELECT event_type AS symbol, CASE WHEN event_id % 5 = 0 THEN '5m' ELSE '1m' END AS interval, date_trunc('hour', ts) AS s, event_id AS pos,
   CASE WHEN event_id % 97 <> 0 THEN date_trunc('second', ts) END AS t, value AS o, CASE WHEN event_id % 89 = 0 THEN value - 5 ELSE value + 1 END AS h,
@@ -179,3 +181,19 @@ def validate_requests(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 2 == 0, "stock").otherwise("ashare").alias("asset_type"),
     )
     return ledger.validate_requests(rows).select("k", "fault")
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT o_orderpriority AS symbol, date_trunc('month', o_orderdate) AS s, CASE o_orderkey % 3 WHEN 0 THEN '1m' ELSE 'mvp' END AS interval, o_orderkey % 4 AS n FROM orders)
+SELECT DISTINCT symbol, s AS "start", s + to_days(CAST(n AS INTEGER)) AS "end" FROM f WHERE interval = 'mvp' AND n > 0"""
+)
+def failed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of a ledger that is written as text and read back; orders stand for failures, some of an empty range."""
+    k, month = F.col("o_orderkey"), F.date_trunc("MONTH", "o_orderdate").cast(timefn.NTZ)
+    end = F.when(k % 4 == 0, F.lit("never")).otherwise(F.date_format(month + F.make_dt_interval((k % 4).cast("int")), "yyyy-MM-dd"))
+    failures = views.table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("symbol"), F.when(k % 3 == 0, "1m").otherwise("mvp").alias("interval"), F.date_format(month, "yyyy-MM-dd").alias("start"), end.alias("end"), F.lit("fetch_failed").alias("reason"),
+    )
+    path = scratch(spark, "ledger")
+    listings.write_csv(listings.ledger_rows(failures, F.lit("2024-01-01")), path)
+    return windows.failed_windows(spark.read.option("header", True).csv(path))

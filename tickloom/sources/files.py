@@ -226,9 +226,11 @@ def mt4_rows(bars: DataFrame) -> DataFrame:
     )
 
 
-def column_arrays(bars: DataFrame, key: list[str]) -> DataFrame:
-    """One row a series, with one array a column, all in time order."""
+def column_arrays(bars: DataFrame, key: list[str], period: str | None = None) -> DataFrame:
+    """One row a series, with one array a column, all in time order; with a period (year, month or day), one row for each
+    of them, under ``period``, so that the length of a row is bounded."""
     names = ["datetime", "open", "high", "low", "close", "volume"]
     rows = F.array_sort(F.collect_list(F.struct(*names)))
-    out = bars.groupBy(*key).agg(rows.alias("r"))
-    return out.select(*key, *[F.col(f"r.{n}").alias(n) for n in names])
+    by = [*key, *([period_of(F.col("datetime"), period).alias("period")] if period else [])]
+    out = bars.groupBy(*by).agg(rows.alias("r"))
+    return out.select(*key, *(["period"] if period else []), *[F.col(f"r.{n}").alias(n) for n in names])
