@@ -1,5 +1,7 @@
 import textwrap
 
+import duckdb
+import pandas as pd
 import pytest
 
 from tickloom.llm import licenses
@@ -56,3 +58,16 @@ def test_standard_notices_are_found_however_wrapped(spark, layout):
 def test_parts_of_other_sentences_are_no_notice(spark):
     rows = [(1, "He said all rights reserved is a phrase."), (2, "It was never released under the MIT License."), (3, "Released under the MIT\n\nLicense.")]
     assert not any(r.hits for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_sql_agrees_on_wrapped_notices(spark):
+    shapes = [lambda t: t, lambda t: wrapped(t, 72), lambda t: "/*\n" + wrapped(t, 66, " * ") + "/", lambda t: " ".join(t.split()), lambda t: wrapped(t, 60).replace("\n", "\r\n")]
+    tail = "\n\nProse after it. All rights reserved.\nReleased under the MIT License..."
+    rows = [(10 * k + j, "Some prose before.\n\n" + shape(t) + tail) for j, shape in enumerate(shapes) for k, (t, _) in enumerate(NOTICES)]
+    rows += [(900, None), (901, ""), (902, "All rights reserved"), (903, "All rights reserved\n"), (904, "Wait... all rights reserved?! Yes")]
+    with duckdb.connect() as db:
+        db.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+        want = {r[0]: r[1:] for r in db.sql(f"SELECT doc_id, sentence_ids, n_rules FROM ({licenses.SQL})").fetchall()}
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (",".join(r.sentence_ids), len(r.hits)) for r in got} == want
+    assert sum(n > 0 for _, n in want.values()) >= len(rows) - 3

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import documents
 
 #: Known licence sentences of one line, normalised: lower case, runs of other characters than letters and digits as one
-#: blank. The SQL knows these only. Fixed values.
+#: blank. Fixed values.
 SENTENCES = {
     "apache2-grant": "licensed under the apache license version 2 0",
     "apache2-grant-the": "licensed under the apache license version 2 0 the license",
@@ -81,7 +81,7 @@ STANDARD = {
 }
 #: Sentence to identifier.
 KNOWN = {s: name for name, s in SENTENCES.items()} | {s: name for name, all_ in STANDARD.items() for s in all_}
-#: Rules: a licence and the identifiers that make it, in order. The SQL knows the first ones only. Fixed values.
+#: Rules: a licence and the identifiers that make it, in order. Fixed values.
 RULES = (
     ("Apache-2.0", ("apache2-grant-the", "apache2-comply", "apache2-obtain")),
     ("GPL-2.0-or-later", ("gpl-redistribute", "gpl-warranty")),
@@ -113,14 +113,6 @@ STANDARD_RULES = (
         for ids in ((name, "gpl-warranty"), (name,))
     ],
 )
-#: The SQL's cut: at a line's end, or at a full stop, question or exclamation mark before white space.
-SENTENCE_END = r"[.!?]+[ \t]+|[.!?]*[ \t]*[\r\n]+"
-OTHER = r"[^\p{L}\p{N}]+"
-
-
-def _lengths(known: dict[str, str]) -> tuple[int, int]:
-    sizes = [len(s) for s in known.values()]
-    return min(sizes), 2 * max(sizes)
 
 
 def marked(text: Column) -> Column:
@@ -179,7 +171,11 @@ def match_rules(ids: Column, rules=RULES + STANDARD_RULES) -> Column:
 
 
 def scan(docs: DataFrame, known: dict[str, str] = KNOWN, rules=RULES + STANDARD_RULES) -> DataFrame:
-    """(doc_id, sentence_ids, hits) for each row; null and empty texts have no sentences. Repeated rows stay apart."""
+    """(doc_id, sentence_ids, hits) for each row; null and empty texts have no sentences. Repeated rows stay apart.
+
+    Texts of any length are read whole, in time linear in them. Of known sentences that begin at the same place the longest
+    counts; among rules of equal length the first. Other columns of docs are ignored. An empty table gives an empty result.
+    """
     d = docs.select("doc_id", identifiers(F.col("text"), known).alias("sentence_ids"))
     none = F.array().cast("array<struct<rule:int,licence:string>>")
     return d.withColumn("hits", F.when(F.size("sentence_ids") > 0, match_rules(F.col("sentence_ids"), rules)).otherwise(none))
@@ -197,32 +193,40 @@ def op7_licenses(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    names = ", ".join(f"('{v}', '{k}')" for k, v in SENTENCES.items())
-    rules = ", ".join(f"('{lic}', '{ids[0]}')" for lic, ids in RULES if len(ids) == 1)
-    pairs = [(lic, ids) for lic, ids in RULES if len(ids) > 1]
-    seq = "'  ' || coalesce(string_agg(id, '  ' ORDER BY pos), '') || '  '"
-    rest = "seq"
-    for _, ids in sorted(pairs, key=lambda r: -len(r[1])):
-        rest = f"replace({rest}, ' {'  '.join(ids)} ', ' | ')"
-    long_hits = " UNION ALL ".join(
-        f"SELECT doc_id, '{lic}' AS licence FROM s WHERE contains(seq, ' {'  '.join(ids)} ')" for lic, ids in pairs
-    )
-    low, high = _lengths(SENTENCES)
+    """The same rule for DuckDB, whose regular expressions can't look ahead: there, line feeds are doubled, so that the end of
+    one sentence and the start of the next each have their own."""
+
+    def pattern(sentence: str) -> str:
+        line = r"(?: |\n\n)"
+        signs = {" ": line, "|": r"(?: |(?:\n\n)+)", "*": rf"[^ \n]+(?:{line}[^ \n]+){{0,11}}?"}
+        return "".join(signs.get(c, c) for c in sentence)
+
+    order = sorted(KNOWN, key=lambda k: (-len(k), k))
+    plain = {k.replace("|", " "): v for k, v in KNOWN.items() if "*" not in k}
+    names = ", ".join(f"('{k}', '{v}')" for k, v in plain.items())
+    open_ended = " ".join(f"WHEN regexp_full_match(x, '{_pattern(k).replace('++', '+')}') THEN '{KNOWN[k]}'" for k in order if "*" in k)
+    rules = RULES + STANDARD_RULES
+    ordered = sorted(enumerate(rules), key=lambda r: (-len(r[1][1]), r[0]))
+    steps, last = [], "q0"
+    for n, (_, (_, ids)) in enumerate(ordered):
+        found = f"' {'  '.join(ids)} '"
+        steps.append(f"q{n + 1} AS (SELECT * REPLACE (replace(rest, {found}, ' | ') AS rest), contains(rest, {found}) AS h{n} FROM {last})")
+        last = f"q{n + 1}"
+    hits = ", ".join(f"CASE WHEN h{n} THEN '{licence}' END" for n, (_, (licence, _)) in enumerate(ordered))
     return rf"""
-WITH known(sentence, id) AS (VALUES {names}), rule(licence, id) AS (VALUES {rules}),
-parts AS (
-  SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '{SENTENCE_END}')) AS s,
-         generate_subscripts(string_split_regex(coalesce(text, ''), '{SENTENCE_END}'), 1) AS pos FROM documents),
-hit AS (
-  SELECT doc_id, pos, id FROM (SELECT doc_id, pos, trim(regexp_replace(lower(s), '{OTHER}', ' ', 'g')) AS n FROM parts WHERE length(s) BETWEEN {low} AND {high}) p
-  JOIN known ON p.n = known.sentence),
-s AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids, {seq} AS seq FROM hit GROUP BY doc_id),
-r AS (SELECT doc_id, {rest} AS seq FROM s),
-lic AS ({long_hits} UNION ALL SELECT r.doc_id, rule.licence FROM r JOIN rule ON contains(r.seq, ' ' || rule.id || ' ')),
-g AS (SELECT doc_id, count(*) AS n_rules, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM lic GROUP BY doc_id)
-SELECT d.doc_id, coalesce(s.n, 0) AS n_sentences, coalesce(s.ids, '') AS sentence_ids, coalesce(g.licences, '') AS licences,
-       coalesce(g.n_rules, 0) AS n_rules
-FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN g USING (doc_id)
+WITH known(sentence, id) AS (VALUES {names}),
+m1 AS (SELECT doc_id, row_number() OVER () AS r, regexp_replace(lower(coalesce(text, '')), '\r\n?', chr(10), 'g') AS t FROM documents),
+m2 AS (SELECT doc_id, r, regexp_replace(t, '[.!?]+([ \t\n]|$)', chr(10) || chr(10) || '\1', 'g') AS t FROM m1),
+m3 AS (SELECT doc_id, r, replace(regexp_replace(regexp_replace(t, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), chr(10), chr(10) || chr(10)) AS t FROM m2),
+f AS (SELECT doc_id, r, regexp_extract_all(t, '(?:^ ?|\n)({"|".join(map(pattern, order))})(?:\n| ?$)', 1) AS found FROM m3),
+e AS (SELECT r, unnest(range(1, len(found) + 1)) AS pos, regexp_replace(unnest(found), '[ \n]+', ' ', 'g') AS x FROM f),
+i AS (SELECT r, pos, coalesce(known.id, CASE {open_ended} END) AS id FROM e LEFT JOIN known ON x = known.sentence),
+q0 AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids, '  ' || string_agg(id, '  ' ORDER BY pos) || '  ' AS rest FROM i GROUP BY r),
+{", ".join(steps)},
+h AS (SELECT r, n, ids, list_filter([{hits}], lambda x: x IS NOT NULL) AS hits FROM {last})
+SELECT f.doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids,
+       coalesce(array_to_string(list_sort(list_distinct(hits)), ','), '') AS licences, CAST(coalesce(len(hits), 0) AS BIGINT) AS n_rules
+FROM f LEFT JOIN h USING (r)
 """
 
 
