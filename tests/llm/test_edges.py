@@ -108,17 +108,62 @@ def test_chain_sees_probabilities_of_other_folds():
         assert np.allclose(x[fold == f, 3], toxicity.probability(x[fold == f, :3], w), atol=1e-5)
 
 
-def test_non_negative_risk_and_prior():
+def pu_data(spread=1.0):
     g = np.random.default_rng(3)
-    good, bad = g.normal(2, 1, (800, 1)), g.normal(-2, 1, (800, 1))
-    x = np.r_[good[:400], good[400:600], bad[:600]]  # a quarter of the unlabelled are good
-    z = np.c_[x, np.ones(len(x))]
-    p = np.arange(len(x)) < 400
-    prior = quality.class_prior(z, p)
+    good, bad = g.normal(2, spread, (800, 1)), g.normal(-2, spread, (800, 1))
+    p, u = good[:400], np.r_[good[400:600], bad[:600]]  # a quarter of the unlabelled are good
+    return np.c_[p, np.ones(len(p))], np.c_[u, np.ones(len(u))]
+
+
+def test_non_negative_risk_and_prior():
+    p, u = pu_data()
+    ridge = np.array([0.01, 1e-6])
+    sums = lambda w: tuple(quality.Sums.of(quality.block_sums(x, w), 2) for x in (p, u))
+    w = quality.contrast(sums, ridge)
+    t = np.quantile(p @ w, np.linspace(0.1, 0.7, 13))
+    prior = quality.prior_of(t, np.array([(p @ w >= x).mean() for x in t]), np.array([(u @ w >= x).mean() for x in t]))
     assert 0.15 < prior < 0.4
-    w = quality.nn_pu(z, p, prior)
-    score = 1 / (1 + np.exp(-z @ w))
-    assert (score[400:600] > 0.5).mean() > 0.9 and (score[600:] < 0.5).mean() > 0.9
+    w = quality.nn_pu(sums, prior, ridge, steps=40)
+    score = 1 / (1 + np.exp(-u @ w))
+    assert (score[:200] > 0.5).mean() > 0.9 and (score[200:] < 0.5).mean() > 0.9
+
+    def risk(v):
+        return np.logaddexp(0, u @ v).mean() - prior * (p @ v).mean() + (ridge * v * v).sum() / 2
+
+    def negative(v):
+        return np.logaddexp(0, u @ v).mean() - prior * np.logaddexp(0, p @ v).mean()
+
+    # Brute force: no weights of a grid around have a much smaller risk without a negative part under zero. The steps end
+    # at that edge where they meet it, not at the best place along it.
+    assert negative(w) >= 0
+    near = [np.array([a, b]) for a in np.linspace(w[0] - 2, w[0] + 2, 81) for b in np.linspace(w[1] - 2, w[1] + 2, 81)]
+    assert risk(w) <= min(risk(v) for v in near if negative(v) >= 0) + 5e-3
+
+
+def test_quality_by_words_alone(spark):
+    """Good and bad texts are written alike and differ in their words only; no bad text is labelled."""
+    r = random.Random(8)
+    good, bad, both = ([a + b + c for a in x for b in "ae" for c in "lmnp"] for x in ("bcd", "fgh", "rst"))
+    rows = [(k, " ".join(r.choice(both if r.random() < 0.6 else bad if k % 4 == 0 else good) for _ in range(60)), "x") for k in range(1600)]
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 800) if k % 4], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, good string").withColumn("train", F.lit("y")).repartition(3)
+    got = quality.quality_scores(docs, labels, F.col("doc_id") < 1200).where("doc_id >= 1200").collect()
+    assert all(0 <= x.score <= 1 for x in got) and len(got) == 400
+    lowest = sorted(got, key=lambda x: x.score)[:100]
+    assert sum(x.doc_id % 4 == 0 for x in lowest) > 95
+
+
+def test_sums_over_tasks_equal_sums_over_rows(spark):
+    r = random.Random(2)
+    rows = [(k, k % 3 == 0, [r.random() for _ in range(quality.N_STYLE)], sorted(r.sample(range(40), r.randrange(0, 9)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, good boolean, style array<double>, words array<int>").repartition(4)
+    features = quality._features(df, 40, keep=7)
+    styles = np.array([x[2] for x in rows])
+    assert np.allclose(features.mean, styles.mean(0)) and np.allclose(features.scale, styles.std(0)) and len(features.kept) == 7
+    x = np.c_[(styles - styles.mean(0)) / styles.std(0), [[float(w in row[3]) for w in features.kept] for row in rows], np.ones(300)]
+    w = np.random.default_rng(1).normal(size=x.shape[1])
+    p, u = quality._pass(df, features, lambda m: quality.block_sums(m, w))
+    assert np.allclose(u, quality.block_sums(x, w)) and np.allclose(p, quality.block_sums(x[::3], w))
 
 
 def test_rows_without_id_carry_links(spark):
