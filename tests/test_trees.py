@@ -326,3 +326,11 @@ def test_rebuilt_days_by_window(spark):
     daily, status = windows.rebuild_daily(spark.createDataFrame(rows, BAR), w)
     assert {r.symbol: r.status for r in status.collect()} == {"A": "rebuilt", "I": "incomplete_1m", "N": "rebuild_empty", "X": "missing_1m"}
     assert [(r.symbol, r.datetime) for r in daily.orderBy("datetime").collect()] == [("A", T(2024, 1, 1, 22)), ("A", T(2024, 1, 2, 22))]
+
+
+def test_mt4_batch_of_one_symbol_whatever_its_case(spark):
+    from tickloom.sources import listings
+
+    rows = spark.createDataFrame([(s, i, T(2024, 1, 1), 1.0, 1.0, 1.0, 1.0, 1.0, "f") for s in ("eurusd", "GBPUSD") for i in ("1m", "5m")], "symbol string, interval string, datetime timestamp_ntz, open double, high double, low double, close double, volume double, file string")
+    assert listings.mt4_batch(rows).count() == 4
+    assert listings.mt4_batch(rows, symbol=" EurUsd ", interval="5m").count() == 1

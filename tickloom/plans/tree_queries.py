@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import bars, quality, store, validation, windows
+from tickloom.operators import bars, quality, shape, store, validation, windows
 from tickloom.plans import views
-from tickloom.plans.queries import SQL_1M, SQL_DIRTY, SQL_PROFILE, SQL_TICKS, query
-from tickloom.sources import files, tree
+from tickloom.plans.queries import ORACLE_SQL, QUERIES, SQL_1M, SQL_DIRTY, SQL_PROFILE, SQL_TICKS, query
+from tickloom.sources import files, listings, tree
 from tickloom.sources.shared import scratch
 
 
@@ -224,3 +224,63 @@ def status_report(spark: SparkSession, d: str) -> DataFrame:
     w = _day_bars(spark, d).select("symbol", "start", "end", "code").distinct()
     status = F.when(code == 0, "fail").when(code == 1, "warn").otherwise("pass")
     return windows.status_report(w.withColumns({"interval": F.when(code % 2 == 0, "1m").otherwise("5m"), "status": status}))
+
+
+@query(
+    f"""WITH {SQL_DIRTY} SELECT 'stock' AS asset_type, symbol, '1d' AS interval, datetime, open, high, low, close, volume FROM bars WHERE CAST(symbol AS BIGINT) % 10 IN (0, 2, 4)"""
+)
+def scanned_bars(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of two asset types and two intervals, of which one pair is scanned."""
+    root = scratch(spark, "scanned")
+    digit = _digit(F.col("symbol"))
+    rows = views.dirty_bars(spark, d).drop("seq")
+    rows = rows.withColumns({"asset_type": F.when(digit % 2 == 0, "stock").otherwise("fund"), "interval": F.when(digit < 5, "1d").otherwise("1wk")})
+    tree.run(tree.write_series_files(rows, root))
+    return files.scan_bars(spark, root, interval="1d", asset_type="stock")
+
+
+@query(
+    f"""WITH {SQL_DAYS} SELECT k.symbol, '1m' AS interval, k.datetime, open, high, low, CASE WHEN code > 1 THEN close ELSE close + 1 END AS close, volume,
+  CASE WHEN code > 1 THEN 'csv' ELSE 'old' END AS source FROM k JOIN w USING (symbol, s)"""
+)
+def bridged_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Window CSVs merged over a store that holds other prices."""
+    root = scratch(spark, "bridged")
+    b = _day_bars(spark, d)
+    tree.run(tree.write_window_files(b.where("code > 1").drop("code"), root))
+    held = b.select("symbol", "interval", "datetime", "open", "high", "low", (F.col("close") + 1).alias("close"), "volume", F.lit("old").alias("source"))
+    return listings.bridge_csv(spark, root, held)
+
+
+@query(
+    f"""SELECT '' AS path, symbol, '' AS interval, rule_id, severity, rule_id || '=' || n AS message, CAST(n AS VARCHAR) AS n, '2024-01-01' AS created_at FROM ({ORACLE_SQL['validate_series']})"""
+)
+def issues_written(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "issues")
+    listings.write_issues(QUERIES["validate_series"](spark, d), path, "json", F.lit("2024-01-01"))
+    return spark.read.json(path).select(*listings.ISSUES)
+
+
+@query(
+    f"""WITH {SQL_DAYS} SELECT symbol, '1m' AS interval, s AS "start", s + INTERVAL 1 DAY AS "end", 'row_count_mismatch:' || n || '!=1440' AS reason FROM w WHERE n <> 1440 AND code > 0
+UNION ALL SELECT symbol, '1m', s, s + INTERVAL 1 DAY, 'missing_file' FROM w WHERE code = 0"""
+)
+def post_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The windows that are still not fine after repairs; some have no rows at all."""
+    b = _day_bars(spark, d).withColumn("pos", F.unix_seconds(F.col("datetime").cast("timestamp")))
+    return windows.post_check(b.select(*windows.KEY).distinct(), b.where("code > 0"))
+
+
+@query("""SELECT l_shipdate AS datetime, l_extendedprice AS open, l_extendedprice + 1 AS high, l_extendedprice - 1 AS low, l_extendedprice AS close, l_quantity AS volume FROM lineitem""")
+def conformed_feed(spark: SparkSession, d: str) -> DataFrame:
+    """A feed with headers of two levels, in mixed case, repeated and blank ones, brought to the columns of bars."""
+    p = F.col("l_extendedprice")
+    feed = views.table(spark, d, "lineitem").select(
+        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias(" Date "), p.alias("('Open', 'X')"), (p + 1).alias("HIGH"), (p - 1).alias("('Low', '')"), p.alias("Close"),
+        F.col("l_quantity").alias("Volume"), F.lit(0).alias("volume "), F.lit(0).alias(" "), (p / 2).alias("Adj Close"),
+    )
+    found = shape.normalize_columns(feed)
+    report = shape.schema_report(found)
+    if report["missing"] or not report["adjusted"]:
+        raise ValueError(f"the feed lacks {report}")
+    return shape.require_ohlcv(shape.resolve_time(found))

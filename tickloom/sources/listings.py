@@ -154,17 +154,26 @@ def write_issues(issues: DataFrame, path: str, form: str = "json", created_at: C
         write_csv(rows, path)
 
 
-def bridge_csv(spark: SparkSession, root: str, store: DataFrame | None = None, source: str = "csv") -> DataFrame:
-    """Bars of a tree of window CSVs with their source, merged over the bars of ``store`` if that is given."""
-    rows = files.scan_window_csv(spark, root).where("datetime is not null")
+def bridge_csv(
+    spark: SparkSession, root: str, store: DataFrame | None = None, source: str = "csv", symbol: str | None = None, interval: str | None = None
+) -> DataFrame:
+    """Bars of a tree of window CSVs, or of one symbol's or interval's, with their source, merged over the bars of ``store``
+    if that is given."""
+    rows = files.scan_window_csv(spark, root, symbol, interval).where("datetime is not null")
     rows = keep_last(rows, ["symbol", "interval", "datetime"], ["file"])
     new = rows.select("symbol", "interval", *shape.BASE, F.lit(source).alias("source"), F.col("file").alias("seq"))
     old = None if store is None else store.withColumn("seq", F.lit(""))
     return (new if old is None else upsert(old, new, ["symbol", "interval", "datetime"])).drop("seq")
 
 
-def mt4_batch(windows: DataFrame) -> DataFrame:
-    """MT4 rows of many window files: per series the later file wins; intervals that the format lacks are left out."""
+def mt4_batch(windows: DataFrame, symbol: str | None = None, interval: str | None = None) -> DataFrame:
+    """MT4 rows of many window files: per series the later file wins; intervals that the format lacks are left out.
+
+    With a symbol or an interval only its files count, whatever the case of their letters.
+    """
+    for column, want in (("symbol", symbol), ("interval", interval)):
+        if want and want.strip():
+            windows = windows.where(F.upper(column) == want.strip().upper())
     code = names.vendor_interval("mt4", F.col("interval"))
     rows = windows.withColumn("mt4_interval", code).where("mt4_interval is not null and datetime is not null")
     rows = keep_last(rows, ["symbol", "mt4_interval", "datetime"], ["file"])
