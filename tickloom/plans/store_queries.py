@@ -244,8 +244,9 @@ def first_ticks(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_EDGES = """r AS (SELECT event_type AS symbol, date_trunc('hour', ts - INTERVAL 10 MINUTE) AS s, event_id AS pos, date_trunc('second', ts) AS t, time_bucket(INTERVAL 5 MINUTE, ts) AS slot FROM events),
-m AS (SELECT symbol, s, count(*) AS n_rows, count_if(t >= s + INTERVAL 1 HOUR) AS out_of_range, count(DISTINCT slot) FILTER (WHERE slot >= s + INTERVAL 1 HOUR) AS extra,
-  count(DISTINCT slot) FILTER (WHERE slot < s + INTERVAL 1 HOUR) AS slots, arg_min(t, pos) AS a, arg_max(t, pos) AS z FROM r GROUP BY 1, 2)"""
+b AS (SELECT *, t < lag(t) OVER (PARTITION BY symbol, s ORDER BY pos) AS back FROM r),
+m AS (SELECT symbol, s, count(*) AS n_rows, count_if(back) AS backwards, count(*) - count(DISTINCT t) AS repeated, count_if(t >= s + INTERVAL 1 HOUR) AS out_of_range, count(DISTINCT slot) FILTER (WHERE slot >= s + INTERVAL 1 HOUR) AS extra,
+  count(DISTINCT slot) FILTER (WHERE slot < s + INTERVAL 1 HOUR) AS slots, arg_min(t, pos) AS a, arg_max(t, pos) AS z FROM b GROUP BY 1, 2)"""
 
 
 def edge_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -265,14 +266,14 @@ def window_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_EDGES} SELECT symbol, s AS start, unnest(list_filter([CASE WHEN out_of_range > 0 THEN 'out_of_range_rows:' || out_of_range END, CASE WHEN n_rows <> 12 THEN 'row_count_mismatch:' || n_rows || '!=12' END,
+    f"""WITH {SQL_EDGES} SELECT symbol, s AS start, unnest(list_filter([CASE WHEN out_of_range > 0 THEN 'out_of_range_rows:' || out_of_range END, CASE WHEN backwards > 0 THEN 'datetime_not_monotonic_increasing' END,
+  CASE WHEN repeated > 0 THEN 'duplicate_timestamps:' || repeated END, CASE WHEN n_rows <> 12 THEN 'row_count_mismatch:' || n_rows || '!=12' END,
   CASE WHEN slots < 12 THEN 'missing_timestamps:' || (12 - slots) END, CASE WHEN extra > 0 THEN 'extra_timestamps:' || extra END, CASE WHEN a <> s THEN 'first_timestamp_unexpected' END,
   CASE WHEN z <> s + INTERVAL 55 MINUTE THEN 'last_timestamp_unexpected' END], lambda x: x IS NOT NULL)) AS issue FROM m"""
 )
 def window_issues(spark: SparkSession, d: str) -> DataFrame:
     rows = edge_rows(spark, d)
-    found = windows.integrity_issues(rows, rows).select("symbol", "start", F.explode("issues").alias("issue"))
-    return found.where("not issue like 'duplicate%' and not issue like 'datetime_not%'")  # these are in check_windows
+    return windows.integrity_issues(rows, rows).select("symbol", "start", F.explode("issues").alias("issue"))
 
 
 @query(

@@ -173,11 +173,12 @@ def write_bars(bars: DataFrame, path: str, seq: str | None = None, buckets: int
     new = bars.withColumns({"period": period_of(F.col("datetime"), form["period"]), "bucket": F.pmod(F.xxhash64("symbol"), F.lit(form["buckets"])).cast("int")})
     new = new.withColumn("_seq", F.col(seq) if seq else F.lit(0))
     if about:
-        touched = new.select(*PLACE).distinct()
-        old = read_store(spark, path)
-        for c in PLACE:  # folders are left out by each column's values, of which a store has few
-            old = old.where(F.col(c).isin([r[0] for r in touched.select(c).distinct().collect()]))
-        old = old.join(F.broadcast(touched) if touched.count() <= FEW_PLACES else touched, PLACE, "left_semi")
+        # One pass over the given bars: the values of each column, of which a store has few, leave folders out.
+        *values, n = new.agg(*[F.collect_set(c) for c in PLACE], F.count_distinct(F.struct(*PLACE))).first()
+        touched, old = new.select(*PLACE).distinct(), read_store(spark, path)
+        for c, some in zip(PLACE, values, strict=True):
+            old = old.where(F.col(c).isin(some) if some else F.lit(False))
+        old = old.join(F.broadcast(touched) if n <= FEW_PLACES else touched, PLACE, "left_semi")
         new = upsert(old.withColumn("_seq", F.lit(None).cast(new.schema["_seq"].dataType)), new, key, "_seq")
     else:
         new = keep_last(new, key, ["_seq"])
