@@ -70,6 +70,20 @@ def test_validation_of_a_broken_tree(spark, broken_tree):
     assert tuple(validation.files_with_issues(issues).first()) == (3, 5, 3, 4)
 
 
+@pytest.mark.parametrize("form", ["{}", "file:{}", "file://{}/", "{}/../{name}"])
+def test_validation_knows_the_root_in_every_form(spark, broken_tree, tmp_path, form):
+    root = form.format(tmp_path, name=tmp_path.name)
+    summaries, issues = validation.validate_tree(spark, root)
+    assert {r.symbol: r.n_read for r in summaries.collect()} == {"GOOD": 3, "LONG+ 1": 3, "TEXT": 0, "NOTIME": 3, "GAP": 3, "NAME": 3, "CUT": 0, "NONE": 0}
+    assert [r.symbol for r in issues.where("rule_id = 'datetime.stats_failed'").collect()] == ["TEXT"]
+
+
+def test_series_files_go_where_a_scan_finds_them(spark, tmp_path):
+    rows = spark.createDataFrame([("stock", "A", "1d", t, 1.0) for t in days(5)], "asset_type string, symbol string, interval string, datetime timestamp_ntz, close double")
+    tree.run(tree.write_series_files(rows, str(tmp_path)))
+    assert [(r.symbol, r.n_read) for r in validation.validate_tree(spark, str(tmp_path))[0].collect()] == [("A", 5)]
+
+
 def test_validation_filters_and_missing_roots(spark, broken_tree):
     found = tree.footers(spark, broken_tree, asset_type="stock", symbol="GAP", interval="1d").collect()
     assert [(r.symbol, r.n_rows, r.first, r.last) for r in found] == [("GAP", 3, T(2024, 1, 1), T(2024, 3, 1))]

@@ -37,6 +37,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark names it, with its scheme, also where it is given without one; a local one begins with file:/."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+
+
 def scan_bars(spark: SparkSession, root: str, interval: str | None = None, asset_type: str = "*", symbol: str = "*") -> DataFrame:
     """Parquet bars below root/asset_type/symbol/interval_start_end.parquet, with these keys from the path.
 

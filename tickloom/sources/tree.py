@@ -7,7 +7,6 @@ query asks for. Paths are opened with Arrow's file systems.
 from __future__ import annotations
 
 import lzma
-import re
 import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.timefn import hour_floor
-from tickloom.sources.files import BARS, STORED_BARS, TICK, WINDOW_NAME, literal, plain
+from tickloom.sources.files import BARS, STORED_BARS, TICK, WINDOW_NAME, literal, plain, qualified
 
 #: Schemes of Hadoop's file systems that Arrow knows by another name.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfs"}
@@ -42,7 +41,8 @@ def open_path(path: str) -> tuple[pafs.FileSystem, str]:
 def listed(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """(path, length) of the files below root with this ending, empty ones too; none if there is no root.
 
-    One task lists root's own entries, the others the folders below them. Hidden files are left out.
+    One task lists root's own entries, the others the folders below them. Hidden files are left out. Paths are as Spark
+    names them, so that they can be joined to those of a scan, whatever form root has.
     """
 
     def entries(path: str, deep: bool) -> pd.DataFrame:
@@ -64,7 +64,7 @@ def listed(spark: SparkSession, root: str, suffix: str) -> DataFrame:
                 yield entries(path, True)
 
     form = "path string, length long, folder boolean"
-    top = spark.createDataFrame([(re.sub("^file:/+", "file:/", root),)], "path string").mapInPandas(first, form)
+    top = spark.createDataFrame([(qualified(spark, root),)], "path string").mapInPandas(first, form)
     found = top.repartition("path").mapInPandas(below, form).where(F.col("path").endswith(suffix) & ~F.col("folder"))
     return found.select("path", F.coalesce("length", F.lit(0)).alias("length"))
 
@@ -160,7 +160,7 @@ def _stream_files(rows: DataFrame, key: list[str], root: str, suffix: str, place
     schema)`` a writer. A task holds one batch, however long a run is. A file is moved to its name when it is whole, and
     another attempt of the task gives it the same name again.
     """
-    names = [c for c in rows.columns if c not in key]
+    names, root = [c for c in rows.columns if c not in key], qualified(rows.sparkSession, root)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = open_path(root)
