@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -109,3 +110,29 @@ def test_rounds_raise_the_likelihood_and_gains_equal_brute_force(spark):
         tried = {c: value(cls | {names[k]: c}) for c in (1, 2, 3)}
         best = max(tried, key=tried.get)
         assert tried[best] - tried[moved.get(k, int(own[k]))] < 0.5  # a token next to itself is seen only roughly
+
+
+def test_moving_many_neighbours_takes_bounded_memory(monkeypatch):
+    some = np.random.default_rng(1)
+    classes, words, each = 200, 1500, 150
+    word = np.repeat(np.arange(words), each)
+    at = np.concatenate([np.sort(some.choice(2 * classes, each, replace=False)) for _ in range(words)])
+    n, g = some.integers(1, 30, len(word)), some.integers(0, 50, (classes, classes)).astype(float) + 1e4
+    own = some.integers(1, classes, words)
+    tracemalloc.start()
+    got = [class_lm.best_classes(word, at, n, o, g) for o in (own, None)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # all gains at once are 180 MB, and the work on them a multiple of that
+    monkeypatch.setattr(class_lm, "CHUNK", 1 << 30)
+    for a, b in zip(got, [class_lm.best_classes(word, at, n, o, g) for o in (own, None)], strict=True):
+        assert len(a[0]) and (a[0] == b[0]).all() and (a[1] == b[1]).all()
+
+
+@pytest.mark.parametrize("held", [1000, 60])
+def test_counts_passed_on_in_parts_add_up(spark, held, monkeypatch):
+    options = {"classes": 5, "frequent": 20, "endings": 4, "held": held, "rounds": 2}
+    whole = {h: r.cls for h, r in word_classes(class_lm.train_model(frame(spark), F.lit(True), **options)).items()}
+    monkeypatch.setattr(class_lm, "FLUSH_PAIRS", 100)
+    monkeypatch.setattr(class_lm, "FLUSH_RARE", 50)
+    assert whole == {h: r.cls for h, r in word_classes(class_lm.train_model(frame(spark), F.lit(True), **options)).items()}

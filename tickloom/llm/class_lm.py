@@ -32,8 +32,9 @@ ROUNDS = 2
 #: Tokens that move in every round, and whose hashes, counts and classes every task holds (18 bytes each, a fixed bound).
 #: All others are classed once, by their own neighbours, and joined.
 HELD = 1_000_000
-#: Token-to-class neighbour pairs that a task counts before it passes the counts on, and pairs meant for one moving task.
-FLUSH_PAIRS, PAIRS_A_TASK = 4_000_000, 1_000_000
+#: Token-to-class neighbour pairs that a task counts before it passes the counts on, of held tokens (8 bytes each) and of
+#: rare ones (16 bytes each), and pairs meant for one moving task.
+FLUSH_PAIRS, FLUSH_RARE, PAIRS_A_TASK = 2_000_000, 1_000_000, 1_000_000
 #: Neighbour counts whose gains are looked up, and entries whose gains are worked out at a time.
 SMALL, CHUNK = 8, 10_000
 #: Bytes of text whose tokens are held as objects at a time, and tokens that a task counts before it passes the counts on.
@@ -228,9 +229,10 @@ def best_classes(word: np.ndarray, at: np.ndarray, n: np.ndarray, own: np.ndarra
         return (xlog(x + some[:, None]) - xlog(x))[back]
 
     starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    # Chunks begin with the first token after each CHUNK entries; a token has at most two entries a class.
+    firsts = np.unique(np.searchsorted(starts, np.arange(0, len(word), CHUNK)))
     ids, targets = [], []
-    for first in range(0, len(starts), CHUNK):
-        last = min(first + CHUNK, len(starts))
+    for first, last in itertools.pairwise([*firsts[firsts < len(starts)].tolist(), len(starts)]):
         i, j = starts[first], starts[last] if last < len(starts) else len(word)
         a, m, s = at[i:j], n[i:j], starts[first:last] - i
         change = small[np.minimum(m, SMALL) - 1, a]
@@ -264,7 +266,7 @@ def _summed(word: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     order = np.lexsort((at, word))
     word, at, n = word[order], at[order], n[order]
     first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (at[1:] != at[:-1])])
-    return word[first], at[first], np.add.reduceat(n, first)
+    return word[first], at[first], np.add.reduceat(n, first, dtype=np.int64)
 
 
 def _neighbours(train: DataFrame, label, classes: int, parts: int, rare: bool) -> DataFrame:
@@ -274,14 +276,26 @@ def _neighbours(train: DataFrame, label, classes: int, parts: int, rare: bool) -
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[np.ndarray] = []
-        ats: list[np.ndarray] = []
+        pairs: list[np.ndarray] = []  # numbers that stand for a rank and a place; of rare tokens the hashes
+        ats: list[np.ndarray] = []  # places of rare tokens
         size = 0
 
+        def counted() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            pair = np.concatenate(pairs)
+            pairs.clear()
+            if rare:
+                at = np.concatenate(ats)
+                ats.clear()
+                return _summed(pair, at, np.ones(len(pair), np.int32))
+            pair.sort()
+            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            n = np.diff(first, append=len(pair)).astype(np.int32)
+            word, at = np.divmod(pair[first], 2 * classes)
+            return word, at.astype(np.int32), n
+
         def out() -> pa.RecordBatch:
-            word, at = np.concatenate(words), np.concatenate(ats)
-            word, at, n = _summed(word, at, np.ones(len(word), np.int64)) if len(word) else (word, at, word)
-            part = (word % np.int64(parts)).astype(np.int64)
+            word, at, n = counted()
+            part = (word % np.int64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
             some = [p for p in range(parts) if cut[p] < cut[p + 1]]
@@ -303,13 +317,18 @@ def _neighbours(train: DataFrame, label, classes: int, parts: int, rare: bool) -
             mine = np.flatnonzero(x < 0 if rare else x >= 0)
             last = np.flatnonzero(c[mine] != 0)  # the end token keeps its class, and what follows it is another text
             mine = mine[last]
-            word = batch.column("rare").flatten().to_numpy() if rare else x[mine].astype(np.int64)
-            words += [word, word]
-            ats += [before[mine], classes + after[mine]]
+            places = [before[mine], classes + after[mine]]
+            if rare:
+                word = batch.column("rare").flatten().to_numpy()
+                pairs += [word, word]
+                ats += [at.astype(np.int32) for at in places]
+            else:
+                word = x[mine].astype(np.int64) * (2 * classes)
+                pairs += [word + at for at in places]
             size += 2 * len(mine)
-            if size > FLUSH_PAIRS:
+            if size > (FLUSH_RARE if rare else FLUSH_PAIRS):
                 yield out()
-                words, ats, size = [], [], 0
+                size = 0
         if size:
             yield out()
 
@@ -326,9 +345,10 @@ def _moved(counted: DataFrame, label, g: np.ndarray, rare: bool) -> DataFrame:
         for batch in batches:
             for size, *columns in zip(*[batch.column(c).to_pylist() for c in ("size", "word", "at", "n")], strict=True):
                 kinds = (np.int64, np.int32, np.int32)
-                got.append(tuple(np.frombuffer(pa.decompress(x, size * np.dtype(k).itemsize, "zstd"), k).astype(np.int64) for x, k in zip(columns, kinds, strict=True)))
+                got.append(tuple(np.frombuffer(pa.decompress(x, size * np.dtype(k).itemsize, "zstd"), k) for x, k in zip(columns, kinds, strict=True)))
         if got:
             word, at, n = _summed(*(np.concatenate(x) for x in zip(*got, strict=True)))
+            got.clear()
             own = None if rare else label.value[word[np.r_[True, word[1:] != word[:-1]]]]
             ids, to = best_classes(word, at, n, own, shared.value)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(to.astype(np.int32))], names=["word", "cls"])
