@@ -348,3 +348,36 @@ def test_mt4_batch_of_one_symbol_whatever_its_case(spark):
     rows = spark.createDataFrame([(s, i, T(2024, 1, 1), 1.0, 1.0, 1.0, 1.0, 1.0, "f") for s in ("eurusd", "GBPUSD") for i in ("1m", "5m")], "symbol string, interval string, datetime timestamp_ntz, open double, high double, low double, close double, volume double, file string")
     assert listings.mt4_batch(rows).count() == 4
     assert listings.mt4_batch(rows, symbol=" EurUsd ", interval="5m").count() == 1
+
+
+def tasks_of(spark, build):
+    """The numbers of tasks of the stages that ran while ``build`` was called."""
+    spark.sparkContext.setJobGroup(build.__name__ + str(random.random()), "")
+    group = spark.sparkContext.getLocalProperty("spark.jobGroup.id")
+    try:
+        build()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {k for job in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(job).stageIds}
+    return [info.numTasks for info in map(tracker.getStageInfo, stages) if info and info.numCompletedTasks]
+
+
+def test_a_write_takes_one_shuffle_of_all_rows(spark, tmp_path):
+    b = spark.range(2000).selectExpr("'stock' as asset_type", "'1d' as interval", "cast(id % 7 as string) as symbol", "timestamp_ntz '2020-01-01' + make_dt_interval(cast(id % 900 as int)) as datetime", "id as close", "id as seq")
+    root = str(tmp_path / "store")
+    assert len(tasks_of(spark, lambda: files.write_bars(b, root, "seq", buckets=3))) <= 4
+    files.write_bars(b.where("seq < 3").withColumn("close", F.lit(-1).cast("long")), root)
+    got = {(r.symbol, r.datetime): r.close for r in files.read_store(spark, root).collect()}
+    want = {}
+    for r in b.orderBy("seq").collect():
+        want[r.symbol, r.datetime] = r.close if r.seq >= 3 else -1
+    want |= {(r.symbol, r.datetime): -1 for r in b.where("seq < 3").collect()}
+    assert got == want
+
+
+def test_periods_of_years_beyond_four_digits(spark):
+    times = ["0001-02-03", "0999-12-31", "1000-01-01", "2024-02-29 23:59:59", "9999-12-31"]
+    df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp_ntz").alias("t")).unionAll(spark.sql("select timestamp_ntz '+12345-06-07' union all select null"))
+    for name, form in files.PERIODS.items():
+        assert df.where(~files.period_of(F.col("t"), name).eqNullSafe(F.coalesce(F.date_format("t", form), F.lit("none")))).isEmpty()

@@ -15,7 +15,6 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tickloom.functions import timefn
 from tickloom.functions.numeric import half_even_long
-from tickloom.operators.store import keep_last, upsert
 
 WINDOW_NAME = r"^(.+)_([0-9]+[a-z]+)_([0-9]{8})_([0-9]{8})\.csv$"
 BARS = ["open", "high", "low", "close", "volume"]
@@ -158,7 +157,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def period_of(t: Column, period: str) -> Column:
     """The stretch of time that a bar is stored under: its year, year and month, or day; ``none`` without a time."""
-    return F.coalesce(F.date_format(t, PERIODS[period]), F.lit("none"))
+    day = F.substring(t.cast("date").cast("string"), 1, len(PERIODS[period]))  # much quicker than a format, but only for four digits
+    return F.coalesce(F.when(F.year(t).between(1000, 9999), day).otherwise(F.date_format(t, PERIODS[period])), F.lit("none"))
 
 
 def write_bars(bars: DataFrame, path: str, seq: str | None = None, buckets: int | None = None, period: str | None = None) -> None:
@@ -167,7 +167,8 @@ def write_bars(bars: DataFrame, path: str, seq: str | None = None, buckets: int
     Only the folders that the given bars fall into are read and written anew; in them, a bar of the same symbol and time
     is replaced, and all others stay. Of several given bars with equal keys the one with the highest ``seq`` is written.
     The first write settles the number of buckets and the period (year, month or day), later ones must not ask for
-    others. Small folders share a task and large ones are split over several, each with a file of its own.
+    others. Tasks are dealt ranges of folders, symbols and times, so small folders share a task and large ones are split
+    over several, each with a file of its own.
     """
     spark = bars.sparkSession
     about = _about(spark, path)
@@ -175,20 +176,26 @@ def write_bars(bars: DataFrame, path: str, seq: str | None = None, buckets: int
     if about and any(v not in (None, about[k]) for k, v in asked.items()):
         raise ValueError(f"the store has {about['buckets']} buckets by {about['period']}, not {asked}")
     form = about or {"buckets": buckets or BUCKETS, "period": period or "year"}
-    key = ["asset_type", "interval", "symbol", "datetime"]
     new = bars.withColumns({"period": period_of(F.col("datetime"), form["period"]), "bucket": F.pmod(F.xxhash64("symbol"), F.lit(form["buckets"])).cast("int")})
-    new = new.withColumn("_seq", F.col(seq) if seq else F.lit(0))
+    new = new.withColumns({"_new": F.lit(1), "_seq": F.col(seq) if seq else F.lit(0)})
+    # Every bucket is 0 or more. A plain constant would be left out of the window's key below, and that shuffle all again.
+    new = new.withColumns({c: F.when(F.col("bucket") >= 0, F.col(c)) for c in ("asset_type", "interval")})
+    both = new
     if about:
-        # One pass over the given bars: the values of each column, of which a store has few, leave folders out.
-        *values, n = new.agg(*[F.collect_set(c) for c in PLACE], F.count_distinct(F.struct(*PLACE))).first()
+        # One pass over the given bars finds the folders they fall into; few are sent to the tasks, and leave folders out.
         touched, old = new.select(*PLACE).distinct(), read_store(spark, path)
-        for c, some in zip(PLACE, values, strict=True):
-            old = old.where(F.col(c).isin(some) if some else F.lit(False))
-        old = old.join(F.broadcast(touched) if n <= FEW_PLACES else touched, PLACE, "left_semi")
-        new = upsert(old.withColumn("_seq", F.lit(None).cast(new.schema["_seq"].dataType)), new, key, "_seq")
-    else:
-        new = keep_last(new, key, ["_seq"])
-    out = new.drop("_seq").hint("rebalance", *PLACE).sortWithinPartitions(*PLACE, "symbol", "datetime")
+        few = touched.limit(FEW_PLACES + 1).collect()
+        if len(few) <= FEW_PLACES:
+            for c in PLACE:
+                some = {r[c] for r in few if r[c] is not None}
+                old = old.where(F.col(c).isin(*some) if some else F.lit(False))
+            touched = F.broadcast(spark.createDataFrame(few, touched.schema))
+        old = old.join(touched, PLACE, "left_semi").withColumns({"_new": F.lit(0), "_seq": F.lit(None).cast(new.schema["_seq"].dataType)})
+        both = old.unionByName(new, allowMissingColumns=True)
+    # The place begins the key, so one shuffle and one sort serve to find the rows that stay, and to write them.
+    key = [*PLACE, "symbol", "datetime"]
+    last = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_new"), F.desc("_seq")))
+    out = both.repartitionByRange(*key).withColumn("_last", last).where("_last = 1").drop("_last", "_new", "_seq").sortWithinPartitions(*key)
     schema = StructType([f for f in out.schema.fields if f.name not in PLACE])
     if not about or StructType.fromJson(about["schema"]) != schema:  # before the data, so that a write that fails can be run again
         text = json.dumps(form | {"schema": json.loads(schema.json())})
