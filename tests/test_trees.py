@@ -381,3 +381,11 @@ def test_periods_of_years_beyond_four_digits(spark):
     df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp_ntz").alias("t")).unionAll(spark.sql("select timestamp_ntz '+12345-06-07' union all select null"))
     for name, form in files.PERIODS.items():
         assert df.where(~files.period_of(F.col("t"), name).eqNullSafe(F.coalesce(F.date_format("t", form), F.lit("none")))).isEmpty()
+
+
+def test_folders_are_listed_in_few_tasks(spark, tmp_path):
+    for k in range(80):
+        put(tmp_path, f"S{k}", bar_columns())
+    scan = lambda: files.scan_bars(spark, str(tmp_path), "1d", asset_type="stock")
+    assert 0 < max(tasks_of(spark, scan)) <= 4 * spark.sparkContext.defaultParallelism
+    assert scan().count() == 240 and spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"

@@ -6,10 +6,12 @@ import json
 import lzma
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
@@ -42,22 +44,37 @@ def qualified(spark: SparkSession, path: str) -> str:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
 
 
+@contextmanager
+def few_listings(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark lists the folders of a scan in a few tasks for each core; else each folder is a task, up to 10,000."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(old), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def scan_bars(spark: SparkSession, root: str, interval: str | None = None, asset_type: str = "*", symbol: str = "*") -> DataFrame:
     """Parquet bars below root/asset_type/symbol/interval_start_end.parquet, with these keys from the path.
 
-    Only the folders and files of the asked asset type, symbol and interval are listed. A missing root, or one without
-    such files, gives no rows.
+    Only the folders and files of the asked asset type, symbol and interval are listed, once. A missing root, or one
+    without such files, gives no rows.
     """
-    folder = f"{root}/{asset_type}/{symbol}"
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{interval or '*'}_*.parquet")
-    if not exists(spark, root) or not pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern):
-        return spark.createDataFrame([], f"{STORED_BARS}, asset_type string, symbol string, interval string")
     reader = spark.read.option("recursiveFileLookup", True)
     if interval:
         reader = reader.option("pathGlobFilter", f"{interval}_*.parquet")
+    try:
+        with few_listings(spark):
+            rows = reader.parquet(f"{root}/{asset_type}/{symbol}")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], f"{STORED_BARS}, asset_type string, symbol string, interval string")
     parts = F.split(plain("_metadata.file_path"), "/")
     name = F.element_at(parts, -1)
-    return reader.parquet(folder).select(
+    return rows.select(
         "*",
         F.element_at(parts, -3).alias("asset_type"),
         F.element_at(parts, -2).alias("symbol"),
