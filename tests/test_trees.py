@@ -389,3 +389,31 @@ def test_folders_are_listed_in_few_tasks(spark, tmp_path):
     scan = lambda: files.scan_bars(spark, str(tmp_path), "1d", asset_type="stock")
     assert 0 < max(tasks_of(spark, scan)) <= 4 * spark.sparkContext.defaultParallelism
     assert scan().count() == 240 and spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
+def test_rows_in_order_are_read_by_row_groups_and_listed_by_tasks(spark, tmp_path):
+    columns = bar_columns(datetime=pa.array([*days(40)[:30], None, *days(9)], pa.timestamp("us"))) | {c: [1.0] * 40 for c in files.BARS}
+    pq.write_table(pa.table(columns), put(tmp_path, "A^ +%20b", bar_columns()), row_group_size=7)
+    put(tmp_path, "NOTIME", bar_columns(datetime=None))
+    for k in range(40):
+        put(tmp_path, f"S{k}", bar_columns(datetime=pa.array([t.replace(tzinfo=dt.timezone.utc) for t in days(3)], pa.timestamp("ms", "UTC"))))
+    assert tasks_of(spark, lambda: tree.rows_in_order(spark, str(tmp_path))) == []  # no job of the driver's lists them
+    rows = tree.rows_in_order(spark, str(tmp_path)).select(F.element_at(F.split("path", "/"), -2).alias("symbol"), "row", "datetime")
+    got = {}
+    for r in sorted(rows.collect()[:], key=lambda r: (r.symbol, r.row)):
+        got.setdefault(r.symbol, []).append((r.row, r.datetime))
+    assert got["A^ +%20b"] == list(enumerate([*days(40)[:30], None, *days(9)])) and got["NOTIME"] == [(k, None) for k in range(3)]
+    assert got["S7"] == list(enumerate(days(3))) and len(got) == 42
+    rises = {r.symbol: r.monotonic for r in quality.monotonic(rows, ["symbol"], "row").collect()}
+    assert not rises.pop("A^ +%20b") and set(rises.values()) == {True} and len(rises) == 40
+
+
+def test_runs_of_keys_in_a_batch_are_files(spark, tmp_path):
+    keys = [("stock", "A", "1d"), ("stock", "A", "1h"), ("fund", "A", "1d"), ("fund", None, "1d"), ("fund", "B_+", "1d")]
+    rows = [(*k, t, float(n)) for n, t in enumerate(days(20)) for k in keys[: 1 + n % 5]]
+    b = spark.createDataFrame(rows, "asset_type string, symbol string, interval string, datetime timestamp_ntz, close double")
+    written = {tuple(r.path.split("/")[-3:]): r for r in tree.write_series_files(b, str(tmp_path), -F.col("close")).collect()}
+    assert {(k[0], str(k[1]), k[2]) for k in keys} == {(a, s, name.split("_")[0]) for a, s, name in written}
+    for (a, s, name), r in written.items():
+        want = [x[4] for x in rows if (x[0], str(x[1]), x[2]) == (a, s, name.split("_")[0])]
+        assert pq.ParquetFile(r.path).read()["close"].to_pylist() == want[::-1] and r.n_rows == len(want)

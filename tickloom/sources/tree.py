@@ -14,6 +14,7 @@ from urllib.parse import quote
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.csv as pacsv
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.timefn import hour_floor
-from tickloom.sources.files import BARS, STORED_BARS, TICK, WINDOW_NAME, literal, plain, qualified
+from tickloom.sources.files import BARS, STORED_BARS, TICK, WINDOW_NAME, few_listings, literal, plain, qualified
 
 #: Schemes of Hadoop's file systems that Arrow knows by another name.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfs"}
@@ -38,11 +39,17 @@ def open_path(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + quote(rest, safe="/:@"))
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that open files: two a core. A number that is given is kept, else few bytes of paths would all be put into one task."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def listed(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """(path, length) of the files below root with this ending, empty ones too; none if there is no root.
 
-    One task lists root's own entries, the others the folders below them. Hidden files are left out. Paths are as Spark
-    names them, so that they can be joined to those of a scan, whatever form root has.
+    One task lists root's own entries, others the folders below these, and each of theirs is dealt to a task by itself, so
+    what reads the files is spread too. Hidden files are left out. Paths are as Spark names them, so that they can be
+    joined to those of a scan, whatever form root has.
     """
 
     def entries(path: str, deep: bool) -> pd.DataFrame:
@@ -57,15 +64,18 @@ def listed(spark: SparkSession, root: str, suffix: str) -> DataFrame:
             for path in batch["path"]:
                 yield entries(path, False)
 
-    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[~batch["folder"]]
-            for path in batch.loc[batch["folder"], "path"]:
-                yield entries(path, True)
+    def below(deep: bool) -> Callable:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [batch[~batch["folder"]], *(entries(path, deep) for path in batch.loc[batch["folder"], "path"])]
+                yield pd.concat(found) if len(found) > 1 else found[0]
+
+        return run
 
     form = "path string, length long, folder boolean"
     top = spark.createDataFrame([(qualified(spark, root),)], "path string").mapInPandas(first, form)
-    found = top.repartition("path").mapInPandas(below, form).where(F.col("path").endswith(suffix) & ~F.col("folder"))
+    found = top.repartition("path").mapInPandas(below(False), form).repartition(_tasks(spark), "path").mapInPandas(below(True), form)
+    found = found.where(F.col("path").endswith(suffix) & ~F.col("folder"))
     return found.select("path", F.coalesce("length", F.lit(0)).alias("length"))
 
 
@@ -124,9 +134,38 @@ def footers(spark: SparkSession, root: str, asset_type: str | None = None, symbo
 
 
 def rows_in_order(spark: SparkSession, root: str) -> DataFrame:
-    """(path, row, datetime) of the Parquet files below root: each row with its place in its file."""
-    rows = spark.read.schema("datetime timestamp_ntz").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
-    return rows.select(plain("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"), "datetime")
+    """(path, row, datetime) of the Parquet files below root: each row with its place in its file. Times with a zone are in UTC.
+
+    The driver lists nothing: files are opened by the tasks, which read one column, row group by row group, as dealt out.
+    """
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path in batch["path"]:
+                fs, at = open_path(path)
+                with fs.open_input_file(at) as f:
+                    meta = pq.read_metadata(f)
+                n = [meta.row_group(k).num_rows for k in range(meta.num_row_groups)]
+                out += [(path, k, sum(n[:k])) for k in range(len(n))]
+            yield pd.DataFrame(out, columns=["path", "part", "begin"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, part, row in zip(*(batch.column(c).to_pylist() for c in ("path", "part", "begin")), strict=True):
+                fs, at = open_path(path)
+                with fs.open_input_file(at) as f:
+                    file = pq.ParquetFile(f)
+                    names = [c for c in ["datetime"] if c in file.schema_arrow.names]
+                    for rows in file.iter_batches(65_536, row_groups=[part], columns=names):
+                        n = rows.num_rows
+                        time = rows.column(0).cast(pa.timestamp("us")) if names else pa.nulls(n, pa.timestamp("us"))
+                        yield pa.RecordBatch.from_arrays([pa.repeat(path, n), pa.array(np.arange(row, row + n)), time], names=["path", "row", "datetime"])
+                        row += n
+
+    found = listed(spark, root, ".parquet").select("path").mapInPandas(groups, "path string, part long, begin long")
+    found = found.repartition(_tasks(spark), "path", "part")
+    return found.mapInArrow(read, "path string, row long, datetime timestamp_ntz")
 
 
 def scan_files(spark: SparkSession, found: DataFrame) -> DataFrame:
@@ -146,13 +185,21 @@ def scan_files(spark: SparkSession, found: DataFrame) -> DataFrame:
         time, *numbers = form_.split(",")
         types = [("datetime", "timestamp_ntz" if time == TIMES else "timestamp"), *zip(BARS, numbers, strict=True)]
         schema = ", ".join(f"{c} {'bigint' if t == LONGS else t}" for c, t in types)
-        rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(*map(literal, paths))
+        with few_listings(spark):
+            rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(*map(literal, paths))
         values = [F.col("datetime").cast("timestamp_ntz"), *[F.col(c).cast("double") for c in BARS]]
         path = F.regexp_replace(plain("_metadata.file_path"), "^file:/+", "file:/")
         out = out.unionByName(rows.select(path.alias("path"), *values))
     return out
 
 
+def _together(rows: DataFrame, key: list[str], *order: Column | str) -> DataFrame:
+    """Rows of one key in one task, one after the other and in order. They are sorted by a hash before the key, as the
+    first bytes of keys are often the same, which makes sorting slow."""
+    rows = rows.withColumn("_hash", F.xxhash64(*key)).repartition(*key)
+    return rows.sortWithinPartitions("_hash", *key, *order).drop("_hash")
+
+
 def _stream_files(rows: DataFrame, key: list[str], root: str, suffix: str, place: Callable, begin: Callable) -> DataFrame:
     """(path, n_rows) of files written from rows that lie together by ``key``, in their order: one file a run of equal keys.
 
@@ -176,20 +223,19 @@ def _stream_files(rows: DataFrame, key: list[str], root: str, suffix: str, place
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "n_rows"])
 
         for batch in batches:
-            codes = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True))
-            cuts = [k for k in range(len(codes)) if k == 0 or codes[k] != codes[k - 1]]
-            for a, b in zip(cuts, [*cuts[1:], len(codes)], strict=True):
-                own = pa.Table.from_batches([batch.slice(a, b - a)]).select(names)
-                times = batch.column("datetime").slice(a, b - a)
-                if codes[a] != run:
+            codes, times, rows = [batch.column(c) for c in key], batch.column("datetime"), pa.Table.from_batches([batch]).select(names)
+            ends = np.unique(np.concatenate([pc.run_end_encode(c).run_ends.to_numpy() for c in codes])).tolist()
+            for a, b in zip([0, *ends], ends):
+                own, code = rows.slice(a, b - a), tuple(c[a].as_py() for c in codes)
+                if code != run:
                     if writer is not None:
                         yield close()
                     fs.create_dir(top, recursive=True)
-                    run, n, first = codes[a], 0, times[0].as_py()
+                    run, n, first = code, 0, times[a].as_py()
                     file = fs.open_output_stream(part)
                     writer = begin(file, own.schema)
                 writer.write_table(own)
-                n, last = n + b - a, times[-1].as_py()
+                n, last = n + b - a, times[b - 1].as_py()
         if writer is not None:
             yield close()
 
@@ -203,7 +249,8 @@ def write_series_files(bars: DataFrame, root: str, order: Column | None = None)
     without a time are left out.
     """
     key = ["asset_type", "symbol", "interval"]
-    rows = bars.where("datetime is not null").repartition(*key).sortWithinPartitions(*key, F.col("datetime") if order is None else order)
+    rows = bars.where("datetime is not null").withColumn("_order", F.col("datetime") if order is None else order)
+    rows = _together(rows, key, "_order").drop("_order")
 
     def place(run: tuple, first, last) -> str:
         return f"{run[0]}/{run[1]}/{run[2]}_{min(first, last):%Y%m%d}_{max(first, last):%Y%m%d}"
@@ -215,7 +262,7 @@ def write_window_files(bars: DataFrame, root: str) -> DataFrame:
     """(path, n_rows) of one CSV SYMBOL_INTERVAL_START_END.csv for each window (symbol, interval, start, end) of the bars,
     written when the result is read. Bars are in time order, with times as yyyy-MM-dd HH:mm:ss."""
     key = ["symbol", "interval", "start", "end"]
-    rows = bars.repartition(*key).sortWithinPartitions(*key, "datetime")
+    rows = _together(bars, key, "datetime")
     rows = rows.withColumn("datetime", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"))
 
     def place(run: tuple, first, last) -> str:
@@ -254,7 +301,7 @@ def write_tick_files(ticks: DataFrame, root: str, point: float, order: str = "se
     rows = ticks.where("datetime is not null").select(
         "symbol", hour_floor(F.col("datetime")).alias("hour"), "datetime", F.floor(F.pmod(micros, F.lit(3_600_000_000)) / 1000).cast("int").alias("ms"), *prices, *volumes, F.col(order).alias("_order"),
     )
-    rows = rows.repartition(*key).sortWithinPartitions(*key, "datetime", "_order").drop("_order")
+    rows = _together(rows, key, "datetime", "_order").drop("_order")
 
     def place(run: tuple, first, last) -> str:
         return f"{run[0]}_{run[1]:%Y-%m-%d_%H}"
