@@ -6,6 +6,7 @@ import json
 import os
 import random
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import timefn
 from tickloom.operators import bars, ledger, quality, shape, store, validation, windows
+from tickloom.plans import tree_queries
+from tickloom.plans.queries import ORACLE_SQL, QUERIES
 from tickloom.sources import files, tree
 from tickloom.streaming import bars as streams
 
@@ -417,3 +420,14 @@ def test_runs_of_keys_in_a_batch_are_files(spark, tmp_path):
     for (a, s, name), r in written.items():
         want = [x[4] for x in rows if (x[0], str(x[1]), x[2]) == (a, s, name.split("_")[0])]
         assert pq.ParquetFile(r.path).read()["close"].to_pylist() == want[::-1] and r.n_rows == len(want)
+
+
+@pytest.mark.parametrize("name", ["tree_issues", "tree_summaries"])
+def test_tree_queries_equal_their_sql_in_a_folder_without_a_scheme(spark, tmp_path, monkeypatch, name):
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(tree_queries, "scratch", lambda _, label: str(tmp_path / label))
+    got = QUERIES[name](spark, d)
+    with duckdb.connect() as db:
+        db.execute(f"create view lineitem as select * from '{d}/lineitem.parquet'")
+        want = db.execute(f"select {', '.join(got.columns)} from ({ORACLE_SQL[name]})").fetchall()
+    assert want and sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
