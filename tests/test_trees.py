@@ -230,6 +230,28 @@ def test_interval_index_meets_few_ranges(spark):
     assert joined.groupBy("start", "end").count().agg(F.max("count")).first()[0] < 50  # what a request meets: ranges that hold its hour
 
 
+@pytest.mark.parametrize("lengths", [[90], [0, 1, 2, 3, 7, 24, 90, 4000]])
+def test_lookup_deals_requests_out_once(spark, lengths):
+    rng = random.Random(2)
+    first = T(1969, 11, 1)  # some times are before 1970, whose cells are negative
+    spans = [(k, a, a + dt.timedelta(hours=n, minutes=m)) for k in "AB" for n in lengths for a in [first + dt.timedelta(hours=rng.randrange(3000)) for _ in range(60)] for m in (0, 0)]
+    asked = [(k, a, a + dt.timedelta(hours=rng.randrange(60))) for k in "ABC" for a in [first + dt.timedelta(minutes=30 * rng.randrange(6200)) for _ in range(300)]]
+    ranges = spark.createDataFrame([*spans, ("A", None, T(2030, 1, 1)), ("A", T(2024, 2, 1), T(2024, 1, 1))], "k string, range_start timestamp_ntz, range_end timestamp_ntz")
+    requests = spark.createDataFrame([*asked, *asked[:50], ("A", None, first)], "k string, start timestamp_ntz, end timestamp_ntz")
+    found = store.range_cache_lookup(requests, ranges, ["k"])
+    want = {}
+    for k, s, e in asked:
+        fits = [(b - a, a, b) for k_, a, b in spans if k_ == k and a <= s and b >= e]
+        if fits:
+            want[k, s, e] = min(fits)[1:]
+    rows = found.collect()
+    assert len(want) > 100 and len(rows) == len(want) and {(r.k, r.start, r.end): (r.range_start, r.range_end) for r in rows} == want
+    # One shuffle a side, and where ranges have several grids, one more for the tightest of them all.
+    plan = store.range_cache_lookup(requests, ranges, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == (2 if len(lengths) == 1 else 3)
+    assert "SortAggregate" not in plan or len(lengths) > 1
+
+
 def test_store_keeps_its_layout(spark, tmp_path):
     path = "file://" + str(tmp_path / "store")
     rows = [("stock", "1d", f"S{k}", T(2020 + k % 3, 5, 1), float(k)) for k in range(20)]

@@ -83,25 +83,28 @@ def canonical_segments(first: Column, last: Column, levels: int) -> Column:
 def range_cache_lookup(requests: DataFrame, ranges: DataFrame, key: list[str], cell: int = 3600) -> DataFrame:
     """Per request the tightest cached range (key, range_start, range_end) that contains it; none gives no row.
 
-    An interval index: each range is cut into segments of a binary tree over cells of ``cell`` seconds, at most two a
-    level, and a request is looked up by the ancestors of its first cell. So it meets the ranges that hold its start and
-    no others, each once, however many ranges its key has.
+    Ranges of about one length share a grid, whose nodes of 2**level cells (of ``cell`` seconds) are no longer than they are
+    and more than half as long, so a range lies in three nodes at most. A request looks into the node of its start on each
+    grid that has ranges, so it meets those that overlap this node and no others, however many ranges its key has.
     """
-    held = ranges.where("range_start <= range_end")
     number = {c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / cell) for c in ("range_start", "range_end", "start")}
-    longest = held.agg(F.max(number["range_end"] - number["range_start"])).first()[0]
-    levels = max(1, int(longest or 0).bit_length())
-    lowest = F.lit(-(1 << 40)).cast("long")  # cells are counted from long before any time, so that none is negative
-    segments = canonical_segments(number["range_start"] - lowest, number["range_end"] - lowest, levels)
-    index = held.select(*key, "range_start", "range_end", F.explode(segments).alias("s")).select(*key, "range_start", "range_end", "s.level", "s.node")
-    asked = requests.select(*key, "start", "end", (number["start"] - lowest).alias("_cell"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
-    asked = asked.withColumn("node", F.expr("shiftright(_cell, level)"))
-    c = asked.join(index, [*key, "level", "node"])
-    c = c.where((F.col("range_start") <= F.col("start")) & (F.col("range_end") >= F.col("end")))
+    held = ranges.where("range_start <= range_end").select(*key, "range_start", "range_end", number["range_start"].alias("_first"), number["range_end"].alias("_last"))
+    held = held.withColumn("_level", F.greatest(F.length(F.bin(F.col("_last") - F.col("_first"))) - 1, F.lit(0)))
+    levels = sorted(r[0] for r in held.select("_level").distinct().collect())  # one for each power of two at most
+    place, request = [*key, "_level", "_node"], [*key, "start", "end"]
     length = F.col("range_end") - F.col("range_start")
-    tightest = F.min(F.struct(length.alias("length"), F.col("range_start").alias("range_start"), F.col("range_end").alias("range_end")))
-    out = c.groupBy(*key, "start", "end").agg(tightest.alias("r"))
-    return out.select(*key, "start", "end", "r.range_start", "r.range_end")
+    nodes = F.explode(F.expr("sequence(shiftright(_first, _level), shiftright(_last, _level))"))
+    rank = F.row_number().over(Window.partitionBy(*place).orderBy(length, "range_start")).alias("_rank")
+    index = held.select(*key, "range_start", "range_end", "_level", nodes.alias("_node")).select(*place, "range_start", "range_end", rank)
+    asked = requests.select(*request, number["start"].alias("_cell"), F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("_level"))
+    asked = asked.select(*request, "_level", F.expr("shiftright(_cell, _level)").alias("_node"))
+    # Requests are dealt out by their places once; repeated ones, the ranges they meet and the tightest are found where they lie.
+    c = asked.repartition(*place).distinct().join(index, place).where("range_start <= start and range_end >= end")
+    best = [F.min_by(x, "_rank").alias(x) for x in ("range_start", "range_end")]  # by a plain number, so that nothing is sorted for it
+    out = c.groupBy(*place, "start", "end").agg(*best).select(*request, "range_start", "range_end")
+    if len(levels) > 1:
+        out = keep_first(out.withColumn("_length", length), request, ["_length", "range_start"]).drop("_length")
+    return out
 
 
 def trimmed(bars: DataFrame, hits: DataFrame, key: list[str]) -> DataFrame:
