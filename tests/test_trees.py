@@ -194,6 +194,21 @@ def test_stitched_gaps_equal_the_grid(spark):
     assert [r for r in want if r[0] == "D"] == [("D", T(2024, 1, 1), T(2024, 1, 4, 11, 55), 1008)]
 
 
+def test_gaps_do_not_depend_on_the_zone_of_the_session(spark, tmp_path):
+    # Summer time begins on 10 March and ends on 3 November; the second gap lies between two months, and 2:30 is no time on 10 March.
+    times = {"MARCH": [T(2024, 3, 1), T(2024, 3, 20)], "AUTUMN": [T(2024, 10, 20), T(2024, 11, 5)], "NIGHT": [T(2024, 3, 10, 2, 30), T(2024, 3, 10, 3, 10)]}
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = [("stock", s, "1d", t, *[1.0] * 5) for s, found in times.items() for t in found]
+        b = spark.createDataFrame(rows, "asset_type string, symbol string, interval string, datetime timestamp_ntz, open double, high double, low double, close double, volume double")
+        tree.run(tree.write_series_files(b, str(tmp_path)))
+        summaries, issues = validation.validate_tree(spark, str(tmp_path))
+        assert {r.symbol: r.max_gap_s for r in summaries.collect()} == {"MARCH": 19 * 86400, "AUTUMN": 16 * 86400, "NIGHT": 2400}
+        assert {(r.symbol, r.rule_id, r.n) for r in issues.collect()} == {(s, "datetime.gap_too_large", n * 86400) for s, n in (("MARCH", 19), ("AUTUMN", 16))}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize("build", ["profile", "gaps", "monotonic"])
 def test_no_window_is_dealt_by_series_alone(spark, build):
     df = spark.createDataFrame([("A", T(2024, 1, 1), 1.0, 1.0, 1.0, 1.0, 1.0, 1)], BAR + ", pos long")
